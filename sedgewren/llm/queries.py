@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewren.llm import bpe, mixing
+from sedgewren.llm import bpe, mixing, neardup
 from sedgewren.llm.common import table
 
 
@@ -29,8 +29,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, "size", [5, 2, 1]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing}
+    return {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op5_minhash": op5_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
