@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewren.llm import bpe, mixing, neardup
+from sedgewren.llm import bpe, fingerprint, mixing, neardup, ppm
 from sedgewren.llm.common import table
 
 
@@ -29,12 +29,26 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, "size", [5, 2, 1]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    paired = fingerprint.with_next(fingerprint.fingerprint(docs), ids, ["text", "fingerprint"])
+    cut = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.left("text", F.length("text") - cut), F.left("next_text", cut))
+    marked = fingerprint.fingerprint(paired.select("doc_id", F.length("text").cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", edited.alias("edited")), "edited", "edited_fingerprint")
+    return marked.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", fingerprint.likeness("fingerprint", "edited_fingerprint").alias("near_edited"), fingerprint.likeness("fingerprint", "next_fingerprint").alias("near_next"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op5_minhash": op5_minhash}
+    return {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op4_fingerprint": op4_fingerprint, "op5_minhash": op5_minhash, "op7_ppm": op7_ppm}
 
 
 def oracle_sql() -> dict[str, str]:
