@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewren.llm import bpe, fingerprint, mixing, neardup, ppm
+from sedgewren.llm import bpe, fingerprint, mixing, neardup, ppm, quality, toxicity
 from sedgewren.llm.common import table
 
 
@@ -47,8 +47,20 @@ def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    scored = quality.score(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "content_score", "page_score", "quality_score", (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op4_fingerprint": op4_fingerprint, "op5_minhash": op5_minhash, "op7_ppm": op7_ppm}
+    return {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op4_fingerprint": op4_fingerprint, "op5_minhash": op5_minhash, "op7_ppm": op7_ppm, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
