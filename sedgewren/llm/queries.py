@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewren.llm import bpe, fingerprint, mixing, neardup, ppm, quality, toxicity
+from sedgewren.llm import ann, bpe, chat, fingerprint, licences, mixing, neardup, ppm, quality, toxicity
 from sedgewren.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded_text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op2_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
     return mixing.mix(docs, "size", [5, 2, 1]).select("doc_id", "size", "source_size", "target", "taken")
@@ -43,6 +47,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
@@ -59,9 +67,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "content_score", "page_score", "quality_score", (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op4_fingerprint": op4_fingerprint, "op5_minhash": op5_minhash, "op7_ppm": op7_ppm, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality}
+    return {"op1_bpe": op1_bpe, "op2_additive": op2_additive, "op3_mixing": op3_mixing, "op4_fingerprint": op4_fingerprint, "op5_minhash": op5_minhash, "op6_licences": op6_licences, "op7_ppm": op7_ppm, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_licences": licences.scan_sql()}
