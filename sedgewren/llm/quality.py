@@ -147,10 +147,9 @@ def fitted(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     return cotrain([np.array([r[v] for r in with_label]) for v in "ab"], y, [np.array([r[v] for r in free]).reshape(len(free), wide[v]) for v in "ab"])
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Append content_score, page_score and quality_score, each the chance that the document is good."""
+def score(docs: DataFrame, labels: DataFrame, new: tuple[str, str, str] = ("content_score", "page_score", "quality_score")) -> DataFrame:
+    """Append the chances that the document is good, by the content view, the page view and both, under the given names."""
     model = fitted(docs, labels)
-    new = ("content_score", "page_score", "quality_score")
     kept = [c for c in docs.columns if c.lower() not in new]
     places = [kept.index(c) for c in ("text", "lang", "source", "n_chars")]
 

@@ -259,10 +259,10 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.nda
 _SCORERS: dict[str, Scorer] = {}
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Append score (0 to 1) and predicted (1 from ``threshold`` on)."""
+def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Append a score (0 to 1) and a prediction (1 from ``threshold`` on) under the given names."""
     model, token = fitted(docs, labels), uuid.uuid4().hex
-    place = [c for c in docs.columns if c.lower() not in ("score", "predicted")].index("text")
+    place = [c for c in docs.columns if c.lower() not in names].index("text")
 
     def f(batch: pa.RecordBatch) -> list[pa.Array]:
         if token not in _SCORERS:
@@ -271,4 +271,4 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
         s = [_SCORERS[token].score(x.as_py()) for x in batch.column(place).cast(pa.binary())]
         return [pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())]
 
-    return with_columns(docs, f, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return with_columns(docs, f, [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
