@@ -19,12 +19,12 @@ WEIGHTS = [5, 2, 1]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the clause grammar does not predict to be toxic."""
-    return toxicity.score(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, table(spark, sf_dir, "labels"), names=("_score_", "_toxic_")).where("_toxic_ = 0").select(*docs.columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained views find more likely good than not."""
-    return quality.score(docs, table(spark, sf_dir, "labels")).where("quality_score >= 0.5").select(*docs.columns)
+    return quality.score(docs, table(spark, sf_dir, "labels"), ("_content_", "_page_", "_quality_")).where("_quality_ >= 0.5").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
