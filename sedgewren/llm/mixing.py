@@ -69,7 +69,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         chosen[i] += n
         spare[i] -= n
         left -= n * int(lengths[i])
-    span = int(min(left + lengths[spare > 0].min(initial=0), 4 * TABLE_WORDS)) if (spare > 0).any() else 0
+    span = 2 * left  # no choice comes nearer to the rest of the budget than none does, if it exceeds it by as much
     items = [(int(lengths[i]) * k, i, k) for i in order if spare[i] and lengths[i] <= span for k in _powers(min(int(spare[i]), span // int(lengths[i])))]
     by = np.full(span + 1, -1, np.int32)  # the item that first reached a sum
     reached = np.zeros(span + 1, bool)
