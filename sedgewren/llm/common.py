@@ -63,6 +63,20 @@ def with_columns(df: DataFrame, f: Callable[[pa.RecordBatch], list[pa.Array]], f
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 
 
+_OWNER: list[str] = []
+_CLEAR: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """Say that a worker now runs ``owner``: what other operators left in its caches is dropped, so memory does not add up."""
+    if _OWNER != [owner]:
+        _OWNER[:] = [owner]
+        _CLEAR[owner] = clear
+        for name, f in _CLEAR.items():
+            if name != owner:
+                f()
+
+
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """Mark a staged table for broadcast if it has at most ``rows`` rows (its files tell); beyond that it is shuffled."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -26,41 +26,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedgewren.llm.common import with_columns
+from sedgewren.llm.common import claim, with_columns
 from sedgewren.llm.shingles import scrambled
 
 SAMPLES = 64
 PIECE = 16
-CACHE_ROWS = 250_000
+CACHE_ROWS, KEPT_ROWS = 300_000, 150_000
+#: Terms whose keys are computed at once; small enough for the processor's cache.
+STEP_ROWS = 512
 #: Rows of a neighbourhood that with_next() sorts in one piece, about.
 BUCKET_ROWS = 1000
 #: Cells of equal width that ids are counted in to form buckets.
 CELLS = 1 << 16
 
-_K = scrambled(np.arange(1, 5 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(5, SAMPLES)
+_K = scrambled(np.arange(1, 4 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(4, SAMPLES) | np.uint64(1)
+_MIX, _32, _48 = np.uint64(0xD6E8FEB86659FD93), np.uint64(32), np.uint64(48)
+_ONE, _NINE = np.uint32(0x3F800000), np.uint32(9)
 
 
-def _uniform(hashes: np.ndarray, j: int) -> np.ndarray:
-    return (scrambled(hashes[:, None] ^ _K[j]) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+def _uniforms(hashes: np.ndarray, j: int) -> np.ndarray:
+    """Two uniform variates in (0, 1) of each hash and sample, side by side, as 23 bits each of a product hash."""
+    bits = hashes[:, None] * _K[j]
+    bits ^= bits >> _32
+    bits *= _MIX
+    bits ^= bits >> _32
+    halves = bits.view(np.uint32)
+    halves >>= _NINE
+    halves |= _ONE
+    out = halves.view(np.float32)
+    out -= np.float32(1 - 2.0**-24)
+    return out
 
 
 def keys(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log key, 16-bit hash of the sample) of each weighted term, for all samples."""
-    r = -np.log(_uniform(hashes, 0) * _uniform(hashes, 1))
-    c = -np.log(_uniform(hashes, 2) * _uniform(hashes, 3))
-    b = _uniform(hashes, 4)
-    t = np.floor(np.log(weights)[:, None] / r + b)
-    mark = scrambled(hashes[:, None] ^ scrambled(t.astype(np.int64).view(np.uint64) + _K[0]))
-    return (np.log(c) - r * (t - b) - r).astype(np.float32), (mark >> np.uint64(48)).astype(np.uint16)
+    """(log key, t) of each weighted term, for all samples."""
+    u = _uniforms(hashes, 0)
+    r = np.log(u[:, ::2] * u[:, 1::2])
+    np.minimum(r, np.float32(-1e-6), out=r)  # -r is the Gamma variate
+    u = _uniforms(hashes, 1)
+    c = np.log(-np.log(u[:, ::2] * u[:, 1::2]))
+    b = _uniforms(hashes, 2)[:, ::2]
+    t = np.floor(b - np.log(weights).astype(np.float32)[:, None] / r)
+    b -= t
+    b -= np.float32(1)
+    b *= r  # -r * (1 + t - b)
+    c -= b
+    return c, t
+
+
+def marks(hashes: np.ndarray, t: np.ndarray) -> str:
+    """16-bit hashes of samples, given by their terms' hashes and t, in hexadecimal."""
+    return (scrambled(hashes ^ (_K[3] + t.astype(np.int64).view(np.uint64) * _K[3, 0])) >> _48).astype(">u2").tobytes().hex()
 
 
 class Sampler:
     """Fingerprints of many texts, with a bounded table of the keys seen."""
 
     def __init__(self):
-        self.rows: dict[tuple[bytes, int], int] = {}
-        self.key = np.empty((0, SAMPLES), np.float32)
-        self.mark = np.empty((0, SAMPLES), np.uint16)
+        self.rows = _Rows()
+        self.key = np.empty((CACHE_ROWS, SAMPLES), np.float32)
+        self.t = np.empty((CACHE_ROWS, SAMPLES), np.float32)
+        self.hash = np.empty(CACHE_ROWS, np.uint64)
 
     @staticmethod
     def terms(text: bytes | None) -> Counter:
@@ -72,39 +98,66 @@ class Sampler:
         return bag
 
     def fingerprints(self, texts: list[bytes | None]) -> list[str]:
-        bags = [list(self.terms(t).items()) for t in texts]
-        new = {x for bag in bags for x in bag if x not in self.rows}
-        if len(self.rows) + len(new) > CACHE_ROWS:
-            self.rows = {}
-            new = {x for bag in bags for x in bag}
-        self._add(sorted(new))
         out = []
-        for bag in bags:
+        for text in texts:
+            bag = self.terms(text)
             if not bag:
                 out.append("")
                 continue
-            at = np.fromiter(map(self.rows.__getitem__, bag), np.int64, len(bag))
-            best = at[self.key[at].argmin(axis=0)]
-            out.append(self.mark[best, np.arange(SAMPLES)].astype(">u2").tobytes().hex())
+            if len(self.rows) + len(bag) > CACHE_ROWS:
+                self.rows.shrink()
+            if len(bag) > CACHE_ROWS - KEPT_ROWS:  # a text of more terms than the table holds
+                out.append(self._alone(list(bag.items())))
+                continue
+            at = np.fromiter(map(self.rows.__getitem__, bag.items()), np.int64, len(bag))
+            if self.rows.new:
+                self._add()
+            best = at[self.key.take(at, axis=0).argmin(axis=0)]
+            out.append(marks(self.hash[best], self.t[best, _AT]))
         return out
 
-    def _add(self, new: list[tuple[bytes, int]]) -> None:
-        at = len(self.rows)
-        if at + len(new) > len(self.key):
-            room = max(at + len(new), min(2 * len(self.key), CACHE_ROWS))
-            for name, kind in (("key", np.float32), ("mark", np.uint16)):
-                grown = np.empty((room, SAMPLES), kind)
-                grown[:at] = getattr(self, name)[:at]
-                setattr(self, name, grown)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w, _ in part), np.uint64, len(part))
-            k, m = keys(hashes, 1 + np.log(np.array([n for _, n in part], np.float64)))
-            self.key[at + i : at + i + len(part)] = k
-            self.mark[at + i : at + i + len(part)] = m
-        self.rows.update(zip(new, range(at, at + len(new))))
+    def _add(self) -> None:
+        new, at = self.rows.new, len(self.rows) - len(self.rows.new)
+        for i in range(0, len(new), STEP_ROWS):
+            part = new[i : i + STEP_ROWS]
+            end = at + i + len(part)
+            self.hash[at + i : end], weights = _hashed(part)
+            self.key[at + i : end], self.t[at + i : end] = keys(self.hash[at + i : end], weights)
+        self.rows.new = []
+
+    def _alone(self, bag: list[tuple[bytes, int]]) -> str:
+        least, t, own = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.float32), np.zeros(SAMPLES, np.uint64)
+        for i in range(0, len(bag), STEP_ROWS):
+            hashes, weights = _hashed(bag[i : i + STEP_ROWS])
+            k, s = keys(hashes, weights)
+            best = k.argmin(axis=0)
+            lower = k[best, _AT] < least
+            least, t, own = np.where(lower, k[best, _AT], least), np.where(lower, s[best, _AT], t), np.where(lower, hashes[best], own)
+        return marks(own, t)
+
+
+def _hashed(part: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w, _ in part), np.uint64, len(part)), 1 + np.log(np.array([n for _, n in part], np.float64))
+
+
+class _Rows(dict):
+    """Rows of the table by (term, count); new ones are queued."""
+
+    def __init__(self):
+        self.new: list[tuple[bytes, int]] = []
+
+    def __missing__(self, x: tuple[bytes, int]) -> int:
+        self.new.append(x)
+        self[x] = n = len(self)
+        return n
+
+    def shrink(self) -> None:
+        """Keep the rows that came first, which are mostly those of common terms."""
+        for x in [x for x, i in self.items() if i >= KEPT_ROWS]:
+            del self[x]
 
 
+_AT = np.arange(SAMPLES)
 _SAMPLER: list[Sampler] = []
 
 
@@ -115,6 +168,7 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -
     place = [c for c in docs.columns if c.lower() != out.lower()].index(text)
 
     def f(batch: pa.RecordBatch) -> list[pa.Array]:
+        claim("fingerprint", _SAMPLER.clear)
         if not _SAMPLER:
             _SAMPLER.append(Sampler())
         texts, found, held, size = batch.column(place).cast(pa.binary()), [], [], 0
