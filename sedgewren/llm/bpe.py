@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sedgewren.llm.common import with_columns
+from sedgewren.llm.common import claim, with_columns
 
 LONG_WORD = 400
 #: Entries of a worker's word cache; beyond it the cache starts anew, so its memory is bounded.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 CACHED_LENGTH = 40
 NO_RANK = 1 << 40
 
@@ -171,6 +171,7 @@ _CODECS: dict[int, Codec] = {}
 
 def _codec(shared) -> Codec:
     """One codec for each Python worker and tokenizer file."""
+    claim("bpe", _CODECS.clear)
     source = shared.value
     key = hash(source)
     if key not in _CODECS:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedgewren.llm.common import staged, with_columns
+from sedgewren.llm.common import claim, staged, with_columns
 from sedgewren.llm.toxicity import fit_logistic, held_out
 
 LABELLED, UNLABELLED = 6000, 6000
@@ -154,6 +154,7 @@ def score(docs: DataFrame, labels: DataFrame, new: tuple[str, str, str] = ("cont
     places = [kept.index(c) for c in ("text", "lang", "source", "n_chars")]
 
     def f(batch: pa.RecordBatch) -> list[pa.Array]:
+        claim("quality", dict)
         if model is None:
             return [pa.array([0.5] * batch.num_rows, pa.float64())] * 3
         text, lang, source, length = (batch.column(i) for i in places)

@@ -32,14 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedgewren.llm.common import staged, with_columns
+from sedgewren.llm.common import claim, staged, with_columns
 
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
 THRESHOLD = 0.7
 NEAR = 3
 #: Letters of the shortest and longest learned prefix.
 PREFIX = range(4, 9)
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 200_000
 
 # Word lists of the grammar's transducers.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown imbecile cretin bastard bitch asshole jerk pig vermin filth garbage dumbass shithead fool degenerate parasite dummkopf arschloch trottel abschaum connard imbécile salaud ordure idiota imbécil estúpido basura cabrón escoria"
@@ -265,6 +265,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, name
     place = [c for c in docs.columns if c.lower() not in names].index("text")
 
     def f(batch: pa.RecordBatch) -> list[pa.Array]:
+        claim("toxicity", _SCORERS.clear)
         if token not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[token] = Scorer(*model)
