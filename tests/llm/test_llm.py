@@ -278,6 +278,26 @@ def test_ppm_is_a_probability():
             assert abs(total - 1) < 1e-9
 
 
+def test_ppm_codes_words_in_bulk_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    draw = lambda most: bytes(rng.choice([97, 98, 99, 0xC3, 0xA9, 0], rng.integers(1, most)).tolist())
+    known, counts = [draw(16) for _ in range(300)], Counter()
+    for word in [*known, ppm.END_WORD]:
+        s = b" " + ppm.symbols(word)
+        for i in range(1, len(s)):
+            for k in {*range(max(0, i - ppm.ORDER), i + 1), *([0] if ppm.ORDER < i <= ppm.START else [])}:
+                counts[s[k : i + 1]] += 1
+    words = [*known, *(draw(20) for _ in range(300)), ppm.END_WORD, b"a", b"\xff", b"ab" * 700, known[0]]
+    monkeypatch.setattr(ppm, "PIECE", 1000)
+    monkeypatch.setattr(ppm, "MEMO", 50)
+    for kept in (1, 2):
+        model = ppm.Model({x: n for x, n in counts.items() if n >= kept}, 301)
+        coder = ppm.Coder(model)
+        for _ in range(2):
+            assert np.allclose(coder.words(words), [model.word(w) for w in words], rtol=1e-12)
+    assert len(coder.words([])) == 0
+
+
 def test_ppm_cases(odd, none):
     rows = ppm.score(odd).collect()
     assert len(rows) == 10 and {r["n_tokens"] for r in rows if r["doc_id"] in (3, 4, 5)} == {1}
