@@ -4,7 +4,10 @@ A unit vector is approximated by the sum of one full-dimensional codeword from e
 fitted to residuals, one after the other, on at most ``SAMPLE`` vectors chosen by a hash of their ids; every vector is then
 encoded by a beam search that keeps the ``BEAM`` best sums over the codebooks so far.  Codes and the norm of the sum are
 stored.  A query's products with all codewords form a table; a candidate's score is the sum of ``BOOKS`` table entries over
-the stored norm, and the ``DEPTH`` best of each block of candidates are reranked by the exact cosine.
+the stored norm, and the ``DEPTH`` best of each block of candidates are reranked by the exact cosine, with all whose score
+equals that of the last of them.  Equal codes have equal scores, so no choice among them is left to chance.
+
+Equal vectors are one candidate, which takes one place of the depth and stands for its ``k`` + 1 smallest ids.
 
 Codes (a few per cent of the vectors' bytes) lie in blocks of about ``BLOCK`` rows and queries in blocks of ``QUERIES``; a block
 of queries meets each block of codes in one row of a join on the code block's number. Only the best candidates leave a task.
@@ -71,26 +74,30 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
             chosen = np.concatenate([chosen[at, parent], word[:, :, None].astype(np.uint8)], axis=2)
         top = cost.argmin(1)
         codes[a : a + rows] = chosen[np.arange(rows), top]
-        norms[a : a + rows] = np.linalg.norm(x[a : a + rows] - rest[np.arange(rows), top], axis=1)
+        # summed from the codewords, so that equal codes have equal norms
+        total = np.zeros((rows, d), np.float32)
+        for j in range(m):
+            total += books[j][codes[a : a + rows, j]]
+        norms[a : a + rows] = np.linalg.norm(total, axis=1)
     return codes, norms
 
 
-def best_of_block(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray, depth: int) -> np.ndarray:
-    """For each query the places of the candidates with the best approximate cosine, by table lookups."""
+def best_of_block(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of queries and of their candidates with the ``depth`` best approximate cosines, and of those equal to the last."""
     table = np.einsum("qd,mwd->mwq", queries.astype(np.float32), books).astype(np.float32)
     scores = np.zeros((len(codes), len(queries)), np.float32)
     for j in range(len(books)):
         scores += table[j][codes[:, j]]
     scores /= np.maximum(norms, 1e-6)[:, None]
-    k = min(depth, len(codes))
-    return np.argpartition(-scores, k - 1, axis=0)[:k].T if k < len(codes) else np.broadcast_to(np.arange(k), (len(queries), k))
+    least = np.partition(scores, len(codes) - depth, axis=0)[len(codes) - depth] if depth < len(codes) else -np.inf
+    return np.nonzero((scores >= least).T)
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(id, v) with v in double precision, of the rows that take part."""
     e = F.col(embedding)
     fine = e.isNotNull() & F.col(vec_id).isNotNull() & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = vectors.where(F.coalesce(fine, F.lit(False))).select(F.col(vec_id).cast("long").alias("id"), e.cast("array<double>").alias("v"))
+    rows = vectors.where(F.coalesce(fine, F.lit(False))).select(F.col(vec_id).cast("long").alias("id"), F.transform(e.cast("array<double>"), lambda x: x + F.lit(0.0)).alias("v"))  # no negative zeros
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return rows.where(F.size("v") == (sizes["d"] if sizes else 0))
 
@@ -141,9 +148,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, depth: int = DEPTH)
     books = fit_codebooks(unit(np.array([r["v"] for r in sample])))
     d = books.shape[2]
     shared = spark.sparkContext.broadcast(books)
-    n = rows.count()
     queries = rows.where(is_query)
-    code_blocks, query_blocks = -(-n // BLOCK), max(1, -(-queries.count() // QUERIES))
+    query_blocks = max(1, -(-queries.count() // QUERIES))
+    keyed = rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
 
     def coded(batches):
         for batch in batches:
@@ -151,9 +158,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, depth: int = DEPTH)
                 x = unit(np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1))
                 codes, norms = encode(x, shared.value)
                 packed = [c.tobytes() + v.tobytes() for c, v in zip(codes, norms)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(packed, pa.binary())], names=["id", "h1", "h2", "code"])
 
-    index = staged(rows.mapInArrow(coded, "id long, code binary"), "codes")
+    each = staged(keyed.mapInArrow(coded, "id long, h1 long, h2 long, code binary"), "codes")
+    # a vector's smallest ids and how often each is repeated; the limit is taken in each task before the shuffle
+    least = Window.partitionBy("h1", "h2").orderBy("id")
+    members = each.groupBy("h1", "h2", "id").agg(F.count("*").alias("times")).withColumn("place", F.row_number().over(least)).where(F.col("place") <= k + 1)
+    members = staged(members.drop("place"), "members")
+    index = staged(each.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.min("code").alias("code")).withColumn("id", F.monotonically_increasing_id()), "distinct")
+    code_blocks = -(-index.count() // BLOCK)
 
     def gathered(batches):
         held, block = [], None
@@ -186,15 +199,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, depth: int = DEPTH)
                 packed = np.frombuffer(cc.as_py(), np.uint8).reshape(len(ids), width)
                 codes, norms = packed[:, :-4], np.ascontiguousarray(packed[:, -4:]).view(np.float32)[:, 0]
                 for a in range(0, len(q), 64):
-                    best = best_of_block(v[a : a + 64], books, codes, norms, depth)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[a : a + 64], best.shape[1])), pa.array(ids[best].ravel())], names=["query_id", "id"])
+                    asking, best = best_of_block(v[a : a + 64], books, codes, norms, depth)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[a : a + 64][asking]), pa.array(ids[best])], names=["query_id", "id"])
 
     met = asked.join(code_table, "block").select("query_ids", "vectors", "ids", "codes")
-    found = met.mapInArrow(scored, "query_id long, id long").where("query_id <> id").distinct()
+    found = met.mapInArrow(scored, "query_id long, id long").distinct()
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    sized = rows.withColumn("v", F.struct("v", norm(F.col("v")).alias("n")))
-    pairs = found.join(sized.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"]), "query_id").join(sized, "id")
+    sized = keyed.withColumn("v", F.struct("v", norm(F.col("v")).alias("n")))
+    one = sized.withColumnRenamed("id", "first").dropDuplicates(["h1", "h2", "first"])
+    found = found.join(index.select("id", "h1", "h2", "first"), "id").drop("id")
+    asking = sized.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"])
+    pairs = found.join(asking, "query_id").join(one, ["h1", "h2", "first"])
     dot = F.aggregate(F.zip_with("q.v", "v.v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    ranked = pairs.select("query_id", F.col("id").alias("vec_id"), (dot / (F.col("q.n") * F.col("v.n"))).alias("score"))
+    close = pairs.select("query_id", "h1", "h2", (dot / (F.col("q.n") * F.col("v.n"))).alias("score"))
+    # one vector at most has no id but the query's own, so k + 1 vectors and those equal to the last are enough
+    close = close.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("place") <= k + 1)
+    rows = close.join(members, ["h1", "h2"]).where("query_id <> id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k)))))
+    ranked = rows.select("query_id", F.col("id").alias("vec_id"), "score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -414,6 +414,23 @@ def test_search_recall_and_scores(spark):
     assert ann.search(table.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_search_finds_the_smallest_ids_of_many_copies(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 16))
+    x[rng.permutation(900)[:400]] = x[0]
+    x[300:600] = rng.normal(size=16) * rng.uniform(0.5, 2, (300, 1))  # other vectors of equal codes
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(50, x[50].tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(table, F.col("id") % 50 == 0).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    same = [i for i in range(900) if (x[i] == x[0]).all()]
+    for q in range(0, 900, 50):
+        own = got[got.query_id == q].sort_values("rank")
+        assert np.allclose(own.score, np.sort(np.delete(u @ u[q], q))[::-1][:5], atol=1e-9)
+        if q in same:
+            assert own.vec_id.tolist() == sorted([i for i in same if i != q] + [50] * (50 in same and q != 50))[:5]
+
+
 def test_words_are_cut_at_ascii_blanks_only():
     assert len(shingles.word_hashes("a\u00a0b\x1cc\u0085d\te".encode())) == 2
     assert (shingles.shingle_set(b"A b C") == shingles.shingle_set(b"a B\nc")).all() and len(shingles.shingle_set(b" ")) == 0
