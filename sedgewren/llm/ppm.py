@@ -12,13 +12,14 @@ parts the training texts: a text to score is coded with the trie under which its
 choice itself is coded with the share of the group's texts, so a score is the logarithm of a proper probability.
 
 As contexts end at words, a word's code length depends on the word and the trie alone.  So the corpus is reduced to word
-counts first (each task counts its own words before the shuffle), the tries are trained on these counts, and a worker
-computes a word's code length once.  The tries that go to all tasks hold at most ``NODES`` (context, symbol) counts at each
-of their levels: the least count kept is chosen from a histogram of the counts, and what falls below it counts as escapes in
-its context.  Long beginnings are counted only where shorter ones were kept, as they cannot occur more often.
+counts first (each task counts its own words before the shuffle) and the tries are counted from these.  All (context, symbol)
+counts are kept, in a staged table that grows with the corpus; no task holds a trie.  With each context goes what the
+step to its next shorter one needs: a context's symbols are all known there too, so the sums over the excluded ones do not
+depend on the symbol that is coded.  Each distinct (trie, word) is coded once: its symbols are joined to the counts, and
+those that their context has not seen to the shorter contexts.
 
-The unigram base score needs the corpus count of every word. The commonest words (at most ``COMMON``) go to all tasks;
-the others are joined by their hash.
+The unigram base score needs the corpus count of every word. The commonest words (at most ``COMMON``) go to all tasks with
+their counts and code lengths; the others are joined by their hash.
 
 Defined cases: null text is the empty text and has the end sign alone; a row with a null id counts as not held out; a null
 group shares the trie of the others; repeated rows are texts of their own; without training rows every count is 0 and the
@@ -41,9 +42,6 @@ from pyspark.sql import functions as F
 from sedgewren.llm.common import claim, staged
 
 ORDER, START = 4, 12
-#: Lengths of the beginnings that each level counts; the first level also counts all contexts of up to ORDER bytes.
-LEVELS = [(ORDER + 2, ORDER + 2), (ORDER + 3, ORDER + 4), (ORDER + 5, START + 1)]
-NODES = 150_000
 COMMON = 100_000
 GROUPS = 7
 #: Entries after which a task hands on its counts, and words after which it hands on its scores.
@@ -94,48 +92,85 @@ def symbols(word: bytes) -> bytes:
     return END_WORD if word == END_WORD else word + b" "
 
 
-def _contexts(vocabulary: DataFrame, level: int, kept: dict[int, set[bytes]]) -> DataFrame:
-    """(part, node, n) of a level: node is a context followed by one symbol. ``kept`` has the beginnings to go on from."""
-    low, high = LEVELS[level]
-    sent = vocabulary.sparkSession.sparkContext.broadcast(kept)
+def _contexts(vocabulary: DataFrame) -> DataFrame:
+    """(part, node, n) of all nodes: a node is a context followed by one symbol."""
 
     def run(batches):
         counts: dict[int, dict] = defaultdict(lambda: defaultdict(int))
-        kept = sent.value
         for batch in batches:
             for g, w, n in zip(*(c.to_pylist() for c in batch.columns)):
-                s = b" " + symbols(w)
-                if level and s[: low - 1] not in kept.get(g, ()):
-                    continue
-                own = counts[g]
-                if not level:  # the longest context of every symbol; shorter ones are its ends
-                    for i in range(1, len(s)):
-                        own[s[i - ORDER if i > ORDER else 0 : i + 1]] += n
-                for i in range(low, min(high, len(s)) + 1):
+                s, own = b" " + symbols(w), counts[g]
+                for i in range(1, len(s)):  # the longest context of every symbol; shorter ones are its ends
+                    own[s[i - ORDER if i > ORDER else 0 : i + 1]] += n
+                for i in range(ORDER + 2, min(START + 1, len(s)) + 1):
                     own[s[:i]] += n
-            if sum(map(len, counts.values())) > FLUSH:
-                yield from _flushed(counts, "node")
+                if sum(map(len, counts.values())) > FLUSH:
+                    yield from _flushed(counts, "node")
         yield from _flushed(counts, "node")
 
     counted = vocabulary.select("part", "word", "n").mapInArrow(run, "part int, node binary, n long").groupBy("part", "node").agg(F.sum("n").alias("n"))
-    if level:
-        return counted
     ends = F.when(F.length("node") <= ORDER + 1, F.transform(F.sequence(F.lit(1), F.length("node")), lambda k: F.substring("node", k, ORDER + 1))).otherwise(F.array("node"))
     return counted.select("part", F.explode(ends).alias("node"), "n").groupBy("part", "node").agg(F.sum("n").alias("n"))
 
 
-def _trained(vocabulary: DataFrame) -> pa.Table:
-    """(part, node, n) of the nodes that are kept, level by level."""
-    out, kept, least = [], {}, 1
-    for level, (_, high) in enumerate(LEVELS):
-        table = staged(_contexts(vocabulary, level, kept), f"contexts-{level}")
-        least = max(least, _largest(table, NODES))
-        out.append(table.where(F.col("n") >= least).toArrow())
-        kept = defaultdict(set)
-        for g, node in zip(out[-1]["part"].to_pylist(), out[-1]["node"].to_pylist()):
-            if len(node) == high and node[0] == CLOSE:
-                kept[g].add(node)
-    return pa.concat_tables(out)
+def _parent(context: Column) -> Column:
+    """The next shorter context."""
+    size = F.length(context)
+    return F.when(size <= ORDER, F.substring(context, F.lit(2), size)).otherwise(F.substring(context, size - ORDER + 1, F.lit(ORDER)))
+
+
+class Tries:
+    """The tries of all parts as two staged tables: nodes, and contexts with their steps to the next shorter ones."""
+
+    def __init__(self, parts: DataFrame):
+        self.nodes = staged(_contexts(parts), "nodes")
+        context = F.substring("node", F.lit(1), F.length("node") - 1)
+        symbol = F.substring("node", F.length("node"), F.lit(1))
+        nodes = self.nodes.withColumn("context", context)
+        upper = self.nodes.select("part", F.col("node").alias("above"), F.col("n").alias("m"))
+        # the empty context has no shorter one
+        each = nodes.withColumn("above", F.when(F.length("context") > 0, F.concat(_parent(F.col("context")), symbol))).join(upper, ["part", "above"], "left")
+        once = lambda c: F.sum((F.col(c) == 1).cast("long"))
+        own = each.groupBy("part", "context").agg(F.sum("n").alias("total"), once("n").alias("once"), F.count("*").alias("kinds"), F.sum("m").alias("e"), once("m").alias("o"))
+        own = staged(own, "context-sums")
+        shorter = own.select("part", F.col("context").alias("parent"), F.col("total").alias("pt"), F.col("once").alias("po"), F.col("kinds").alias("pk"))
+        own = own.withColumn("parent", F.when(F.length("context") > 0, _parent(F.col("context")))).join(shorter, ["part", "parent"], "left")
+        all_of = F.col("total") + F.col("once") + 1
+        rest = F.col("pt") - F.col("e") + F.col("po") - F.col("o") + 1
+        step = F.when(F.col("kinds") == F.col("pk"), 0.0).otherwise(F.log10((F.col("po") - F.col("o") + 1) / rest))
+        # logarithms: of a context's denominator and escape, and of those of the next shorter one without this one's symbols
+        self.contexts = staged(own.select("part", "context", "kinds", F.log10(all_of).alias("size"), F.log10((F.col("once") + 1) / all_of).alias("escape"), F.log10(rest).alias("next_size"), step.alias("next_escape")), "contexts")
+
+    def words(self, words: DataFrame) -> DataFrame:
+        """(part, hash, cost) of (part, hash, word): log10 of the probability of each word."""
+        s = F.when(F.col("word") == F.lit(bytearray(END_WORD)), F.lit(bytearray(b" \n"))).otherwise(F.concat(F.lit(bytearray(b" ")), F.col("word"), F.lit(bytearray(b" "))))
+        key = lambda i: F.when(i <= START, F.substring("s", F.lit(1), i + 1)).otherwise(F.substring("s", i - ORDER + 1, F.lit(ORDER + 1)))
+        spelled = words.select("part", "hash", s.alias("s"))
+        keys = spelled.select("part", "hash", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), key)).alias("key"))
+        seen = self.nodes.withColumn("context", F.substring("node", F.lit(1), F.length("node") - 1)).join(self.contexts, ["part", "context"])
+        seen = seen.select("part", F.col("node").alias("key"), (F.log10("n") - F.col("size")).alias("cost"))
+        asked = staged(keys.select("part", "key").distinct().join(seen, ["part", "key"], "left"), "symbols")
+        # contexts of what was not seen in the longest one, longest first
+        size = F.length("key") - 1
+        ends = F.transform(F.sequence(F.least(size, F.lit(ORDER)), F.lit(0), F.lit(-1)), lambda k: F.substring("key", size - k + 1, k))
+        ends = F.when(size > ORDER, F.concat(F.array(F.substring("key", F.lit(1), size)), ends)).otherwise(ends)
+        chain = asked.where("cost is null").select("part", "key", F.posexplode(ends).alias("place", "context"))
+        chain = chain.join(self.contexts, ["part", "context"]).withColumn("node", F.concat("context", F.substring("key", F.length("key"), F.lit(1))))
+        chain = chain.join(self.nodes, ["part", "node"], "left")
+        steps = F.sort_array(F.collect_list(F.struct("place", "n", "kinds", "size", "escape", "next_size", "next_escape")))
+        # a walk: what was paid so far, the denominator that now holds, whether the symbol was found, and the symbols excluded
+        start = F.struct(F.lit(0.0).alias("paid"), F.lit(None).cast("double").alias("size"), F.lit(None).cast("double").alias("escape"), F.lit(False).alias("found"), F.lit(0).cast("long").alias("kinds"))
+
+        def walk(a, x):
+            size, escape = F.coalesce(a["size"], x["size"]), F.coalesce(a["escape"], x["escape"])
+            paid = F.when(a["found"], a["paid"]).otherwise(a["paid"] + F.when(x["n"].isNotNull(), F.log10(x["n"]) - size).otherwise(escape))
+            return F.struct(paid.alias("paid"), x["next_size"].alias("size"), x["next_escape"].alias("escape"), (a["found"] | x["n"].isNotNull()).alias("found"), x["kinds"].alias("kinds"))
+
+        last = lambda a: F.when(a["found"], a["paid"]).otherwise(a["paid"] - F.log10(SYMBOLS - a["kinds"]))
+        walked = chain.groupBy("part", "key").agg(steps.alias("steps")).select("part", "key", F.aggregate("steps", start, walk, last).alias("walked"))
+        known = asked.join(walked, ["part", "key"], "left").select("part", "key", F.coalesce("cost", "walked", F.lit(-math.log10(SYMBOLS))).alias("cost"))
+        known = staged(known, "symbol-costs")
+        return keys.join(known, ["part", "key"]).groupBy("part", "hash").agg(F.sum("cost").alias("cost"))
 
 
 def _largest(table: DataFrame, most: int) -> int:
@@ -151,7 +186,7 @@ def _largest(table: DataFrame, most: int) -> int:
 
 
 class Model:
-    """A trained trie: counts of (context, symbol) nodes, and of each context its total, symbols seen once, and symbols."""
+    """A trie in memory, which says word by word what Tries computes for all: counts of (context, symbol) nodes, and of each context its total, symbols seen once, and symbols."""
 
     def __init__(self, counts: dict[bytes, int], words: int):
         """``words``: the number of words and end signs, which is how often a word begins."""
@@ -227,11 +262,19 @@ def score(docs: DataFrame, held: Column | None = None, group: str | None = "lang
     size, total = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     end = F.col("word") == F.lit(bytearray(END_WORD))
     sizes = {r[0]: (r[1], r[2]) for r in parts.groupBy("part").agg(F.sum("n"), F.sum(F.when(end, F.col("n")).otherwise(0))).collect()}
-    nodes = _trained(parts)
+    tries = Tries(parts)
     least = _largest(vocabulary, COMMON)
     words = vocabulary.where(F.col("n") >= least)
     common = parts.join(F.broadcast(words.select("word")), "word", "left_semi").select("part", "word", "n").toArrow()
-    sent = spark.sparkContext.broadcast((nodes, common, sizes))
+    groups = sorted(sizes) or [0]
+
+    def numbered(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_hash(w) for w in batch.column(1).to_pylist()], pa.int64())], names=["part", "word", "hash"])
+
+    coded = words.select(F.explode(F.array(*map(F.lit, groups))).alias("part"), "word").mapInArrow(numbered, "part int, word binary, hash long")
+    codes = tries.words(coded).toArrow()  # at most COMMON words for each trie
+    sent = spark.sparkContext.broadcast((codes, common, sizes))
     token = uuid.uuid4().hex
     floor = total + 0.5 * (size + 1)
 
@@ -245,8 +288,8 @@ def score(docs: DataFrame, held: Column | None = None, group: str | None = "lang
                 at = np.fromiter(map(model.index.get, words, repeat(0)), np.int64, len(words))
                 found = model.counts[at[at > 0]]
                 rare = Counter([words[j] for j in np.flatnonzero(at == 0)])
-                rows.append((i.as_py(), h.as_py(), len(words), len(found), float(np.log10((found + 0.5) / floor).sum()), [_hash(w) for w in rare], list(rare.values())))
-                texts.append((at, rare))
+                rows.append((i.as_py(), h.as_py(), len(words), len(found), float(np.log10((found + 0.5) / floor).sum()), list(rare), [_hash(w) for w in rare], list(rare.values())))
+                texts.append(at)
                 size += len(words)
                 if size > FLUSH:
                     yield made(rows, model.texts(texts), batch.schema)
@@ -255,25 +298,26 @@ def score(docs: DataFrame, held: Column | None = None, group: str | None = "lang
                 yield made(rows, model.texts(texts), batch.schema)
 
     def made(rows, scores, schema):
-        kinds = [schema.field(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [schema.field(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-        return pa.RecordBatch.from_arrays([*columns[:5], pa.array(scores), *columns[5:]], names=names)
+        return pa.RecordBatch.from_arrays([*columns[:5], *map(pa.array, scores), *columns[5:]], names=names)
 
-    names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"]
+    names = ["doc_id", "held_out", "n_tokens", "known", "base", "part", "score", "words", "rare", "times"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", "held_out").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<long>")
+    rows = docs.select("doc_id", "text", "held_out").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, part int, score double, words array<binary>, rare array<long>, times array<long>")
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    others = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("hash"), F.col("x.times").alias("times"))
+    others = rows.select("row", "part", F.explode(F.arrays_zip("words", "rare", "times")).alias("x")).select("row", "part", F.col("x.words").alias("word"), F.col("x.rare").alias("hash"), F.col("x.times").alias("times"))
+    costs = tries.words(others.groupBy("part", "hash").agg(F.min("word").alias("word")))
 
     def hashed(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in batch.column(0).to_pylist()], pa.int64()), batch.column(1)], names=["hash", "n"])
 
     uncommon = vocabulary.where(F.col("n") < least).select("word", "n").mapInArrow(hashed, "hash long, n long").groupBy("hash").agg(F.max("n").alias("n"))
-    looked = others.join(uncommon, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    more = looked.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(floor))).alias("rest"))
-    out = rows.drop("rare", "times").join(more, "row", "left")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+    looked = others.select("row", "part", "hash", "times").join(costs, ["part", "hash"]).join(uncommon, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    more = looked.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(floor))).alias("rest"), F.sum(F.col("times") * F.col("cost")).alias("cost"))
+    out = rows.drop("words", "rare", "times").join(more, "row", "left")
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("cost", F.lit(0.0))).alias("score"))
 
 
 def _hash(word: bytes) -> int:
@@ -281,7 +325,7 @@ def _hash(word: bytes) -> int:
 
 
 class Coder:
-    """The code lengths of many words at once, as ``Model.word`` gives them one by one.
+    """The code lengths of many words at once by a trie in memory, as ``Model.word`` gives them one by one.
 
     A symbol's cost depends on the bytes of its window or, where a long beginning of its word is kept, on that beginning.
     Both are numbered, so a symbol is one integer, whose cost is looked up in sorted arrays and computed when it is new.
@@ -360,15 +404,11 @@ class Coder:
 
 
 class Mixture:
-    """The tries of all groups, and the common words' counts that choose between them."""
+    """The common words' code lengths under the tries of all groups, and their counts that choose between the tries."""
 
-    def __init__(self, nodes: pa.Table, common: pa.Table, sizes: dict[int, tuple[int, int]]):
+    def __init__(self, codes: pa.Table, common: pa.Table, sizes: dict[int, tuple[int, int]]):
         groups = sorted(sizes) or [0]
-        own: dict[int, dict] = defaultdict(dict)
-        for batch in nodes.to_batches():
-            for g, node, n in zip(*(c.to_pylist() for c in batch.columns)):
-                own[g][node] = n
-        self.coders = [Coder(Model(own[g], sizes.get(g, (0, 0))[0])) for g in groups]
+        self.groups = np.array(groups, np.int32)
         texts = np.array([sizes.get(g, (0, 1))[1] for g in groups], np.float64)
         self.prior = np.log10(texts / texts.sum())
         rows = list(zip(*(common[c].to_pylist() for c in ("part", "word", "n"))))
@@ -379,24 +419,15 @@ class Mixture:
         self.counts = counts.sum(axis=1)
         self.likely = np.log10((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts)))
         self.likely[0] = 0
-        self.common = [b"", *sorted({w for _, w, _ in rows})]
-        self.code = np.full((len(groups), len(self.common)), np.nan)
-        self.code[:, 0] = 0.0
-
-    def texts(self, texts: list[tuple[np.ndarray, dict[bytes, int]]]) -> np.ndarray:
-        """log10 of the probability of each text, whose words are the common ones at given places and the rare ones."""
-        chosen = np.fromiter(((self.prior + self.likely[at].sum(axis=0)).argmax() for at, _ in texts), np.int64, len(texts))
-        out = self.prior[chosen]
-        for g in np.unique(chosen):
-            mine, coder, own = np.flatnonzero(chosen == g), self.coders[g], self.code[g]
-            used = np.unique(np.concatenate([texts[i][0] for i in mine]))
-            new = used[np.isnan(own[used])]
-            own[new] = coder.words([self.common[i] for i in new])
-            rare = [w for i in mine for w in texts[i][1]]
-            times = [n for i in mine for n in texts[i][1].values()]
-            of = np.repeat(np.arange(len(mine)), [len(texts[i][1]) for i in mine])
-            out[mine] += [own[texts[i][0]].sum() for i in mine] + np.bincount(of, coder.words(rare) * times, len(mine))
-        return out
+        place = {_hash(w): i for w, i in self.index.items()}
+        self.code = np.zeros((len(groups), len(counts)))
+        for g, h, cost in zip(*(codes[c].to_pylist() for c in ("part", "hash", "cost"))):
+            self.code[groups.index(g), place[h]] = cost
+
+    def texts(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The part that codes each text, and log10 of the probability of that choice and of the text's common words."""
+        chosen = np.fromiter(((self.prior + self.likely[at].sum(axis=0)).argmax() for at in texts), np.int64, len(texts))
+        return self.groups[chosen], self.prior[chosen] + [self.code[g, at].sum() for g, at in zip(chosen, texts)]
 
 
 _MODELS: dict[str, Mixture] = {}

@@ -298,6 +298,28 @@ def test_ppm_codes_words_in_bulk_as_one_by_one(monkeypatch):
     assert len(coder.words([])) == 0
 
 
+def test_ppm_keeps_all_contexts(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "NODES", 40, raising=False)
+    monkeypatch.setattr(ppm, "COMMON", 60)
+    rng = np.random.default_rng(3)
+    draw = lambda: "".join(rng.choice(list("abcdé"), rng.integers(1, 18)).tolist())
+    words = [draw() for _ in range(150)] + ["beginningslong", "beginningslonger", "b", "beginningsother"]
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(20)]
+    texts += [" ".join([*rng.choice(words, 20), "zz", "beginningsnew", "beginningslongest", draw(), draw()]) for _ in range(10)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["score"] for r in ppm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 20, None).collect()}
+    counts, total = Counter(), 0
+    for t in texts[:20]:
+        for word in [*t.encode().lower().split(), ppm.END_WORD]:
+            s, total = b" " + ppm.symbols(word), total + 1
+            for i in range(1, len(s)):
+                for k in {*range(max(0, i - ppm.ORDER), i + 1), *([0] if ppm.ORDER < i <= ppm.START else [])}:
+                    counts[s[k : i + 1]] += 1
+    model = ppm.Model(counts, total)
+    for i, t in rows:
+        assert abs(got[i] - sum(map(model.word, [*t.encode().lower().split(), ppm.END_WORD]))) < 1e-6
+
+
 def test_ppm_cases(odd, none):
     rows = ppm.score(odd).collect()
     assert len(rows) == 10 and {r["n_tokens"] for r in rows if r["doc_id"] in (3, 4, 5)} == {1}
