@@ -12,6 +12,9 @@ rows are found alike; extra columns are not read; an empty table gives an empty
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +49,7 @@ NAMES = {
 }
 
 # The frames of notices; {} is a name.
-FRAMES = ["Licensed under {}", "Licensed under the {}", "Released under {}", "Released under the {}", "This work is licensed under the {}", "This work is licensed under {}", "This work is licensed under a {}", "This software is licensed under the {}", "Distributed under the {}", "This project is licensed under the {}", "SPDX-License-Identifier: {id}"]
+FRAMES = ["{}", "The {}", "Licensed under {}", "Licensed under the {}", "Released under {}", "Released under the {}", "This work is licensed under the {}", "This work is licensed under {}", "This work is licensed under a {}", "This software is licensed under the {}", "Distributed under the {}", "This project is licensed under the {}", "SPDX-License-Identifier: {id}"]
 
 # Whole licence texts, without their copyright lines.
 TEXTS = {
@@ -68,9 +71,18 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+TEXTS["BSD-3-Clause"] = TEXTS["BSD-2-Clause"].replace("\nTHIS SOFTWARE", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE")
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that holds a copyright statement and nothing else.
-COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*"
+#: After the word a sign, a year or a name must follow: words that begin as notice, holder, owner or license do are none, nor
+#: are and, or, in, law: a wrapped line of a licence may begin so.
+_NAME = r"([b-gjkmp-z0-9]|[^\x00-\x7f]|a[^n\n]|an[^d\n]|n[^o\n]|no[^t\n]|not[^i\n]|h[^o\n]|ho[^l\n]|hol[^d\n]|o[^wr\n]|or[a-z]|ow[^n\n]|own[^e\n]|l[^ia\n]|la[^w\n]|li[^c\n]|lic[^e\n]|i[^n\n]|in[a-z])"
+COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*" + _NAME + r"|\(c\)|©)[^\n]*"
+
+
+#: Where the appendix of a long licence begins.
+APPENDIX = r"\n[ \t]*(APPENDIX: )?How to (Apply|apply) [^\n]*\n|\n[ \t]*END OF TERMS AND CONDITIONS"
 
 
 def notices() -> list[tuple[str, str]]:
@@ -78,6 +90,19 @@ def notices() -> list[tuple[str, str]]:
     return [(i, f.format(n, id=i)) for i, names in NAMES.items() for n in names for f in FRAMES]
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text) of all whole texts: as they are, after a title line, and without the appendix on how to apply them."""
+    texts = dict(TEXTS)
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        texts[path.stem] = path.read_text(encoding="utf-8")
+    out = []
+    for i, text in texts.items():
+        ends = [text] + [text[: m.start()] for m in [re.search(APPENDIX, text)] if m]
+        titles = [t for n in NAMES.get(i, [i]) for t in (n, f"The {n}", f"{n} ({i})", f"The {n} ({i})")]
+        out += [(i, t) for end in ends for t in (end, *(f"{title}\n\n{end}" for title in titles))]
+    return out
+
+
 def _lowered(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
@@ -100,7 +125,7 @@ def canonical(text: Column) -> Column:
 
 def known_licences(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, licence, size, notice) of the known texts and notices; a notice has a single line."""
-    rows = texts if texts is not None else [*TEXTS.items(), *notices()]
+    rows = texts if texts is not None else [*whole_texts(), *notices()]
     out = spark.createDataFrame(rows, "licence string, text string").select("licence", canonical(F.col("text")).alias("t"), ~F.col("text").contains("\n") & (F.length("text") <= 400)).toDF("licence", "t", "notice").where("t is not null")
     return out.groupBy(F.sha2("t", 256).alias("digest")).agg(F.min("licence").alias("licence"), F.max(F.length("t")).alias("size"), F.max("notice").alias("notice"))
 
@@ -130,8 +155,6 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 def canonical_text(text: str) -> str:
     """Canonical form in plain Python, for tests and the SQL of the known digests."""
-    import re
-
     low = re.sub(COPYRIGHT, r"\1", text.translate(str.maketrans(_UPPER, _LOWER)))
     return " ".join(EQUIVALENT.get(w, w) for w in re.sub("[^a-z0-9]+", " ", low).split())
 
@@ -142,7 +165,7 @@ def scan_sql(docs: str = "documents") -> str:
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     known: dict[str, tuple[str, bool]] = {}
-    for i, text in [*TEXTS.items(), *notices()]:
+    for i, text in [*whole_texts(), *notices()]:
         d = hashlib.sha256(canonical_text(text).encode()).hexdigest()
         notice = "\n" not in text and len(text) <= 400
         known[d] = (min(i, known[d][0]), notice or known[d][1]) if d in known else (i, notice)

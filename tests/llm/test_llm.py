@@ -386,6 +386,25 @@ def test_licences(spark, odd, none):
     assert licences.scan(odd).count() == 10 and licences.scan(none).count() == 0
 
 
+def test_licences_as_published(spark):
+    isc = """ISC License
+
+Copyright (c) 2020 Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+""" + licences.TEXTS["ISC"].split("\n", 1)[1]
+    names = "Apache-2.0 GPL-2 GPL-3 LGPL-2.1 LGPL-3 MPL-2.0 CC0-1.0".split()
+    rows = [(n, open(f"/usr/share/common-licenses/{n}").read()) for n in names]
+    rows += [("mit", "MIT License\n\nCopyright Some One\n\n" + licences.TEXTS["MIT"]), ("isc", isc), ("name", "MIT License\nmore")]
+    got = {r["doc_id"]: (r["text_licence"], r["line_licences"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    want = {n: n + ".0" * ("." not in n) for n in names}
+    assert {n: got[n][0] for n in names} == want
+    assert got["mit"] == ("MIT", "MIT") and got["isc"] == ("ISC", "ISC") and got["name"] == (None, "MIT")
+
+
 def test_licences_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
