@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sedgewren.sources.stage import freed, staged
+
+__all__ = ["WORD_PATTERN", "freed", "small", "staged", "table", "with_columns"]
+
 #: Words are runs of anything but ASCII white space; bytes.split() cuts at exactly these six bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -18,37 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    Only where ``spark.checkpoint.dir`` is unset (single-machine sessions, such as tests) a local folder is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="sedgewren-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The files are deleted when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_columns(df: DataFrame, f: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
     """Append columns that ``f`` computes from Arrow batches; columns of the same names give way to the new ones."""
     new = {x.name.lower() for x in fields}

@@ -1,442 +1,466 @@
 """Language-model scores by prediction by partial matching.
 
-The model is a trie of byte contexts that is trained once on the corpus.  A text is the sequence of its words, A-Z
-lowered, each closed by a blank, and an end sign; a byte's contexts are the beginning of its word, the blank before the
-word included, of up to ``START`` bytes, and the last ``ORDER`` and fewer of these bytes.  A symbol is coded in the longest context that the trie has, with
-count / (total + once + 1), ``once`` being the number of symbols seen there once.  What remains is the escape, after which
-the next shorter context is asked, where all symbols that longer contexts offered are excluded; below the empty context
-all remaining symbols are equally likely.
-
-There is one trie for each of the ``GROUPS`` commonest values of a column (the language; the others share one).  It only
-parts the training texts: a text to score is coded with the trie under which its common words are likeliest, and the
-choice itself is coded with the share of the group's texts, so a score is the logarithm of a proper probability.
-
-As contexts end at words, a word's code length depends on the word and the trie alone.  So the corpus is reduced to word
-counts first (each task counts its own words before the shuffle) and the tries are counted from these.  All (context, symbol)
-counts are kept, in a staged table that grows with the corpus; no task holds a trie.  With each context goes what the
-step to its next shorter one needs: a context's symbols are all known there too, so the sums over the excluded ones do not
-depend on the symbol that is coded.  Each distinct (trie, word) is coded once: its symbols are joined to the counts, and
-those that their context has not seen to the shorter contexts.
-
-The unigram base score needs the corpus count of every word. The commonest words (at most ``COMMON``) go to all tasks with
-their counts and code lengths; the others are joined by their hash.
-
-Defined cases: null text is the empty text and has the end sign alone; a row with a null id counts as not held out; a null
-group shares the trie of the others; repeated rows are texts of their own; without training rows every count is 0 and the
-base score is n * log10(0.5 / 0.5) = 0; an empty table gives an empty result; other columns are not read.
+A text is the sequence of its words, A-Z lowered, a blank between them, and an end sign.  Every byte is coded in the context
+of the ``ORDER`` bytes before it, blanks and the ends of earlier words included (a text begins in a context of end signs).
+The model is the trie of all byte contexts of the training texts, of every length up to ``ORDER``, with all their counts.  A
+symbol is coded in the longest context that the trie has, with count / (total + once + 1), ``once`` being the number of symbols
+seen there once.  What remains is the escape, after which the next shorter context is asked, where all symbols that longer
+contexts offered are excluded; below the empty context all remaining symbols are equally likely.
+
+Above these stand long contexts, as an unbounded trie has them, with edges of many bytes.  A text is cut into phrases behind
+words whose hash is divisible by ``PHRASE``, so equal passages have equal phrases.  A phrase (with the blank or end sign behind
+it) that followed the same phrase in training n of N times is coded by one edge, with n / (N + 1); otherwise 1 / (N + 1) is paid
+if N > 0, and its bytes are coded as above.  A text's first phrase is coded by its bytes.
+
+Nothing is capped, and no task holds the trie.  Texts are packed into blocks of about ``BLOCK`` bytes.  A block's distinct
+windows (a symbol and the ``ORDER`` bytes before it) and distinct words and phrases are asked for once: windows are summed in
+buckets of their hash, then dealt by the last ``SUFFIX`` bytes of the context, so that each longer context is whole in one
+task, which computes the code lengths; shorter contexts are counted for all (at most 256 ** ``SUFFIX`` counts).  The
+answers go back to the blocks by the same buckets.  A frequent context is one key for each block at most, and one in all after
+the first sum; the number of buckets follows the size of the texts.
+
+Defined cases: null text is the empty text and has the end sign alone; a row with a null id counts as not held out; repeated
+rows are texts of their own; without training rows every count is 0, every symbol is equally likely and the base score is
+n * log10(0.5 / 0.5) = 0; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
-import uuid
-from collections import Counter, defaultdict
-from itertools import repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgewren.llm.common import claim, staged
-
-ORDER, START = 4, 12
-COMMON = 100_000
-GROUPS = 7
-#: Entries after which a task hands on its counts, and words after which it hands on its scores.
-FLUSH = 250_000
-#: Bytes of words that are coded at once; a longer word is coded by itself.
-PIECE = 1_000_000
-#: Symbol costs that a worker remembers for each trie.
-MEMO = 1_000_000
-#: Bytes that are no ASCII white space, the blank that closes words, and the end sign.
+from sedgewren.llm.common import staged
+from sedgewren.llm.shingles import STEP, scrambled
+
+ORDER, SUFFIX = 6, 3
+#: One word in so many ends a phrase.
+PHRASE = 8
+#: Bytes of texts in a block, and bytes whose windows are formed at once.
+BLOCK, PIECE = 32 << 20, 2 << 20
+#: Bytes of texts for each bucket, and the least and largest number of buckets; beyond it buckets grow (at 100 TB, to some 60
+#: million phrases each), as a block's keys would come in ever smaller rows.
+BUCKET_BYTES, BUCKETS, MOST_BUCKETS = 64 << 20, 16, 65_536
+#: Tasks of a shuffle at most.
+TASKS = 20_000
+#: Bytes that are no ASCII white space, the blank between words, and the end sign.
 SYMBOLS = 256 - 6 + 2
-CLOSE, END = 0x20, 0x0A
-END_WORD = b"\n"
+END = b"\n"
+#: Kinds of rows; those of a block's texts come last.
+WINDOWS, WORDS, PHRASES, TEXTS = range(4)
+_8, _16 = np.uint64(8), np.uint64(16)
+_LAST = np.uint64(255)
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 5, at: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == at, F.lit(False))
 
 
-def _word_counts(texts: DataFrame) -> DataFrame:
-    """(part, word, n) of part and text; the end sign counts as the word of one line feed."""
+def spelled(text: bytes | None) -> tuple[bytes, np.ndarray]:
+    """The symbols of a text, and the hashes of its tokens."""
+    words = (text or b"").lower().split()
+    words.append(END)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return b" ".join(words[:-1]) + END, hashes
 
-    def run(batches):
-        counts: dict[int, Counter] = defaultdict(Counter)
-        for batch in batches:
-            for g, x in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                own = counts[g]
-                own.update((x.as_py() or b"").lower().split())
-                own[END_WORD] += 1
-                if sum(map(len, counts.values())) > FLUSH:
-                    yield from _flushed(counts, "word")
-        yield from _flushed(counts, "word")
 
-    return texts.mapInArrow(run, "part int, word binary, n long").groupBy("part", "word").agg(F.sum("n").alias("n"))
+def windows(streams: list[bytes]) -> np.ndarray:
+    """The window of each symbol: the bytes before it, the nearest first, and the symbol, as one integer."""
+    flat = np.frombuffer(b"".join(END * ORDER + s for s in streams), np.uint8)
+    key = flat[ORDER:].astype(np.uint64)
+    for j in range(1, ORDER + 1):
+        key |= flat[ORDER - j : len(flat) - j].astype(np.uint64) << np.uint64(8 * (ORDER + 1 - j))
+    begins = np.cumsum([len(s) + ORDER for s in streams])[:-1]
+    keep = np.ones(len(key), bool)
+    keep[(begins[:, None] - np.arange(1, ORDER + 1)).ravel()] = False
+    return key[keep]
 
 
-def _flushed(counts: dict[int, dict], name: str):
-    for g in list(counts):
-        own = counts.pop(g)
-        if own:
-            yield _pairs(g, own, name)
+def phrases(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the phrases of a text begin (as places of tokens), and their hashes; the end sign ends the last one."""
+    cut = hashes[:-2] % np.uint64(PHRASE) == 0 if len(hashes) > 2 else np.zeros(0, bool)
+    first = np.r_[0, np.flatnonzero(cut) + 1]
+    place = np.arange(len(hashes)) - np.repeat(first, np.diff(np.r_[first, len(hashes)]))
+    return first, scrambled(np.add.reduceat(scrambled(hashes ^ (place.astype(np.uint64) * STEP)), first))
 
 
-def _pairs(part: int, counts: dict, name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part] * len(counts), pa.int32()), pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["part", name, "n"])
+def follows(phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the contexts of a text's phrases from the second on, and of the phrases in them."""
+    context = scrambled(phrase[:-1] + np.uint64(1))
+    return context, scrambled(context ^ (phrase[1:] * STEP))
 
 
-def symbols(word: bytes) -> bytes:
-    return END_WORD if word == END_WORD else word + b" "
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    if not len(keys):
+        return keys, n
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(n[order], first)
 
 
-def _contexts(vocabulary: DataFrame) -> DataFrame:
-    """(part, node, n) of all nodes: a node is a context followed by one symbol."""
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys.sort()
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.r_[first, len(keys)])
 
-    def run(batches):
-        counts: dict[int, dict] = defaultdict(lambda: defaultdict(int))
-        for batch in batches:
-            for g, w, n in zip(*(c.to_pylist() for c in batch.columns)):
-                s, own = b" " + symbols(w), counts[g]
-                for i in range(1, len(s)):  # the longest context of every symbol; shorter ones are its ends
-                    own[s[i - ORDER if i > ORDER else 0 : i + 1]] += n
-                for i in range(ORDER + 2, min(START + 1, len(s)) + 1):
-                    own[s[:i]] += n
-                if sum(map(len, counts.values())) > FLUSH:
-                    yield from _flushed(counts, "node")
-        yield from _flushed(counts, "node")
-
-    counted = vocabulary.select("part", "word", "n").mapInArrow(run, "part int, node binary, n long").groupBy("part", "node").agg(F.sum("n").alias("n"))
-    ends = F.when(F.length("node") <= ORDER + 1, F.transform(F.sequence(F.lit(1), F.length("node")), lambda k: F.substring("node", k, ORDER + 1))).otherwise(F.array("node"))
-    return counted.select("part", F.explode(ends).alias("node"), "n").groupBy("part", "node").agg(F.sum("n").alias("n"))
-
-
-def _parent(context: Column) -> Column:
-    """The next shorter context."""
-    size = F.length(context)
-    return F.when(size <= ORDER, F.substring(context, F.lit(2), size)).otherwise(F.substring(context, size - ORDER + 1, F.lit(ORDER)))
-
-
-class Tries:
-    """The tries of all parts as two staged tables: nodes, and contexts with their steps to the next shorter ones."""
-
-    def __init__(self, parts: DataFrame):
-        self.nodes = staged(_contexts(parts), "nodes")
-        context = F.substring("node", F.lit(1), F.length("node") - 1)
-        symbol = F.substring("node", F.length("node"), F.lit(1))
-        nodes = self.nodes.withColumn("context", context)
-        upper = self.nodes.select("part", F.col("node").alias("above"), F.col("n").alias("m"))
-        # the empty context has no shorter one
-        each = nodes.withColumn("above", F.when(F.length("context") > 0, F.concat(_parent(F.col("context")), symbol))).join(upper, ["part", "above"], "left")
-        once = lambda c: F.sum((F.col(c) == 1).cast("long"))
-        own = each.groupBy("part", "context").agg(F.sum("n").alias("total"), once("n").alias("once"), F.count("*").alias("kinds"), F.sum("m").alias("e"), once("m").alias("o"))
-        own = staged(own, "context-sums")
-        shorter = own.select("part", F.col("context").alias("parent"), F.col("total").alias("pt"), F.col("once").alias("po"), F.col("kinds").alias("pk"))
-        own = own.withColumn("parent", F.when(F.length("context") > 0, _parent(F.col("context")))).join(shorter, ["part", "parent"], "left")
-        all_of = F.col("total") + F.col("once") + 1
-        rest = F.col("pt") - F.col("e") + F.col("po") - F.col("o") + 1
-        step = F.when(F.col("kinds") == F.col("pk"), 0.0).otherwise(F.log10((F.col("po") - F.col("o") + 1) / rest))
-        # logarithms: of a context's denominator and escape, and of those of the next shorter one without this one's symbols
-        self.contexts = staged(own.select("part", "context", "kinds", F.log10(all_of).alias("size"), F.log10((F.col("once") + 1) / all_of).alias("escape"), F.log10(rest).alias("next_size"), step.alias("next_escape")), "contexts")
-
-    def words(self, words: DataFrame) -> DataFrame:
-        """(part, hash, cost) of (part, hash, word): log10 of the probability of each word."""
-        s = F.when(F.col("word") == F.lit(bytearray(END_WORD)), F.lit(bytearray(b" \n"))).otherwise(F.concat(F.lit(bytearray(b" ")), F.col("word"), F.lit(bytearray(b" "))))
-        key = lambda i: F.when(i <= START, F.substring("s", F.lit(1), i + 1)).otherwise(F.substring("s", i - ORDER + 1, F.lit(ORDER + 1)))
-        spelled = words.select("part", "hash", s.alias("s"))
-        keys = spelled.select("part", "hash", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), key)).alias("key"))
-        seen = self.nodes.withColumn("context", F.substring("node", F.lit(1), F.length("node") - 1)).join(self.contexts, ["part", "context"])
-        seen = seen.select("part", F.col("node").alias("key"), (F.log10("n") - F.col("size")).alias("cost"))
-        asked = staged(keys.select("part", "key").distinct().join(seen, ["part", "key"], "left"), "symbols")
-        # contexts of what was not seen in the longest one, longest first
-        size = F.length("key") - 1
-        ends = F.transform(F.sequence(F.least(size, F.lit(ORDER)), F.lit(0), F.lit(-1)), lambda k: F.substring("key", size - k + 1, k))
-        ends = F.when(size > ORDER, F.concat(F.array(F.substring("key", F.lit(1), size)), ends)).otherwise(ends)
-        chain = asked.where("cost is null").select("part", "key", F.posexplode(ends).alias("place", "context"))
-        chain = chain.join(self.contexts, ["part", "context"]).withColumn("node", F.concat("context", F.substring("key", F.length("key"), F.lit(1))))
-        chain = chain.join(self.nodes, ["part", "node"], "left")
-        steps = F.sort_array(F.collect_list(F.struct("place", "n", "kinds", "size", "escape", "next_size", "next_escape")))
-        # a walk: what was paid so far, the denominator that now holds, whether the symbol was found, and the symbols excluded
-        start = F.struct(F.lit(0.0).alias("paid"), F.lit(None).cast("double").alias("size"), F.lit(None).cast("double").alias("escape"), F.lit(False).alias("found"), F.lit(0).cast("long").alias("kinds"))
-
-        def walk(a, x):
-            size, escape = F.coalesce(a["size"], x["size"]), F.coalesce(a["escape"], x["escape"])
-            paid = F.when(a["found"], a["paid"]).otherwise(a["paid"] + F.when(x["n"].isNotNull(), F.log10(x["n"]) - size).otherwise(escape))
-            return F.struct(paid.alias("paid"), x["next_size"].alias("size"), x["next_escape"].alias("escape"), (a["found"] | x["n"].isNotNull()).alias("found"), x["kinds"].alias("kinds"))
-
-        last = lambda a: F.when(a["found"], a["paid"]).otherwise(a["paid"] - F.log10(SYMBOLS - a["kinds"]))
-        walked = chain.groupBy("part", "key").agg(steps.alias("steps")).select("part", "key", F.aggregate("steps", start, walk, last).alias("walked"))
-        known = asked.join(walked, ["part", "key"], "left").select("part", "key", F.coalesce("cost", "walked", F.lit(-math.log10(SYMBOLS))).alias("cost"))
-        known = staged(known, "symbol-costs")
-        return keys.join(known, ["part", "key"]).groupBy("part", "hash").agg(F.sum("cost").alias("cost"))
-
-
-def _largest(table: DataFrame, most: int) -> int:
-    """The least count such that at most ``most`` rows of the table have it or more."""
-    level = F.when(F.col("n") < 64, F.col("n")).otherwise(64 + F.floor((F.log2("n") - 6) * 16)).cast("int")
-    seen, least = 0, 1 << 62
-    for r in sorted(table.groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).collect(), reverse=True):
-        seen += r["rows"]
-        if seen > most:
-            break
-        least = r["least"]
-    return least
-
-
-class Model:
-    """A trie in memory, which says word by word what Tries computes for all: counts of (context, symbol) nodes, and of each context its total, symbols seen once, and symbols."""
-
-    def __init__(self, counts: dict[bytes, int], words: int):
-        """``words``: the number of words and end signs, which is how often a word begins."""
-        self.counts, self.memo = counts, {}
-        of: dict[bytes, list[int]] = defaultdict(list)
-        for node in counts:
-            of[node[:-1]].append(node[-1])
-        self.contexts = {}
-        for c, kinds in of.items():
-            n = [counts[c + bytes((x,))] for x in kinds]
-            # a context's total, whatever of it is kept, is how often it occurs itself
-            total = words if c == b" " else counts.get(c, 0) if c else sum(n)
-            self.contexts[c] = (max(total, sum(n)), n.count(1), sum(n), bytes(kinds))
-
-    def word(self, word: bytes) -> float:
-        """log10 of the probability of a word.
-
-        Once no context of the word's beginning is kept, a symbol's cost depends on the ORDER bytes before it alone.
-        """
-        s, memo, p, begins = b" " + symbols(word), self.memo, 0.0, True
-        if len(memo) > MEMO:
-            memo.clear()
-        for i in range(1, len(s)):
-            if i > ORDER and begins:
-                begins = i <= START and s[:i] in self.contexts
-            key = s[0 if begins or i <= ORDER else i - ORDER : i + 1]
-            cost = memo.get(key)
-            if cost is None:
-                cost = memo[key] = self._symbol(key, len(key) - 1)
-            p += cost
-        return p
-
-    def _symbol(self, s: bytes, i: int) -> float:
-        p, excluded, counts = 1.0, None, self.counts
-        starts = range(max(0, i - ORDER), i + 1)
-        for k in [0, *starts] if ORDER < i <= START else starts:
-            context = s[k:i]
-            found = self.contexts.get(context)
-            if found is None:
-                continue
-            total, once, kept, kinds = found
-            n = counts.get(s[k : i + 1])
-            if excluded is None:
-                excluded = set(kinds)
-            else:
-                # symbols that longer contexts offered are excluded; what was not kept stays in the escape
-                out = [counts[context + bytes((x,))] for x in kinds if x in excluded]
-                if len(out) == len(kinds):
-                    continue
-                total, once, kept = total - sum(out), once - out.count(1), kept - sum(out)
-                excluded.update(kinds)
-            if n is not None:
-                return math.log10(p * n / (total + once + 1))
-            p *= (total + once + 1 - kept) / (total + once + 1)
-        return math.log10(p / (SYMBOLS - len(excluded or ())))
 
+def packed(x: np.ndarray, ascending: bool = False) -> bytes:
+    """An array of 8-byte numbers, compressed; ascending keys by their differences."""
+    x = np.ascontiguousarray(x)
+    x = x.view(np.uint64)
+    if ascending and len(x):
+        x = np.r_[x[:1], x[1:] - x[:-1]]
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
-def score(docs: DataFrame, held: Column | None = None, group: str | None = "lang") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of ``docs``.
 
-    The model learns from the rows that are not held out and scores all.
-    """
-    spark = docs.sparkSession
-    value = F.col(group).cast("string") if group else F.lit(None).cast("string")
-    docs = docs.select("doc_id", "text", (held if held is not None else held_out()).alias("held_out"), value.alias("value"))
-    shares = docs.where("not held_out").groupBy("value").agg(F.count("*").alias("n"))
-    top = [r["value"] for r in shares.where("value is not null").orderBy(F.desc("n"), "value").limit(GROUPS).collect()]
-    part = F.lit(0)
-    for i, v in enumerate(top):
-        part = F.when(F.col("value") == v, i + 1).otherwise(part)
-    parts = staged(_word_counts(docs.where("not held_out").select(part.cast("int").alias("part"), "text")), "words")
-    vocabulary = staged(parts.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
-    size, total = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    end = F.col("word") == F.lit(bytearray(END_WORD))
-    sizes = {r[0]: (r[1], r[2]) for r in parts.groupBy("part").agg(F.sum("n"), F.sum(F.when(end, F.col("n")).otherwise(0))).collect()}
-    tries = Tries(parts)
-    least = _largest(vocabulary, COMMON)
-    words = vocabulary.where(F.col("n") >= least)
-    common = parts.join(F.broadcast(words.select("word")), "word", "left_semi").select("part", "word", "n").toArrow()
-    groups = sorted(sizes) or [0]
-
-    def numbered(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_hash(w) for w in batch.column(1).to_pylist()], pa.int64())], names=["part", "word", "hash"])
+def unpacked(data: bytes, kind: type, ascending: bool = False) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(data), np.uint8)
+    x = np.ascontiguousarray(flat.reshape(8, -1).T).view(np.uint64)[:, 0] if len(flat) else np.zeros(0, np.uint64)
+    return np.cumsum(x, dtype=np.uint64) if ascending else x.view(kind)
 
-    coded = words.select(F.explode(F.array(*map(F.lit, groups))).alias("part"), "word").mapInArrow(numbered, "part int, word binary, hash long")
-    codes = tries.words(coded).toArrow()  # at most COMMON words for each trie
-    sent = spark.sparkContext.broadcast((codes, common, sizes))
-    token = uuid.uuid4().hex
-    floor = total + 0.5 * (size + 1)
 
-    def run(batches):
-        model = _model(token, sent)
-        for batch in batches:
-            rows, texts, size = [], [], 0
-            for i, x, h in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2)):
-                words = (x.as_py() or b"").lower().split()
-                words.append(END_WORD)
-                at = np.fromiter(map(model.index.get, words, repeat(0)), np.int64, len(words))
-                found = model.counts[at[at > 0]]
-                rare = Counter([words[j] for j in np.flatnonzero(at == 0)])
-                rows.append((i.as_py(), h.as_py(), len(words), len(found), float(np.log10((found + 0.5) / floor).sum()), list(rare), [_hash(w) for w in rare], list(rare.values())))
-                texts.append(at)
-                size += len(words)
-                if size > FLUSH:
-                    yield made(rows, model.texts(texts), batch.schema)
-                    rows, texts, size = [], [], 0
-            if rows:
-                yield made(rows, model.texts(texts), batch.schema)
-
-    def made(rows, scores, schema):
-        kinds = [schema.field(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-        return pa.RecordBatch.from_arrays([*columns[:5], *map(pa.array, scores), *columns[5:]], names=names)
-
-    names = ["doc_id", "held_out", "n_tokens", "known", "base", "part", "score", "words", "rare", "times"]
+def shorter(grams: np.ndarray) -> np.ndarray:
+    """Grams (context, symbol) with the farthest byte of the context left out."""
+    return (grams >> _16 << _8) | (grams & _LAST)
+
+
+class _Level:
+    """The contexts of one length, with their symbols' counts."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray):
+        self.grams, self.n = grams, n
+        contexts = grams >> _8
+        self.first = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]]) if len(grams) else np.zeros(0, np.int64)
+        self.contexts = contexts[self.first]
+        self.kinds = np.diff(np.r_[self.first, len(grams)])
+        self.total, self.once = self._sums(n), self._sums((n == 1).astype(np.int64))
+        all_of = self.total + self.once + 1.0
+        self.size, self.escape = np.log10(all_of), np.log10((self.once + 1) / all_of)
+
+    def _sums(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.first) if len(self.first) else x
+
+    def step_to(self, below: _Level) -> None:
+        """What remains of each context's next shorter one without the symbols of this one."""
+        m = below.n[np.searchsorted(below.grams, shorter(self.grams))]
+        up = np.searchsorted(below.contexts, self.contexts >> _8)
+        once = below.once[up] - self._sums((m == 1).astype(np.int64))
+        rest = below.total[up] - self._sums(m) + once + 1.0
+        self.next_size = np.log10(rest)
+        self.next_escape = np.where(self.kinds == below.kinds[up], 0.0, np.log10((once + 1) / rest))
+
+
+def code_lengths(keys: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 of the probability of the symbol of each window.
+
+    ``keys`` are distinct windows with their counts in training (0 for those that are only asked for); they hold every training
+    window of their contexts of ``SUFFIX`` and more bytes. ``low``: sorted grams of ``SUFFIX`` - 1 context bytes, and counts.
+    """
+    levels: list[_Level] = [None] * (ORDER + 1)
+    seen = n > 0
+    grams, counts = keys[seen], n[seen]
+    for k in range(ORDER, SUFFIX - 1, -1):
+        grams, counts = summed(grams, counts)
+        levels[k] = _Level(grams, counts)
+        grams = shorter(grams)
+    grams, counts = low
+    for k in range(SUFFIX - 1, -1, -1):
+        grams, counts = summed(grams, counts)
+        levels[k] = _Level(grams, counts)
+        grams = shorter(grams)
+    for k in range(ORDER, 0, -1):
+        levels[k].step_to(levels[k - 1])
+    out = np.zeros(len(keys))
+    left, gram = np.arange(len(keys)), keys
+    size = escape = np.full(len(keys), np.nan)
+    for k in range(ORDER, -1, -1):
+        level = levels[k]
+        if len(level.contexts):
+            at = np.minimum(np.searchsorted(level.contexts, gram >> _8), len(level.contexts) - 1)
+            known = level.contexts[at] == gram >> _8
+            size, escape = np.where(known & np.isnan(size), level.size[at], size), np.where(known & np.isnan(escape), level.escape[at], escape)
+            place = np.minimum(np.searchsorted(level.grams, gram), len(level.grams) - 1)
+            found = level.grams[place] == gram
+            out[left[found]] += np.log10(level.n[place[found]]) - size[found]
+            out[left[known & ~found]] += escape[known & ~found]
+            if k:
+                size, escape = np.where(known, level.next_size[at], np.nan), np.where(known, level.next_escape[at], np.nan)
+            left, gram, size, escape = left[~found], gram[~found], size[~found], escape[~found]
+        gram = shorter(gram) if k else gram
+    out[left] -= np.log10(SYMBOLS - (levels[0].kinds[0] if len(levels[0].kinds) else 0))
+    return out
+
+
+class _Block:
+    """Texts that are packed together, and the counts of their distinct keys in training."""
+
+    def __init__(self):
+        self.ids, self.held, self.streams, self.size = [], [], [], 0
+        self.open: list[tuple[bool, bytes, np.ndarray]] = []
+        self.open_size = 0
+        self.found: dict[int, list] = {WINDOWS: [], WORDS: [], PHRASES: []}
+
+    def add(self, doc_id, held: bool, text: bytes | None) -> None:
+        stream, hashes = spelled(text)
+        self.ids.append(doc_id)
+        self.held.append(held)
+        self.streams.append(stream)
+        self.size += len(stream)
+        self.open.append((held, stream, hashes))
+        self.open_size += len(stream)
+        if self.open_size > PIECE:
+            self.count()
+
+    def count(self) -> None:
+        for held in (False, True):
+            part = [x for x in self.open if x[0] == held]
+            if part:
+                edges = np.concatenate([x for _, _, h in part for x in follows(phrases(h)[1])])
+                for kind, keys in ((WINDOWS, windows([s for _, s, _ in part])), (WORDS, np.concatenate([h for _, _, h in part])), (PHRASES, edges)):
+                    keys, n = _counted(keys)
+                    self.found[kind].append((keys, n * (not held)))
+        self.open, self.open_size = [], 0
+
+    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        parts = self.found[kind]
+        return summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+
+
+_COLUMNS = "block long, bucket int, kind int, keys binary, n binary, low_grams array<int>, low_counts array<long>, held array<boolean>, tokens long, texts binary"
+def _packed_blocks(docs: DataFrame, buckets: int) -> DataFrame:
+    """Rows of blocks: their texts, and their keys by bucket."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", "held_out").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, part int, score double, words array<binary>, rare array<long>, times array<long>")
-    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    others = rows.select("row", "part", F.explode(F.arrays_zip("words", "rare", "times")).alias("x")).select("row", "part", F.col("x.words").alias("word"), F.col("x.rare").alias("hash"), F.col("x.times").alias("times"))
-    costs = tries.words(others.groupBy("part", "hash").agg(F.min("word").alias("word")))
 
-    def hashed(batches):
+    def rows_of(block: _Block, number: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        block.count()
+        for what in (WINDOWS, WORDS, PHRASES):
+            keys, n = block.keys(what)
+            bucket = (scrambled(keys) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                at = order[edges[b] : edges[b + 1]]
+                yield made(number, b, what, packed(keys[at], True), packed(n[at]), id_type=id_type)
+            if what == WINDOWS:
+                grams, counts = keys[n > 0], n[n > 0]
+                for _ in range(ORDER - SUFFIX + 1):
+                    grams = shorter(grams)
+                grams, counts = summed(grams, counts)
+        texts = zstandard.compress(np.array([len(s) for s in block.streams], "<u4").tobytes() + b"".join(block.streams), 3)
+        tokens = sum(s.count(b" ") + 1 + (len(s) > 1) for s, held in zip(block.streams, block.held) if not held)
+        yield made(number, None, TEXTS, None, None, grams.astype(np.int32), counts, block.ids, block.held, tokens, texts, id_type)
+
+    def made(block, bucket, what, keys, n, grams=None, counts=None, ids=None, held=None, tokens=None, texts=None, id_type=None) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.binary(), pa.list_(id_type)]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, bucket, what, keys, n, grams, counts, held, tokens, texts, ids), kinds)], names=names)
+
+    names = [*(x.split()[0] for x in _COLUMNS.split(", ")), "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, block, id_type = TaskContext.get().partitionId() << 32, _Block(), pa.null()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in batch.column(0).to_pylist()], pa.int64()), batch.column(1)], names=["hash", "n"])
+            id_type = batch.column(0).type
+            for i, text, held in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2)):
+                block.add(i.as_py(), held.as_py(), text.as_py())
+                if block.size >= BLOCK:
+                    yield from rows_of(block, number, id_type)
+                    number, block = number + 1, _Block()
+        if block.ids:
+            yield from rows_of(block, number, id_type)
 
-    uncommon = vocabulary.where(F.col("n") < least).select("word", "n").mapInArrow(hashed, "hash long, n long").groupBy("hash").agg(F.max("n").alias("n"))
-    looked = others.select("row", "part", "hash", "times").join(costs, ["part", "hash"]).join(uncommon, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    more = looked.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(floor))).alias("rest"), F.sum(F.col("times") * F.col("cost")).alias("cost"))
-    out = rows.drop("words", "rare", "times").join(more, "row", "left")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("cost", F.lit(0.0))).alias("score"))
+    return docs.mapInArrow(run, f"{_COLUMNS}, ids array<{kind}>")
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+class _Sums:
+    """Sums of counts by key, merged now and then, so that memory follows the distinct keys."""
 
+    def __init__(self):
+        self.parts, self.merged, self.open = [], 0, 0
 
-class Coder:
-    """The code lengths of many words at once by a trie in memory, as ``Model.word`` gives them one by one.
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((keys, n))
+        self.open += len(keys)
+        if self.open > max(1 << 20, self.merged):
+            self.result()
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            self.parts = [summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts]))]
+        self.merged, self.open = len(self.parts[0][0]), 0
+        return self.parts[0]
 
-    A symbol's cost depends on the bytes of its window or, where a long beginning of its word is kept, on that beginning.
-    Both are numbered, so a symbol is one integer, whose cost is looked up in sorted arrays and computed when it is new.
-    """
 
-    LONG = 1 << 56
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.begins = sorted((c for c in model.contexts if len(c) > ORDER), key=lambda c: (len(c), c))
-        number = {c: i for i, c in enumerate(self.begins)}
-        steps = sorted((int.from_bytes(c) if len(c) == ORDER + 1 else self.LONG | number[c[:-1]] << 8 | c[-1], i) for c, i in number.items() if len(c) == ORDER + 1 or c[:-1] in number)
-        self.steps = np.array([*(k for k, _ in steps), np.iinfo(np.int64).max], np.int64)
-        self.to = np.array([*(i for _, i in steps), 0], np.int64)
-        self.keys, self.costs = np.array([np.iinfo(np.int64).max]), np.zeros(1)
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each word."""
-        out, piece, size = np.zeros(len(words)), [], 0
-        for i, w in enumerate(words):
-            if len(w) > PIECE:
-                out[i] = self.model.word(w)
+def _grouped(rows: DataFrame, tasks: int, by: str, then: str, f: Callable, schema: str) -> DataFrame:
+    """Apply ``f(value, iterator of rows)`` to the rows of each value of ``by``, in the order of ``then``; ``f`` yields tuples."""
+    names = rows.columns
+    dealt = rows.repartition(min(tasks, TASKS), by).sortWithinPartitions(by, then)
+    fields = [x.strip().split()[0] for x in schema.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = [types[x.strip().split()[1]] for x in schema.split(", ")]
+
+    def run(batches):
+        def each():
+            for batch in batches:
+                for row in zip(*batch.columns):
+                    yield dict(zip(names, (x.as_py() for x in row)))
+
+        from itertools import groupby
+
+        for value, group in groupby(each(), key=lambda r: r[by]):
+            for out in f(value, group):
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, kinds)], names=fields)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _window_answers(asked: DataFrame, low: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """(block, kind, keys, answer) of (block, bucket, keys, n): the code lengths of the windows of each block."""
+    spark = asked.sparkSession
+    shared = spark.sparkContext.broadcast(low)  # at most 256 ** SUFFIX counts
+
+    def sums(bucket, rows):
+        sums = _Sums()
+        for r in rows:
+            sums.add(unpacked(r["keys"], np.uint64, True), unpacked(r["n"], np.int64))
+        keys, n = sums.result()
+        to = (scrambled(keys >> np.uint64(8 * (ORDER + 1 - SUFFIX))) % np.uint64(buckets)).astype(np.int64)
+        for t in np.unique(to).tolist():
+            yield t, bucket, packed(keys[to == t], True), packed(n[to == t])
+
+    def costs(_, rows):
+        sums, whose = _Sums(), []
+        for r in rows:
+            whose.append((r["bucket"], r["keys"]))
+            sums.add(unpacked(r["keys"], np.uint64, True), unpacked(r["n"], np.int64))
+        keys, n = sums.result()
+        cost = code_lengths(keys, n, shared.value)
+        for bucket, k in whose:
+            yield bucket, None, k, packed(cost[np.searchsorted(keys, unpacked(k, np.uint64, True))])
+
+    def answers(_, rows):
+        keys, cost, known = [], [], None
+        for r in rows:
+            k = unpacked(r["keys"], np.uint64, True)
+            if r["block"] is None:
+                keys.append(k)
+                cost.append(unpacked(r["n"], np.float64))
                 continue
-            piece.append(i)
-            size += len(w)
-            if size > PIECE:
-                out[piece] = self._piece([words[j] for j in piece])
-                piece, size = [], 0
-        if piece:
-            out[piece] = self._piece([words[j] for j in piece])
-        return out
-
-    def _piece(self, words: list[bytes]) -> np.ndarray:
-        spelled = [b" " + symbols(w) for w in words]
-        size = np.fromiter(map(len, spelled), np.int64, len(spelled))
-        first = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(spelled), np.uint8).astype(np.int64)
-        at = np.arange(len(flat)) - np.repeat(first, size)
-        key = np.zeros(len(flat), np.int64)
-        for back in range(ORDER, -1, -1):
-            key <<= 8
-            key[back:] |= np.where(at[back:] >= back, flat[: len(flat) - back], 0)
-        longer = np.flatnonzero(size > ORDER + 1)
-        found, state = self._step(key[first[longer] + ORDER])
-        key |= (np.minimum(at, ORDER) + 1) << 8 * (ORDER + 1)
-        for i in range(ORDER + 1, START + 1):
-            longer, state = longer[found], state[found]
-            more = size[longer] > i
-            longer, state = longer[more], state[more]
-            place = first[longer] + i
-            key[place] = self.LONG | state << 8 | flat[place]
-            found, state = self._step(key[place])
-        return np.add.reduceat(self._cost(key[at > 0]), first - np.arange(len(first)))
-
-    def _step(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = np.searchsorted(self.steps, keys)
-        return self.steps[place] == keys, self.to[place]
-
-    def _cost(self, keys: np.ndarray) -> np.ndarray:
-        keys, which = np.unique(keys, return_inverse=True)
-        place = np.searchsorted(self.keys, keys)
-        cost, new = self.costs[place], np.flatnonzero(self.keys[place] != keys)
-        if len(new):
-            cost[new] = [self.model._symbol(x, len(x) - 1) for x in map(self._bytes, keys[new].tolist())]
-            if len(self.keys) > MEMO:
-                self.keys, self.costs = self.keys[-1:], self.costs[-1:]
-                place[:] = 0
-            self.keys, self.costs = np.insert(self.keys, place[new], keys[new]), np.insert(self.costs, place[new], cost[new])
-        return cost[which]
-
-    def _bytes(self, key: int) -> bytes:
-        if key & self.LONG:
-            return self.begins[(key ^ self.LONG) >> 8] + bytes((key & 255,))
-        size = key >> 8 * (ORDER + 1)
-        return (key & (1 << 8 * size) - 1).to_bytes(size)
-
-
-class Mixture:
-    """The common words' code lengths under the tries of all groups, and their counts that choose between the tries."""
-
-    def __init__(self, codes: pa.Table, common: pa.Table, sizes: dict[int, tuple[int, int]]):
-        groups = sorted(sizes) or [0]
-        self.groups = np.array(groups, np.int32)
-        texts = np.array([sizes.get(g, (0, 1))[1] for g in groups], np.float64)
-        self.prior = np.log10(texts / texts.sum())
-        rows = list(zip(*(common[c].to_pylist() for c in ("part", "word", "n"))))
-        self.index = {w: i + 1 for i, w in enumerate(sorted({w for _, w, _ in rows}))}
-        counts = np.zeros((len(self.index) + 1, len(groups)), np.int64)
-        for g, w, n in rows:
-            counts[self.index[w], groups.index(g)] = n
-        self.counts = counts.sum(axis=1)
-        self.likely = np.log10((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts)))
-        self.likely[0] = 0
-        place = {_hash(w): i for w, i in self.index.items()}
-        self.code = np.zeros((len(groups), len(counts)))
-        for g, h, cost in zip(*(codes[c].to_pylist() for c in ("part", "hash", "cost"))):
-            self.code[groups.index(g), place[h]] = cost
-
-    def texts(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The part that codes each text, and log10 of the probability of that choice and of the text's common words."""
-        chosen = np.fromiter(((self.prior + self.likely[at].sum(axis=0)).argmax() for at in texts), np.int64, len(texts))
-        return self.groups[chosen], self.prior[chosen] + [self.code[g, at].sum() for g, at in zip(chosen, texts)]
-
-
-_MODELS: dict[str, Mixture] = {}
-
-
-def _model(token: str, sent) -> Mixture:
-    """The model of a broadcast, built once in each worker."""
-    claim("ppm", _MODELS.clear)
-    if token not in _MODELS:
-        _MODELS.clear()
-        _MODELS[token] = Mixture(*sent.value)
-    return _MODELS[token]
+            if known is None:
+                known, cost = np.concatenate(keys), np.concatenate(cost)
+                order = np.argsort(known)
+                known, cost = known[order], cost[order]
+            yield r["block"], WINDOWS, r["keys"], packed(cost[np.searchsorted(known, k)])
+
+    distinct = _grouped(asked.select("bucket", "block", "keys", "n"), buckets, "bucket", "block", sums, "to int, bucket int, keys binary, n binary")
+    priced = _grouped(distinct, buckets, "to", "bucket", costs, "bucket int, block long, keys binary, n binary")
+    both = priced.unionByName(asked.select("bucket", "block", "keys", F.lit(None).cast("binary").alias("n")))
+    return _grouped(both, buckets, "bucket", "block", answers, "block long, kind int, keys binary, answer binary")  # nulls first
+
+
+def _hash_answers(asked: DataFrame, buckets: int) -> DataFrame:
+    """(block, kind, keys, answer, types): how often the training texts have the words and phrases of each block.
+
+    One row of each bucket and kind has no block, and the number of keys that training has.
+    """
+
+    def answers(_, rows):
+        sums, whose = {}, []
+        for r in rows:
+            whose.append((r["block"], r["kind"], r["keys"]))
+            sums.setdefault(r["kind"], _Sums()).add(unpacked(r["keys"], np.uint64, True), unpacked(r["n"], np.int64))
+        for kind, x in sums.items():
+            keys, n = x.result()
+            yield None, kind, None, None, int((n > 0).sum())
+            for block, own, k in whose:
+                if own == kind:
+                    yield block, kind, k, packed(n[np.searchsorted(keys, unpacked(k, np.uint64, True))]), None
+
+    return _grouped(asked.select("bucket", "block", "kind", "keys", "n"), buckets, "bucket", "block", answers, "block long, kind int, keys binary, answer binary, types long")
+
+
+def _text_scores(hashes: np.ndarray, stream: bytes, window_cost: np.ndarray, count: Callable[[np.ndarray], np.ndarray]) -> float:
+    """log10 of the probability of a text from the code lengths of its bytes and the counts of its phrases."""
+    first, phrase = phrases(hashes)
+    if len(first) == 1:
+        return float(window_cost.sum())
+    blanks = np.flatnonzero(np.frombuffer(stream, np.uint8) == 0x20)
+    own = np.add.reduceat(window_cost, np.r_[0, blanks[first[1:] - 1] + 1])
+    context, node = follows(phrase)
+    total, n = count(context), count(node)
+    edge = np.where(n > 0, np.log10(np.maximum(n, 1) / (total + 1.0)), own[1:] - np.log10(total + 1.0))
+    return float(own[0] + edge.sum())
+
+
+def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of ``docs``.
+
+    The model learns from the rows that are not held out and scores all.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", "text", (held if held is not None else held_out()).alias("held_out"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = min(max(BUCKETS, -(-size // BUCKET_BYTES)), MOST_BUCKETS)
+    blocks = staged(_packed_blocks(docs, buckets), "ppm-blocks")
+    texts = blocks.where(F.col("kind") == TEXTS)
+    train_tokens, n_blocks = texts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    pairs = texts.select(F.explode(F.arrays_zip("low_grams", "low_counts")).alias("x")).groupBy("x.low_grams").agg(F.sum("x.low_counts").alias("n")).toArrow()
+    low = summed(pairs.column(0).to_numpy().astype(np.uint64), pairs.column(1).to_numpy().astype(np.int64))
+    asked = blocks.where(F.col("kind") == WINDOWS)
+    counted = staged(_hash_answers(blocks.where(F.col("kind").isin(WORDS, PHRASES)), buckets), "ppm-counts")
+    types = counted.where((F.col("kind") == WORDS) & F.col("block").isNull()).agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
+    answered = _window_answers(asked, low, buckets).unionByName(counted.where("block is not null").drop("types"))
+    floor = np.log10(train_tokens + 0.5 * (types + 1))
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    rows = answered.select("block", "kind", "keys", "answer", F.lit(None).cast("array<boolean>").alias("held"), F.lit(None).cast(f"array<{kind}>").alias("ids"))
+    rows = rows.unionByName(texts.select("block", "kind", F.lit(None).cast("binary").alias("keys"), F.col("texts").alias("answer"), "held", "ids"))
+    dealt = rows.repartition(min(2 * n_blocks + 1, TASKS), "block").sortWithinPartitions("block", "kind")
+
+    def run(batches):
+        found: dict[int, list] = {WINDOWS: [], WORDS: [], PHRASES: []}
+        for batch in batches:
+            for i, what in enumerate(batch.column(1).to_pylist()):
+                answer = batch.column(3)[i].as_py()
+                if what != TEXTS:
+                    found[what].append((unpacked(batch.column(2)[i].as_py(), np.uint64, True), unpacked(answer, np.float64 if what == WINDOWS else np.int64)))
+                    continue
+                tables = {}
+                for k in found:
+                    keys, values = (np.concatenate([x[j] for x in found[k]] or [np.zeros(0)]) for j in (0, 1))
+                    order = np.argsort(keys)
+                    tables[k] = keys[order], values[order]
+                    found[k] = []
+                ids, held = batch.column(5)[i].values, batch.column(4)[i].as_py()
+                yield from scored(ids, held, zstandard.decompress(answer), tables)
+
+    def scored(ids, held, data, tables):
+        size = np.frombuffer(data, "<u4", len(held)).astype(np.int64)
+        end = np.cumsum(size) + 4 * len(held)
+        keys, cost = tables[WINDOWS]
+        count = lambda kind, x: tables[kind][1][np.searchsorted(tables[kind][0], x)]
+        edges = lambda x: count(PHRASES, x)
+        out = []
+        for a, b in zip((end - size).tolist(), end.tolist()):
+            stream = data[a:b]
+            own = windows([stream])
+            order = np.argsort(own)  # lookups in ascending order stay near each other in memory
+            lengths = np.empty(len(own))
+            lengths[order] = cost[np.searchsorted(keys, own[order])]
+            words = stream.split()
+            words.append(END)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            c = count(WORDS, hashes)
+            out.append((len(words), int((c > 0).sum()), int(train_tokens), float(np.log10(c + 0.5).sum() - len(words) * floor), _text_scores(hashes, stream, lengths, edges)))
+        columns = [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.float64()] * 2)]
+        yield pa.RecordBatch.from_arrays([ids, pa.array(held, pa.bool_()), *columns], names=names)
+
+    return dealt.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

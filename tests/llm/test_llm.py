@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedgewren.llm import ann, bpe, chat, fingerprint, graph, licences, mixing, neardup, ppm, quality, queries, shingles, toxicity
+from sedgewren.llm import ann, bpe, chat, fingerprint, graph, licences, mixing, neardup, quality, queries, shingles, toxicity
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -251,82 +251,6 @@ def test_fingerprint_cases(odd, none):
     assert fingerprint.with_next(none, none.select("doc_id"), ["text"]).count() == 0
 
 
-def test_ppm_query(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").toPandas()
-    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in docs.doc_id}
-    words = {i: t.encode().lower().split() + [b"\n"] for i, t in zip(docs.doc_id, docs.text)}
-    c = Counter(w for i in words for w in words[i] if not held[i])
-    n, v = sum(c.values()), len(c)
-    for r in queries.op7_ppm(spark, DATA).collect():
-        own = words[r["doc_id"]]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(own), sum(w in c for w in own), n)
-        assert abs(r["base_score"] - sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own)) < 1e-6 and r["score"] < 0
-
-
-def test_ppm_is_a_probability():
-    counts = Counter()
-    for word, n in ((b"aba", 5), (b"abc", 2), (b"b", 9), (ppm.END_WORD, 3), (b"averylongwordindeed", 2)):
-        s = b" " + ppm.symbols(word)
-        for i in range(1, len(s)):
-            for k in {*range(max(0, i - ppm.ORDER), i + 1), *([0] if ppm.ORDER < i <= ppm.START else [])}:
-                counts[s[k : i + 1]] += n
-    for kept in (1, 3):
-        model = ppm.Model({x: n for x, n in counts.items() if n >= kept}, 21)
-        alphabet = [x for x in range(256) if x not in b"\t\n\x0b\x0c\r "] + [ppm.CLOSE, ppm.END]
-        for start in (b" ", b" a", b" ab", b" q", b" averylong"):
-            total = sum(10 ** model._symbol(start + bytes((x,)), len(start)) for x in alphabet)
-            assert abs(total - 1) < 1e-9
-
-
-def test_ppm_codes_words_in_bulk_as_one_by_one(monkeypatch):
-    rng = np.random.default_rng(5)
-    draw = lambda most: bytes(rng.choice([97, 98, 99, 0xC3, 0xA9, 0], rng.integers(1, most)).tolist())
-    known, counts = [draw(16) for _ in range(300)], Counter()
-    for word in [*known, ppm.END_WORD]:
-        s = b" " + ppm.symbols(word)
-        for i in range(1, len(s)):
-            for k in {*range(max(0, i - ppm.ORDER), i + 1), *([0] if ppm.ORDER < i <= ppm.START else [])}:
-                counts[s[k : i + 1]] += 1
-    words = [*known, *(draw(20) for _ in range(300)), ppm.END_WORD, b"a", b"\xff", b"ab" * 700, known[0]]
-    monkeypatch.setattr(ppm, "PIECE", 1000)
-    monkeypatch.setattr(ppm, "MEMO", 50)
-    for kept in (1, 2):
-        model = ppm.Model({x: n for x, n in counts.items() if n >= kept}, 301)
-        coder = ppm.Coder(model)
-        for _ in range(2):
-            assert np.allclose(coder.words(words), [model.word(w) for w in words], rtol=1e-12)
-    assert len(coder.words([])) == 0
-
-
-def test_ppm_keeps_all_contexts(spark, monkeypatch):
-    monkeypatch.setattr(ppm, "NODES", 40, raising=False)
-    monkeypatch.setattr(ppm, "COMMON", 60)
-    rng = np.random.default_rng(3)
-    draw = lambda: "".join(rng.choice(list("abcdé"), rng.integers(1, 18)).tolist())
-    words = [draw() for _ in range(150)] + ["beginningslong", "beginningslonger", "b", "beginningsother"]
-    texts = [" ".join(rng.choice(words, 30)) for _ in range(20)]
-    texts += [" ".join([*rng.choice(words, 20), "zz", "beginningsnew", "beginningslongest", draw(), draw()]) for _ in range(10)]
-    rows = [(i, t) for i, t in enumerate(texts)]
-    got = {r["doc_id"]: r["score"] for r in ppm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 20, None).collect()}
-    counts, total = Counter(), 0
-    for t in texts[:20]:
-        for word in [*t.encode().lower().split(), ppm.END_WORD]:
-            s, total = b" " + ppm.symbols(word), total + 1
-            for i in range(1, len(s)):
-                for k in {*range(max(0, i - ppm.ORDER), i + 1), *([0] if ppm.ORDER < i <= ppm.START else [])}:
-                    counts[s[k : i + 1]] += 1
-    model = ppm.Model(counts, total)
-    for i, t in rows:
-        assert abs(got[i] - sum(map(model.word, [*t.encode().lower().split(), ppm.END_WORD]))) < 1e-6
-
-
-def test_ppm_cases(odd, none):
-    rows = ppm.score(odd).collect()
-    assert len(rows) == 10 and {r["n_tokens"] for r in rows if r["doc_id"] in (3, 4, 5)} == {1}
-    assert ppm.score(none).count() == 0
-    assert all(r["base_score"] == 0 for r in ppm.score(odd, F.lit(True)).collect())
-
-
 def test_toxicity(spark, odd, none):
     words = "red green blue house tree road walk slow fast over".split()
     rng, rows, labels = np.random.default_rng(7), [], []
