@@ -41,8 +41,9 @@ from sedgewren.llm.shingles import STEP, scrambled
 ORDER, SUFFIX = 6, 3
 #: One word in so many ends a phrase.
 PHRASE = 8
-#: Bytes of texts in a block, and bytes whose windows are formed at once.
-BLOCK, PIECE = 32 << 20, 2 << 20
+#: Bytes of texts in a block; less where the texts give fewer than ``BLOCKS`` blocks, down to PIECE, the bytes whose windows are
+#: formed at once.
+BLOCK, BLOCKS, PIECE = 32 << 20, 16, 2 << 20
 #: Bytes of texts for each bucket, and the least and largest number of buckets; beyond it buckets grow (at 100 TB, to some 60
 #: million phrases each), as a block's keys would come in ever smaller rows.
 BUCKET_BYTES, BUCKETS, MOST_BUCKETS = 64 << 20, 16, 65_536
@@ -234,7 +235,7 @@ class _Block:
 
 
 _COLUMNS = "block long, bucket int, kind int, keys binary, n binary, low_grams array<int>, low_counts array<long>, held array<boolean>, tokens long, texts binary"
-def _packed_blocks(docs: DataFrame, buckets: int) -> DataFrame:
+def _packed_blocks(docs: DataFrame, buckets: int, full: int) -> DataFrame:
     """Rows of blocks: their texts, and their keys by bucket."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -271,7 +272,7 @@ def _packed_blocks(docs: DataFrame, buckets: int) -> DataFrame:
             id_type = batch.column(0).type
             for i, text, held in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2)):
                 block.add(i.as_py(), held.as_py(), text.as_py())
-                if block.size >= BLOCK:
+                if block.size >= full:
                     yield from rows_of(block, number, id_type)
                     number, block = number + 1, _Block()
         if block.ids:
@@ -409,7 +410,7 @@ def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
     docs = docs.select("doc_id", "text", (held if held is not None else held_out()).alias("held_out"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = min(max(BUCKETS, -(-size // BUCKET_BYTES)), MOST_BUCKETS)
-    blocks = staged(_packed_blocks(docs, buckets), "ppm-blocks")
+    blocks = staged(_packed_blocks(docs, buckets, max(min(BLOCK, PIECE), min(BLOCK, size // BLOCKS))), "ppm-blocks")
     texts = blocks.where(F.col("kind") == TEXTS)
     train_tokens, n_blocks = texts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     pairs = texts.select(F.explode(F.arrays_zip("low_grams", "low_counts")).alias("x")).groupBy("x.low_grams").agg(F.sum("x.low_counts").alias("n")).toArrow()
