@@ -10,7 +10,8 @@ contexts offered are excluded; below the empty context all remaining symbols are
 Above these stand long contexts, as an unbounded trie has them, with edges of many bytes.  A text is cut into phrases behind
 words whose hash is divisible by ``PHRASE``, so equal passages have equal phrases.  A phrase (with the blank or end sign behind
 it) that followed the same phrase in training n of N times is coded by one edge, with n / (N + 1); otherwise 1 / (N + 1) is paid
-if N > 0, and its bytes are coded as above.  A text's first phrase is coded by its bytes.
+if N > 0, and its bytes are coded as above.  A text's first phrase follows the beginning of texts, which hardly ever recurs with
+the same phrase: there an edge has n / 2N, and 1 / 2 is paid without one.
 
 Nothing is capped, and no task holds the trie.  Texts are packed into blocks of about ``BLOCK`` bytes.  A block's distinct
 windows (a symbol and the ``ORDER`` bytes before it) and distinct words and phrases are asked for once: windows are summed in
@@ -40,10 +41,10 @@ from sedgewren.llm.shingles import STEP, scrambled
 
 ORDER, SUFFIX = 6, 3
 #: One word in so many ends a phrase.
-PHRASE = 8
+PHRASE = 16
 #: Bytes of texts in a block; less where the texts give fewer than ``BLOCKS`` blocks, down to PIECE, the bytes whose windows are
 #: formed at once.
-BLOCK, BLOCKS, PIECE = 32 << 20, 16, 2 << 20
+BLOCK, BLOCKS, PIECE = 32 << 20, 8, 2 << 20
 #: Bytes of texts for each bucket, and the least and largest number of buckets; beyond it buckets grow (at 100 TB, to some 60
 #: million phrases each), as a block's keys would come in ever smaller rows.
 BUCKET_BYTES, BUCKETS, MOST_BUCKETS = 64 << 20, 16, 65_536
@@ -91,9 +92,9 @@ def phrases(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def follows(phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the contexts of a text's phrases from the second on, and of the phrases in them."""
-    context = scrambled(phrase[:-1] + np.uint64(1))
-    return context, scrambled(context ^ (phrase[1:] * STEP))
+    """Keys of the contexts of a text's phrases, the first of which is the beginning of texts, and of the phrases in them."""
+    context = scrambled(np.r_[np.uint64(0), phrase[:-1]] + np.uint64(1))
+    return context, scrambled(context ^ (phrase * STEP))
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +115,7 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def packed(x: np.ndarray, ascending: bool = False) -> bytes:
     """An array of 8-byte numbers, compressed; ascending keys by their differences."""
-    x = np.ascontiguousarray(x)
-    x = x.view(np.uint64)
+    x = np.ascontiguousarray(x).view(np.uint64)
     if ascending and len(x):
         x = np.r_[x[:1], x[1:] - x[:-1]]
     return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
@@ -127,6 +127,18 @@ def unpacked(data: bytes, kind: type, ascending: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=np.uint64) if ascending else x.view(kind)
 
 
+def packed_values(x: np.ndarray) -> bytes:
+    """Numbers of which many are equal: the distinct ones, and where they stand."""
+    values, place = np.unique(x, return_inverse=True)
+    head = packed(values)
+    return len(head).to_bytes(8, "little") + head + packed(place.astype(np.int64))
+
+
+def unpacked_values(data: bytes) -> np.ndarray:
+    end = 8 + int.from_bytes(data[:8], "little")
+    return unpacked(data[8:end], np.float64)[unpacked(data[end:], np.int64)]
+
+
 def shorter(grams: np.ndarray) -> np.ndarray:
     """Grams (context, symbol) with the farthest byte of the context left out."""
     return (grams >> _16 << _8) | (grams & _LAST)
@@ -324,7 +336,7 @@ def _grouped(rows: DataFrame, tasks: int, by: str, then: str, f: Callable, schem
 
 
 def _window_answers(asked: DataFrame, low: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    """(block, kind, keys, answer) of (block, bucket, keys, n): the code lengths of the windows of each block."""
+    """(block, kind, bucket, answer) of (block, bucket, keys, n): the code lengths of the windows of each block, in their order."""
     spark = asked.sparkSession
     shared = spark.sparkContext.broadcast(low)  # at most 256 ** SUFFIX counts
 
@@ -345,7 +357,7 @@ def _window_answers(asked: DataFrame, low: tuple[np.ndarray, np.ndarray], bucket
         keys, n = sums.result()
         cost = code_lengths(keys, n, shared.value)
         for bucket, k in whose:
-            yield bucket, None, k, packed(cost[np.searchsorted(keys, unpacked(k, np.uint64, True))])
+            yield bucket, None, k, packed_values(cost[np.searchsorted(keys, unpacked(k, np.uint64, True))])
 
     def answers(_, rows):
         keys, cost, known = [], [], None
@@ -353,52 +365,59 @@ def _window_answers(asked: DataFrame, low: tuple[np.ndarray, np.ndarray], bucket
             k = unpacked(r["keys"], np.uint64, True)
             if r["block"] is None:
                 keys.append(k)
-                cost.append(unpacked(r["n"], np.float64))
+                cost.append(unpacked_values(r["n"]))
                 continue
             if known is None:
                 known, cost = np.concatenate(keys), np.concatenate(cost)
                 order = np.argsort(known)
                 known, cost = known[order], cost[order]
-            yield r["block"], WINDOWS, r["keys"], packed(cost[np.searchsorted(known, k)])
+            yield r["block"], WINDOWS, r["bucket"], packed_values(cost[np.searchsorted(known, k)])
 
     distinct = _grouped(asked.select("bucket", "block", "keys", "n"), buckets, "bucket", "block", sums, "to int, bucket int, keys binary, n binary")
     priced = _grouped(distinct, buckets, "to", "bucket", costs, "bucket int, block long, keys binary, n binary")
     both = priced.unionByName(asked.select("bucket", "block", "keys", F.lit(None).cast("binary").alias("n")))
-    return _grouped(both, buckets, "bucket", "block", answers, "block long, kind int, keys binary, answer binary")  # nulls first
+    return _grouped(both, buckets, "bucket", "block", answers, "block long, kind int, bucket int, answer binary")  # nulls first
 
 
 def _hash_answers(asked: DataFrame, buckets: int) -> DataFrame:
-    """(block, kind, keys, answer, types): how often the training texts have the words and phrases of each block.
+    """(block, kind, bucket, answer, types): how often the training texts have the words and phrases of each block, in their order.
 
     One row of each bucket and kind has no block, and the number of keys that training has.
     """
 
-    def answers(_, rows):
+    def answers(bucket, rows):
         sums, whose = {}, []
         for r in rows:
             whose.append((r["block"], r["kind"], r["keys"]))
             sums.setdefault(r["kind"], _Sums()).add(unpacked(r["keys"], np.uint64, True), unpacked(r["n"], np.int64))
         for kind, x in sums.items():
             keys, n = x.result()
-            yield None, kind, None, None, int((n > 0).sum())
+            yield None, kind, bucket, None, int((n > 0).sum())
             for block, own, k in whose:
                 if own == kind:
-                    yield block, kind, k, packed(n[np.searchsorted(keys, unpacked(k, np.uint64, True))]), None
+                    yield block, kind, bucket, packed(n[np.searchsorted(keys, unpacked(k, np.uint64, True))]), None
 
-    return _grouped(asked.select("bucket", "block", "kind", "keys", "n"), buckets, "bucket", "block", answers, "block long, kind int, keys binary, answer binary, types long")
+    return _grouped(asked.select("bucket", "block", "kind", "keys", "n"), buckets, "bucket", "block", answers, "block long, kind int, bucket int, answer binary, types long")
 
 
-def _text_scores(hashes: np.ndarray, stream: bytes, window_cost: np.ndarray, count: Callable[[np.ndarray], np.ndarray]) -> float:
-    """log10 of the probability of a text from the code lengths of its bytes and the counts of its phrases."""
-    first, phrase = phrases(hashes)
-    if len(first) == 1:
-        return float(window_cost.sum())
+def _text_score(first: np.ndarray, stream: bytes, lengths: np.ndarray, total: np.ndarray, n: np.ndarray) -> float:
+    """log10 of the probability of a text from the code lengths of its bytes, and the counts of its phrases and their contexts."""
     blanks = np.flatnonzero(np.frombuffer(stream, np.uint8) == 0x20)
-    own = np.add.reduceat(window_cost, np.r_[0, blanks[first[1:] - 1] + 1])
-    context, node = follows(phrase)
-    total, n = count(context), count(node)
-    edge = np.where(n > 0, np.log10(np.maximum(n, 1) / (total + 1.0)), own[1:] - np.log10(total + 1.0))
-    return float(own[0] + edge.sum())
+    own = np.add.reduceat(lengths, np.r_[0, blanks[first[1:] - 1] + 1])
+    edge = np.where(n > 0, np.log10(np.maximum(n, 1) / (total + 1.0)), own - np.log10(total + 1.0))
+    if total[0]:
+        edge[0] = np.log10(n[0] / (2.0 * total[0])) if n[0] else own[0] - np.log10(2)
+    return float(edge.sum())
+
+
+def _table(keys: np.ndarray, buckets: int, answers: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a block with their answers, which come by bucket."""
+    keys, _ = _counted(keys)
+    order = np.argsort((scrambled(keys) % np.uint64(buckets)).astype(np.int64), kind="stable")
+    values = np.concatenate([x for _, x in sorted(answers, key=lambda a: a[0])])
+    out = np.empty(len(keys), values.dtype)
+    out[order] = values
+    return keys, out
 
 
 def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
@@ -422,8 +441,8 @@ def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
     floor = np.log10(train_tokens + 0.5 * (types + 1))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    rows = answered.select("block", "kind", "keys", "answer", F.lit(None).cast("array<boolean>").alias("held"), F.lit(None).cast(f"array<{kind}>").alias("ids"))
-    rows = rows.unionByName(texts.select("block", "kind", F.lit(None).cast("binary").alias("keys"), F.col("texts").alias("answer"), "held", "ids"))
+    rows = answered.select("block", "kind", "bucket", "answer", F.lit(None).cast("array<boolean>").alias("held"), F.lit(None).cast(f"array<{kind}>").alias("ids"))
+    rows = rows.unionByName(texts.select("block", "kind", "bucket", F.col("texts").alias("answer"), "held", "ids"))
     dealt = rows.repartition(min(2 * n_blocks + 1, TASKS), "block").sortWithinPartitions("block", "kind")
 
     def run(batches):
@@ -431,37 +450,42 @@ def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
         for batch in batches:
             for i, what in enumerate(batch.column(1).to_pylist()):
                 answer = batch.column(3)[i].as_py()
-                if what != TEXTS:
-                    found[what].append((unpacked(batch.column(2)[i].as_py(), np.uint64, True), unpacked(answer, np.float64 if what == WINDOWS else np.int64)))
-                    continue
-                tables = {}
-                for k in found:
-                    keys, values = (np.concatenate([x[j] for x in found[k]] or [np.zeros(0)]) for j in (0, 1))
-                    order = np.argsort(keys)
-                    tables[k] = keys[order], values[order]
-                    found[k] = []
-                ids, held = batch.column(5)[i].values, batch.column(4)[i].as_py()
-                yield from scored(ids, held, zstandard.decompress(answer), tables)
-
-    def scored(ids, held, data, tables):
-        size = np.frombuffer(data, "<u4", len(held)).astype(np.int64)
-        end = np.cumsum(size) + 4 * len(held)
-        keys, cost = tables[WINDOWS]
-        count = lambda kind, x: tables[kind][1][np.searchsorted(tables[kind][0], x)]
-        edges = lambda x: count(PHRASES, x)
+                if what == TEXTS:
+                    yield scored(batch.column(5)[i].values, batch.column(4)[i].as_py(), zstandard.decompress(answer), found)
+                    found = {k: [] for k in found}
+                else:
+                    found[what].append((batch.column(2)[i].as_py(), unpacked_values(answer) if what == WINDOWS else unpacked(answer, np.int64)))
+
+    def scored(ids, held, data, found):
+        end = np.cumsum(np.frombuffer(data, "<u4", len(held)).astype(np.int64)) + 4 * len(held)
+        streams = [data[a:b] for a, b in zip([4 * len(held), *end[:-1].tolist()], end.tolist())]
+        texts, keys = [], {k: [] for k in found}
+        piece, size = [], 0
+        for i, stream in enumerate(streams):
+            words = stream.split()
+            words.append(END)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            first, phrase = phrases(hashes)
+            edges = follows(phrase)
+            texts.append((hashes, first, edges))
+            keys[WORDS].append(hashes)
+            keys[PHRASES] += edges
+            piece.append(stream)
+            size += len(stream)
+            if size > PIECE or i == len(streams) - 1:
+                keys[WINDOWS].append(_counted(windows(piece))[0])
+                piece, size = [], 0
+        tables = {k: _table(np.concatenate(keys.pop(k)), buckets, found[k]) for k in found}
+        look = lambda kind, x: tables[kind][1][np.searchsorted(tables[kind][0], x)]
         out = []
-        for a, b in zip((end - size).tolist(), end.tolist()):
-            stream = data[a:b]
+        for stream, (hashes, first, (context, node)) in zip(streams, texts):
             own = windows([stream])
             order = np.argsort(own)  # lookups in ascending order stay near each other in memory
             lengths = np.empty(len(own))
-            lengths[order] = cost[np.searchsorted(keys, own[order])]
-            words = stream.split()
-            words.append(END)
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-            c = count(WORDS, hashes)
-            out.append((len(words), int((c > 0).sum()), int(train_tokens), float(np.log10(c + 0.5).sum() - len(words) * floor), _text_scores(hashes, stream, lengths, edges)))
+            lengths[order] = look(WINDOWS, own[order])
+            c = look(WORDS, hashes)
+            out.append((len(hashes), int((c > 0).sum()), int(train_tokens), float(np.log10(c + 0.5).sum() - len(hashes) * floor), _text_score(first, stream, lengths, look(PHRASES, context), look(PHRASES, node))))
         columns = [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.float64()] * 2)]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(held, pa.bool_()), *columns], names=names)
+        return pa.RecordBatch.from_arrays([ids, pa.array(held, pa.bool_()), *columns], names=names)
 
     return dealt.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -30,7 +30,7 @@ class Plain:
             for i in range(ppm.ORDER, len(s)):
                 for k in range(ppm.ORDER + 1):
                     self.counts[s[i - k : i]][s[i]] += 1
-            parts = self.phrases(t)
+            parts = [None, *self.phrases(t)]
             for x, y in zip(parts, parts[1:]):
                 self.edges[x][y] += 1
 
@@ -75,9 +75,12 @@ class Plain:
             for x in part:
                 own += math.log10(self.distribution(before)[x])
                 before = (before + bytes((x,)))[-ppm.ORDER :]
-            seen = self.edges.get(parts[i - 1]) if i else None
+            seen = self.edges.get(parts[i - 1] if i else None)
             if seen:
                 n, all_of = seen[part], sum(seen.values())
+                if not i:
+                    total += math.log10(n / all_of / 2) if n else own - math.log10(2)
+                    continue
                 own = math.log10(n / (all_of + 1)) if n else own - math.log10(all_of + 1)
             total += own
         return total
