@@ -28,6 +28,7 @@ n * log10(0.5 / 0.5) = 0; an empty table gives an empty result; other columns ar
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -63,12 +64,18 @@ def held_out(doc_id: str = "doc_id", parts: int = 5, at: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == at, F.lit(False))
 
 
-def spelled(text: bytes | None) -> tuple[bytes, np.ndarray]:
-    """The symbols of a text, and the hashes of its tokens."""
-    words = (text or b"").lower().split()
-    words.append(END)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    return b" ".join(words[:-1]) + END, hashes
+def spelled(text: bytes | None) -> bytes:
+    """The symbols of a text."""
+    return b" ".join((text or b"").lower().split()) + END
+
+
+def tokens(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of some texts, and how many each text has."""
+    words = [s.split() for s in streams]
+    for w in words:
+        w.append(END)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(sizes.sum())), sizes
 
 
 def windows(streams: list[bytes]) -> np.ndarray:
@@ -83,18 +90,22 @@ def windows(streams: list[bytes]) -> np.ndarray:
     return key[keep]
 
 
-def phrases(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the phrases of a text begin (as places of tokens), and their hashes; the end sign ends the last one."""
-    cut = hashes[:-2] % np.uint64(PHRASE) == 0 if len(hashes) > 2 else np.zeros(0, bool)
-    first = np.r_[0, np.flatnonzero(cut) + 1]
-    place = np.arange(len(hashes)) - np.repeat(first, np.diff(np.r_[first, len(hashes)]))
-    return first, scrambled(np.add.reduceat(scrambled(hashes ^ (place.astype(np.uint64) * STEP)), first))
-
-
-def follows(phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the contexts of a text's phrases, the first of which is the beginning of texts, and of the phrases in them."""
-    context = scrambled(np.r_[np.uint64(0), phrase[:-1]] + np.uint64(1))
-    return context, scrambled(context ^ (phrase * STEP))
+def phrases(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The phrases of some texts: their first tokens, each text's first phrase, and the keys of their contexts and of themselves there."""
+    begins = np.cumsum(sizes) - sizes
+    cut = np.zeros(len(hashes), bool)
+    cut[1:] = hashes[:-1] % np.uint64(PHRASE) == 0
+    cut[begins + sizes - 1] = False  # the end sign ends the last phrase
+    cut[begins] = True
+    first = np.flatnonzero(cut)
+    place = (np.arange(len(hashes)) - np.repeat(first, np.diff(np.append(first, len(hashes))))).astype(np.uint64)
+    phrase = scrambled(np.add.reduceat(scrambled(hashes ^ (place * STEP)), first))
+    texts = np.searchsorted(first, begins)
+    before = np.zeros(len(phrase), np.uint64)  # the beginning of texts
+    before[1:] = phrase[:-1]
+    before[texts] = 0
+    context = scrambled(before + np.uint64(1))
+    return first, texts, context, scrambled(context ^ (phrase * STEP))
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,42 +222,64 @@ def code_lengths(keys: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndar
     return out
 
 
+class _Sums:
+    """Sums of counts by key, merged now and then, so that memory follows the distinct keys."""
+
+    def __init__(self):
+        self.parts, self.merged, self.open = [], 0, 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((keys, n))
+        self.open += len(keys)
+        if self.open > max(1 << 21, self.merged):
+            self.result()
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            self.parts = [summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts]))]
+        self.merged, self.open = len(self.parts[0][0]), 0
+        return self.parts[0]
+
+
 class _Block:
     """Texts that are packed together, and the counts of their distinct keys in training."""
 
     def __init__(self):
-        self.ids, self.held, self.streams, self.size = [], [], [], 0
-        self.open: list[tuple[bool, bytes, np.ndarray]] = []
+        self.ids, self.held, self.size, self.tokens = [], [], 0, 0
+        self.sizes: list[int] = []
+        self.packer = zstandard.ZstdCompressor(3).compressobj()
+        self.packed: list[bytes] = []
+        self.open: tuple[list, list] = ([], [])
         self.open_size = 0
-        self.found: dict[int, list] = {WINDOWS: [], WORDS: [], PHRASES: []}
+        self.found = {WINDOWS: _Sums(), WORDS: _Sums(), PHRASES: _Sums()}
 
     def add(self, doc_id, held: bool, text: bytes | None) -> None:
-        stream, hashes = spelled(text)
+        stream = spelled(text)
         self.ids.append(doc_id)
         self.held.append(held)
-        self.streams.append(stream)
+        self.sizes.append(len(stream))
+        self.packed.append(self.packer.compress(stream))
         self.size += len(stream)
-        self.open.append((held, stream, hashes))
+        self.open[held].append(stream)
         self.open_size += len(stream)
         if self.open_size > PIECE:
             self.count()
 
     def count(self) -> None:
-        for held in (False, True):
-            part = [x for x in self.open if x[0] == held]
-            if part:
-                edges = np.concatenate([x for _, _, h in part for x in follows(phrases(h)[1])])
-                for kind, keys in ((WINDOWS, windows([s for _, s, _ in part])), (WORDS, np.concatenate([h for _, _, h in part])), (PHRASES, edges)):
+        for held, streams in enumerate(self.open):
+            if streams:
+                hashes, sizes = tokens(streams)
+                self.tokens += 0 if held else len(hashes)
+                for kind, keys in ((PHRASES, np.concatenate(phrases(hashes, sizes)[2:])), (WORDS, hashes), (WINDOWS, windows(streams))):
                     keys, n = _counted(keys)
-                    self.found[kind].append((keys, n * (not held)))
-        self.open, self.open_size = [], 0
+                    self.found[kind].add(keys, n * (not held))
+        self.open, self.open_size = ([], []), 0
 
-    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        parts = self.found[kind]
-        return summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+    def texts(self) -> bytes:
+        return b"".join([*self.packed, self.packer.flush()])
 
 
-_COLUMNS = "block long, bucket int, kind int, keys binary, n binary, low_grams array<int>, low_counts array<long>, held array<boolean>, tokens long, texts binary"
+_COLUMNS = "block long, bucket int, kind int, keys binary, n binary, low_grams array<int>, low_counts array<long>, held array<boolean>, sizes array<long>, tokens long, texts binary"
 def _packed_blocks(docs: DataFrame, buckets: int, full: int) -> DataFrame:
     """Rows of blocks: their texts, and their keys by bucket."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -254,7 +287,7 @@ def _packed_blocks(docs: DataFrame, buckets: int, full: int) -> DataFrame:
     def rows_of(block: _Block, number: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         block.count()
         for what in (WINDOWS, WORDS, PHRASES):
-            keys, n = block.keys(what)
+            keys, n = block.found[what].result()
             bucket = (scrambled(keys) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -266,13 +299,11 @@ def _packed_blocks(docs: DataFrame, buckets: int, full: int) -> DataFrame:
                 for _ in range(ORDER - SUFFIX + 1):
                     grams = shorter(grams)
                 grams, counts = summed(grams, counts)
-        texts = zstandard.compress(np.array([len(s) for s in block.streams], "<u4").tobytes() + b"".join(block.streams), 3)
-        tokens = sum(s.count(b" ") + 1 + (len(s) > 1) for s, held in zip(block.streams, block.held) if not held)
-        yield made(number, None, TEXTS, None, None, grams.astype(np.int32), counts, block.ids, block.held, tokens, texts, id_type)
+        yield made(number, None, TEXTS, None, None, grams.astype(np.int32), counts, block.ids, block.held, block.sizes, block.tokens, block.texts(), id_type)
 
-    def made(block, bucket, what, keys, n, grams=None, counts=None, ids=None, held=None, tokens=None, texts=None, id_type=None) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.binary(), pa.list_(id_type)]
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, bucket, what, keys, n, grams, counts, held, tokens, texts, ids), kinds)], names=names)
+    def made(block, bucket, what, keys, n, grams=None, counts=None, ids=None, held=None, sizes=None, tokens=None, texts=None, id_type=None) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.list_(id_type)]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, bucket, what, keys, n, grams, counts, held, sizes, tokens, texts, ids), kinds)], names=names)
 
     names = [*(x.split()[0] for x in _COLUMNS.split(", ")), "ids"]
 
@@ -293,25 +324,6 @@ def _packed_blocks(docs: DataFrame, buckets: int, full: int) -> DataFrame:
     return docs.mapInArrow(run, f"{_COLUMNS}, ids array<{kind}>")
 
 
-class _Sums:
-    """Sums of counts by key, merged now and then, so that memory follows the distinct keys."""
-
-    def __init__(self):
-        self.parts, self.merged, self.open = [], 0, 0
-
-    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
-        self.parts.append((keys, n))
-        self.open += len(keys)
-        if self.open > max(1 << 20, self.merged):
-            self.result()
-
-    def result(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.parts) > 1:
-            self.parts = [summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts]))]
-        self.merged, self.open = len(self.parts[0][0]), 0
-        return self.parts[0]
-
-
 def _grouped(rows: DataFrame, tasks: int, by: str, then: str, f: Callable, schema: str) -> DataFrame:
     """Apply ``f(value, iterator of rows)`` to the rows of each value of ``by``, in the order of ``then``; ``f`` yields tuples."""
     names = rows.columns
@@ -326,8 +338,6 @@ def _grouped(rows: DataFrame, tasks: int, by: str, then: str, f: Callable, schem
                 for row in zip(*batch.columns):
                     yield dict(zip(names, (x.as_py() for x in row)))
 
-        from itertools import groupby
-
         for value, group in groupby(each(), key=lambda r: r[by]):
             for out in f(value, group):
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, kinds)], names=fields)
@@ -336,7 +346,7 @@ def _grouped(rows: DataFrame, tasks: int, by: str, then: str, f: Callable, schem
 
 
 def _window_answers(asked: DataFrame, low: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    """(block, kind, bucket, answer) of (block, bucket, keys, n): the code lengths of the windows of each block, in their order."""
+    """(block, kind, keys, answer) of (block, bucket, keys, n): the code lengths of the windows of each block."""
     spark = asked.sparkSession
     shared = spark.sparkContext.broadcast(low)  # at most 256 ** SUFFIX counts
 
@@ -371,12 +381,12 @@ def _window_answers(asked: DataFrame, low: tuple[np.ndarray, np.ndarray], bucket
                 known, cost = np.concatenate(keys), np.concatenate(cost)
                 order = np.argsort(known)
                 known, cost = known[order], cost[order]
-            yield r["block"], WINDOWS, r["bucket"], packed_values(cost[np.searchsorted(known, k)])
+            yield r["block"], WINDOWS, r["keys"], packed_values(cost[np.searchsorted(known, k)])
 
     distinct = _grouped(asked.select("bucket", "block", "keys", "n"), buckets, "bucket", "block", sums, "to int, bucket int, keys binary, n binary")
     priced = _grouped(distinct, buckets, "to", "bucket", costs, "bucket int, block long, keys binary, n binary")
     both = priced.unionByName(asked.select("bucket", "block", "keys", F.lit(None).cast("binary").alias("n")))
-    return _grouped(both, buckets, "bucket", "block", answers, "block long, kind int, bucket int, answer binary")  # nulls first
+    return _grouped(both, buckets, "bucket", "block", answers, "block long, kind int, keys binary, answer binary")  # nulls first
 
 
 def _hash_answers(asked: DataFrame, buckets: int) -> DataFrame:
@@ -400,14 +410,32 @@ def _hash_answers(asked: DataFrame, buckets: int) -> DataFrame:
     return _grouped(asked.select("bucket", "block", "kind", "keys", "n"), buckets, "bucket", "block", answers, "block long, kind int, bucket int, answer binary, types long")
 
 
-def _text_score(first: np.ndarray, stream: bytes, lengths: np.ndarray, total: np.ndarray, n: np.ndarray) -> float:
-    """log10 of the probability of a text from the code lengths of its bytes, and the counts of its phrases and their contexts."""
-    blanks = np.flatnonzero(np.frombuffer(stream, np.uint8) == 0x20)
-    own = np.add.reduceat(lengths, np.r_[0, blanks[first[1:] - 1] + 1])
+def _lengths(streams: list[bytes], keys: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The code lengths of all bytes of some texts."""
+    own = windows(streams)
+    order = np.argsort(own)
+    own = own[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    out = np.empty(len(own))
+    out[order] = np.repeat(cost[np.searchsorted(keys, own[first])], np.diff(np.append(first, len(own))))
+    return out
+
+
+def _text_scores(streams: list[bytes], hashes: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, count: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """log10 of the probability of each text from the code lengths of its bytes, and the counts of its phrases and their contexts."""
+    first, texts, context, node = phrases(hashes, sizes)
+    total, n = count(context), count(node)
+    # a token begins behind a blank or an end sign, but the end sign of a text with words
+    starts = np.ones(len(hashes), bool)
+    starts[(np.cumsum(sizes) - 1)[sizes > 1]] = False
+    at = np.zeros(len(hashes), np.int64)
+    flat = np.frombuffer(b"".join(streams), np.uint8)
+    at[starts] = np.append(0, np.flatnonzero((flat[:-1] == 0x20) | (flat[:-1] == END[0])) + 1)
+    own = np.add.reduceat(lengths, at[first])
     edge = np.where(n > 0, np.log10(np.maximum(n, 1) / (total + 1.0)), own - np.log10(total + 1.0))
-    if total[0]:
-        edge[0] = np.log10(n[0] / (2.0 * total[0])) if n[0] else own[0] - np.log10(2)
-    return float(edge.sum())
+    if len(texts) and total[texts[0]]:
+        edge[texts] = np.where(n[texts] > 0, np.log10(np.maximum(n[texts], 1) / (2.0 * total[texts])), own[texts] - np.log10(2))
+    return np.add.reduceat(edge, texts)
 
 
 def _table(keys: np.ndarray, buckets: int, answers: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -437,55 +465,46 @@ def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
     asked = blocks.where(F.col("kind") == WINDOWS)
     counted = staged(_hash_answers(blocks.where(F.col("kind").isin(WORDS, PHRASES)), buckets), "ppm-counts")
     types = counted.where((F.col("kind") == WORDS) & F.col("block").isNull()).agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
-    answered = _window_answers(asked, low, buckets).unionByName(counted.where("block is not null").drop("types"))
     floor = np.log10(train_tokens + 0.5 * (types + 1))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    rows = answered.select("block", "kind", "bucket", "answer", F.lit(None).cast("array<boolean>").alias("held"), F.lit(None).cast(f"array<{kind}>").alias("ids"))
-    rows = rows.unionByName(texts.select("block", "kind", "bucket", F.col("texts").alias("answer"), "held", "ids"))
+    empty = lambda *names: [F.lit(None).cast(t).alias(c) for c, t in (("bucket", "int"), ("keys", "binary"), ("answer", "binary"), ("held", "array<boolean>"), ("sizes", "array<long>"), ("ids", f"array<{kind}>")) if c in names]
+    order = ["block", "kind", "bucket", "keys", "answer", "held", "sizes", "ids"]
+    priced = _window_answers(asked, low, buckets).select("*", *empty("bucket", "held", "sizes", "ids")).select(order)
+    counts = counted.where("block is not null").select("block", "kind", "bucket", "answer", *empty("keys", "held", "sizes", "ids")).select(order)
+    rows = priced.unionByName(counts).unionByName(texts.select("block", "kind", F.col("texts").alias("answer"), "held", "sizes", "ids", *empty("bucket", "keys")).select(order))
     dealt = rows.repartition(min(2 * n_blocks + 1, TASKS), "block").sortWithinPartitions("block", "kind")
 
     def run(batches):
         found: dict[int, list] = {WINDOWS: [], WORDS: [], PHRASES: []}
         for batch in batches:
             for i, what in enumerate(batch.column(1).to_pylist()):
-                answer = batch.column(3)[i].as_py()
+                bucket, keys, answer = (batch.column(c)[i].as_py() for c in (2, 3, 4))
                 if what == TEXTS:
-                    yield scored(batch.column(5)[i].values, batch.column(4)[i].as_py(), zstandard.decompress(answer), found)
+                    yield from scored(batch.column(7)[i].values, batch.column(5)[i].as_py(), batch.column(6)[i].as_py(), zstandard.ZstdDecompressor().decompressobj().decompress(answer), found)
                     found = {k: [] for k in found}
+                elif what == WINDOWS:
+                    found[what].append((unpacked(keys, np.uint64, True), unpacked_values(answer)))
                 else:
-                    found[what].append((batch.column(2)[i].as_py(), unpacked_values(answer) if what == WINDOWS else unpacked(answer, np.int64)))
-
-    def scored(ids, held, data, found):
-        end = np.cumsum(np.frombuffer(data, "<u4", len(held)).astype(np.int64)) + 4 * len(held)
-        streams = [data[a:b] for a, b in zip([4 * len(held), *end[:-1].tolist()], end.tolist())]
-        texts, keys = [], {k: [] for k in found}
-        piece, size = [], 0
-        for i, stream in enumerate(streams):
-            words = stream.split()
-            words.append(END)
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-            first, phrase = phrases(hashes)
-            edges = follows(phrase)
-            texts.append((hashes, first, edges))
-            keys[WORDS].append(hashes)
-            keys[PHRASES] += edges
-            piece.append(stream)
-            size += len(stream)
-            if size > PIECE or i == len(streams) - 1:
-                keys[WINDOWS].append(_counted(windows(piece))[0])
-                piece, size = [], 0
-        tables = {k: _table(np.concatenate(keys.pop(k)), buckets, found[k]) for k in found}
+                    found[what].append((bucket, unpacked(answer, np.int64)))
+
+    def scored(ids, held, sizes, data, found):
+        ends = np.cumsum(sizes)
+        pieces = np.split(np.arange(len(held)), np.flatnonzero(np.diff(ends // PIECE)) + 1)
+        streams = [[data[ends[i] - sizes[i] : ends[i]] for i in part] for part in pieces]
+        words = list(map(tokens, streams))
+        keys, cost = (np.concatenate([x[j] for x in found[WINDOWS]]) for j in (0, 1))
+        order = np.argsort(keys)
+        keys, cost = keys[order], cost[order]
+        tables = {WORDS: _table(np.concatenate([h for h, _ in words]), buckets, found[WORDS]), PHRASES: _table(np.concatenate([x for w in words for x in phrases(*w)[2:]]), buckets, found[PHRASES])}
         look = lambda kind, x: tables[kind][1][np.searchsorted(tables[kind][0], x)]
-        out = []
-        for stream, (hashes, first, (context, node)) in zip(streams, texts):
-            own = windows([stream])
-            order = np.argsort(own)  # lookups in ascending order stay near each other in memory
-            lengths = np.empty(len(own))
-            lengths[order] = look(WINDOWS, own[order])
+        for part, texts, (hashes, n) in zip(pieces, streams, words):
             c = look(WORDS, hashes)
-            out.append((len(hashes), int((c > 0).sum()), int(train_tokens), float(np.log10(c + 0.5).sum() - len(hashes) * floor), _text_score(first, stream, lengths, look(PHRASES, context), look(PHRASES, node))))
-        columns = [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.float64()] * 2)]
-        return pa.RecordBatch.from_arrays([ids, pa.array(held, pa.bool_()), *columns], names=names)
+            begins = np.cumsum(n) - n
+            known = np.add.reduceat((c > 0).astype(np.int64), begins)
+            base = np.add.reduceat(np.log10(c + 0.5), begins) - n * floor
+            score = _text_scores(texts, hashes, n, _lengths(texts, keys, cost), lambda x: look(PHRASES, x))
+            columns = [n, known, np.full(len(n), train_tokens, np.int64), base, score]
+            yield pa.RecordBatch.from_arrays([ids.slice(part[0], len(part)), pa.array(held[part[0] : part[-1] + 1], pa.bool_()), *map(pa.array, columns)], names=names)
 
     return dealt.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
