@@ -23,14 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
 
+    ``by`` names a column by whose values the files are laid out, so that freed() can delete those of one value.
     The files are deleted when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     where, system = _located(spark, path)
     system.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
@@ -43,8 +44,11 @@ def _located(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def freed(*tables: DataFrame) -> None:
-    """Delete staged tables that no later table needs: what was made of them must have been staged itself."""
+def freed(*tables: DataFrame, part: str | None = None) -> None:
+    """Delete staged tables (or one part of them, as ``column=value``) that no later table needs.
+
+    What was made of them must have been staged itself.
+    """
     for table in tables:
-        where, system = _located(table.sparkSession, table.staged_at)
+        where, system = _located(table.sparkSession, f"{table.staged_at}/{part}" if part else table.staged_at)
         system.delete(where, True)
