@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgewren.llm.common import staged
+from sedgewren.llm.common import freed, staged
 from sedgewren.llm.shingles import STEP, scrambled
 
 ORDER, SUFFIX = 6, 3
@@ -231,7 +231,7 @@ class _Sums:
     def add(self, keys: np.ndarray, n: np.ndarray) -> None:
         self.parts.append((keys, n))
         self.open += len(keys)
-        if self.open > max(1 << 21, self.merged):
+        if self.open > max(1 << 20, self.merged // 2):
             self.result()
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +247,7 @@ class _Block:
     def __init__(self):
         self.ids, self.held, self.size, self.tokens = [], [], 0, 0
         self.sizes: list[int] = []
-        self.packer = zstandard.ZstdCompressor(3).compressobj()
+        self.packer = zstandard.ZstdCompressor(6).compressobj()
         self.packed: list[bytes] = []
         self.open: tuple[list, list] = ([], [])
         self.open_size = 0
@@ -457,13 +457,15 @@ def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
     docs = docs.select("doc_id", "text", (held if held is not None else held_out()).alias("held_out"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = min(max(BUCKETS, -(-size // BUCKET_BYTES)), MOST_BUCKETS)
-    blocks = staged(_packed_blocks(docs, buckets, max(min(BLOCK, PIECE), min(BLOCK, size // BLOCKS))), "ppm-blocks")
+    blocks = staged(_packed_blocks(docs, buckets, max(min(BLOCK, PIECE), min(BLOCK, size // BLOCKS))), "ppm-blocks", "kind")
     texts = blocks.where(F.col("kind") == TEXTS)
     train_tokens, n_blocks = texts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     pairs = texts.select(F.explode(F.arrays_zip("low_grams", "low_counts")).alias("x")).groupBy("x.low_grams").agg(F.sum("x.low_counts").alias("n")).toArrow()
     low = summed(pairs.column(0).to_numpy().astype(np.uint64), pairs.column(1).to_numpy().astype(np.int64))
     asked = blocks.where(F.col("kind") == WINDOWS)
     counted = staged(_hash_answers(blocks.where(F.col("kind").isin(WORDS, PHRASES)), buckets), "ppm-counts")
+    for kind_done in (WORDS, PHRASES):
+        freed(blocks, part=f"kind={kind_done}")
     types = counted.where((F.col("kind") == WORDS) & F.col("block").isNull()).agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
     floor = np.log10(train_tokens + 0.5 * (types + 1))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -473,7 +475,7 @@ def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
     priced = _window_answers(asked, low, buckets).select("*", *empty("bucket", "held", "sizes", "ids")).select(order)
     counts = counted.where("block is not null").select("block", "kind", "bucket", "answer", *empty("keys", "held", "sizes", "ids")).select(order)
     rows = priced.unionByName(counts).unionByName(texts.select("block", "kind", F.col("texts").alias("answer"), "held", "sizes", "ids", *empty("bucket", "keys")).select(order))
-    dealt = rows.repartition(min(2 * n_blocks + 1, TASKS), "block").sortWithinPartitions("block", "kind")
+    dealt = rows.repartition(min(4 * n_blocks + 1, TASKS), "block").sortWithinPartitions("block", "kind")
 
     def run(batches):
         found: dict[int, list] = {WINDOWS: [], WORDS: [], PHRASES: []}
@@ -491,14 +493,15 @@ def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
     def scored(ids, held, sizes, data, found):
         ends = np.cumsum(sizes)
         pieces = np.split(np.arange(len(held)), np.flatnonzero(np.diff(ends // PIECE)) + 1)
-        streams = [[data[ends[i] - sizes[i] : ends[i]] for i in part] for part in pieces]
-        words = list(map(tokens, streams))
+        streams = lambda part: [data[ends[i] - sizes[i] : ends[i]] for i in part]
+        words = [tokens(streams(part)) for part in pieces]
         keys, cost = (np.concatenate([x[j] for x in found[WINDOWS]]) for j in (0, 1))
         order = np.argsort(keys)
         keys, cost = keys[order], cost[order]
         tables = {WORDS: _table(np.concatenate([h for h, _ in words]), buckets, found[WORDS]), PHRASES: _table(np.concatenate([x for w in words for x in phrases(*w)[2:]]), buckets, found[PHRASES])}
         look = lambda kind, x: tables[kind][1][np.searchsorted(tables[kind][0], x)]
-        for part, texts, (hashes, n) in zip(pieces, streams, words):
+        for part, (hashes, n) in zip(pieces, words):
+            texts = streams(part)
             c = look(WORDS, hashes)
             begins = np.cumsum(n) - n
             known = np.add.reduceat((c > 0).astype(np.int64), begins)
