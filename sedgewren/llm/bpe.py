@@ -23,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sedgewren.llm.common import claim, with_columns
+from sedgewren.llm.common import Cache, with_columns
 
 LONG_WORD = 400
-#: Entries of a worker's word cache; beyond it the cache starts anew, so its memory is bounded.
-CACHE_WORDS = 500_000
-CACHED_LENGTH = 40
+#: Entries of a worker's word cache (some 250 bytes each).
+CACHE_WORDS = 160_000
 NO_RANK = 1 << 40
 
 
@@ -85,7 +84,7 @@ class Codec:
             self.bytes_of[i] = bytes(back[c] for c in s)
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
-        self.cache: dict[str, bytes] = _Words(self)
+        self.cache = Cache(self.word, CACHE_WORDS)
 
     def merged(self, ids: list[int]) -> list[int]:
         if len(ids) > LONG_WORD:
@@ -138,25 +137,12 @@ class Codec:
 
     def _plain(self, text: str) -> bytes:
         last = 0x7F if text.isascii() else 0xFFFF if max(text, default="") <= "￿" else 0x10FFFF
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
         return b"".join(map(self.cache.__getitem__, word_pattern_of(last).findall(text)))
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-class _Words(dict):
-    def __init__(self, codec: Codec):
-        self.codec = codec
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.codec.word(word)
-        if len(word) <= CACHED_LENGTH:
-            self[word] = ids
-        return ids
-
-
 _PATTERNS: dict[int, re.Pattern] = {}
 
 
@@ -171,7 +157,6 @@ _CODECS: dict[int, Codec] = {}
 
 def _codec(shared) -> Codec:
     """One codec for each Python worker and tokenizer file."""
-    claim("bpe", _CODECS.clear)
     source = shared.value
     key = hash(source)
     if key not in _CODECS:

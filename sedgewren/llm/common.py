@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 
 from sedgewren.sources.stage import freed, staged
 
-__all__ = ["WORD_PATTERN", "freed", "small", "staged", "table", "with_columns"]
+__all__ = ["Cache", "PIECE", "WORD_PATTERN", "freed", "small", "staged", "table", "with_columns"]
 
 #: Words are runs of anything but ASCII white space; bytes.split() cuts at exactly these six bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch, about, that a worker handles at once.
+PIECE = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,24 +31,34 @@ def with_columns(df: DataFrame, f: Callable[[pa.RecordBatch], list[pa.Array]], f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *f(batch)], names=names)
+            step = max(1, batch.num_rows * PIECE // max(1, batch.nbytes))
+            for i in range(0, batch.num_rows, step):  # in pieces, so that what is made of a batch is not held at once
+                part = batch.slice(i, step)
+                yield pa.RecordBatch.from_arrays([*part.columns, *f(part)], names=names)
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 
 
-_OWNER: list[str] = []
-_CLEAR: dict[str, Callable[[], None]] = {}
+class Cache(dict):
+    """Values by key, computed when they are missing; of ``most`` / 2 to ``most`` entries the longest unused ones go first.
 
+    Keys longer than ``longest`` are computed each time, so the cache's bytes are bounded too.
+    """
 
-def claim(owner: str, clear: Callable[[], None]) -> None:
-    """Say that a worker now runs ``owner``: what other operators left in its caches is dropped, so memory does not add up."""
-    if _OWNER != [owner]:
-        _OWNER[:] = [owner]
-        _CLEAR[owner] = clear
-        for name, f in _CLEAR.items():
-            if name != owner:
-                f()
+    def __init__(self, compute: Callable, most: int, longest: int = 40):
+        self.compute, self.half, self.longest, self.old = compute, most // 2, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:

@@ -1,7 +1,6 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text is a bag of terms: its words (cut at ASCII white space, A-Z lowered), long words in pieces of ``PIECE`` bytes, each
-with the weight 1 + ln(number of occurrences).  For every term and sample k two Gamma(2, 1) variates r, c and a uniform b
+A text is a bag of terms: its words (cut at ASCII white space, A-Z lowered), each with the weight 1 + ln(number of occurrences).  For every term and sample k two Gamma(2, 1) variates r, c and a uniform b
 come from hashes of the term.  With t = floor(ln(weight) / r + b) the term's key is c / (exp(r * (t - b)) * e^r), and the
 term of the least key, with its t, is sample k.  Two texts agree in a sample with a chance equal to the generalised
 Jaccard similarity (sum of least weights over sum of largest weights) of their bags.
@@ -26,18 +25,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedgewren.llm.common import claim, with_columns
-from sedgewren.llm.shingles import scrambled
+from sedgewren.llm.common import staged, with_columns
+from sedgewren.llm.shingles import STEP, scrambled
 
 SAMPLES = 64
-PIECE = 16
-CACHE_ROWS, KEPT_ROWS = 300_000, 150_000
+CACHE_ROWS, KEPT_ROWS = 100_000, 50_000
 #: Terms whose keys are computed at once; small enough for the processor's cache.
 STEP_ROWS = 512
 #: Rows of a neighbourhood that with_next() sorts in one piece, about.
 BUCKET_ROWS = 1000
-#: Cells of equal width that ids are counted in to form buckets.
-CELLS = 1 << 16
+#: Buckets at most; beyond it they grow, and are sorted with spill.
+MOST_BUCKETS = 1 << 16
+#: Ids that the buckets' edges are chosen from, about.
+EDGE_IDS = 250_000
 
 _K = scrambled(np.arange(1, 4 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(4, SAMPLES) | np.uint64(1)
 _MIX, _32, _48 = np.uint64(0xD6E8FEB86659FD93), np.uint64(32), np.uint64(48)
@@ -88,66 +88,51 @@ class Sampler:
         self.t = np.empty((CACHE_ROWS, SAMPLES), np.float32)
         self.hash = np.empty(CACHE_ROWS, np.uint64)
 
-    @staticmethod
-    def terms(text: bytes | None) -> Counter:
-        bag = Counter((text or b"").lower().split())
-        for w in [w for w in bag if len(w) > PIECE]:
-            n = bag.pop(w)
-            for i in range(0, len(w), PIECE):
-                bag[w[i : i + PIECE]] += n
-        return bag
-
     def fingerprints(self, texts: list[bytes | None]) -> list[str]:
         out = []
         for text in texts:
-            bag = self.terms(text)
-            if not bag:
+            hashes, n = terms(text)
+            if not len(hashes):
                 out.append("")
                 continue
-            if len(self.rows) + len(bag) > CACHE_ROWS:
+            if len(self.rows) + len(hashes) > CACHE_ROWS:
                 self.rows.shrink()
-            if len(bag) > CACHE_ROWS - KEPT_ROWS:  # a text of more terms than the table holds
-                out.append(self._alone(list(bag.items())))
+            if len(hashes) > CACHE_ROWS - KEPT_ROWS:  # a text of more terms than the table holds
+                out.append(_alone(hashes, n))
                 continue
-            at = np.fromiter(map(self.rows.__getitem__, bag.items()), np.int64, len(bag))
-            if self.rows.new:
-                self._add()
+            known = len(self.rows)
+            at = np.fromiter(map(self.rows.__getitem__, scrambled(hashes ^ (n.astype(np.uint64) * STEP)).tolist()), np.int64, len(hashes))
+            new = np.flatnonzero(at >= known)
+            for i in range(0, len(new), STEP_ROWS):
+                part = new[i : i + STEP_ROWS]
+                self.hash[at[part]] = hashes[part]
+                self.key[at[part]], self.t[at[part]] = keys(hashes[part], 1 + np.log(n[part]))
             best = at[self.key.take(at, axis=0).argmin(axis=0)]
             out.append(marks(self.hash[best], self.t[best, _AT]))
         return out
 
-    def _add(self) -> None:
-        new, at = self.rows.new, len(self.rows) - len(self.rows.new)
-        for i in range(0, len(new), STEP_ROWS):
-            part = new[i : i + STEP_ROWS]
-            end = at + i + len(part)
-            self.hash[at + i : end], weights = _hashed(part)
-            self.key[at + i : end], self.t[at + i : end] = keys(self.hash[at + i : end], weights)
-        self.rows.new = []
 
-    def _alone(self, bag: list[tuple[bytes, int]]) -> str:
-        least, t, own = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.float32), np.zeros(SAMPLES, np.uint64)
-        for i in range(0, len(bag), STEP_ROWS):
-            hashes, weights = _hashed(bag[i : i + STEP_ROWS])
-            k, s = keys(hashes, weights)
-            best = k.argmin(axis=0)
-            lower = k[best, _AT] < least
-            least, t, own = np.where(lower, k[best, _AT], least), np.where(lower, s[best, _AT], t), np.where(lower, hashes[best], own)
-        return marks(own, t)
+def terms(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of a text, and how often it has them."""
+    bag = Counter((text or b"").lower().split())
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, bag), np.uint64, len(bag)), np.fromiter(bag.values(), np.float64, len(bag))
 
 
-def _hashed(part: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w, _ in part), np.uint64, len(part)), 1 + np.log(np.array([n for _, n in part], np.float64))
+def _alone(hashes: np.ndarray, n: np.ndarray) -> str:
+    least, t, own = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.float32), np.zeros(SAMPLES, np.uint64)
+    for i in range(0, len(hashes), STEP_ROWS):
+        part = hashes[i : i + STEP_ROWS]
+        k, s = keys(part, 1 + np.log(n[i : i + STEP_ROWS]))
+        best = k.argmin(axis=0)
+        lower = k[best, _AT] < least
+        least, t, own = np.where(lower, k[best, _AT], least), np.where(lower, s[best, _AT], t), np.where(lower, part[best], own)
+    return marks(own, t)
 
 
 class _Rows(dict):
-    """Rows of the table by (term, count); new ones are queued."""
-
-    def __init__(self):
-        self.new: list[tuple[bytes, int]] = []
+    """Rows of the table by term and count; new ones are numbered on."""
 
-    def __missing__(self, x: tuple[bytes, int]) -> int:
-        self.new.append(x)
+    def __missing__(self, x: int) -> int:
         self[x] = n = len(self)
         return n
 
@@ -168,7 +153,6 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -
     place = [c for c in docs.columns if c.lower() != out.lower()].index(text)
 
     def f(batch: pa.RecordBatch) -> list[pa.Array]:
-        claim("fingerprint", _SAMPLER.clear)
         if not _SAMPLER:
             _SAMPLER.append(Sampler())
         texts, found, held, size = batch.column(place).cast(pa.binary()), [], [], 0
@@ -189,37 +173,71 @@ def likeness(a: str, b: str) -> Column:
     return F.when((F.col(a) == "") | (F.col(b) == ""), (F.col(a) == F.col(b)).cast("double")).otherwise(same / F.lit(float(SAMPLES)))
 
 
+def _listed(edges: list[str], kind: str) -> Column:
+    return F.split(F.lit("\x00".join(edges)), "\x00").cast(f"array<{kind}>")
+
+
+def _bucket(value: Column, edges: list[str], kind: str) -> Column:
+    """How many of the sorted edges are at most the value, by binary search."""
+    table = _listed(edges, kind)
+    lo, hi = lambda s: s["lo"], lambda s: s["hi"]
+    middle = lambda s: F.floor((lo(s) + hi(s)) / 2).cast("int")
+
+    def step(s, _):
+        right = F.get(table, middle(s)) <= value
+        return F.when(lo(s) < hi(s), F.struct(F.when(right, middle(s) + 1).otherwise(lo(s)).alias("lo"), F.when(right, hi(s)).otherwise(middle(s)).alias("hi"))).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(edges).bit_length() + 1)), F.struct(F.lit(0).alias("lo"), F.lit(len(edges)).alias("hi")), step, lambda s: s["lo"])
+
+
+def _own(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def with_next(docs: DataFrame, ids: DataFrame, columns: list[str], doc_id: str = "doc_id") -> DataFrame:
     """Append next_<column>: what the row of the next larger id holds there; the last row gets the first one's.
 
-    ``ids`` has the id column of the same rows, read without the others. Ids are counted in cells of equal width, and
-    runs of cells form buckets of about ``BUCKET_ROWS`` rows; each bucket also gets a copy of the first row of the next
-    bucket, so rows move once and no task sorts more than a bucket. Null ids stand last; equal ids stand in the order of
-    a hash of their columns.
+    ``ids`` has the id column of the same rows, read without the others. Ids of any ordered type are cut into ranges of about
+    ``BUCKET_ROWS`` rows at edges drawn from the ids themselves, so outliers and gaps do not matter; the row at a range's edge is
+    copied to the range before, so rows move once and no task sorts more than a range. Equal ids stand in the order of a hash of
+    their columns, and are sorted in one task, with spill. A row with a null id has no place in the order: its next row is the first one. Without any id, next is null.
     """
-    spark = docs.sparkSession
-    low, high, n = ids.agg(F.min(doc_id), F.max(doc_id), F.count("*")).first()
-    if low is None:
-        low = high = 0
-    width = (high - low) // CELLS + 1
-    cell = F.coalesce(F.floor((F.col(doc_id) - low) / width), F.lit((high - low) // width)).cast("int")
-    counts = sorted((r[0], r[1]) for r in ids.groupBy(cell.alias("cell")).count().collect())
-    bucket_of, bucket, held = [0] * ((high - low) // width + 1), 0, 0
-    for c, k in counts:
-        if held and held + k > BUCKET_ROWS:
-            bucket, held = bucket + 1, 0
-        bucket_of[c], held = bucket, held + k
-    spans = spark.createDataFrame([(c, bucket_of[c]) for c, _ in counts], "cell int, bucket int")
-    slim = ids.select(doc_id, cell.alias("cell")).join(F.broadcast(spans), "cell")
-    heads = sorted((r["bucket"], r["first"]) for r in slim.groupBy("bucket").agg(F.min(doc_id).alias("first")).collect())
-    before = [(first, heads[i - 1][0]) for i, (_, first) in enumerate(heads)]  # the first bucket's head closes the last
-    head = spark.createDataFrame(before, f"first {docs.schema[doc_id].dataType.simpleString()}, bucket int") if before else None
-    if head is None:
-        return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
-    placed = docs.withColumn("_cell", cell).join(F.broadcast(spans.withColumnsRenamed({"cell": "_cell", "bucket": "_bucket"})), "_cell").drop("_cell").withColumn("_copy", F.lit(0))
-    joined = placed.join(F.broadcast(head.withColumnsRenamed({"first": "_first", "bucket": "_before"})), F.col(doc_id).eqNullSafe(F.col("_first")), "left")
-    both = F.when(F.col("_first").eqNullSafe(F.col(doc_id)) & F.col("_before").isNotNull(), F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("c")), F.struct(F.col("_before").alias("b"), F.lit(1).alias("c")))).otherwise(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("c"))))
-    dealt = joined.withColumn("_to", F.explode(both)).select(*docs.columns, F.col("_to.b").alias("_bucket"), F.col("_to.c").alias("_copy"), F.xxhash64(*columns).alias("_tie"))
-    window = Window.partitionBy("_bucket").orderBy("_copy", F.col(doc_id).asc_nulls_last(), "_tie")
-    led = dealt.select("*", *(F.lead(c).over(window).alias(f"next_{c}") for c in columns))
-    return led.where("_copy = 0").drop("_copy", "_bucket", "_tie")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    key, n, nulls = F.col(doc_id), *ids.agg(F.count("*"), F.count(F.when(F.col(doc_id).isNull(), 1))).first()
+    sample = ids.where(key.isNotNull() & (F.pmod(F.xxhash64(key), F.lit(max(1, n // EDGE_IDS))) == 0)).unionByName(ids.agg(F.min(doc_id).alias(doc_id)).where(key.isNotNull()))
+    sample = [r[0] for r in sample.distinct().orderBy(key).select(key.cast("string")).collect()]
+    if not sample:
+        return docs.select("*", *(F.lit(None).cast(docs.schema[c].dataType).alias(f"next_{c}") for c in columns))
+    buckets = min(MOST_BUCKETS, -(-n // BUCKET_ROWS), len(sample))
+    edges = [sample[len(sample) * i // buckets] for i in range(buckets)]
+    spread = max(1, -(-nulls // BUCKET_ROWS))  # ranges of the rows without an id, behind the others
+    at, copy, tie, to = (_own(docs, c) for c in ("bucket_", "copy_", "tie_", "to_"))
+    placed = docs.withColumn(tie, F.xxhash64(*columns)).withColumn(at, F.when(key.isNull(), buckets + F.pmod(F.col(tie), F.lit(spread))).otherwise(_bucket(key, edges, kind) - 1).cast("int"))
+    is_edge = F.get(_listed(edges, kind), F.col(at)) == key
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    repeated = ids.where(F.exists(_listed(edges, kind), lambda e: e == key)).groupBy(key).count().where("count > 1").count()
+    if repeated:  # only one of the rows of an edge's id is copied
+        placed = staged(placed, "placed")
+        first = placed.where(is_edge).groupBy(at).agg(F.min_by(F.struct(*names, tie), F.col(tie)).alias(to)).select(F.col(f"{to}.*"), at)
+        placed = placed.withColumn(copy, F.lit(0)).unionByName(first.withColumn(copy, F.lit(1)))
+        is_edge = F.col(copy) == 1
+    before = F.pmod(F.col(at) - 1, F.lit(buckets))
+    heads = F.when(F.coalesce(is_edge, F.lit(False)), F.array(before)).otherwise(F.array().cast("array<int>"))
+    if nulls:
+        heads = F.when((F.col(at) == 0) & F.coalesce(is_edge, F.lit(False)), F.concat(heads, F.sequence(F.lit(buckets), F.lit(buckets + spread - 1)))).otherwise(heads)
+    copies = F.transform(heads, lambda b: F.struct(b.alias("b"), F.lit(1).alias("c")))
+    targets = F.concat(F.array(F.struct(F.col(at).alias("b"), F.lit(0).alias("c"))), copies)
+    if repeated:
+        targets = F.when(is_edge, copies).otherwise(F.array(F.struct(F.col(at).alias("b"), F.lit(0).alias("c"))))
+    dealt = placed.select(*names, tie, F.explode(targets).alias(to)).select(*names, F.col(f"{to}.b").alias(at), F.col(f"{to}.c").alias(copy), tie)
+    order = Window.partitionBy(at).orderBy(copy, key.asc_nulls_last(), tie)
+    led = {c: F.lead(c).over(order) for c in columns}
+    if nulls:
+        head = Window.partitionBy(at).orderBy(F.desc(copy), tie)
+        led = {c: F.when(key.isNull(), F.first(c).over(head)).otherwise(x) for c, x in led.items()}
+    out = dealt.select(*names, copy, *(x.alias(f"next_{c}") for c, x in led.items()))
+    return out.where(F.col(copy) == 0).drop(copy)

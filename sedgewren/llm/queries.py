@@ -38,7 +38,7 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     paired = fingerprint.with_next(fingerprint.fingerprint(docs), ids, ["text", "fingerprint"])
     cut = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.left("text", F.length("text") - cut), F.left("next_text", cut))
+    edited = F.concat(F.left("text", F.length("text") - cut), F.left(F.coalesce("next_text", F.lit("")), cut))
     marked = fingerprint.fingerprint(paired.select("doc_id", F.length("text").cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", edited.alias("edited")), "edited", "edited_fingerprint")
     return marked.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", fingerprint.likeness("fingerprint", "edited_fingerprint").alias("near_edited"), fingerprint.likeness("fingerprint", "next_fingerprint").alias("near_next"))
 

@@ -5,10 +5,6 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from sedgewren.llm.common import claim
-
-#: Entries of a worker's word cache; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S = [np.uint64(x) for x in (30, 27, 31)]
@@ -21,24 +17,10 @@ def scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S[2])
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 40:
-            self[word] = h
-        return h
-
-
-_HASHES = _Hashes()
-
-
 def word_hashes(text: bytes | None) -> np.ndarray:
     """64-bit hashes of the words of a text, A-Z lowered; words are cut at ASCII white space only."""
-    claim("shingles", _HASHES.clear)
     words = (text or b"").lower().split()
-    if len(_HASHES) > CACHE_WORDS:
-        _HASHES.clear()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:

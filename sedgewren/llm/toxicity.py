@@ -1,12 +1,18 @@
 """Toxicity scores by a weighted finite-state pattern grammar over clauses.
 
 A text is cut into tokens at ASCII white space and into clauses at sentence signs, semicolons, bars and line ends that
-close a token.  A token is mapped to the input symbols of five transducers: insult, threat, target, negation and reported
-speech.  The composed machine reads a clause from left to right: negation is remembered for ``NEAR`` tokens, a verb of
-saying turns the rest of its clause into reported speech, a target within the clause makes an insult or threat directed,
-and a threat is an intention (``will``, ``going to`` ...) followed by a verb of harm.  Each insult or threat leaves the
-machine with its weight and one of the tags plain, directed, negated or reported; a text's features are the weights of
-its clauses by tag.
+close a token.  A lexicon, a transducer over letters whose final states carry weights, maps each token to its classes: insult,
+harm, intention, target, negation, saying.  Five transducers over classes follow, each of which passes the tokens of a clause on
+and marks some of them:
+
+* reported speech: a verb of saying marks itself and the rest of its clause;
+* negation: marks the ``NEAR`` tokens behind it;
+* threat: marks a verb of harm at most ``NEAR`` tokens behind an intention (``will``, ``going to`` ...);
+* target: marks all tokens of a clause that has a target anywhere, by guessing at the start and accepting only if the guess held;
+* insult: writes a tag for each insult or threat, by its marks: reported, negated, threat, directed or plain.
+
+They are composed into one machine, whose arcs are those of the five in step.  It has one accepting path for each clause, whose tags
+and the lexicon's weights are the clause's match; a text's features are the squashed sums over its clauses, by tag.
 
 Weights come from labels.  Insults are the words of a fixed list and, learned, stems: prefixes and whole words whose
 texts are toxic far more often than not, chosen greedily by how many toxic texts they newly explain, so that the common
@@ -32,14 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedgewren.llm.common import claim, staged, with_columns
+from sedgewren.llm.common import Cache, staged, with_columns
 
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
 THRESHOLD = 0.7
 NEAR = 3
 #: Letters of the shortest and longest learned prefix.
 PREFIX = range(4, 9)
-CACHE_TOKENS = 200_000
+CACHE_TOKENS = 200_000  # some 130 bytes each
 
 # Word lists of the grammar's transducers.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown imbecile cretin bastard bitch asshole jerk pig vermin filth garbage dumbass shithead fool degenerate parasite dummkopf arschloch trottel abschaum connard imbécile salaud ordure idiota imbécil estúpido basura cabrón escoria"
@@ -54,7 +60,11 @@ TAGS = ("plain", "directed", "negated", "reported", "threat")
 DEFAULT = (np.array([2.0, 2.5, 0.3, 0.5, 2.5]), -2.0)
 _LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 _CLOSES = tuple(".!?;|")
-_INSULT, _HARM, _INTENT, _TARGET, _NOT, _SAY, _END, _TWICE = 1, 2, 4, 8, 16, 32, 64, 128
+#: Classes of tokens, marks of the transducers, and what only the scan of a text uses: clause ends and stems that count later.
+INSULT, HARM, INTENT, TARGET, NOT, SAY = (1 << i for i in range(6))
+CLASSES = 64
+REPORTED, NEGATED, THREAT, DIRECTED = (CLASSES << i for i in range(4))
+_END, _TWICE = CLASSES, 2 * CLASSES
 #: Marks a stem that counts from its second token on.
 TWICE = "+"
 
@@ -68,77 +78,195 @@ def stems(word: str) -> list[str]:
     return ["=" + word, *(word[:n] for n in PREFIX if n < len(word))]
 
 
-class Grammar:
-    """The composed transducers, with the insults' weights."""
+class Transducer:
+    """Arcs from (state, symbol read) to (symbol written, next state), a start state and final states."""
+
+    def __init__(self, start, finals: set, arcs: dict[tuple, list[tuple]]):
+        self.start, self.finals, self.arcs = start, finals, arcs
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: what this one writes, the other one reads."""
+        start = (self.start, other.start)
+        arcs, finals, found, todo = {}, set(), {start}, [start]
+        reads: dict = {}
+        for (state, x), to in self.arcs.items():
+            reads.setdefault(state, []).append((x, to))
+        while todo:
+            p, r = todo.pop()
+            if p in self.finals and r in other.finals:
+                finals.add((p, r))
+            for x, to in reads.get(p, ()):
+                out = [(z, (q, s)) for y, q in to for z, s in other.arcs.get((r, y), ())]
+                if out:
+                    arcs[(p, r), x] = out
+                for _, state in out:
+                    if state not in found:
+                        found.add(state)
+                        todo.append(state)
+        return Transducer(start, finals, arcs)
+
+    def numbered(self) -> Transducer:
+        """The same machine with small integers as states."""
+        number = {self.start: 0}
+        for (p, _), to in self.arcs.items():
+            for state in (p, *(q for _, q in to)):
+                number.setdefault(state, len(number))
+        return Transducer(0, {number[f] for f in self.finals if f in number}, {(number[p], x): [(y, number[q]) for y, q in to] for (p, x), to in self.arcs.items()})
+
+    def written(self, symbols: list[int]) -> list[list[int]]:
+        """What the accepting paths write."""
+        paths = [(self.start, [])]
+        for x in symbols:
+            paths = [(q, [*out, y]) for state, out in paths for y, q in self.arcs.get((state, x), ())]
+        return [out for state, out in paths if state in self.finals]
+
+
+def _reads(bits: int) -> range:
+    """All symbols of the classes and of the first so many marks."""
+    return range(CLASSES << bits)
+
+
+def reported_speech() -> Transducer:
+    return Transducer(0, {0, 1}, {(q, x): [(x | REPORTED, 1) if q or x & SAY else (x, 0)] for q in (0, 1) for x in _reads(0)})
+
+
+def negation(near: int = NEAR) -> Transducer:
+    """The state is the number of tokens since a negation; ``near`` + 1 stands for more."""
+    after = lambda q, x: 0 if x & NOT else min(q + 1, near + 1)
+    return Transducer(near + 1, set(range(near + 2)), {(q, x): [(x | (NEGATED if after(q, x) <= near else 0), after(q, x))] for q in range(near + 2) for x in _reads(1)})
+
+
+def threat(near: int = NEAR) -> Transducer:
+    after = lambda q, x: 0 if x & INTENT else min(q + 1, near + 1)
+    return Transducer(near + 1, set(range(near + 2)), {(q, x): [(x | (THREAT if x & HARM and after(q, x) <= near else 0), after(q, x))] for q in range(near + 2) for x in _reads(2)})
+
+
+def target() -> Transducer:
+    """State 0 has read nothing, 1 guesses that no target comes, 2 that one will, and 3 has seen it."""
+    arcs = {}
+    for x in _reads(3):
+        if x & TARGET:
+            arcs[0, x] = arcs[2, x] = arcs[3, x] = [(x | DIRECTED, 3)]
+        else:
+            arcs[0, x], arcs[1, x], arcs[2, x], arcs[3, x] = [(x, 1), (x | DIRECTED, 2)], [(x, 1)], [(x | DIRECTED, 2)], [(x | DIRECTED, 3)]
+    return Transducer(0, {0, 1, 3}, arcs)
+
+
+def insult() -> Transducer:
+    """Writes 0, or 1 + the place of a tag."""
+
+    def tag(x: int) -> int:
+        if not x & (INSULT | THREAT):
+            return 0
+        return 1 + TAGS.index("reported" if x & REPORTED else "negated" if x & NEGATED else "threat" if x & THREAT else "directed" if x & DIRECTED else "plain")
+
+    return Transducer(0, {0}, {(0, x): [(tag(x), 0)] for x in _reads(4)})
+
+
+def grammar() -> Transducer:
+    """The composition of the five transducers."""
+    machine = reported_speech()
+    for other in (negation(), threat(), target(), insult()):
+        machine = machine.then(other).numbered()
+    return machine
+
+
+class Lexicon:
+    """A transducer over the letters of a word: its final states hold classes and the weight as an insult.
+
+    A final state of a stem is open: any letters may follow. One of a whole word is not.
+    """
 
     def __init__(self, insults: dict[str, float]):
-        self.insults = insults
-        self.classes: dict[str, int] = {}
-        for bit, words in ((_HARM, HARMS), (_INTENT, INTENTIONS), (_TARGET, TARGETS), (_NOT, NEGATIONS), (_SAY, SAYINGS)):
+        self.root: dict = {}
+        for bit, words in ((HARM, HARMS), (INTENT, INTENTIONS), (TARGET, TARGETS), (NOT, NEGATIONS), (SAY, SAYINGS)):
             for w in words.split():
-                self.classes[w] = self.classes.get(w, 0) | bit
-        self.cache = _Tokens(self)
+                self._final(w, "whole", bit, 0.0)
+        for piece, weight in insults.items():
+            stem = piece.removesuffix(TWICE)
+            what = ("whole" if stem.startswith("=") else "open") + (TWICE if piece != stem else "")
+            self._final(stem.removeprefix("="), what, INSULT, weight)
+
+    def _final(self, letters: str, what: str, bits: int, weight: float) -> None:
+        state = self.root
+        for c in letters:
+            state = state.setdefault(c, {})
+        old = state.get(what, (0, 0.0))
+        state[what] = old[0] | bits, max(old[1], weight)
+
+    def read(self, word: str) -> tuple[int, float, list[tuple[str, float]]]:
+        """Classes and weight of a word, and the stems, with weights, that make it an insult from their second token on."""
+        bits, weight, later, state = 0, 0.0, [], self.root
+        for i, c in enumerate(word):
+            state = state.get(c)
+            if state is None:
+                break
+            last = i == len(word) - 1
+            for what in ("whole", "whole" + TWICE) if last else ("open", "open" + TWICE):
+                found = state.get(what)
+                if found and what.endswith(TWICE):
+                    later.append((("=" if last else "") + word[: i + 1], found[1]))
+                elif found:
+                    bits, weight = bits | found[0], max(weight, found[1])
+        return bits, weight, later
+
+
+class Grammar:
+    """The composed machine over the lexicon's classes."""
 
-    def weight(self, word: str) -> float:
-        return max((self.insults.get(s, 0.0) for s in stems(word)), default=0.0)
+    def __init__(self, insults: dict[str, float]):
+        self.lexicon = Lexicon(insults)
+        self.machine = grammar()
+        self.cache = Cache(lambda token: self.token(token)[0], CACHE_TOKENS)
 
-    def token(self, token: bytes) -> tuple[int, float, list[str]]:
-        """Input symbols of a token as bits, its weight as an insult, and its stems that count from the second token on."""
+    def token(self, token: bytes) -> tuple[int, float, list[tuple[str, float]]]:
+        """Classes of a token as bits, its weight as an insult, and its stems that count from the second token on."""
         text = token.decode("utf-8", "replace").lower()
         bits, most, twice = 0, 0.0, []
         for w in _LETTERS.findall(text):
-            most = max(most, self.weight(w))
-            bits |= self.classes.get(w, 0)
-            twice += [s for s in stems(w) if s + TWICE in self.insults]
-        return bits | _INSULT * (most > 0) | _TWICE * bool(twice) | _END * text.endswith(_CLOSES), most, twice
+            own, weight, later = self.lexicon.read(w)
+            bits, most = bits | own, max(most, weight)
+            twice += later
+        return bits | _TWICE * bool(twice) | _END * text.endswith(_CLOSES), most, twice
 
     def features(self, text: bytes | None) -> np.ndarray:
-        """Sums of the weights of a text's matches by tag."""
+        """Sums over a text's clauses of how strongly they match, by tag."""
         out = np.zeros(len(TAGS))
         read, seen = self.cache, Counter()
         if not text:
             return out
-        if len(read) > CACHE_TOKENS:
-            read.clear()
         for line in text.split(b"\n"):
             tokens = line.split()
             bits = list(map(read.__getitem__, tokens))
-            if not any(b & (_INSULT | _HARM | _TWICE) for b in bits):
-                continue
+            if not any(b & (INSULT | HARM | _TWICE) for b in bits):
+                continue  # the machine writes no tag without an insult or harm
             start = 0
             for i, b in enumerate(bits):
                 if b & _END or i == len(bits) - 1:
-                    self._clause(tokens[start : i + 1], bits[start : i + 1], seen, out)
+                    out += self._clause(tokens[start : i + 1], bits[start : i + 1], seen)
                     start = i + 1
         return out
 
-    def _clause(self, tokens: list[bytes], bits: list[int], seen: Counter, out: np.ndarray) -> None:
-        directed = any(b & _TARGET for b in bits)
-        negated = intent = -NEAR - 1
-        reported = False
+    def _clause(self, tokens: list[bytes], bits: list[int], seen: Counter) -> np.ndarray:
+        """How strongly a clause matches, by tag: many matches in one clause add little to the first ones."""
+        out = np.zeros(len(TAGS))
+        if not any(b & (INSULT | HARM | _TWICE) for b in bits):
+            return out
+        symbols, weights = [], {}
         for i, b in enumerate(bits):
-            reported |= bool(b & _SAY)
-            negated = i if b & _NOT else negated
-            intent = i if b & _INTENT else intent
-            threat = b & _HARM and i - intent <= NEAR
-            if b & (_INSULT | _TWICE) or threat:
-                _, weight, twice = self.token(tokens[i]) if b & (_INSULT | _TWICE) else (0, 1.0, [])
-                for t in set(twice):
-                    seen[t] += 1
-                    weight = max(weight, self.insults[t + TWICE] if seen[t] > 1 else 0.0)
-                tag = 3 if reported else 2 if i - negated <= NEAR else 4 if threat else 1 if directed else 0
-                out[tag] += weight
-
-
-class _Tokens(dict):
-    def __init__(self, grammar: Grammar):
-        self.grammar = grammar
-
-    def __missing__(self, token: bytes) -> int:
-        bits = self.grammar.token(token)[0]
-        if len(token) <= 40:
-            self[token] = bits
-        return bits
+            if b & (INSULT | _TWICE):
+                _, weights[i], twice = self.token(tokens[i])
+                for stem, weight in dict(twice).items():
+                    seen[stem] += 1
+                    if seen[stem] > 1:
+                        weights[i] = max(weights[i], weight)
+                b = b | INSULT if weights[i] else b
+            symbols.append(b & (CLASSES - 1))
+        (tags,) = self.machine.written(symbols)
+        for i, tag in enumerate(tags):
+            if tag:
+                out[tag - 1] += weights.get(i) or 1.0
+        return squashed(out)
 
 
 def squashed(x: np.ndarray) -> np.ndarray:
@@ -265,7 +393,6 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, name
     place = [c for c in docs.columns if c.lower() not in names].index("text")
 
     def f(batch: pa.RecordBatch) -> list[pa.Array]:
-        claim("toxicity", _SCORERS.clear)
         if token not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[token] = Scorer(*model)

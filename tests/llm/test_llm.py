@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and their defined cases."""
 
 import hashlib
+import itertools
 import zlib
 from collections import Counter
 
@@ -226,7 +227,7 @@ def test_fingerprints_collide_as_similar_as_bags_are():
         words = [b"t%d" % i for i in rng.zipf(1.5, 200) % 500]
         other = words[: rng.integers(0, 200)] + [b"u%d" % i for i in rng.integers(0, 500, 80)]
         a, b = b" ".join(words), b" ".join(other)
-        x, y = sampler.terms(a), sampler.terms(b)
+        x, y = Counter(a.split()), Counter(b.split())
         true = sum(min(weight(x[k]), weight(y[k])) for k in x | y) / sum(max(weight(x[k]), weight(y[k])) for k in x | y)
         f, g = sampler.fingerprints([a, b])
         off.append(np.mean([f[i : i + 4] == g[i : i + 4] for i in range(0, 4 * fingerprint.SAMPLES, 4)]) - true)
@@ -246,11 +247,39 @@ def test_fingerprint_cases(odd, none):
     prints = [r["fingerprint"] for r in rows]
     assert prints[0] == prints[1] == prints[9] and prints[2] == prints[3] == prints[4] == "" and prints[5] == prints[6]
     paired = fingerprint.with_next(odd.select("doc_id", "text"), odd.select("doc_id"), ["text"]).collect()
+    assert len(paired) == 10
     assert sorted((r["doc_id"] or 99, (r["text"] or "")[:4], (r["next_text"] or "")[:4]) for r in paired)[0] == (1, "one ", "ONE ")
     assert [(r["next_text"] or "")[:4] for r in paired if r["doc_id"] is None] == ["one "]
+    assert [(r["next_text"] or "")[:4] for r in paired if r["doc_id"] == 8] == ["one "]
     assert fingerprint.with_next(none, none.select("doc_id"), ["text"]).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "outlier", "equal", "date", "null"])
+def test_next_rows_of_any_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 16)
+    rng = np.random.default_rng(8)
+    ids = [int(i) for i in rng.permutation(500)]
+    if kind == "outlier":
+        ids[7] = 10**18
+    rows = [(i, f"t{i}", "mine", "mine") for i in ids]
+    if kind == "equal":  # a third of the rows has one id, some of them with equal texts
+        rows = [(250 if j % 3 == 0 else i, f"t{i // 4}", "mine", "mine") for j, (i, *_) in enumerate(rows)]
+    if kind == "null":
+        rows += [(None, f"n{j % 7}", "mine", "mine") for j in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bucket_ string, copy_ string").repartition(5)
+    if kind == "string":
+        docs = docs.withColumn("doc_id", F.concat(F.lit("é"), F.col("doc_id").cast("string")))
+    if kind == "date":
+        docs = docs.withColumn("doc_id", F.date_add(F.lit("2001-01-01").cast("date"), F.col("doc_id").cast("int")))
+    got = fingerprint.with_next(docs, docs.select("doc_id"), ["text"])
+    assert got.columns == [*docs.columns, "next_text"]
+    got = got.withColumn("tie", F.xxhash64("text")).collect()
+    assert len(got) == len(rows) and all(r["bucket_"] == r["copy_"] == "mine" for r in got)
+    order = sorted((r for r in got if r["doc_id"] is not None), key=lambda r: (r["doc_id"].encode() if kind == "string" else r["doc_id"], r["tie"]))
+    assert [r["next_text"] for r in order] == [r["text"] for r in order[1:] + order[:1]]
+    assert {r["next_text"] for r in got if r["doc_id"] is None} <= {order[0]["text"]}
+
+
 def test_toxicity(spark, odd, none):
     words = "red green blue house tree road walk slow fast over".split()
     rng, rows, labels = np.random.default_rng(7), [], []
@@ -270,15 +299,59 @@ def test_toxicity(spark, odd, none):
 
 def test_grammar_tags():
     g = toxicity.Grammar({"=idiot": 2.0, "blork" + toxicity.TWICE: 3.0})
-    tags = lambda t: dict((k, v) for k, v in zip(toxicity.TAGS, g.features(t.encode())) if v)
-    assert tags("what an idiot!") == {"plain": 2.0}
-    assert tags("you are an idiot.") == {"directed": 2.0}
-    assert tags("this is not an idiot.") == {"negated": 2.0}
-    assert tags("she said that he is an idiot.") == {"reported": 2.0}
-    assert tags("i will kill you") == {"threat": 1.0}
-    assert tags("she said it. what an idiot") == {"plain": 2.0}
-    assert tags("one blorka") == {} and tags("blorka and blorkb") == {"plain": 3.0}
-    assert tags("") == {} and not g.features(None).any()
+    tags = lambda t: {k: -np.log(1 - v) for k, v in zip(toxicity.TAGS, g.features(t.encode())) if v}
+    for text, want in (
+        ("what an idiot!", {"plain": 2.0}), ("you are an idiot.", {"directed": 2.0}), ("idiot, that is what you are", {"directed": 2.0}), ("this is not an idiot.", {"negated": 2.0}),
+        ("she said that he is an idiot.", {"reported": 2.0}), ("i will kill you", {"threat": 1.0}), ("he said i will kill you", {"reported": 1.0}), ("i will not kill you", {"negated": 1.0}),
+        ("i kill time", {}), ("she said it. what an idiot", {"plain": 2.0}), ("one blorka", {}), ("blorka and blorkb", {"plain": 3.0}), ("idiot idiot", {"plain": 4.0}), ("", {}),
+    ):
+        assert tags(text) == pytest.approx(want), text
+    assert not g.features(None).any()
+    assert g.features(b"an idiot. an idiot.")[0] > g.features(b"an idiot idiot")[0]  # two clauses say more than one
+
+
+def test_composition_equals_enumeration():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        def machine(inner, outer):
+            arcs = {(int(q), int(x)): [(int(rng.integers(outer)), int(rng.integers(3))) for _ in range(rng.integers(3))] for q in range(3) for x in range(inner)}  # noqa: B023
+            return toxicity.Transducer(0, {int(q) for q in rng.choice(3, 2)}, {k: v for k, v in arcs.items() if v})
+
+        a, b = machine(2, 3), machine(3, 4)
+        both = a.then(b).numbered()
+        for word in itertools.product(range(2), repeat=4):
+            want = sorted(z for y in a.written(list(word)) for z in b.written(y))
+            assert sorted(both.written(list(word))) == want
+
+
+def test_machine_has_one_path_and_tags_as_the_rules_say():
+    t = toxicity
+    machine = t.grammar()
+    rng = np.random.default_rng(6)
+    kinds = [0, 0, t.INSULT, t.HARM, t.INTENT, t.TARGET, t.NOT, t.SAY, t.INSULT | t.TARGET, t.HARM | t.INTENT]
+    for _ in range(3000):
+        clause = [int(x) for x in rng.choice(kinds, rng.integers(0, 9))]
+        want = []
+        for i, x in enumerate(clause):
+            near = lambda bit: any(y & bit for y in clause[max(0, i - t.NEAR) : i + 1])  # noqa: E731, B023
+            menace = x & t.HARM and near(t.INTENT)
+            name = "reported" if any(y & t.SAY for y in clause[: i + 1]) else "negated" if near(t.NOT) else "threat" if menace else "directed" if any(y & t.TARGET for y in clause) else "plain"
+            want.append(1 + t.TAGS.index(name) if x & t.INSULT or menace else 0)
+        assert machine.written(clause) == [want]
+
+
+def test_negated_and_reported_insults_decide_otherwise(spark):
+    rng, filler = np.random.default_rng(2), "red green blue house tree road walk slow fast over".split()
+    rows, labels = [], []
+    frames = [("what an idiot", 1), ("you are an idiot", 1), ("this is not an idiot", 0), ("she said that is an idiot", 0), ("i will kill you", 1), ("we walk over", 0)]
+    for i in range(900):
+        frame, toxic = frames[i % len(frames)]
+        words = [" ".join(rng.choice(filler, 8)) for _ in range(3)]
+        rows.append((i, f"{words[0]}. {frame}. {words[1]}. {words[2]}."))
+        labels.append((i, 1, toxic))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = toxicity.score(docs, marks).where(toxicity.held_out()).join(marks, "doc_id").collect()
+    assert len(out) > 200 and all(r["predicted"] == r["toxic"] for r in out)
 
 
 def test_toxicity_on_held_out_rows(spark):
