@@ -61,6 +61,9 @@ class Cache(dict):
         return value
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """Mark a staged table for broadcast if it has at most ``rows`` rows (its files tell); beyond that it is shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """Mark a staged table for broadcast if its values take at most ``most`` bytes; beyond that it is shuffled."""
+    wide = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    fixed = sum(8 if f.name in wide else 16 for f in df.schema) + 16
+    rows, more = df.agg(F.count("*"), sum((F.coalesce(F.sum(F.octet_length(f"`{c}`")), F.lit(0)) for c in wide), F.lit(0))).first()
+    return F.broadcast(df) if rows * fixed + more <= most else df

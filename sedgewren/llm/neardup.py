@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewren.llm.common import small, staged
+from sedgewren.llm.common import PIECE, freed, small, staged
 from sedgewren.llm.graph import components
 from sedgewren.llm.shingles import STEP, scrambled, shingle_set
 
@@ -105,16 +105,21 @@ def _sketched(docs: DataFrame, percent: int, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, key binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, lows: DataFrame, width: int) -> DataFrame:
-    """(key, set) of the documents whose ids are in ``lows``."""
+def _sets(docs: DataFrame, classes: DataFrame, width: int, repeated: bool) -> DataFrame:
+    """(cid, set) of classes (cid, key, low); ``repeated`` says that some of their least ids occur in several rows."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(x.as_py(), width).tobytes() for x in batch.column(0).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.large_binary() if sum(map(len, sets)) > 1 << 30 else pa.binary())], names=["key", "set"])
+            step = max(1, batch.num_rows * PIECE // max(1, batch.nbytes))
+            for i in range(0, batch.num_rows, step):
+                sets = [shingle_set(x.as_py(), width).tobytes() for x in batch.column(0).slice(i, step).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.large_binary() if sum(map(len, sets)) > 1 << 30 else pa.binary())], names=["key", "set"])
 
+    lows = small(staged(classes.select("low").distinct(), "lows"))
     texts = docs.select("doc_id", "text").join(lows, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
-    return texts.select("text").mapInArrow(run, "key binary, set binary").dropDuplicates(["key"])
+    sets = texts.select("text").mapInArrow(run, "key binary, set binary")
+    sets = sets.dropDuplicates(["key"]) if repeated else sets
+    return sets.join(small(staged(classes.select("cid", "key"), "keys")), "key").select("cid", "set")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -176,7 +181,7 @@ def _block_links(sets: list[np.ndarray], parts: list, percent: int, apart: np.nd
     return links, [root(x) for x in own]
 
 
-def _by_block(rows: DataFrame, f, schema: str) -> DataFrame:
+def _by_block(rows: DataFrame, f, names_out: tuple[str, str]) -> DataFrame:
     """Apply ``f(list of rows)`` to the rows of each block; rows come sorted, so a task holds one block at a time."""
     names = rows.columns
     rows = rows.repartition("block").sortWithinPartitions("block")
@@ -193,35 +198,34 @@ def _by_block(rows: DataFrame, f, schema: str) -> DataFrame:
                 row["set"] = np.frombuffer(row["set"], np.uint64)
                 held.append(row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], names=fields)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=list(names_out))
         if held and (out := f(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], names=fields)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=list(names_out))
 
-    fields = [x.split()[0] for x in schema.split(", ")]
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names_out))
 
 
-def _labels(candidates: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(key, label) of the candidate classes that exact verification joined."""
+def _labels(candidates: DataFrame, groups: DataFrame, sets_of, percent: int) -> DataFrame:
+    """(cid, label) of the candidate classes that exact verification joined; ``sets_of`` gives the sets of classes."""
 
     def whole(held):
-        links, parts = _block_links([r["set"] for r in held], [r["key"] for r in held], percent)
-        least: dict[int, bytes] = {}
+        links, parts = _block_links([r["set"] for r in held], [r["cid"] for r in held], percent)
+        least: dict[int, int] = {}
         for r, p in zip(held, parts):
-            least[p] = min(least.get(p, r["key"]), r["key"])
-        return [(r["key"], least[p]) for r, p in zip(held, parts)] if links else []
+            least[p] = min(least.get(p, r["cid"]), r["cid"])
+        return [(r["cid"], least[p]) for r, p in zip(held, parts)] if links else []
 
     def star(held):
-        pivot = next((r["set"] for r in held if r["key"] == r["pivot"]), None)
+        pivot = next((r["set"] for r in held if r["cid"] == r["pivot"]), None)
         if pivot is None:
             return []
         out = []
         for r in held:
             s = r["set"]
-            if r["key"] != r["pivot"] and 100 * min(len(s), len(pivot)) >= percent * max(len(s), len(pivot)):
+            if r["cid"] != r["pivot"] and 100 * min(len(s), len(pivot)) >= percent * max(len(s), len(pivot)):
                 both = len(np.intersect1d(s, pivot, assume_unique=True))
                 if 100 * both >= percent * (len(s) + len(pivot) - both):
-                    out.append((r["pivot"], r["key"]))
+                    out.append((r["pivot"], r["cid"]))
         return out
 
     def rest(held):
@@ -229,32 +233,33 @@ def _labels(candidates: DataFrame, sets: DataFrame, groups: DataFrame, percent:
         side = np.array([r["side"] for r in held])
         apart = None if inside else side[:, None] != side[None, :]
         links, _ = _block_links([r["set"] for r in held], [r["part"] for r in held], percent, apart)
-        return [(held[i]["key"], held[j]["key"]) for i, j in links]
+        return [(held[i]["cid"], held[j]["cid"]) for i, j in links]
 
-    few = groups.where(F.col("n") <= BLOCK).select(F.col("label").alias("block"), F.col("node").alias("key"))
-    labels = _by_block(few.join(sets, "key").select("block", "key", "set"), whole, "key binary, label binary")
+    few = groups.where(F.col("n") <= BLOCK).select(F.col("label").alias("block"), F.col("node").alias("cid"))
+    labels = staged(_by_block(sets_of(few.select("cid")).join(few, "cid").select("block", "cid", "set"), whole, ("cid", "label")), "labels")
     many = groups.where(F.col("n") > BLOCK)
     if many.isEmpty():
         return labels
     many = staged(many, "large-groups")
-    pairs = candidates.join(many.select(F.col("node").alias("key"), F.col("label").alias("gid"), "n"), "key")
-    pairs = staged(pairs.select("band", "key", "pivot", "gid", "n"), "large-bands")
-    beams = pairs.where(F.col("key") != F.col("pivot")).select("pivot", "key").distinct()
+    sets = staged(sets_of(many.select(F.col("node").alias("cid"))), "sets")
+    pairs = staged(candidates.join(many.select(F.col("node").alias("cid"), F.col("label").alias("gid"), "n"), "cid").select("band", "cid", "pivot", "gid", "n"), "large-bands")
+    beams = pairs.where(F.col("cid") != F.col("pivot")).select("pivot", "cid").distinct()
     counts = beams.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
-    salted = beams.join(counts, "pivot").withColumn("salt", F.pmod(F.xxhash64("key"), "salts"))
-    centres = counts.select("pivot", F.col("pivot").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    blocks = salted.select("pivot", "key", "salt").unionByName(centres).join(sets, "key").select(F.struct("pivot", "salt").alias("block"), "pivot", "key", "set")
-    links = staged(_by_block(blocks, star, "a binary, b binary"), "beams")
+    salted = beams.join(counts, "pivot").withColumn("salt", F.pmod(F.xxhash64("cid"), "salts"))
+    centres = counts.select("pivot", F.col("pivot").alias("cid"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    blocks = salted.select("pivot", "cid", "salt").unionByName(centres).join(sets, "cid").select(F.struct("pivot", "salt").alias("block"), "pivot", "cid", "set")
+    links = staged(_by_block(blocks, star, ("a", "b")), "beams")
     part = staged(components(links), "parts")
-    placed = pairs.join(part.select(F.col("node").alias("key"), F.col("label").alias("part")), "key", "left").withColumn("part", F.coalesce("part", "key"))
-    placed = placed.select(F.when(F.col("n") <= WHOLE_GROUP, F.col("gid")).otherwise(F.encode(F.col("band").cast("string"), "UTF-8")).alias("g"), "key", "part").distinct()
+    placed = pairs.join(part.select(F.col("node").alias("cid"), F.col("label").alias("part")), "cid", "left").withColumn("part", F.coalesce("part", "cid"))
+    placed = placed.select(F.when(F.col("n") <= WHOLE_GROUP, F.struct(F.lit(0).alias("kind"), F.col("gid").alias("id"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("band").alias("id"))).alias("g"), "cid", "part").distinct()
     open_ = placed.groupBy("g").agg(F.count("*").alias("m"), F.min("part").alias("first"), F.max("part").alias("last")).where(F.col("first") != F.col("last"))
     open_ = placed.join(open_.select("g", F.ceil(F.col("m") / BLOCK).alias("blocks")), "g")
-    open_ = open_.withColumn("own", F.pmod(F.xxhash64("key"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    open_ = open_.join(sets, "key").select(F.struct("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("block"), "key", "part", "set", (F.col("own") < F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("inside"))
-    found = _by_block(open_, rest, "a binary, b binary")
-    joined = components(links.unionByName(found))
-    return labels.unionByName(joined.select(F.col("node").alias("key"), "label"))
+    open_ = open_.withColumn("own", F.pmod(F.xxhash64("cid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    open_ = open_.join(sets, "cid").select(F.struct("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("block"), "cid", "part", "set", (F.col("own") < F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("inside"))
+    found = staged(_by_block(open_, rest, ("a", "b")), "rest")
+    joined = staged(components(links.unionByName(found)).select(F.col("node").alias("cid"), "label"), "large-labels")
+    freed(sets, pairs, links, found, part)
+    return labels.unionByName(joined)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -263,17 +268,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     Two documents are linked if 100 * size of the intersection >= percent * size of the union of their shingle sets.
     """
     rows = staged(_sketched(docs, percent, width), "sketches")
-    classes = staged(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands")), "classes")
-    members = classes.select("key", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("pivot")).where("n > 1")
-    candidates = staged(members.join(shared.select("band", "pivot"), "band"), "candidates")
-    nodes = components(candidates.select(F.col("pivot").alias("a"), F.col("key").alias("b")))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
+    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    members = classes.select("cid", F.explode("bands").alias("band"))
+    shared = small(staged(members.groupBy("band").agg(F.count("*").alias("n"), F.min("cid").alias("pivot")).where("n > 1").select("band", "pivot"), "shared"))
+    candidates = staged(members.join(shared, "band").select("band", "cid", "pivot"), "candidates")
+    nodes = staged(components(candidates.select(F.col("pivot").alias("a"), F.col("cid").alias("b"))), "nodes")
     sizes = nodes.groupBy("label").agg(F.count("*").alias("n"))
     groups = staged(nodes.join(sizes, "label"), "groups")
-    lows = small(staged(classes.join(groups.select(F.col("node").alias("key")), "key", "left_semi").select("low"), "lows"))
-    sets = staged(_sets(docs, lows, width), "sets")
-    labels = staged(_labels(candidates, sets, groups, percent), "labels")
-    known = classes.select("key", "low").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    freed(nodes)
+    in_groups = classes.select("cid", "key", "low").join(groups.select(F.col("node").alias("cid")), "cid", "left_semi")
+    repeated = not rows.select("doc_id").join(in_groups.select(F.col("low").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").count().where("count > 1").isEmpty() or not rows.where("doc_id is null").isEmpty()
+    sets_of = lambda some: _sets(docs, classes.select("cid", "key", "low").join(some, "cid", "left_semi"), width, repeated)
+    labels = staged(_labels(candidates, groups, sets_of, percent), "labels")
+    freed(candidates, groups)
+    known = classes.select("cid", "key", "low").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = known.groupBy("label").agg(F.min("low").alias("component_id"))
     of_class = known.join(least, "label").select("key", "component_id")
     out = rows.select("doc_id", "n_shingles", "key").join(of_class, "key", "left")
