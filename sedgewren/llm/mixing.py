@@ -3,14 +3,15 @@
 Every source has a word budget.  Whole passes over the source are taken first; what remains of the budget is fitted by
 choosing documents: documents are counted by exact length, each length gives its share rounded down, and a bounded
 knapsack over the documents left, counted by length, finds the choice that comes nearest to the rest of the budget.
-Which documents of a length are chosen is decided by a seeded hash of their ids, so reruns agree.
+Which documents of a length are chosen is decided by a seeded hash of their rows, so reruns agree.
 
 Nothing here gathers a source in one task: lengths are counted in hash buckets of a few thousand documents, the knapsack
 sees one row for each distinct length of a source, and only the one bucket of a length that is taken in part is ranked.
 
 Defined cases: null text has size 0, and documents of size 0 are never taken (nor do they need to be); the null source
 is a source of its own and stands last; a source without words has target 0; repeated rows are documents of their own
-and count each time; a null doc_id hashes as null; an empty table gives an empty result.
+and count each time; a null doc_id is a value like any other; an empty table gives an empty result.  Any number of sources:
+they are numbered by ranges and shared out by aggregates, and joined by a shuffle where they are too many to send.
 """
 
 from __future__ import annotations
@@ -33,22 +34,40 @@ def word_count(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def share_out(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
-    """Share ``total`` by weight; shares stop at ``most`` times the size, and the excess goes to the others by weight."""
-    targets = [0.0] * len(sizes)
-    open_, left = list(range(len(sizes))), float(total)
-    while open_:
-        w = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / w > most * sizes[i]]
-        if not over:
-            for i in open_:
-                targets[i] = left * weights[i] / w
+def shared_out(sources: DataFrame, weights: list[float], most: float) -> DataFrame:
+    """Append target to (place, source_size): all sizes shared by weight, which repeat by place; a share stops at ``most`` times
+    the size, and the excess goes to the others by weight.
+
+    Each round is one aggregate over the sources: those that the share of the round would take above their bound are bounded.
+    """
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("place") % len(weights) + 1).cast("int"))
+    sources = sources.withColumn("_weight", weight)
+    bound, size = F.lit(float(most)) * F.col("source_size"), F.col("source_size")
+    total, all_of = sources.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum("_weight"), F.lit(0.0))).first()
+    left, by, bounded = float(total), all_of, -1
+    while by:
+        over = F.lit(left) * F.col("_weight") / F.lit(by) > bound
+        n, taken, rest = sources.agg(F.coalesce(F.sum(over.cast("long")), F.lit(0)), F.coalesce(F.sum(F.when(over, size)), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("_weight"))), F.lit(0.0))).first()
+        if n == bounded or not n:
             break
-        for i in over:
-            targets[i] = float(most * sizes[i])
-        left -= sum(most * sizes[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
-    return targets
+        bounded, left, by = n, float(total - most * taken), rest
+    share = F.lit(left) * F.col("_weight") / F.lit(by) if by else bound
+    return sources.withColumn("target", F.least(share, bound)).drop("_weight")
+
+
+def placed_sources(sizes: DataFrame, source: str) -> DataFrame:
+    """Number the sources in code-point order, null last, without gathering them."""
+    key = F.col(source)
+    tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = sizes.repartitionByRange(tasks, key.isNull(), key).sortWithinPartitions(key.isNull(), key)
+    ranged = staged(ranged.withColumn("_row", F.monotonically_increasing_id()), "mix-sources")
+    part = F.shiftright("_row", 33)
+    before, first = 0, []
+    for r in sorted(ranged.groupBy(part.alias("p")).count().collect()):  # one row for each task
+        first += [F.lit(r["p"]), F.lit(before)]
+        before += r["count"]
+    offset = F.element_at(F.create_map(*first), part) if first else F.lit(0)
+    return ranged.withColumn("place", (offset + F.col("_row") - F.shiftleft(part, 33)).cast("long")).drop("_row")
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -105,42 +124,40 @@ def mix(docs: DataFrame, size: str, weights: list[float], most: int = 3, seed: i
 
     The sources, in code-point order with null last, have ``weights``, repeated as needed; ``most`` bounds both a
     source's target and a document's repeats.  ``docs`` is written to the shared folder once, so pass slim columns.
+    Columns of the three names are replaced; all others pass through, whatever their names.
     """
     docs = docs.drop("source_size", "target", "taken")
-    kept = staged(docs.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(size))), "mix")
-    histogram = staged(kept.groupBy(source, size).agg(F.count("*").alias("_count")), "mix-lengths")
-    per_source = histogram.groupBy(source).agg(F.sum(F.col(size) * F.col("_count")).alias("source_size"))
-    listed = sorted(((r[0], int(r[1])) for r in per_source.collect()), key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    sizes = [s for _, s in listed]
-    targets = share_out(sizes, [weights[i % len(weights)] for i in range(len(sizes))], sum(sizes), most)
-    kind = docs.schema[source].dataType.simpleString()
-    plan = docs.sparkSession.createDataFrame(
-        [(s, n, t, int(t // n) if n else 0, round(t - int(t // n) * n) if n else 0) for (s, n), t in zip(listed, targets)],
-        f"_source {kind}, source_size long, target double, _passes int, _rest long",
-    )
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    # the caller's columns travel in one, so no name of this plan can clash with theirs
+    kept = docs.select(F.struct(*names).alias("row"), F.col(source).alias("source"), F.col(size).cast("long").alias("size"), F.xxhash64(F.lit(seed), *names).alias("hash"))
+    kept = staged(kept, "mix")
+    histogram = staged(kept.groupBy("source", "size").agg(F.count("*").alias("count")), "mix-lengths")
+    sizes = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("source_size"))
+    plan = staged(shared_out(placed_sources(sizes, "source"), weights, most), "mix-plan")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    plan = plan.withColumn("passes", whole.cast("int")).withColumn("rest", F.when(F.col("source_size") > 0, F.rint(F.col("target") - F.col("passes") * F.col("source_size"))).otherwise(0).cast("long"))
+    plan = small(staged(plan.withColumnRenamed("source", "planned"), "mix-quotas"))
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         # a source's lengths, one row each: at most about the square root of twice its words
-        return group.assign(_more=fit(group["_size"].to_numpy(), group["_count"].to_numpy(), int(group["_rest"].iloc[0])))[["_at", "_size", "_more"]]
-
-    plan = plan.withColumn("_at", F.monotonically_increasing_id())
-    plan = staged(plan, "mix-plan")
-    on = F.col(source).eqNullSafe(F.col("_source"))
-    chosen = histogram.join(F.broadcast(plan), on).select("_at", F.col(size).cast("long").alias("_size"), "_count", "_rest").where("_rest > 0 and _size > 0").groupBy("_at").applyInPandas(choose, "_at long, _size long, _more long")
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("_count") / BUCKET_ROWS)).cast("long")
-    quota = histogram.join(F.broadcast(plan), on).withColumn("_size", F.col(size).cast("long")).join(chosen, ["_at", "_size"], "left").select("_at", "_size", "source_size", "target", "_passes", F.coalesce("_more", F.lit(0)).alias("_more"), buckets.alias("_buckets"))
+        return group.assign(more=fit(group["size"].to_numpy(), group["count"].to_numpy(), int(group["rest"].iloc[0])))[["place", "size", "more"]]
+
+    on = F.col("source").eqNullSafe(F.col("planned"))
+    lengths = histogram.join(plan, on).drop("source", "planned")
+    chosen = lengths.select("place", "size", "count", "rest").where("rest > 0 and size > 0").groupBy("place").applyInPandas(choose, "place long, size long, more long")
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("count") / BUCKET_ROWS)).cast("long")
+    quota = lengths.join(chosen, ["place", "size"], "left").select("place", "size", "source_size", "target", "passes", F.coalesce("more", F.lit(0)).alias("more"), buckets.alias("buckets"))
     quota = small(staged(quota, "mix-quota"))
-    placed = kept.withColumn("_size", F.col(size).cast("long")).join(F.broadcast(plan.select("_source", "_at")), on).drop("_source")
-    placed = placed.join(quota, ["_at", "_size"]).withColumn("_bucket", F.pmod("_hash", "_buckets"))
-    before = Window.partitionBy("_at", "_size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    part = placed.where("_more > 0").groupBy("_at", "_size", "_bucket").agg(F.count("*").alias("_n"), F.first("_more").alias("_quota")).withColumn("_quota", F.col("_quota") - F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    split = part.where("_quota > 0 and _quota < _n").select("_at", "_size", F.col("_bucket").alias("_edge"), "_quota")
+    dealt = kept.join(plan.select("planned", "place"), on).drop("planned", "source").join(quota, ["place", "size"]).withColumn("bucket", F.pmod("hash", "buckets"))
+    before = Window.partitionBy("place", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    part = dealt.where("more > 0").groupBy("place", "size", "bucket").agg(F.count("*").alias("n"), F.first("more").alias("quota")).withColumn("quota", F.col("quota") - F.coalesce(F.sum("n").over(before), F.lit(0)))
+    split = part.where("quota > 0 and quota < n").select("place", "size", F.col("bucket").alias("edge"), "quota")
     # without a bucket taken in part, all buckets whose predecessors leave something of the quota are taken whole
-    whole = part.where("_quota >= _n").groupBy("_at", "_size").agg(F.max("_bucket").alias("_last"))
-    split = small(staged(split.join(whole, ["_at", "_size"], "full"), "mix-edges"))
-    edge = placed.join(split, ["_at", "_size"], "left")
-    inside = F.coalesce(F.col("_bucket") == F.col("_edge"), F.lit(False))
-    ranked = edge.where(inside).withColumn("_rank", F.row_number().over(Window.partitionBy("_at", "_size").orderBy("_hash", doc_id))).withColumn("_extra", (F.col("_rank") <= F.col("_quota")).cast("int"))
-    others = edge.where(~inside).withColumn("_extra", F.coalesce((F.col("_bucket") <= F.col("_last")).cast("int"), F.lit(0)))
-    columns = [*(F.col(f"`{c}`") for c in docs.columns), F.col("source_size"), F.col("target"), (F.col("_size") * (F.col("_passes") + F.col("_extra"))).alias("taken")]
+    full = part.where("quota >= n").groupBy("place", "size").agg(F.max("bucket").alias("last"))
+    split = small(staged(split.join(full, ["place", "size"], "full"), "mix-edges"))
+    edge = dealt.join(split, ["place", "size"], "left")
+    inside = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
+    ranked = edge.where(inside).withColumn("rank", F.row_number().over(Window.partitionBy("place", "size").orderBy("hash", F.col(f"row.`{doc_id}`")))).withColumn("extra", (F.col("rank") <= F.col("quota")).cast("int"))
+    others = edge.where(~inside).withColumn("extra", F.coalesce((F.col("bucket") <= F.col("last")).cast("int"), F.lit(0)))
+    columns = ["row.*", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("extra"))).alias("taken")]
     return ranked.select(*columns).unionByName(others.select(*columns))

@@ -165,7 +165,7 @@ def test_mixing_query(spark):
     sums = got.groupby("source").agg(size=("size", "sum"), told=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"))
     assert (sums["size"] == sums.told).all() and abs(sums.target.sum() - sums["size"].sum()) < 1e-6
     names = sorted(sums.index, key=str.encode)
-    want = mixing.share_out([int(sums["size"][n]) for n in names], [[5, 2, 1][i % 3] for i in range(len(names))], int(sums["size"].sum()), 3)
+    want = share_out([int(sums["size"][n]) for n in names], [[5, 2, 1][i % 3] for i in range(len(names))], int(sums["size"].sum()), 3)
     assert np.allclose([sums.target[n] for n in names], want)
     assert (got.taken <= 3 * got["size"]).all() and (abs(sums.taken - sums.target) <= np.maximum(30, 0.05 * sums.target)).all()
     again = queries.op3_mixing(spark, DATA).toPandas()
@@ -188,14 +188,38 @@ def test_budget_fit_is_exact_where_it_can_be():
         assert abs(int((chosen * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
 
 
-def test_targets():
-    assert mixing.share_out([10, 10, 80], [5, 2, 1], 100, 3) == [30, 30, 40]
-    assert mixing.share_out([0, 0], [5, 2], 0, 3) == [0, 0]
+def share_out(sizes, weights, total, most):
+    """Shares by weight that stop at a multiple of the size, the excess going to the others, one list at a time."""
+    targets, open_, left = [0.0] * len(sizes), list(range(len(sizes))), float(total)
+    while open_:
+        over = [i for i in open_ if left * weights[i] / sum(weights[j] for j in open_) > most * sizes[i]]
+        if not over:
+            for i in open_:
+                targets[i] = left * weights[i] / sum(weights[j] for j in open_)
+            break
+        for i in over:
+            targets[i] = float(most * sizes[i])
+            left -= targets[i]
+        open_ = [i for i in open_ if i not in over]
+    return targets
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets(spark, seed):
+    rng = np.random.default_rng(seed)
+    sizes = {f"s{i}é" if i % 7 else (None if i else "Z"): int(x) for i, x in enumerate(rng.integers(0, 10 ** rng.integers(1, 5), [1, 3, 40, 300][seed]))}
+    rows = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long")
+    got = mixing.shared_out(mixing.placed_sources(rows, "source"), [5, 2, 1], 3).orderBy("place").collect()
+    names = sorted(sizes, key=lambda x: (x is None, (x or "").encode()))
+    assert [r["source"] for r in got] == names and [r["place"] for r in got] == list(range(len(names)))
+    assert np.allclose([r["target"] for r in got], share_out([sizes[n] for n in names], [[5, 2, 1][i % 3] for i in range(len(names))], sum(sizes.values()), 3))
 
 
 def test_mixing_cases(spark, odd, none):
-    docs = odd.select("doc_id", "source", mixing.word_count().alias("size"), "taken")
+    clashing = [F.lit("mine").alias(c) for c in ("hash", "row", "place", "bucket", "_hash", "_size", "count", "rank")]
+    docs = odd.select("doc_id", "source", mixing.word_count().alias("size"), "taken", *clashing)
     rows = mixing.mix(docs, "size", [5, 2, 1]).collect()
+    assert all(r[c] == "mine" for r in rows for c in ("hash", "row", "place", "bucket", "_hash", "_size", "count", "rank"))
     assert len(rows) == 10 and all(r["taken"] <= 3 * r["size"] for r in rows)
     assert {r["source"]: r["source_size"] for r in rows} == {"a": 23, "b": 10, "c": 60001, None: 0}
     assert mixing.mix(none.select("doc_id", "source", F.lit(0).alias("size")), "size", [5, 2, 1]).count() == 0
