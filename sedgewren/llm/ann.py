@@ -4,8 +4,10 @@ A unit vector is approximated by the sum of one full-dimensional codeword from e
 fitted to residuals, one after the other, on at most ``SAMPLE`` vectors chosen by a hash of their ids; every vector is then
 encoded by a beam search that keeps the ``BEAM`` best sums over the codebooks so far.  Codes and the norm of the sum are
 stored.  A query's products with all codewords form a table; a candidate's score is the sum of ``BOOKS`` table entries over
-the stored norm, and the ``DEPTH`` best of each block of candidates are reranked by the exact cosine, with all whose score
-equals that of the last of them.  Equal codes have equal scores, so no choice among them is left to chance.
+the stored norm, and a query's ``DEPTH`` best of all candidates are reranked by the exact cosine, with all whose score
+equals that of the last of them, so the number of pairs that are reranked does not grow with the table.  Equal codes have equal
+scores, so no choice among them is left to chance.  Cosines are formed of vectors scaled by powers of two, which changes none of
+their digits, so that squares of very large or small components stay finite.
 
 Equal vectors are one candidate, which takes one place of the depth and stands for its ``k`` + 1 smallest ids.
 
@@ -13,9 +15,10 @@ Codes (a few per cent of the vectors' bytes) lie in blocks of about ``BLOCK`` ro
 of queries meets each block of codes in one row of a join on the code block's number. Only the best candidates leave a task.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, neither as query nor as
-candidate, nor do rows of a null id; vectors of another length than the commonest take no part; with fewer candidates than
-``k`` all are returned; ties go to the smaller id; repeated rows are candidates of their own; a query's own row (its id) is no
-candidate; an empty table gives an empty result.
+candidate, nor do rows of a null id; vectors of each length are searched among themselves; with fewer candidates than
+``k`` all are returned; ties go to the smaller id; repeated rows are candidates of their own, and of query rows that repeat an id the
+least vector is asked for; a query's own row (its id) is no candidate; an empty table gives an empty result; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -82,24 +85,24 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes, norms
 
 
-def best_of_block(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of queries and of their candidates with the ``depth`` best approximate cosines, and of those equal to the last."""
+def best_of_block(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and of their candidates with the ``depth`` best approximate cosines, and of those equal to the last, and these cosines."""
     table = np.einsum("qd,mwd->mwq", queries.astype(np.float32), books).astype(np.float32)
     scores = np.zeros((len(codes), len(queries)), np.float32)
     for j in range(len(books)):
         scores += table[j][codes[:, j]]
     scores /= np.maximum(norms, 1e-6)[:, None]
     least = np.partition(scores, len(codes) - depth, axis=0)[len(codes) - depth] if depth < len(codes) else -np.inf
-    return np.nonzero((scores >= least).T)
+    asking, best = np.nonzero((scores >= least).T)
+    return asking, best, scores[best, asking]
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(id, v) with v in double precision, of the rows that take part."""
+    """(id, v, d) with v in double precision and d its length, of the rows that take part."""
     e = F.col(embedding)
     fine = e.isNotNull() & F.col(vec_id).isNotNull() & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.where(F.coalesce(fine, F.lit(False))).select(F.col(vec_id).cast("long").alias("id"), F.transform(e.cast("array<double>"), lambda x: x + F.lit(0.0)).alias("v"))  # no negative zeros
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (sizes["d"] if sizes else 0))
+    return rows.withColumn("d", F.size("v"))
 
 
 def _blocks(rows: DataFrame, number: Column, f, schema: str) -> DataFrame:
@@ -135,20 +138,33 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def scaled(v: Column) -> Column:
+    """A vector times the power of two that brings its largest component near 1."""
+    power = F.least(F.greatest(-F.floor(F.log2(F.array_max(F.transform(v, F.abs)))), F.lit(-1022)), F.lit(1023)).cast("double")
+    return F.transform(v, lambda x: x * F.pow(F.lit(2.0), power))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, depth: int = DEPTH) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for each query row, nearest first.
 
     ``is_query`` is a condition over the column id.
     """
-    spark = vectors.sparkSession
     rows = usable(vectors)
+    found = None
+    for (d,) in rows.select("d").distinct().orderBy("d").collect():  # one length, as a rule
+        part = _search(rows.where(F.col("d") == d).drop("d"), is_query, k, depth)
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(rows: DataFrame, is_query: Column, k: int, depth: int) -> DataFrame:
+    """The search among vectors of one length."""
+    spark = rows.sparkSession
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # a bounded sample
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     books = fit_codebooks(unit(np.array([r["v"] for r in sample])))
     d = books.shape[2]
     shared = spark.sparkContext.broadcast(books)
-    queries = rows.where(is_query)
+    queries = staged(rows.where(is_query).groupBy("id").agg(F.min("v").alias("v")), "queries")
     query_blocks = max(1, -(-queries.count() // QUERIES))
     keyed = rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
 
@@ -199,16 +215,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, depth: int = DEPTH)
                 packed = np.frombuffer(cc.as_py(), np.uint8).reshape(len(ids), width)
                 codes, norms = packed[:, :-4], np.ascontiguousarray(packed[:, -4:]).view(np.float32)[:, 0]
                 for a in range(0, len(q), 64):
-                    asking, best = best_of_block(v[a : a + 64], books, codes, norms, depth)
-                    yield pa.RecordBatch.from_arrays([pa.array(q[a : a + 64][asking]), pa.array(ids[best])], names=["query_id", "id"])
+                    asking, best, near = best_of_block(v[a : a + 64], books, codes, norms, depth)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[a : a + 64][asking]), pa.array(ids[best]), pa.array(near, pa.float32())], names=["query_id", "id", "near"])
 
     met = asked.join(code_table, "block").select("query_ids", "vectors", "ids", "codes")
-    found = met.mapInArrow(scored, "query_id long, id long").distinct()
+    # the best of all blocks; the limit is taken in each task before the shuffle
+    found = met.mapInArrow(scored, "query_id long, id long, near float").withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("near")))).where(F.col("place") <= depth)
+    found = found.select("query_id", "id").join(index.select("id", "h1", "h2", "first"), "id").drop("id")
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    sized = keyed.withColumn("v", F.struct("v", norm(F.col("v")).alias("n")))
-    one = sized.withColumnRenamed("id", "first").dropDuplicates(["h1", "h2", "first"])
-    found = found.join(index.select("id", "h1", "h2", "first"), "id").drop("id")
-    asking = sized.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"])
+    sized = lambda v: F.struct(v.alias("v"), norm(v).alias("n"))
+    one = keyed.select(F.col("id").alias("first"), "h1", "h2", scaled(F.col("v")).alias("v")).select("first", "h1", "h2", sized(F.col("v")).alias("v")).dropDuplicates(["h1", "h2", "first"])
+    asking = queries.select(F.col("id").alias("query_id"), scaled(F.col("v")).alias("q")).select("query_id", sized(F.col("q")).alias("q"))
     pairs = found.join(asking, "query_id").join(one, ["h1", "h2", "first"])
     dot = F.aggregate(F.zip_with("q.v", "v.v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     close = pairs.select("query_id", "h1", "h2", (dot / (F.col("q.n") * F.col("v.n"))).alias("score"))

@@ -76,9 +76,9 @@ TEXTS["BSD-3-Clause"] = TEXTS["BSD-2-Clause"].replace("\nTHIS SOFTWARE", "\n3. N
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that holds a copyright statement and nothing else.
 #: After the word a sign, a year or a name must follow: words that begin as notice, holder, owner or license do are none, nor
-#: are and, or, in, law: a wrapped line of a licence may begin so.
+#: are and, or, in, law: a wrapped line of a licence may begin so.  Behind (c) a year or the like must follow, as clauses have letters.
 _NAME = r"([b-gjkmp-z0-9]|[^\x00-\x7f]|a[^n\n]|an[^d\n]|n[^o\n]|no[^t\n]|not[^i\n]|h[^o\n]|ho[^l\n]|hol[^d\n]|o[^wr\n]|or[a-z]|ow[^n\n]|own[^e\n]|l[^ia\n]|la[^w\n]|li[^c\n]|lic[^e\n]|i[^n\n]|in[a-z])"
-COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*" + _NAME + r"|\(c\)|©)[^\n]*"
+COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*" + _NAME + r"|\(c\)[^a-z0-9\n]*(copyright|by |[0-9])|©)[^\n]*"
 
 
 #: Where the appendix of a long licence begins.
@@ -91,7 +91,8 @@ def notices() -> list[tuple[str, str]]:
 
 
 def whole_texts() -> list[tuple[str, str]]:
-    """(licence, text) of all whole texts: as they are, after a title line, and without the appendix on how to apply them."""
+    """(licence, text) of all whole texts: as they are, after a title line and a reservation of rights (the copyright line between
+    them is none of the canonical form), and without the appendix on how to apply them."""
     texts = dict(TEXTS)
     for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
         texts[path.stem] = path.read_text(encoding="utf-8")
@@ -99,7 +100,7 @@ def whole_texts() -> list[tuple[str, str]]:
     for i, text in texts.items():
         ends = [text] + [text[: m.start()] for m in [re.search(APPENDIX, text)] if m]
         titles = [t for n in NAMES.get(i, [i]) for t in (n, f"The {n}", f"{n} ({i})", f"The {n} ({i})")]
-        out += [(i, t) for end in ends for t in (end, *(f"{title}\n\n{end}" for title in titles))]
+        out += [(i, f"{title}{rights}{end}") for end in ends for title in ("", *(f"{t}\n\n" for t in titles)) for rights in ("", "All rights reserved.\n\n")]
     return out
 
 

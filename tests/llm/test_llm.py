@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedgewren.llm import ann, bpe, chat, fingerprint, graph, licences, mixing, neardup, quality, queries, shingles, toxicity
+from sedgewren.llm import ann, bpe, fingerprint, graph, licences, mixing, neardup, quality, queries, shingles, toxicity
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -426,6 +426,26 @@ copyright notice and this permission notice appear in all copies.
     assert got["mit"] == ("MIT", "MIT") and got["isc"] == ("ISC", "ISC") and got["name"] == (None, "MIT")
 
 
+def test_licences_wrapped_and_headed():
+    """Expected answers are written here, apart from the operator's table of digests; DuckDB runs the same SQL form."""
+    import textwrap
+
+    texts = {"MIT": licences.TEXTS["MIT"], "ISC": licences.TEXTS["ISC"], "BSD-2-Clause": licences.TEXTS["BSD-2-Clause"], "BSD-3-Clause": licences.TEXTS["BSD-3-Clause"], "0BSD": licences.TEXTS["0BSD"]}
+    rows = []
+    for name, text in texts.items():
+        for width in (50, 60, 65, 72, 76, 78, 79, 80, 1000):
+            body = "\n\n".join("\n".join(textwrap.wrap(p, width)) for p in text.split("\n"))
+            for head in ("", "Copyright (c) 2020 Jane Doe\n\n", "Copyright 2020 Acme\n(c) 2021 Foo\n\n", f"{licences.NAMES.get(name, [name])[0]}\n\nCopyright (C) 2020, 2021 Jane\nAll rights reserved.\n\n"):
+                rows.append((len(rows), name, head + body))
+            rows.append((len(rows), None, body + "\n(c) commercial use is forbidden"))
+            rows.append((len(rows), None, body + "\ncopyright holders may not be sued"))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, want varchar, text varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    got = dict(con.execute(f"select doc_id, text_licence from ({licences.scan_sql()})").fetchall())
+    assert all(got[i] == want for i, want, _ in rows)
+
+
 def test_licences_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
@@ -433,27 +453,6 @@ def test_licences_sql(spark):
     assert sorted(map(tuple, queries.op6_licences(spark, DATA).collect()), key=str) == sorted(want, key=str)
 
 
-def test_chats(spark, none):
-    rows = [
-        (1, 0, "user", "How does it work?\nPlease tell me."),
-        (1, 1, "assistant", "It works well."),
-        (1, 2, "user", "> How does it WORK\n>> an older line\nI still wonder."),
-        (1, 3, None, "On that:\n> > it works well\nGood."),
-        (1, 4, "user", "> it works well\n> nowhere said\nYes.\n>> How does it work?\nEnd."),
-        (2, 0, "user", "> How does it work?"),
-        (3, None, "user", None),
-    ]
-    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    got = {(r["conv_id"], r["turn"]): r for r in out}
-    assert len(out) == 7
-    assert (got[1, 2]["body"], got[1, 2]["n_quoted"], got[1, 2]["n_linked"], got[1, 2]["parent_turn"], got[1, 2]["thread_turn"]) == ("I still wonder.", 2, 1, 0, 0)
-    assert (got[1, 3]["parent_turn"], got[1, 3]["thread_turn"], got[1, 3]["role"]) == (1, 1, "user")
-    assert (got[1, 4]["body"], got[1, 4]["n_quoted"], got[1, 4]["n_linked"], got[1, 4]["parent_turn"]) == ("Yes.\nEnd.", 2, 2, 1)
-    assert (got[2, 0]["n_linked"], got[2, 0]["parent_turn"], got[2, 0]["body"]) == (0, None, "")
-    assert got[3, None]["formatted"] == "<|user|>\n\n"
-    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
-
-
 def test_search_recall_and_scores(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(3000, 32))
@@ -493,6 +492,66 @@ def test_search_finds_the_smallest_ids_of_many_copies(spark):
             assert own.vec_id.tolist() == sorted([i for i in same if i != q] + [50] * (50 in same and q != 50))[:5]
 
 
+def test_search_of_extreme_and_unequal_vectors(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 8))
+    scale = np.array([1e200, 1e-200, 1.0, 1e-310])[np.arange(400) % 4]
+    rows = [(i, (v * s).tolist(), "mine", "mine") for i, (v, s) in enumerate(zip(x, scale))] + [(1000 + i, [float(i), 1.0], "mine", "mine") for i in range(0, 60, 10)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, score string")
+    got = ann.search(table, F.col("id") % 50 == 0).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 400, 50):
+        own = got[got.query_id == q].sort_values("rank")
+        assert np.isfinite(own.score).all() and np.allclose(own.score, [u[q] @ u[i] for i in own.vec_id], atol=1e-6)
+        hit += len(set(own.vec_id) & set(np.argsort(-np.delete(u @ u[q], q, 0))[:5] + (np.argsort(-np.delete(u @ u[q], q, 0))[:5] >= q)))
+    assert hit >= 0.9 * 40
+    assert sorted(got[got.query_id == 1000].vec_id) == [1010, 1020, 1030, 1040, 1050] and got[got.query_id == 1050].vec_id.tolist() == [1040, 1030, 1020, 1010, 1000]
+
+
+def test_search_reranks_a_bounded_number_for_each_query(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    x = np.random.default_rng(1).normal(size=(1500, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = ann.search(table, F.col("id") % 50 == 0, depth=40).toPandas()
+    hit = sum(len(set(got[got.query_id == q].vec_id) & set(i for i in np.argsort(-(u @ u[q]))[:6] if i != q)) for q in range(0, 1500, 50))
+    assert hit >= 0.9 * 150
+
+
+def test_search_query(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas()
+    x = np.array(rows.embedding.tolist(), np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = queries.op2_additive(spark, DATA).toPandas()
+    assert set(got.query_id) == {i for i in rows.vec_id if i % 50 == 0}
+    hit = 0
+    for q in set(got.query_id):
+        s = u @ u[list(rows.vec_id).index(q)]
+        order = [int(rows.vec_id[i]) for i in np.lexsort((rows.vec_id, -s)) if rows.vec_id[i] != q][:5]
+        hit += len(set(order) & set(got[got.query_id == q].vec_id))
+    assert hit >= 0.9 * len(got)
+
+
+def test_components_of_random_graphs_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LINKS", 3)
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] + [(500, int(i)) for i in range(501, 560)] + [(600, 559), (601, 600)]
+    up = {n: n for p in pairs for n in p}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    linked = {n for a, b in pairs for n in (a, b) if a != b}
+    assert got == {n: root(n) for n in linked}
+
+
 def test_words_are_cut_at_ascii_blanks_only():
     assert len(shingles.word_hashes("a\u00a0b\x1cc\u0085d\te".encode())) == 2
     assert (shingles.shingle_set(b"A b C") == shingles.shingle_set(b"a B\nc")).all() and len(shingles.shingle_set(b" ")) == 0
