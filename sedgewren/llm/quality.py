@@ -3,11 +3,12 @@
 The content view sees the text alone (shares of letters, capitals, digits, signs and bars, word and line lengths, repeated
 words and lines); the page view sees the metadata alone (language, source, stated length).  Both start as logistic
 models on the labelled rows.  In each of ``ROUNDS`` rounds either view labels the unlabelled rows that it is surest of, up
-to ``GIVEN`` of each class and only beyond ``SURE``, and hands them to the other view's training set.  Both views are then
+to ``GIVEN`` of each class and only beyond ``SURE``, and hands them to the other view's training set.  All unlabelled rows are asked
+in every round: their features, of equal ones once, are a staged table, and each task hands on no more than it may give.  Both views are then
 calibrated on labelled rows that took no part in training, and a logistic model over the two calibrated views scores all
 documents.
 
-Fitting reads at most ``LABELLED`` labelled and ``UNLABELLED`` other rows, chosen by a hash of their ids. Rows whose crc32
+Fitting reads at most ``LABELLED`` labelled rows, chosen by a hash of their ids, one row for each id. Rows whose crc32
 of the id mod 3 is 1 are held out.
 
 Defined cases: null and empty texts have features of 0; null language, source and length are values of their own; repeated
@@ -23,14 +24,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedgewren.llm.common import staged, with_columns
+from sedgewren.llm.common import PIECE, freed, staged, with_columns
 from sedgewren.llm.toxicity import fit_logistic, held_out
 
-LABELLED, UNLABELLED = 6000, 6000
+LABELLED = 6000
 ROUNDS, GIVEN, SURE = 5, 300, 0.97
 #: Slots that sources and languages are hashed to.
 SLOTS = 32
@@ -62,13 +63,19 @@ def content_features(text: bytes | None) -> list[float]:
     ]
 
 
-def page_features(lang: str | None, source: str | None, length: int | None) -> list[float]:
-    """What the page view sees of a document's metadata."""
-    out = [0.0] * (2 * SLOTS + 4)
-    out[zlib.crc32((lang or "\0").encode()) % SLOTS] = 1.0
-    out[SLOTS + zlib.crc32((source or "\0").encode()) % SLOTS] = 1.0
-    x = math.log1p(max(0, length or 0)) / 10
-    out[-4:] = [x, x * x, float((length or 0) < 200), float(length is None)]
+def slot(value: str | None) -> int:
+    return zlib.crc32((value or "\0").encode()) % SLOTS
+
+
+def page_features(lang: np.ndarray, source: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """What the page view sees of documents' metadata: the slots of language and source, and the length (nan for none)."""
+    out = np.zeros((len(lang), 2 * SLOTS + 4))
+    at = np.arange(len(lang))
+    out[at, lang] = 1.0
+    out[at, SLOTS + source] = 1.0
+    known = np.nan_to_num(length, nan=0.0)
+    x = np.log1p(np.maximum(known, 0)) / 10
+    out[:, -4:] = np.c_[x, x * x, known < 200, np.isnan(length)]
     return out
 
 
@@ -92,27 +99,23 @@ class CoTrained:
         return own[0], own[1], _probability(np.c_[_logit(own[0]), _logit(own[1])], self.both)
 
 
-def cotrain(x: list[np.ndarray], y: np.ndarray, free: list[np.ndarray], seed: int = 5) -> CoTrained:
-    """Fit on labelled features of both views (``x``, ``y``) and unlabelled ones (``free``)."""
+def cotrain(x: list[np.ndarray], y: np.ndarray, surest, seed: int = 5) -> CoTrained:
+    """Fit on labelled features of both views (``x``, ``y``).
+
+    ``surest(models)`` gives for each view the unlabelled rows that it is surest of, none of them twice: the other view's features
+    and the labels.
+    """
     aside = np.random.default_rng(seed).random(len(y)) < 0.3
     if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         aside = np.zeros(len(y), bool)
     train = [(x[v][~aside], y[~aside]) for v in (0, 1)]
-    left = np.ones(len(free[0]), bool)
     models = [fit_logistic(a, b) for a, b in train]
     for _ in range(ROUNDS):
-        given = []
-        for v in (0, 1):
-            p = np.where(left, _probability(free[v], models[v]), 0.5)
-            good, bad = np.argsort(-p, kind="stable")[:GIVEN], np.argsort(p, kind="stable")[:GIVEN]
-            good, bad = good[p[good] >= SURE], bad[p[bad] <= 1 - SURE]
-            given.append((np.r_[good, bad], np.r_[np.ones(len(good)), np.zeros(len(bad))]))
-        if not sum(len(i) for i, _ in given):
+        given = surest(models)
+        if not sum(len(labels) for _, labels in given):
             break
-        for v in (0, 1):  # what view v is sure of goes to the other
-            i, labels = given[v]
-            train[1 - v] = (np.r_[train[1 - v][0], free[1 - v][i]], np.r_[train[1 - v][1], labels])
-            left[i] = False
+        for v, (rows, labels) in enumerate(given):  # what view v is sure of goes to the other
+            train[1 - v] = (np.r_[train[1 - v][0], rows], np.r_[train[1 - v][1], labels])
         models = [fit_logistic(a, b) for a, b in train]
     rows = aside if aside.any() else ~aside
     scales = [fit_logistic(_logit(_probability(x[v][rows], models[v]))[:, None], y[rows]) for v in (0, 1)]
@@ -120,31 +123,91 @@ def cotrain(x: list[np.ndarray], y: np.ndarray, free: list[np.ndarray], seed: in
     return CoTrained(models, scales, fit_logistic(np.c_[own[0], own[1]], y[rows]))
 
 
+def extremes(p: np.ndarray, key: np.ndarray) -> list[tuple[int, int]]:
+    """(side, place) of the rows of the largest and least chances beyond ``SURE``, ties to smaller keys."""
+    good, bad = np.lexsort((key, -p))[:GIVEN], np.lexsort((key, p))[:GIVEN]
+    return [(1, i) for i in good if p[i] >= SURE] + [(0, i) for i in bad if p[i] <= 1 - SURE]
+
+
 def _featured(docs: DataFrame) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
     def run(batches):
         for batch in batches:
-            text, lang, source, length, label = (batch.column(i) for i in range(5))
-            a = [content_features(t.as_py()) for t in text.cast(pa.binary())]
-            b = [page_features(*x) for x in zip(lang.to_pylist(), source.to_pylist(), length.to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.list_(pa.float64())), pa.array(b, pa.list_(pa.float64())), label], names=["a", "b", "quality"])
-
-    return docs.select("text", "lang", "source", F.col("n_chars").cast("long"), "quality").mapInArrow(run, "a array<double>, b array<double>, quality int")
+            step = max(1, batch.num_rows * PIECE // max(1, batch.nbytes))
+            for i in range(0, batch.num_rows, step):
+                ids, text, lang, source, length = batch.slice(i, step).columns
+                a = [content_features(t.as_py()) for t in text.cast(pa.binary())]
+                slots = [pa.array([slot(x) for x in c.to_pylist()], pa.int32()) for c in (lang, source)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(a, pa.list_(pa.float64())), *slots, length], names=["doc_id", "a", "lang", "source", "length"])
+
+    rows = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("double").alias("length"))
+    return rows.mapInArrow(run, f"doc_id {kind}, a array<double>, lang int, source int, length double")
+
+
+def _views(rows: list) -> list[np.ndarray]:
+    a = np.array([r["a"] for r in rows], float).reshape(len(rows), CONTENT)
+    lengths = np.array([np.nan if r["length"] is None else r["length"] for r in rows], float)
+    return [a, page_features(np.array([r["lang"] for r in rows], int), np.array([r["source"] for r in rows], int), lengths)]
+
+
+def _arrays(columns: dict[str, pa.Array], at: np.ndarray) -> list[np.ndarray]:
+    a = np.asarray(columns["a"].flatten()).reshape(-1, CONTENT)
+    lang, source, length = (columns[c].to_numpy(zero_copy_only=False) for c in ("lang", "source", "length"))
+    return [a[at], page_features(lang[at].astype(int), source[at].astype(int), length[at].astype(float))]
+
+
+def _surest_of(pool: DataFrame):
+    """surest() for cotrain() over a staged table of features."""
+    given: set[int] = set()
+    schema = "view int, side int, p double, key long, a array<double>, lang int, source int, length double"
+
+    def surest(models):
+        taken = np.array(sorted(given), np.int64)
+
+        def run(batches):
+            held: list[dict] = []
+            for batch in batches:
+                key = batch.column(0).to_numpy(zero_copy_only=False)
+                left = np.flatnonzero(~np.isin(key, taken))
+                if len(left):
+                    columns = dict(zip(batch.schema.names, batch.columns))
+                    own = batch.take(pa.array(sorted({left[i] for *_, i in marked(_arrays(columns, left), key[left])}), pa.int64()))
+                    held += own.to_pylist()
+                    keep = marked(_views(held), np.array([r["key"] for r in held]))
+                    held = [held[i] for i in sorted({i for *_, i in keep})]
+            found = marked(_views(held), np.array([r["key"] for r in held], np.int64)) if held else []
+            yield pa.RecordBatch.from_pylist([{**held[i], "view": v, "side": side, "p": float(p)} for v, side, p, i in found], schema=out)
+
+        def marked(x, key):
+            chances = [_probability(x[v], models[v]) for v in (0, 1)]
+            return [(v, side, chances[v][i], i) for v in (0, 1) for side, i in extremes(chances[v], key)]
+
+        out = pa.schema([("view", pa.int32()), ("side", pa.int32()), ("p", pa.float64()), ("key", pa.int64()), ("a", pa.list_(pa.float64())), ("lang", pa.int32()), ("source", pa.int32()), ("length", pa.float64())])
+        sure = F.when(F.col("side") == 1, -F.col("p")).otherwise(F.col("p"))
+        first = F.row_number().over(Window.partitionBy("view", "side").orderBy(sure, "key"))
+        rows = pool.mapInArrow(run, schema).withColumn("first", first).where(F.col("first") <= GIVEN).collect()
+        rows = sorted(rows, key=lambda r: (r["view"], -r["side"], r["first"]))
+        given.update(r["key"] for r in rows)
+        own = [[r for r in rows if r["view"] == v] for v in (0, 1)]
+        return [(_views(own[v])[1 - v], np.array([r["side"] for r in own[v]], float)) for v in (0, 1)]
+
+    return surest
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).where(~held_out())
-    order = F.xxhash64(F.lit(9), F.col("doc_id"))
-    some = known.orderBy(order, "doc_id").limit(LABELLED)
-    others = docs.where("doc_id is not null").select("doc_id").where(~held_out()).join(known.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(UNLABELLED).select("doc_id", F.lit(None).cast("int").alias("quality"))
-    chosen = staged(some.unionByName(others), "quality-rows")
-    rows = _featured(docs.drop("quality").join(F.broadcast(chosen), "doc_id")).collect()
-    with_label = [r for r in rows if r["quality"] is not None]
-    y = np.array([r["quality"] for r in with_label], float)
+    some = staged(known.orderBy(F.xxhash64(F.lit(9), F.col("doc_id")), "doc_id").limit(LABELLED), "quality-labels")
+    rows = staged(_featured(docs.where("doc_id is not null").where(~held_out())), "quality-features")
+    labelled = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("a", "lang", "source", "length")).alias("x")).select("doc_id", "quality", "x.*").orderBy("doc_id").collect()
+    y = np.array([r["quality"] for r in labelled], float)
     if not 0 < y.sum() < len(y):
         return None
-    free = [r for r in rows if r["quality"] is None]
-    wide = {"a": CONTENT, "b": 2 * SLOTS + 4}
-    return cotrain([np.array([r[v] for r in with_label]) for v in "ab"], y, [np.array([r[v] for r in free]).reshape(len(free), wide[v]) for v in "ab"])
+    pool = rows.join(known.select("doc_id"), "doc_id", "left_anti").select(F.xxhash64("a", "lang", "source", "length").alias("key"), "a", "lang", "source", "length").dropDuplicates(["key"])
+    pool = staged(pool, "quality-pool")
+    model = cotrain(_views(labelled), y, _surest_of(pool))
+    freed(rows, pool)
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, new: tuple[str, str, str] = ("content_score", "page_score", "quality_score")) -> DataFrame:
@@ -158,7 +221,7 @@ def score(docs: DataFrame, labels: DataFrame, new: tuple[str, str, str] = ("cont
             return [pa.array([0.5] * batch.num_rows, pa.float64())] * 3
         text, lang, source, length = (batch.column(i) for i in places)
         a = np.array([content_features(t.as_py()) for t in text.cast(pa.binary())])
-        b = np.array([page_features(*x) for x in zip(lang.to_pylist(), source.to_pylist(), length.to_pylist())])
+        b = page_features(*(np.array([slot(x) for x in c.to_pylist()], int) for c in (lang, source)), length.cast(pa.float64()).to_numpy(zero_copy_only=False))
         return [pa.array(s, pa.float64()) for s in model.scores([a, b])]
 
     return with_columns(docs, f, [T.StructField(c, T.DoubleType()) for c in new])

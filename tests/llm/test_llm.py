@@ -395,10 +395,42 @@ def test_cotraining_hands_over_labels():
     rng = np.random.default_rng(8)
     y = rng.integers(0, 2, 3000)
     a, b = (y[:, None] * 2.0 + rng.normal(size=(3000, 2)) for _ in range(2))
-    model = quality.cotrain([a[:60], b[:60]], y[:60].astype(float), [a[60:], b[60:]])
+    free, left = [a[60:], b[60:]], np.ones(2940, bool)
+
+    def surest(models):
+        out = []
+        for v in (0, 1):
+            p = 1 / (1 + np.exp(-(free[v] @ models[v][0] + models[v][1])))
+            found = [(side, i) for side, i in quality.extremes(np.where(left, p, 0.5), np.arange(len(p)))]
+            out.append((free[1 - v][[i for _, i in found]], np.array([side for side, _ in found], float)))
+        return out
+
+    model = quality.cotrain([a[:60], b[:60]], y[:60].astype(float), surest)
     assert ((model.scores([a, b])[2] > 0.5) == y).mean() > 0.92
 
 
+def test_surest_rows_of_a_table_equal_a_plain_sort(spark, monkeypatch):
+    monkeypatch.setattr(quality, "GIVEN", 7)
+    rng = np.random.default_rng(3)
+    rows = [(int(k), [float(x) for x in rng.normal(size=quality.CONTENT)], int(rng.integers(32)), int(rng.integers(32)), None if k % 9 == 0 else float(rng.integers(0, 5000))) for k in rng.permutation(400)]
+    pool = spark.createDataFrame(rows, "key long, a array<double>, lang int, source int, length double").repartition(4)
+    models = [(rng.normal(size=quality.CONTENT) * 2, 0.1), (rng.normal(size=2 * quality.SLOTS + 4) * 3, -0.2)]
+    surest, taken = quality._surest_of(pool), set()
+    by_key = sorted(rows)
+    x = quality._views([dict(zip(("key", "a", "lang", "source", "length"), r)) for r in by_key])
+    chances = [1 / (1 + np.exp(-np.clip(x[v] @ models[v][0] + models[v][1], -35, 35))) for v in (0, 1)]
+    for _ in range(3):
+        got, now = surest(models), set()
+        for v in (0, 1):
+            order = [i for i in range(400) if i not in taken]
+            good = [i for i in sorted(order, key=lambda i: (-chances[v][i], i)) if chances[v][i] >= quality.SURE][:7]  # noqa: B023
+            bad = [i for i in sorted(order, key=lambda i: (chances[v][i], i)) if chances[v][i] <= 1 - quality.SURE][:7]  # noqa: B023
+            assert got[v][1].tolist() == [1.0] * len(good) + [0.0] * len(bad) and np.allclose(got[v][0], x[1 - v][good + bad])
+            now |= set(good + bad)
+        assert now
+        taken |= now
+
+
 def test_licences(spark, odd, none):
     text = "Copyright (c) 2020 Some One\n\n" + licences.TEXTS["MIT"].replace("sublicense", "sublicence").upper()
     rows = [(1, text), (2, "Intro\n* Released under the MIT Licence.\nBody\nLicensed under CC BY-NC 4.0"), (3, licences.TEXTS["MIT"] + " more"), (4, None), (5, "SPDX-License-Identifier: ISC"), (6, "© 2001 Somebody")]
