@@ -27,7 +27,7 @@ from sedgewren.llm.common import Cache, with_columns
 
 LONG_WORD = 400
 #: Entries of a worker's word cache (some 250 bytes each).
-CACHE_WORDS = 160_000
+CACHE_WORDS = 80_000
 NO_RANK = 1 << 40
 
 

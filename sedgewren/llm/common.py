@@ -11,18 +11,31 @@ from pyspark.sql import types as T
 
 from sedgewren.sources.stage import freed, staged
 
-__all__ = ["Cache", "PIECE", "WORD_PATTERN", "freed", "small", "staged", "table", "with_columns"]
+__all__ = ["Cache", "PIECE", "WORD_PATTERN", "freed", "in_small_batches", "small", "staged", "table", "with_columns"]
 
 #: Words are runs of anything but ASCII white space; bytes.split() cuts at exactly these six bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of a batch, about, that a worker handles at once.
 PIECE = 4 << 20
+#: Rows of an Arrow batch of whole texts, and the setting that holds them.
+BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """Have the session hand whole texts on in Arrow batches of ``BATCH_ROWS`` rows, unless it was told another number itself.
+
+    The session's default of 10,000 rows makes batches of tens of megabytes, which JVM and worker hold several times.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, "10000") == "10000":
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def with_columns(df: DataFrame, f: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
     """Append columns that ``f`` computes from Arrow batches; columns of the same names give way to the new ones."""
     new = {x.name.lower() for x in fields}
@@ -36,7 +49,7 @@ def with_columns(df: DataFrame, f: Callable[[pa.RecordBatch], list[pa.Array]], f
                 part = batch.slice(i, step)
                 yield pa.RecordBatch.from_arrays([*part.columns, *f(part)], names=names)
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
+    return in_small_batches(kept).mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 
 
 class Cache(dict):

@@ -29,7 +29,7 @@ from sedgewren.llm.common import staged, with_columns
 from sedgewren.llm.shingles import STEP, scrambled
 
 SAMPLES = 64
-CACHE_ROWS, KEPT_ROWS = 100_000, 50_000
+CACHE_ROWS, KEPT_ROWS = 80_000, 40_000
 #: Terms whose keys are computed at once; small enough for the processor's cache.
 STEP_ROWS = 512
 #: Rows of a neighbourhood that with_next() sorts in one piece, about.

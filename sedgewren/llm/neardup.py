@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewren.llm.common import PIECE, freed, small, staged
+from sedgewren.llm.common import PIECE, freed, in_small_batches, small, staged
 from sedgewren.llm.graph import components
 from sedgewren.llm.shingles import STEP, scrambled, shingle_set
 
@@ -102,7 +102,7 @@ def _sketched(docs: DataFrame, percent: int, width: int) -> DataFrame:
             if ids:
                 yield emit(ids, sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, key binary, bands array<long>")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, key binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, width: int, repeated: bool) -> DataFrame:

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgewren.llm.common import freed, staged
+from sedgewren.llm.common import freed, in_small_batches, staged
 from sedgewren.llm.shingles import STEP, scrambled
 
 ORDER, SUFFIX = 6, 3
@@ -321,7 +321,7 @@ def _packed_blocks(docs: DataFrame, buckets: int, full: int) -> DataFrame:
         if block.ids:
             yield from rows_of(block, number, id_type)
 
-    return docs.mapInArrow(run, f"{_COLUMNS}, ids array<{kind}>")
+    return in_small_batches(docs).mapInArrow(run, f"{_COLUMNS}, ids array<{kind}>")
 
 
 def _grouped(rows: DataFrame, tasks: int, by: str, then: str, f: Callable, schema: str) -> DataFrame:

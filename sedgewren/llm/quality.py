@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedgewren.llm.common import PIECE, freed, staged, with_columns
+from sedgewren.llm.common import PIECE, freed, in_small_batches, staged, with_columns
 from sedgewren.llm.toxicity import fit_logistic, held_out
 
 LABELLED = 6000
@@ -142,7 +142,7 @@ def _featured(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(a, pa.list_(pa.float64())), *slots, length], names=["doc_id", "a", "lang", "source", "length"])
 
     rows = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("double").alias("length"))
-    return rows.mapInArrow(run, f"doc_id {kind}, a array<double>, lang int, source int, length double")
+    return in_small_batches(rows).mapInArrow(run, f"doc_id {kind}, a array<double>, lang int, source int, length double")
 
 
 def _views(rows: list) -> list[np.ndarray]:

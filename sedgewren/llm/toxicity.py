@@ -38,14 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedgewren.llm.common import Cache, staged, with_columns
+from sedgewren.llm.common import Cache, in_small_batches, staged, with_columns
 
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
 THRESHOLD = 0.7
 NEAR = 3
 #: Letters of the shortest and longest learned prefix.
 PREFIX = range(4, 9)
-CACHE_TOKENS = 200_000  # some 130 bytes each
+CACHE_TOKENS = 60_000  # some 130 bytes each
 
 # Word lists of the grammar's transducers.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown imbecile cretin bastard bitch asshole jerk pig vermin filth garbage dumbass shithead fool degenerate parasite dummkopf arschloch trottel abschaum connard imbécile salaud ordure idiota imbécil estúpido basura cabrón escoria"
@@ -389,7 +389,7 @@ _SCORERS: dict[str, Scorer] = {}
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Append a score (0 to 1) and a prediction (1 from ``threshold`` on) under the given names."""
-    model, token = fitted(docs, labels), uuid.uuid4().hex
+    model, token = fitted(in_small_batches(docs), labels), uuid.uuid4().hex
     place = [c for c in docs.columns if c.lower() not in names].index("text")
 
     def f(batch: pa.RecordBatch) -> list[pa.Array]:
