@@ -125,7 +125,8 @@ def sources(chunks: DataFrame) -> DataFrame:
 
 
 def shown_score(score: Column, digits: int = 3) -> Column:
-    """A score rounded in binary arithmetic, as the service shows it, not by its decimal digits."""
+    """A score rounded half up in binary arithmetic. Scores that lie halfway within a last binary digit may differ by one in
+    the last decimal from a rounding of the exact binary value."""
     return F.floor(score * 10**digits + 0.5) / 10**digits
 
 

@@ -103,21 +103,32 @@ def kept_snapshots(snapshots: DataFrame, now: Column, days: int = 7) -> DataFram
 
 
 class Store:
-    """A table in versioned Parquet folders, switched by a pointer file, so that readers see whole versions only."""
+    """A table in versioned Parquet folders, switched by numbered pointer files, so that readers see whole versions only.
+
+    A pointer is written aside and then renamed to the next number; nothing that a reader may need is deleted or replaced first,
+    so a crash leaves the last whole version in force. Versions before the last two are deleted after a switch.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self) -> str:
-        return f"{self.path}/current"
+    def _at(self, name: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _pointers(self) -> list[str]:
+        where, system = self._at("pointers")
+        names = [x.getPath().getName() for x in system.listStatus(where)] if system.exists(where) else []
+        return sorted(n for n in names if not n.startswith(("_", ".")))
+
+    def _version(self, pointer: str) -> str:
+        return self.spark.read.text(f"{self.path}/pointers/{pointer}").first()[0]
 
     def exists(self) -> bool:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._pointer())
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        return bool(self._pointers())
 
     def read(self) -> DataFrame:
-        version = self.spark.read.text(self._pointer()).first()[0]
-        return self.spark.read.parquet(f"{self.path}/{version}")
+        return self.spark.read.parquet(f"{self.path}/{self._version(self._pointers()[-1])}")
 
     def create(self, schema) -> None:
         """Make an empty table if there is none."""
@@ -126,10 +137,20 @@ class Store:
 
     def write(self, rows: DataFrame, partition_by: list[str] | None = None) -> None:
         """Write a new version, then point to it."""
-        version = f"v-{uuid.uuid4().hex}"
+        version, before = f"v-{uuid.uuid4().hex}", self._pointers()
         out = rows.write
         (out.partitionBy(*partition_by) if partition_by else out).parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer())
+        aside, system = self._at(f".{version}")
+        stream = system.create(aside, True)
+        stream.write(bytearray(version.encode()))
+        stream.close()
+        system.mkdirs(self._at("pointers")[0])
+        target = self._at(f"pointers/{int(before[-1]) + 1 if before else 0:020d}")[0]
+        if system.exists(target) or not system.rename(aside, target):
+            raise RuntimeError(f"another writer switched {self.path} meanwhile")
+        for old in before[:-1]:
+            for name in (self._version(old), f"pointers/{old}"):
+                system.delete(self._at(name)[0], True)
 
     def info(self) -> dict:
         try:

@@ -8,20 +8,40 @@ from pyspark.sql import functions as F
 DIGITS = 9
 
 
+#: Bytes of queries that are sent to all vectors; more are dealt into blocks of so many bytes.
+SENT = 32 << 20
+
+
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """Null where a vector is zero."""
+    return F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
 
 
 def search(vectors: DataFrame, queries: DataFrame, pool: int, key: str = "vec_id", folder: str | None = None) -> DataFrame:
     """query_id, <key>, score, rank. ``queries`` has query_id, vector and, with ``folder``, the folder to search in.
 
-    With a folder the pairs come from an equi-join on it; without one every query meets every vector, the queries being the
-    small side. Only the pool's best of each query leave a task before the ranks are dealt out.
+    With a folder the pairs come from an equi-join on it; without one every query meets every vector: queries of up to ``SENT``
+    bytes are sent to the vectors, more meet them block by block in a join on the block's number. Norms are formed once for each
+    row; zero vectors have no direction and take no part. Only the pool's best of each query leave a task before the ranks are
+    dealt out.
     """
-    rows = vectors.select(key, F.col("embedding").alias("v"), *([F.col(folder).alias("_folder")] if folder else []))
-    asked = queries.select("query_id", F.col("vector").alias("q"), *([F.col("folder").alias("_folder")] if folder else []))
-    pairs = rows.join(asked, "_folder") if folder else rows.join(asked, how="cross")
-    scored = pairs.select("query_id", key, F.round(cosine(F.col("q"), F.col("v")), DIGITS).alias("score"))
+    normed = lambda rows, v, n: rows.withColumn(n, F.sqrt(_dot(F.col(v), F.col(v)))).where(F.col(n) > 0)
+    rows = normed(vectors.select(key, F.col("embedding").alias("v"), *([F.col(folder).alias("_folder")] if folder else [])), "v", "vn")
+    asked = normed(queries.select("query_id", F.col("vector").alias("q"), *([F.col("folder").alias("_folder")] if folder else [])), "q", "qn")
+    if folder:
+        pairs = rows.join(asked, "_folder")
+    else:
+        size = asked.agg(F.coalesce(F.sum(8 * F.size("q") + 64), F.lit(0))).first()[0]
+        if size <= SENT:
+            pairs = rows.join(F.broadcast(asked), how="cross")
+        else:
+            blocks = -(-size // SENT)
+            asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+            pairs = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, "_block")
+    scored = pairs.select("query_id", key, F.round(_dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn")), DIGITS).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool)

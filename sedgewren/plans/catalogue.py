@@ -291,7 +291,7 @@ def upload_folders(spark, d):
 
 @query
 def cjk_strip(spark, d):
-    mixed = F.concat(F.lit("東京、"), F.left("text", F.lit(60)), F.lit("。ＡＢ"))
+    mixed = F.concat(F.lit("東京、"), F.col("text"), F.lit("。ＡＢ"))
     return _docs(spark, d).select("doc_id", T.without_cjk(mixed).alias("clean"))
 
 

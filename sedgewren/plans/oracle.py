@@ -196,7 +196,7 @@ def oracle_sql() -> dict[str, str]:
         "folder_tree": f"{registry}, t as (select case when folder in ('', 'src3') then 'Uncategorized' else folder end as folder, 1 as d, chunks from registry union all select unnest(['Empty', 'src1']), 0, 0), g as (select folder, cast(sum(d) as bigint) as n_docs, cast(sum(chunks) as bigint) as n_chunks from t group by folder) select folder, n_docs, n_chunks, cast(row_number() over (order by folder = 'Uncategorized', folder) as int) as place from g",
         "compare_candidates": f"{registry} select folder, string_agg(filename, ', ' order by filename) as names, count(*) as n_docs, count(*) * 4 as top_k from registry where filename <> '' group by folder having count(*) >= 2",
         "upload_folders": "select doc_id, case when doc_id % 2 = 0 then source || ' / deep' else source end as folder, 'doc_' || doc_id || '.PDF' as name from documents where doc_id % 7 <> 0",
-        "cjk_strip": "select doc_id, regexp_replace('東京、' || left(text, 60) || '。ＡＢ', '[\\x{3000}-\\x{9fff}\\x{f900}-\\x{faff}\\x{fe30}-\\x{fe4f}\\x{ff00}-\\x{ffef}]', '', 'g') as clean from documents",
+        "cjk_strip": "select doc_id, regexp_replace('東京、' || text || '。ＡＢ', '[\\x{3000}-\\x{9fff}\\x{f900}-\\x{faff}\\x{fe30}-\\x{fe4f}\\x{ff00}-\\x{ffef}]', '', 'g') as clean from documents",
         "filename_shorten": "select page_id, case when length(n) > 22 then left(n, 20) || '...' else n end as short from (select page_id, regexp_replace(regexp_replace(url, '^https?://', '') || case when page_id % 2 = 0 then '.pdf' else '' end, '(?i)\\.pdf$', '') as n from pages)",
         "snapshot_retention": "select event_id from events where ts >= timestamp '2024-01-30 00:00:00' - interval 7 day",
     }

@@ -38,7 +38,9 @@ def page_stats(pages: DataFrame, *by: str) -> DataFrame:
 
 
 def pdf_pages(spark: SparkSession, path: str, parser: Callable[[], Callable[[bytes], list[str]]], ocr: Callable[[], Callable[[bytes, int], str]] | None = None) -> DataFrame:
-    """hash, filename, size_kb, title, author, page_num, text, has_ocr, char_count of the PDF files below a folder.
+    """path, hash, filename, size_kb, title, author, page_count, page_num, text, has_ocr, char_count of the PDF files below a folder.
+
+    Each file is read once, and its hash and size travel with its pages, so files of one name in different folders stay apart.
 
     ``parser`` is called once in each task and gives the function from a file's bytes to the texts of its pages; ``ocr``
     likewise gives the function from bytes and a page's number to its text.
@@ -49,16 +51,16 @@ def pdf_pages(spark: SparkSession, path: str, parser: Callable[[], Callable[[byt
         parse, look = parser(), ocr() if ocr else None
         for batch in batches:
             out = []
-            for name, content in zip(batch["filename"], batch["content"]):
-                for n, text in enumerate(parse(content), 1):
+            for path_, name, digest, size, content in zip(*(batch[c] for c in ("path", "filename", "hash", "size_kb", "content"))):
+                texts = parse(content)
+                for n, text in enumerate(texts, 1):
                     text = text.strip()
                     flagged = len(text) < OCR_LEAST
                     if flagged and look:
-                        text = look(content, n).strip() or text
-                    out.append((name, n, text, flagged))
-            yield pd.DataFrame(out, columns=["filename", "page_num", "text", "has_ocr"])
-
-    named = files.select(file_name(F.col("path")).alias("filename"), "content", F.md5("content").alias("hash"), F.round(F.col("length") / 1024, 2).alias("size_kb"))
-    pages = named.select("filename", "content").mapInPandas(run, "filename string, page_num int, text string, has_ocr boolean")
-    meta = named.select("filename", "hash", "size_kb", F.regexp_replace("filename", r"\.[^.]*$", "").alias("title"), F.lit("Unknown").alias("author"))
-    return pages.join(meta, "filename").withColumn("char_count", F.length("text"))
+                        text = look(content, n).strip()
+                    out.append((path_, digest, name, size, len(texts), n, text, flagged))
+            yield pd.DataFrame(out, columns=["path", "hash", "filename", "size_kb", "page_count", "page_num", "text", "has_ocr"])
+
+    named = files.select("path", file_name(F.col("path")).alias("filename"), "content", F.md5("content").alias("hash"), F.round(F.col("length") / 1024, 2).alias("size_kb"))
+    pages = named.mapInPandas(run, "path string, hash string, filename string, size_kb double, page_count int, page_num int, text string, has_ocr boolean")
+    return pages.withColumns({"title": F.regexp_replace("filename", r"\.[^.]*$", ""), "author": F.lit("Unknown"), "char_count": F.length("text")})

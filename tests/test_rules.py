@@ -1,13 +1,16 @@
 """Hand-made cases of the retrieval rules, and plain-Python models of them."""
 
+import hashlib
+
 import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
 from sedgewren.functions import text as T
-from sedgewren.operators import answering, catalog, fusion, lexical, reranking
+from sedgewren.operators import answering, catalog, dense, fusion, lexical, reranking
 from sedgewren.operators.chunking import chunk_pages
 from sedgewren.streaming.ingest import ingest, messages, page_stream
 
@@ -151,3 +154,36 @@ def test_stream_ingests_each_text_once(spark, tmp_path):
 def test_channel_messages(spark):
     rows = spark.createDataFrame([(1, " hi "), (2, "/start"), (3, " "), (4, None)], "chat_id int, text string")
     assert [(r["chat_id"], r["question"], r["top_k"]) for r in messages(rows).collect()] == [(1, "hi", 3)]
+
+
+def test_zero_vectors_take_no_part(spark, monkeypatch):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0]), (4, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)] + [(9, [0.0, 0.0])], "query_id long, vector array<double>")
+    once = sorted(map(tuple, dense.search(vectors, asked, 2).collect()))
+    assert [r[:2] for r in once if r[0] == 0] == [(0, 1), (0, 3)] and not [r for r in once if r[1] == 2 or r[0] == 9]
+    monkeypatch.setattr(dense, "SENT", 100)  # queries in blocks
+    assert sorted(map(tuple, dense.search(vectors, asked, 2).collect())) == once
+
+
+def test_pdf_pages_of_equal_names(spark, tmp_path):
+    from sedgewren.sources.documents import pdf_pages
+
+    for folder, text in (("a", b"first|"), ("b", b"second file, whose only page is long enough to need no OCR at all")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.pdf").write_bytes(text)
+    rows = pdf_pages(spark, str(tmp_path), lambda: lambda data: data.decode().split("|"), lambda: lambda data, n: "seen" if n == 2 else " ").orderBy("path", "page_num").collect()
+    got = [(r["path"][-7:], r["hash"], r["page_num"], r["page_count"], r["text"], r["has_ocr"]) for r in rows]
+    a, b = (hashlib.md5((tmp_path / f / "x.pdf").read_bytes()).hexdigest() for f in "ab")
+    assert got == [("a/x.pdf", a, 1, 2, "", True), ("a/x.pdf", a, 2, 2, "seen", True), ("b/x.pdf", b, 1, 1, "second file, whose only page is long enough to need no OCR at all", False)]
+
+
+def test_a_failed_write_leaves_the_last_version(spark, tmp_path):
+    store = catalog.Store(spark, str(tmp_path / "t"))
+    for n in range(4):
+        store.write(spark.range(n + 1))
+    with pytest.raises(Exception):  # noqa: B017
+        store.write(spark.range(3).select(F.raise_error(F.lit("crash"))))
+    assert store.read().count() == 4 and store.exists()
+    store.create(spark.range(1).schema)
+    assert store.read().count() == 4
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) <= 3
