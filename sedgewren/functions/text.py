@@ -94,6 +94,11 @@ def highlight_anchor(text: Column, most: int = 120, least: int = 40) -> Column:
     return F.when(head.contains(" ") & (F.length(cut) > least), cut).otherwise(head)
 
 
+def found_at(text: Column, anchor: Column) -> Column:
+    """Offset of an anchor in a text whose white space is normalised, letter case aside; -1 if absent or empty."""
+    return F.when(normalized(anchor) == "", F.lit(-1)).otherwise(F.position(F.lower(normalized(anchor)), F.lower(normalized(text))) - 1)
+
+
 def without_cjk(text: Column) -> Column:
     return F.regexp_replace(text, CJK, "")
 

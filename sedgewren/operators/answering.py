@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,7 +13,10 @@ from sedgewren.functions.text import excerpt, expansion_lines, is_short_query
 
 CONTEXT_CHARS, HISTORY_CHARS, HISTORY_TURNS = 12_000, 8_000, 4
 MOST_VARIANTS = 5
+WAIT = 2.0
+# Texts shown where there is nothing to answer from.
 NO_CONTEXT = "No relevant context found."
+NOTHING_FOUND = "No relevant information found in the knowledge base."
 REFUSAL = "I couldn't find relevant information in the knowledge base to answer this question."
 
 # The texts of the prompts.
@@ -115,19 +119,33 @@ def _filled(text: Column, by: dict[str, Column]) -> Column:
 
 
 def sources(chunks: DataFrame) -> DataFrame:
-    """query_id, document, page, excerpt, chunk_text, relevance_score: the best chunk of each document, best first.
+    """query_id, document, page, excerpt, chunk_text, relevance_score, rank: the best chunk of each document.
 
-    The raw scores decide; the rounded one is shown.
+    The raw scores decide which chunk stands for a document; the rounded one is shown and orders the documents, of equals
+    the one that the reranker met first. ``rank`` is that order, from 1.
     """
     best = F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy(F.desc("rerank_score"), "rerank_rank"))
     raw = F.replace(F.regexp_replace("text", r"^\s+|\s+$", ""), F.lit("\n"), F.lit(" "))
-    return chunks.withColumn("_best", best).where("_best = 1").select("query_id", F.col("document_id").alias("document"), F.col("page_num").alias("page"), excerpt(F.col("text")).alias("excerpt"), raw.alias("chunk_text"), shown_score(F.col("rerank_score")).alias("relevance_score"))
+    shown = chunks.withColumn("_best", best).where("_best = 1").withColumn("_shown", shown_score(F.col("rerank_score")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("_shown"), "rerank_rank")
+    return shown.select("query_id", F.col("document_id").alias("document"), F.col("page_num").alias("page"), excerpt(F.col("text")).alias("excerpt"), raw.alias("chunk_text"), F.col("_shown").alias("relevance_score"), F.row_number().over(order).alias("rank"))
 
 
 def shown_score(score: Column, digits: int = 3) -> Column:
-    """A score rounded half up in binary arithmetic. Scores that lie halfway within a last binary digit may differ by one in
-    the last decimal from a rounding of the exact binary value."""
-    return F.floor(score * 10**digits + 0.5) / 10**digits
+    """A score rounded as its exact binary value lies, a true half to the even digit, for scores below 2 to the 40th.
+
+    The scaled score and what its product loses are kept apart: both halves of the score's significand times the scale
+    are exact, so their difference from the rounded product is too.
+    """
+    scale = float(10**digits)
+    x = F.abs(score)
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    product = x * scale
+    lost = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product).cast("double")
+    beyond = (product - whole - 0.5) + lost
+    up = (beyond > 0) | ((beyond == 0) & (whole % 2 == 1))
+    return F.signum(score) * F.when(up, whole + 1).otherwise(whole) / scale
 
 
 def variants(queries: DataFrame) -> DataFrame:
@@ -145,11 +163,24 @@ def variants(queries: DataFrame) -> DataFrame:
     return rows.withColumn("variant", F.row_number().over(order) - 1).where(F.col("variant") < MOST_VARIANTS).select("query_id", "variant", "text")
 
 
-def generate(prompted: DataFrame, client: Callable[[], Callable[[list[dict]], dict]], attempts: int = 3) -> DataFrame:
+def responses(asked: DataFrame, gated: DataFrame, generated: DataFrame) -> DataFrame:
+    """query_id, status, answer, total_tokens: one row for each query in ``asked``.
+
+    A query without any hit is "empty", one whose hits stay below the gate "refused"; both get a fixed text and no tokens.
+    The others are "answered" with what the model said. ``gated`` has query_id and answered (see fusion.gate()).
+    """
+    rows = asked.select("query_id").distinct().join(gated.select("query_id", "answered"), "query_id", "left")
+    rows = rows.join(generated.select("query_id", "answer", "total_tokens"), "query_id", "left")
+    status = F.when(F.col("answered").isNull(), "empty").when(F.col("answered"), "answered").otherwise("refused")
+    text = F.when(F.col("answered").isNull(), NOTHING_FOUND).when(F.col("answered"), F.col("answer")).otherwise(REFUSAL)
+    return rows.select("query_id", status.alias("status"), text.alias("answer"), F.when(F.col("answered"), F.col("total_tokens")).otherwise(0).cast("long").alias("total_tokens"))
+
+
+def generate(prompted: DataFrame, client: Callable[[], Callable[[list[dict]], dict]], attempts: int = 3, wait: float = WAIT) -> DataFrame:
     """query_id, answer, model, prompt_tokens, completion_tokens, total_tokens.
 
     ``client`` is called once in each task and gives the function that answers one list of messages; it is asked again
-    after a TimeoutError or ConnectionError.
+    after a TimeoutError or ConnectionError, ``wait`` seconds later the first time and as many more each time after.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,13 +188,14 @@ def generate(prompted: DataFrame, client: Callable[[], Callable[[list[dict]], di
         for batch in batches:
             out = []
             for query_id, messages in zip(batch["query_id"], batch["messages"]):
-                for left in range(attempts - 1, -1, -1):
+                for attempt in range(1, attempts + 1):
                     try:
                         a = ask([dict(m) for m in messages])
                         break
                     except (TimeoutError, ConnectionError):
-                        if not left:
+                        if attempt == attempts:
                             raise
+                        time.sleep(wait * attempt)
                 out.append((query_id, a["answer"], a["model"], a.get("prompt_tokens", 0), a.get("completion_tokens", 0), a.get("prompt_tokens", 0) + a.get("completion_tokens", 0)))
             yield pd.DataFrame(out, columns=["query_id", "answer", "model", "prompt_tokens", "completion_tokens", "total_tokens"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import calendar
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,8 +48,10 @@ def registry(chunks: DataFrame) -> DataFrame:
 
 
 def folders(registered: DataFrame, documents: DataFrame) -> DataFrame:
-    """name: registered folders and the documents' own, without the empty one."""
-    return registered.select("name").union(documents.select(F.col("folder").alias("name"))).where("name is not null and name <> ''").distinct()
+    """name, place: registered folders and the documents' own, without the empty one, numbered by name."""
+    names = registered.select("name").union(documents.select(F.col("folder").alias("name"))).where("name is not null and name <> ''").distinct()
+    # one row for each folder, as in folder_tree()
+    return names.withColumn("place", F.row_number().over(Window.orderBy("name")))
 
 
 def create_folder(registered: DataFrame, name: str) -> DataFrame:
@@ -67,6 +71,13 @@ def rename_folder(rows: DataFrame, old: str, new: str, column: str = "folder") -
     return rows.withColumn(column, F.when(F.col(column) == old, new).otherwise(F.col(column)))
 
 
+def rename_registered(registered: DataFrame, old: str, new: str) -> DataFrame:
+    """The registry after a rename: the old name goes, the new one is there once, whether or not it was before."""
+    if not new.strip():
+        raise ValueError("a folder needs a name")
+    return create_folder(delete_folder(registered, old), new)
+
+
 def move_document(rows: DataFrame, document_id, folder: str) -> DataFrame:
     return rows.withColumn("folder", F.when(F.col("document_id") == document_id, folder).otherwise(F.col("folder")))
 
@@ -76,6 +87,23 @@ def delete_documents(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(gone.select("document_id").distinct(), "document_id", "left_anti")
 
 
+def delete_everywhere(stores: dict[str, Store], registry: Store, gone: DataFrame) -> None:
+    """Delete the documents in ``gone`` from each store (chunks, vectors, postings, hashes, ...), from the registry last.
+
+    Every store is tried. If one fails the registry keeps the documents, so that they stay visible and the call can be
+    repeated; the error names the stores that failed.
+    """
+    failed = {}
+    for name, store in stores.items():
+        try:
+            store.write(delete_documents(store.read(), gone))
+        except Exception as e:  # noqa: BLE001
+            failed[name] = str(e)[:200]
+    if failed:
+        raise RuntimeError(f"not deleted everywhere, repeat the deletion: {failed}")
+    registry.write(delete_documents(registry.read(), gone))
+
+
 def insert_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Append rows whose key is new; of equal new keys one is kept."""
     return table.unionByName(rows.dropDuplicates([key]).join(table.select(key), key, "left_anti"))
@@ -152,6 +180,29 @@ class Store:
             for name in (self._version(old), f"pointers/{old}"):
                 system.delete(self._at(name)[0], True)
 
+    def snapshot(self, folder: str) -> str:
+        """Copy the version in force below ``folder`` and give the copy's path."""
+        name = f"{folder.rstrip('/')}/{time.strftime('%Y-%m-%d-%H-%M-%S', time.gmtime())}-{uuid.uuid4().hex[:8]}.snapshot"
+        self.read().write.parquet(name)
+        return name
+
+    def restore(self, snapshot: str) -> None:
+        self.write(self.spark.read.parquet(snapshot))
+
+    def expire(self, folder: str, days: int = 7) -> list[str]:
+        """Delete the snapshots below ``folder`` that were made more than ``days`` days ago, and name them."""
+        made = [(n, calendar.timegm(time.strptime(n[:19], "%Y-%m-%d-%H-%M-%S"))) for n in self._names(folder) if n.endswith(".snapshot")]
+        old = [n for n, at in made if at < time.time() - days * 86_400]
+        for n in old:
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{n}")
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        return old
+
+    def _names(self, folder: str) -> list[str]:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        system = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(x.getPath().getName() for x in system.listStatus(where)) if system.exists(where) else []
+
     def info(self) -> dict:
         try:
             return {"points": self.read().count()}

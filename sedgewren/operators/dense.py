@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,27 +23,35 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
 
 
-def search(vectors: DataFrame, queries: DataFrame, pool: int, key: str = "vec_id", folder: str | None = None) -> DataFrame:
-    """query_id, <key>, score, rank. ``queries`` has query_id, vector and, with ``folder``, the folder to search in.
+def search(vectors: DataFrame, queries: DataFrame, pool: int, key: str = "vec_id", folder: str | None = None, document: str | None = None) -> DataFrame:
+    """query_id, <key>, score, rank. ``queries`` has query_id, vector and, with ``folder`` or ``document`` (names of columns of
+    ``vectors``), the folder or document to search in; null or empty is no filter.
 
-    With a folder the pairs come from an equi-join on it; without one every query meets every vector: queries of up to ``SENT``
-    bytes are sent to the vectors, more meet them block by block in a join on the block's number. Norms are formed once for each
-    row; zero vectors have no direction and take no part. Only the pool's best of each query leave a task before the ranks are
-    dealt out.
+    Filtered queries meet their vectors in an equi-join; the others meet every vector: queries of up to ``SENT`` bytes are sent
+    to the vectors, more meet them block by block in a join on the block's number. Norms are formed once for each row; zero
+    vectors have no direction and take no part. Only the pool's best of each query leave a task before the ranks are dealt out.
     """
+    filters = [(n, c) for n, c in (("folder", folder), ("document", document)) if c]
     normed = lambda rows, v, n: rows.withColumn(n, F.sqrt(_dot(F.col(v), F.col(v)))).where(F.col(n) > 0)
-    rows = normed(vectors.select(key, F.col("embedding").alias("v"), *([F.col(folder).alias("_folder")] if folder else [])), "v", "vn")
-    asked = normed(queries.select("query_id", F.col("vector").alias("q"), *([F.col("folder").alias("_folder")] if folder else [])), "q", "qn")
-    if folder:
-        pairs = rows.join(asked, "_folder")
-    else:
-        size = asked.agg(F.coalesce(F.sum(8 * F.size("q") + 64), F.lit(0))).first()[0]
-        if size <= SENT:
-            pairs = rows.join(F.broadcast(asked), how="cross")
-        else:
-            blocks = -(-size // SENT)
-            asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-            pairs = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, "_block")
+    rows = normed(vectors.select(key, F.col("embedding").alias("v"), *(F.col(c).cast("string").alias(f"_{n}") for n, c in filters)), "v", "vn")
+    asked = normed(queries.select("query_id", F.col("vector").alias("q"), *(F.nullif(F.col(n).cast("string"), F.lit("")).alias(f"_{n}") for n, _ in filters)), "q", "qn")
+    pairs = None
+    for used in itertools.chain.from_iterable(itertools.combinations([f"_{n}" for n, _ in filters], k) for k in range(len(filters), -1, -1)):
+        some = asked
+        for n, _ in filters:
+            some = some.where(F.col(f"_{n}").isNotNull() if f"_{n}" in used else F.col(f"_{n}").isNull())
+        some = some.drop(*(f"_{n}" for n, _ in filters if f"_{n}" not in used))
+        met = (rows.join(some, list(used)) if used else _every_pair(rows, some)).select("query_id", key, "q", "qn", "v", "vn")
+        pairs = met if pairs is None else pairs.unionByName(met)
     scored = pairs.select("query_id", key, F.round(_dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn")), DIGITS).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool)
+
+
+def _every_pair(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    size = asked.agg(F.coalesce(F.sum(8 * F.size("q") + 64), F.lit(0))).first()[0]
+    if size <= SENT:
+        return rows.join(F.broadcast(asked), how="cross")
+    blocks = -(-size // SENT)
+    asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    return rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, "_block")

@@ -74,5 +74,5 @@ def guarantee_documents(expanded: DataFrame, chunks: DataFrame, k: int) -> DataF
 
 
 def gate(hits: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """query_id, best, answered: whether any hit is relevant enough to answer from."""
-    return hits.groupBy("query_id").agg(F.max("score").alias("best")).withColumn("answered", F.col("best") >= threshold)
+    """query_id, best, avg, n_hits, answered: whether any hit is relevant enough to answer from."""
+    return hits.groupBy("query_id").agg(F.max("score").alias("best"), F.avg("score").alias("avg"), F.count("*").alias("n_hits")).withColumn("answered", F.col("best") >= threshold)

@@ -143,7 +143,7 @@ def doc_guarantee(spark, d):
 
 @query
 def relevance_gate(spark, d):
-    return fixture(spark, d).gated.select("query_id", _r("best"), "answered")
+    return fixture(spark, d).gated.select("query_id", _r("best"), _r("avg"), "n_hits", "answered")
 
 
 @query
@@ -161,7 +161,7 @@ def rerank_language_fallback(spark, d):
 
 @query
 def sources_per_document(spark, d):
-    return fixture(spark, d).sources.select("query_id", "document", "page", "excerpt", "chunk_text", "relevance_score")
+    return fixture(spark, d).sources.select("query_id", "document", "page", "excerpt", "chunk_text", "relevance_score", "rank")
 
 
 @query
@@ -207,16 +207,46 @@ def prompt_messages(spark, d):
     return out.select("query_id", F.size("messages").alias("n_messages"), F.md5(F.encode(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("|"), m["content"])), "##"), "UTF-8")).alias("digest"))
 
 
-@query
-def llm_answer_stub(spark, d):
+def _generated(spark, d):
     r = fixture(spark, d)
     asked = r.variants.where("variant = 0").select("query_id", F.col("text").alias("question"))
     prompted = answering.prompts(asked, answering.contexts(r.answered), answering.multi_document(r.answered))
-    return answering.generate(prompted, _stub)
+    return answering.generate(prompted.join(r.gated.where("answered").select("query_id"), "query_id", "left_semi"), _stub)
+
+
+@query
+def llm_answer_stub(spark, d):
+    return _generated(spark, d)
 
 
 def _stub():
-    return lambda messages: {"answer": messages[-1]["content"][:40], "model": "stub", "prompt_tokens": sum(len(m["content"]) for m in messages) // 4, "completion_tokens": 10}
+    """A model that answers with the digest of the whole conversation."""
+    import hashlib
+
+    said = lambda messages: "##".join(m["role"] + "|" + m["content"] for m in messages)
+    return lambda messages: {"answer": hashlib.md5(said(messages).encode()).hexdigest(), "model": "stub", "prompt_tokens": sum(len(m["content"]) for m in messages) // 4, "completion_tokens": 10}
+
+
+@query
+def answer_responses(spark, d):
+    r = fixture(spark, d)
+    asked = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"))
+    gated = fusion.gate(r.candidates, 0.9)  # a strict gate, so that some queries are refused
+    return answering.responses(asked, gated, _generated(spark, d))
+
+
+@query
+def highlight_offsets(spark, d):
+    pages = S.document_pages(spark, d).select("document_id", "page_num", F.col("text").alias("page"))
+    rows = _chunks(spark, d).select("chunk_id", "document_id", "page_num", T.highlight_anchor(F.col("text")).alias("anchor")).join(pages, ["document_id", "page_num"])
+    return rows.select("chunk_id", T.found_at(F.col("page"), F.col("anchor")).alias("at"), F.length("anchor").alias("n_chars"))
+
+
+@query
+def bm25_document_filter(spark, d):
+    r = fixture(spark, d)
+    asked = r.variants.where("variant = 0").select("query_id", "text", F.when(F.col("query_id") % 2 == 0, F.col("query_id").cast("string")).alias("document"))
+    return lexical.search(r.chunks, asked, 30, r.index).select("query_id", "chunk_id", "rank", _r("score"))
 
 
 @query

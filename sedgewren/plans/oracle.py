@@ -60,9 +60,9 @@ _CONV = "select conv_id as document_id, cast(turn + 1 as int) as page_num, text,
 _CHUNKS = _chunk_ctes("chunks", _PAGES)
 
 
-def _bm25(prefix: str, source: str, asked: str, pool: int, folder: bool = False) -> str:
+def _bm25(prefix: str, source: str, asked: str, pool: int, folder: bool = False, scope: str = "") -> str:
     """CTEs ``prefix``_hits over the chunks of ``source`` for ``asked``(query_id, variant, text[, folder])."""
-    scope = "where a.folder = c.folder" if folder else ""
+    scope = "where a.folder = c.folder" if folder else scope
     return f"""
 {prefix}_t as (select chunk_id, {tokens('text')} as t from {source}),
 {prefix}_l as (select chunk_id, len(t) as dl from {prefix}_t),
@@ -104,7 +104,7 @@ _EXPANDED = _EXPANDED.replace("from base b, (values (-1), (1)) o(d) join chunks
 _CANDIDATES = f"""{_EXPANDED},
 numbered as (select e.*, c.document_id, row_number() over (partition by e.query_id order by e.score desc, e.ord) as position from expanded e join chunks c using (chunk_id)),
 candidates as (select * from (select *, row_number() over (partition by query_id, document_id order by position) as own from numbered) where position <= 25 or own = 1),
-gated as (select query_id, max(score) as best, max(score) >= 0.30::double as answered from candidates group by query_id)"""
+gated as (select query_id, max(score) as best, avg(score) as avg, count(*) as n_hits, max(score) >= 0.30::double as answered from candidates group by query_id)"""
 _RERANKED = f"""{_CANDIDATES},
 asked0 as (select query_id, text as question, {tokens('text', False)} as qt from asked where variant = 0),
 toks as (select c.query_id, c.chunk_id, c.position, c.score, c.source, k.document_id, k.page_num, k.filename, k.text, q.question, q.qt, {tokens('k.text', False)} as tt from candidates c join chunks k using (chunk_id) join asked0 q using (query_id)),
@@ -112,10 +112,15 @@ pairs as (select *, {bigrams('qt')} as qb, {bigrams('tt')} as tb from toks),
 rated as (select *, round(least(score, 1.0::double) * 0.50::double + ({overlap('qt', 'tt')}) * 0.28::double + ({overlap('qb', 'tb')}) * 0.12::double + (case when contains(lower(text), lower(question)) then 0.15::double else 0.0::double end) * 0.10::double + (case when source = 'hybrid' then 0.05::double else 0.0::double end) * 0.05::double - (case when source = 'neighbor' then 0.05::double else 0.0::double end), 9) as rerank_score from pairs),
 reranked as (select * from (select *, row_number() over (partition by query_id order by rerank_score desc, position) as rerank_rank from rated) where rerank_rank <= 5),
 answered as (select r.* from reranked r join gated g using (query_id) where g.answered)"""
+# three decimals of the exact binary value, halves to even, in whole numbers: a score is a multiple of 2^-70 here
+_M = "(cast(abs(rerank_score) * 1180591620717411303424.0::double as hugeint) * 1000)"
+_UNIT, _HALF = "1180591620717411303424::hugeint", "590295810358705651712::hugeint"
+_EXACT = f"sign(rerank_score) * cast({_M} // {_UNIT} + case when {_M} % {_UNIT} > {_HALF} or ({_M} % {_UNIT} = {_HALF} and ({_M} // {_UNIT}) % 2 = 1) then 1 else 0 end as double) / 1000"
 _RAW = f"replace({strip('text')}, chr(10), ' ')"
 _SOURCES = f"""{_RERANKED},
 picked as (select *, {_RAW} as raw from (select *, row_number() over (partition by query_id, document_id order by rerank_score desc, rerank_rank) as own from answered) where own = 1),
-sources as (select query_id, document_id as document, page_num as page, case when length(raw) > 150 then regexp_replace(left(raw, 150), ' [^ ]*$', '') || '…' else raw end as excerpt, raw as chunk_text, floor(rerank_score * 1000 + 0.5) / 1000 as relevance_score from picked)"""
+shown as (select *, {_EXACT} as relevance_score from picked),
+sources as (select query_id, document_id as document, page_num as page, case when length(raw) > 150 then regexp_replace(left(raw, 150), ' [^ ]*$', '') || '…' else raw end as excerpt, raw as chunk_text, relevance_score, cast(row_number() over (partition by query_id order by relevance_score desc, rerank_rank) as int) as rank from shown)"""
 _CONTEXT = f"""{_RERANKED},
 multi as (select query_id, count(distinct nullif(filename, '')) > 1 as multi_doc from reranked group by query_id),
 entries as (select query_id, rerank_rank, case when multi_doc and filename <> '' then '[' || filename || ' | ' else '[Excerpt ' || rerank_rank || ' | ' end || 'Page ' || page_num || ']' || chr(10) || text as entry from reranked join multi using (query_id)),
@@ -132,17 +137,25 @@ h2 as (select conv_id, case when {total('h')} > {most} and len(h) >= 2 then h[3:
 h3 as (select conv_id, case when {total('h')} > {most} and len(h) >= 2 then h[3:] else h end as h from h2)"""
 
 
-def _prompts() -> str:
+def _prompts(plain: bool = False) -> str:
+    """CTE ``texts`` of the prompts; the plain ones are of answered queries only, without history, language and channel."""
     rule = "case language " + " ".join(f"when {_q(k)} then {_q(v)}" for k, v in answering.LANGUAGES.items()) + f" else {_q(answering.ANY_LANGUAGE)} end"
     style = f"case when multi_doc then {_q(answering.STYLE_MANY)} else {_q(answering.STYLE_ONE)} end"
     head, tail = answering.QUESTION.split("{context}")
     mid, rest = tail.split("{question}")
     before, after = rest.split("{hint}")
+    language, channel = ("null::varchar", "'web'") if plain else ("case query_id % 3 when 0 then 'en' when 1 then 'ru' end", "case when query_id % 5 = 0 then 'telegram' else 'web' end")
+    known = "and query_id in (select query_id from answered)" if plain else ""
+    past = "[]::struct(role varchar, content varchar)[]" if plain else "coalesce(h.h, [])"
     return f"""{_CONTEXT}, {_history(8000)},
-rows0 as (select q.query_id, q.text as question, case query_id % 3 when 0 then 'en' when 1 then 'ru' end as language, case when query_id % 5 = 0 then 'telegram' else 'web' end as channel from asked q where variant = 0),
-rows1 as (select r.*, coalesce(m.multi_doc, false) as multi_doc, coalesce(c.context, {_q(answering.NO_CONTEXT)}) as context, coalesce(h.h, []) as h from rows0 r left join multi m using (query_id) left join contexts c using (query_id) left join h3 h on h.conv_id = r.query_id),
-texts as (select *, case when channel = 'telegram' then replace({_q(answering.TELEGRAM)}, '{{language}}', {rule}) else replace(replace({_q(answering.SYSTEM)}, '{{style}}', {style}), '{{language}}', {rule}) || case when multi_doc then {_q(answering.MANY)} else '' end end as system, {_q(head)} || context || {_q(mid)} || question || {_q(before)} || case when multi_doc then {_q(answering.COMPARE_HINT)} else '' end || {_q(after)} as user_text from rows1)
-select query_id, cast(len(h) + 2 as int) as n_messages, md5(array_to_string(list_concat(list_concat(['system|' || system], list_transform(h, lambda m: m.role || '|' || m.content)), ['user|' || user_text]), '##')) as digest from texts"""
+rows0 as (select q.query_id, q.text as question, {language} as language, {channel} as channel from asked q where variant = 0 {known}),
+rows1 as (select r.*, coalesce(m.multi_doc, false) as multi_doc, coalesce(c.context, {_q(answering.NO_CONTEXT)}) as context, {past} as h from rows0 r left join multi m using (query_id) left join contexts c using (query_id) left join h3 h on h.conv_id = r.query_id),
+texts as (select *, case when channel = 'telegram' then replace({_q(answering.TELEGRAM)}, '{{language}}', {rule}) else replace(replace({_q(answering.SYSTEM)}, '{{style}}', {style}), '{{language}}', {rule}) || case when multi_doc then {_q(answering.MANY)} else '' end end as system, {_q(head)} || context || {_q(mid)} || question || {_q(before)} || case when multi_doc then {_q(answering.COMPARE_HINT)} else '' end || {_q(after)} as user_text from rows1),
+said as (select query_id, h, length(system) + length(user_text) as n_chars, md5(array_to_string(list_concat(list_concat(['system|' || system], list_transform(h, lambda m: m.role || '|' || m.content)), ['user|' || user_text]), '##')) as digest from texts)"""
+
+
+_ANSWERS = "answers as (select query_id, digest as answer, 'stub' as model, cast(n_chars // 4 as bigint) as prompt_tokens, 10::bigint as completion_tokens, cast(n_chars // 4 + 10 as bigint) as total_tokens from said)"
+_HIGHLIGHT = lambda x: f"(case when contains({x}, ' ') and length(regexp_replace({x}, ' [^ ]*$', '')) > 40 then regexp_replace({x}, ' [^ ]*$', '') else {x} end)"
 
 
 def _round(c: str) -> str:
@@ -175,7 +188,7 @@ def oracle_sql() -> dict[str, str]:
         "fuse_multi_variant": f"{_FUSED} select query_id, chunk_id, {_round('score')}, source, ord from fused",
         "neighbor_expand": f"{_EXPANDED} select query_id, chunk_id, {_round('score')}, source, ord from expanded",
         "doc_guarantee": f"{_CANDIDATES} select query_id, chunk_id, {_round('score')}, source, cast(position as int) as position from candidates",
-        "relevance_gate": f"{_CANDIDATES} select query_id, {_round('best')}, answered from gated",
+        "relevance_gate": f"{_CANDIDATES} select query_id, {_round('best')}, {_round('avg')}, n_hits, answered from gated",
         "lexical_rerank": f"{_RERANKED} select query_id, chunk_id, cast(rerank_rank as int) as rerank_rank, {_round('rerank_score')} from reranked",
         "rerank_language_fallback": f"{_CANDIDATES}, m as (select *, case when query_id % 3 = 0 then -10.0::double - position * 0.001::double else score * 4 - 6 end as model from candidates), s as (select *, round(case when max(model) over (partition by query_id) < -5 then score else model end, 9) as rerank_score from m) select query_id, chunk_id, cast(rerank_rank as int) as rerank_rank, {_round('rerank_score')} from (select *, row_number() over (partition by query_id order by rerank_score desc, position) as rerank_rank from s) where rerank_rank <= 5",
         "sources_per_document": f"{_SOURCES} select * from sources",
@@ -184,11 +197,15 @@ def oracle_sql() -> dict[str, str]:
         "multi_doc_mode": f"{_CONTEXT} select * from multi",
         "context_budget": f"{_CONTEXT} select query_id, cast(n_entries as int) as n_entries, cast(length(context) as int) as n_chars, md5(context) as digest from contexts",
         "history_trim": f"with {_history(1500)} select conv_id, cast(len(h) as int) as n_turns, array_to_string(list_transform(h, lambda x: x.role || ':' || length(x.content)), ',') as turns from h3",
-        "prompt_messages": _prompts(),
+        "prompt_messages": f"{_prompts()} select query_id, cast(len(h) + 2 as int) as n_messages, digest from said",
+        "llm_answer_stub": f"{_prompts(True)}, {_ANSWERS} select * from answers",
+        "answer_responses": f"{_prompts(True)}, {_ANSWERS} select b.item_id as query_id, case when g.best is null then 'empty' when g.best >= 0.9 then 'answered' else 'refused' end as status, case when g.best is null then {_q('No relevant information found in the knowledge base.')} when g.best >= 0.9 then a.answer else {_q("I couldn't find relevant information in the knowledge base to answer this question.")} end as answer, cast(case when g.best >= 0.9 then a.total_tokens else 0 end as bigint) as total_tokens from benchmark b left join gated g on g.query_id = b.item_id left join answers a on a.query_id = b.item_id",
+        "highlight_offsets": f"with {_CHUNKS}, a as (select chunk_id, document_id, left({strip('text')}, 120) as a from chunks), n as (select chunk_id, document_id, {_HIGHLIGHT('a')} as anchor from a) select chunk_id, cast(instr(lower({norm('d.text')}), lower({norm('anchor')})) - 1 as int) as at, cast(length(anchor) as int) as n_chars from n join documents d on d.doc_id = n.document_id",
+        "bm25_document_filter": f"with {_CHUNKS}, {_ASKED}, scoped as (select query_id, variant, text, case when query_id % 2 = 0 then query_id end as document from asked where variant = 0), {_bm25('b', 'chunks', 'scoped', 30, scope='where a.document is null or a.document = c.document_id')} select query_id, chunk_id, cast(rank as int) as rank, {_round('score')} from b_hits",
         "expand_short_query": f"with w as (select item_id, string_split({norm('text')}, ' ') as w from benchmark), q as (select item_id, array_to_string(w[1:(item_id % 4) + 1], ' ') as question from w) select item_id, question, len(list_filter(string_split({norm('question')}, ' '), lambda x: x <> '')) <= 2 as short from q",
         "variant_dedup": f"with w as (select item_id as query_id, string_split({norm('text')}, ' ') as w from benchmark), q as (select query_id, {line(1, 4)} as question, [{line(5, 8)}, translate({line(1, 4)}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), lower({line(5, 8)}), {line(9, 12)}] as lines from w), u as (select query_id, question, unnest(list_concat([{{'pos': 0, 'text': question}}], case when len(string_split(question, ' ')) <= 2 then [] else list_transform(list_filter([{{'pos': 1, 'raw': '1. ' || lines[1], 'text': lines[1]}}, {{'pos': 2, 'raw': '- ' || lines[2], 'text': lines[2]}}, {{'pos': 3, 'raw': '2) ' || lines[3], 'text': lines[3]}}, {{'pos': 4, 'raw': lines[4], 'text': lines[4]}}], lambda x: length(x.raw) > 3), lambda x: {{'pos': x.pos, 'text': regexp_replace(x.text, '^[0-9.\\-) ]+', '')}}) end)) as x from q), f as (select query_id, x.pos as pos, x.text as text from u where x.pos = 0 or (lower(x.text) <> lower(question) and length(x.text) > 3)), o as (select *, row_number() over (partition by query_id, lower(text) order by pos) as own from f) select * from (select query_id, cast(row_number() over (partition by query_id order by pos) - 1 as int) as variant, text from o where own = 1) where variant < 5",
         "registry_rollup": f"{registry} select * from registry",
-        "folder_list": "select distinct name from (select source as name from documents union all select unnest(['Archive', 'src1'])) where name is not null and name <> ''",
+        "folder_list": "select name, cast(row_number() over (order by name) as int) as place from (select distinct name from (select source as name from documents union all select unnest(['Archive', 'src1'])) where name is not null and name <> '')",
         "folder_rename": "select case when coalesce(source, '') = 'src1' then 'renamed' else coalesce(source, '') end as folder, count(*) as n_docs from documents group by 1",
         "folder_registry": "select distinct name from (select coalesce(source, '') as name from documents union all select unnest(['Archive', 'New']))",
         "document_move": "select doc_id as document_id, case when doc_id = 7 then 'moved' else coalesce(source, '') end as folder from documents",

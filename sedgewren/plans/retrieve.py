@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewren.operators import answering, dense, fusion, lexical, reranking
+from sedgewren.operators import answering, dense, fusion, lexical, models, reranking
 from sedgewren.operators.chunking import chunk_pages
 from sedgewren.sources.documents import document_pages
 from sedgewren.sources.stage import staged
@@ -18,7 +20,7 @@ from sedgewren.sources.stage import staged
 class Retrieval:
     """The stages from chunks and query variants to sources, each a DataFrame over all queries.
 
-    ``variants``: query_id, variant, text, vector and, optionally, folder. ``vectors``: chunk_id, embedding.
+    ``variants``: query_id, variant, text, vector. ``vectors``: chunk_id, embedding. asking() makes all of it from texts.
     """
 
     chunks: DataFrame
@@ -26,13 +28,25 @@ class Retrieval:
     variants: DataFrame
     top_k: int = 5
     strict_compat: bool = False
+    #: a cross-encoder (see models.cross_scores()); without one the lexical reranker scores
+    scorer: Callable | None = None
     pool: int = field(init=False)
     k: int = field(init=False)
+    #: milliseconds that each stage took when it was first asked for, those of the stages below it left out
+    elapsed_ms: dict[str, int] = field(init=False, default_factory=dict)
 
     def __post_init__(self):
         self.k = fusion.request_size(self.top_k)
         self.pool = fusion.pool_size(self.k)
 
+    def _kept(self, stage: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """Stage what ``make`` plans and note how long that took."""
+        below = sum(self.elapsed_ms.values())
+        began = time.monotonic()
+        out = staged(make(), stage)
+        self.elapsed_ms[stage] = int((time.monotonic() - began) * 1000) - (sum(self.elapsed_ms.values()) - below)
+        return out
+
     def _keyed(self) -> DataFrame:
         return self.variants.withColumn("query_id", F.struct("query_id", "variant"))
 
@@ -42,27 +56,27 @@ class Retrieval:
     @cached_property
     def index(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Postings, places and term statistics, kept for all searches."""
-        return lexical.indexed(self.chunks, staged)
+        return lexical.indexed(self.chunks, lambda df, name: self._kept(name, lambda: df))
 
     @cached_property
     def lexical_hits(self) -> DataFrame:
-        return staged(self._named(lexical.search(self.chunks, self._keyed().drop("vector"), self.pool, self.index), "bm25"), "lexical_hits")
+        return self._kept("lexical_hits", lambda: self._named(lexical.search(self.chunks, self._keyed().drop("vector"), self.pool, self.index), "bm25"))
 
     @cached_property
     def vector_hits(self) -> DataFrame:
-        return staged(self._named(dense.search(self.vectors, self._keyed(), self.pool, key="chunk_id"), "vector"), "vector_hits")
+        return self._kept("vector_hits", lambda: self._named(dense.search(self.vectors, self._keyed(), self.pool, key="chunk_id"), "vector"))
 
     @cached_property
     def fused(self) -> DataFrame:
-        return staged(fusion.fuse_variants(self.vector_hits.unionByName(self.lexical_hits), self.strict_compat), "fused")
+        return self._kept("fused", lambda: fusion.fuse_variants(self.vector_hits.unionByName(self.lexical_hits), self.strict_compat))
 
     @cached_property
     def expanded(self) -> DataFrame:
-        return staged(fusion.expand_neighbors(self.fused, self.chunks, self.pool), "expanded")
+        return self._kept("expanded", lambda: fusion.expand_neighbors(self.fused, self.chunks, self.pool))
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return staged(fusion.guarantee_documents(self.expanded, self.chunks, self.k), "candidates")
+        return self._kept("candidates", lambda: fusion.guarantee_documents(self.expanded, self.chunks, self.k))
 
     @cached_property
     def gated(self) -> DataFrame:
@@ -70,14 +84,26 @@ class Retrieval:
 
     @cached_property
     def reranked(self) -> DataFrame:
+        return self._kept("reranked", self._by_model if self.scorer else self._by_words)
+
+    def _by_words(self) -> DataFrame:
         questions = reranking.token_sets(self.variants.where("variant = 0"), "query_id").select("query_id", F.struct("plain", "tokens", "pairs").alias("asked"))
-        texts = self.chunks.select("chunk_id", "document_id", "page_num", "filename", "text")
         found = reranking.token_sets(self.chunks, "chunk_id").select("chunk_id", F.struct("plain", "tokens", "pairs").alias("found"))
-        found = staged(found.join(self.candidates.select("chunk_id").distinct(), "chunk_id", "left_semi"), "token-sets")
+        found = self._kept("token-sets", lambda: found.join(self.candidates.select("chunk_id").distinct(), "chunk_id", "left_semi"))
         rows = self.candidates.drop("document_id").join(found, "chunk_id").join(questions, "query_id")
         score = reranking.lexical_score("asked", "found", F.col("score"), F.col("source"))
         best = reranking.top(rows.withColumn("rerank_score", F.round(score, 9)).drop("asked", "found"), self.top_k)
-        return staged(best.join(texts, "chunk_id"), "reranked")
+        return best.join(self._texts(), "chunk_id")
+
+    def _by_model(self) -> DataFrame:
+        questions = self.variants.where("variant = 0").select("query_id", F.col("text").alias("question"))
+        pairs = self.candidates.drop("document_id").join(self._texts(), "chunk_id").join(questions, "query_id")
+        scored = models.cross_scores(pairs, self.scorer)
+        scored = scored.withColumn("rerank_score", reranking.with_fallback(F.col("model_score"), F.col("score")))
+        return reranking.top(scored.drop("model_score", "question"), self.top_k)
+
+    def _texts(self) -> DataFrame:
+        return self.chunks.select("chunk_id", "document_id", "page_num", "filename", "text")
 
     @cached_property
     def answered(self) -> DataFrame:
@@ -89,6 +115,18 @@ class Retrieval:
         return answering.sources(self.answered)
 
 
+def asking(chunks: DataFrame, queries: DataFrame, encoder: Callable, client: Callable | None = None, **options) -> Retrieval:
+    """A Retrieval from texts alone: ``queries`` (query_id, question) are expanded by ``client``, and chunks and wordings are
+    embedded by ``encoder`` (see models.expand() and models.embed()). Blank questions are not asked.
+    """
+    asked = queries.where(F.trim(F.coalesce("question", F.lit(""))) != "")
+    wordings = models.expand(asked, client) if client else asked.select("query_id", F.lit(0).alias("variant"), F.col("question").alias("text"))
+    wordings = staged(wordings, "wordings").withColumn("key", F.struct("query_id", "variant"))
+    embedded = models.embed(wordings.select(F.to_json("key").alias("key"), "text"), "key", encoder).withColumnRenamed("embedding", "vector")
+    variants = wordings.withColumn("key", F.to_json("key")).join(embedded, "key").drop("key")
+    return Retrieval(chunks, staged(models.embed(chunks, "chunk_id", encoder), "vectors"), staged(variants, "variants"), **options)
+
+
 _FIXTURES: dict[tuple[str, str], Retrieval] = {}
 
 

@@ -38,12 +38,14 @@ def page_stats(pages: DataFrame, *by: str) -> DataFrame:
 
 
 def pdf_pages(spark: SparkSession, path: str, parser: Callable[[], Callable[[bytes], list[str]]], ocr: Callable[[], Callable[[bytes, int], str]] | None = None) -> DataFrame:
-    """path, hash, filename, size_kb, title, author, page_count, page_num, text, has_ocr, char_count of the PDF files below a folder.
+    """path, hash, filename, size_kb, title, author, subject, creator, page_count, page_num, text, has_ocr, char_count of the PDF
+    files below a folder.
 
     Each file is read once, and its hash and size travel with its pages, so files of one name in different folders stay apart.
 
-    ``parser`` is called once in each task and gives the function from a file's bytes to the texts of its pages; ``ocr``
-    likewise gives the function from bytes and a page's number to its text.
+    ``parser`` is called once in each task and gives the function from a file's bytes to the texts of its pages, or to a pair
+    of these and a dict of what the file says of itself (title, author, subject, creator); ``ocr`` likewise gives the function
+    from bytes and a page's number to its text.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(is_pdf(F.col("path")))
 
@@ -52,15 +54,17 @@ def pdf_pages(spark: SparkSession, path: str, parser: Callable[[], Callable[[byt
         for batch in batches:
             out = []
             for path_, name, digest, size, content in zip(*(batch[c] for c in ("path", "filename", "hash", "size_kb", "content"))):
-                texts = parse(content)
+                found = parse(content)
+                texts, says = found if isinstance(found, tuple) else (found, {})
+                says = [says.get(k, default) for k, default in (("title", name.rsplit(".", 1)[0]), ("author", "Unknown"), ("subject", ""), ("creator", ""))]
                 for n, text in enumerate(texts, 1):
                     text = text.strip()
                     flagged = len(text) < OCR_LEAST
                     if flagged and look:
                         text = look(content, n).strip()
-                    out.append((path_, digest, name, size, len(texts), n, text, flagged))
-            yield pd.DataFrame(out, columns=["path", "hash", "filename", "size_kb", "page_count", "page_num", "text", "has_ocr"])
+                    out.append((path_, digest, name, size, *says, len(texts), n, text, flagged))
+            yield pd.DataFrame(out, columns=["path", "hash", "filename", "size_kb", "title", "author", "subject", "creator", "page_count", "page_num", "text", "has_ocr"])
 
     named = files.select("path", file_name(F.col("path")).alias("filename"), "content", F.md5("content").alias("hash"), F.round(F.col("length") / 1024, 2).alias("size_kb"))
-    pages = named.mapInPandas(run, "path string, hash string, filename string, size_kb double, page_count int, page_num int, text string, has_ocr boolean")
-    return pages.withColumns({"title": F.regexp_replace("filename", r"\.[^.]*$", ""), "author": F.lit("Unknown"), "char_count": F.length("text")})
+    pages = named.mapInPandas(run, "path string, hash string, filename string, size_kb double, title string, author string, subject string, creator string, page_count int, page_num int, text string, has_ocr boolean")
+    return pages.withColumn("char_count", F.length("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,19 +19,32 @@ def page_stream(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFra
     return spark.readStream.schema(schema).parquet(path)
 
 
-def ingest(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def ingest(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Chunk documents whose text is new and append the chunks to ``out``; each micro-batch has its own folder.
 
-    Hashes that were seen are kept as state, so late or repeated files add nothing. A batch that is run again after a
-    failure overwrites its own folder, so every document is written once.
+    The hashes of what was taken are a table beside ``out``, read by an anti-join, so the stream itself keeps no state that
+    grows with the corpus. Late or repeated files add nothing; of equal texts in one batch the smallest document_id stays.
+    A batch that is run again after a failure leaves its own hashes out of account and overwrites its own folders, so every
+    document is written once. ``then`` is called with the chunks that were written and the batch's number, as for
+    lexical.appended() and models.embed().
     """
-    fresh = stream.withColumn("hash", content_hash(F.col("text"))).dropDuplicates(["hash"])
+    spark, seen = stream.sparkSession, f"{out.rstrip('/')}.hashes"
 
     def append(batch: DataFrame, number: int) -> None:
-        pages = batch.select("document_id", F.lit(1).alias("page_num"), "text", "filename", "folder")
+        rows = batch.withColumn("hash", content_hash(F.col("text")))
+        rows = rows.groupBy("hash").agg(F.min_by(F.struct(*batch.columns), "document_id").alias("d")).select("hash", "d.*")
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(seen)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            known = spark.read.schema("hash string, batch long").parquet(seen).where(F.col("batch") != number)
+            rows = rows.join(known.select("hash"), "hash", "left_anti")
+        # the hashes are written last: a batch that fails before has left nothing that would hide its documents
+        pages = rows.select("document_id", F.lit(1).alias("page_num"), "text", "filename", "folder")
         chunk_pages(pages).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows.select("hash").write.mode("overwrite").parquet(f"{seen}/batch={number}")
+        if then:
+            then(spark.read.parquet(f"{out}/batch={number}"), number)
 
-    writer = fresh.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
