@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewren.llm import ann, bpe, chat, fingerprint, licences, mixing, neardup, ppm, quality, toxicity
-from sedgewren.llm.common import table
+from sedgewren.llm import align, ann, bpe, chat, fingerprint, licences, mixing, neardup, negatives, ppm, quality, sharding, toxicity
+from sedgewren.llm.common import staged, table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +71,28 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = sharding.shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return mixed.select("doc_id", (sharding.text_bytes() + 1).alias("size"), crc.alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), negatives.whole_components(F.col("embedding")).alias("v"))
+    return negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = tokenizer_path("piece_bpe_32k.model")
+    rows = align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), pieces)
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.encode("groups", "UTF-8"), 256)).otherwise("")
+    rows = staged(rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "link_pairs", "link_times"), "aligned")
+    return align.cross_counts(rows, pieces).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_additive": op2_additive, "op3_mixing": op3_mixing, "op4_fingerprint": op4_fingerprint, "op5_minhash": op5_minhash, "op6_licences": op6_licences, "op7_ppm": op7_ppm, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_chat": op10_chat}
+    return {"op1_bpe": op1_bpe, "op2_additive": op2_additive, "op3_mixing": op3_mixing, "op4_fingerprint": op4_fingerprint, "op5_minhash": op5_minhash, "op6_licences": op6_licences, "op7_ppm": op7_ppm, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_chat": op10_chat, "op11_sharding": op11_sharding, "op12_negatives": op12_negatives, "op13_alignment": op13_alignment}
 
 
 def oracle_sql() -> dict[str, str]:
