@@ -56,10 +56,19 @@ def _words(text: Column, other: str) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), other, " ")), " ")
 
 
+def raw_tokens(text: Column) -> Column:
+    """Words for retrieval before stemming: Latin and Cyrillic letters and digits, without stop words."""
+    return F.filter(_words(text, "[^a-zа-яё0-9]+"), lambda t: (F.length(t) > 1) & ~t.isin([*STOP_WORDS_EN, *dict.fromkeys(STOP_WORDS_RU)]))
+
+
+def stemmed(token: Column) -> Column:
+    """A word's stem; words with Cyrillic letters stay as they are."""
+    return F.when(token.rlike("[а-яё]"), token).otherwise(stem(token))
+
+
 def search_tokens(text: Column) -> Column:
-    """Tokens for retrieval: Latin and Cyrillic letters and digits, without stop words, Latin ones stemmed."""
-    kept = F.filter(_words(text, "[^a-zа-яё0-9]+"), lambda t: (F.length(t) > 1) & ~t.isin([*STOP_WORDS_EN, *dict.fromkeys(STOP_WORDS_RU)]))
-    return F.transform(kept, lambda t: F.when(t.rlike("[а-яё]"), t).otherwise(stem(t)))
+    """Tokens for retrieval, in the order of the text."""
+    return F.transform(raw_tokens(text), stemmed)
 
 
 def rerank_tokens(text: Column) -> Column:

@@ -19,14 +19,45 @@ def content_hash(content: Column) -> Column:
 def ingest_status(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Append hash and status: "indexed", or "skipped" for a file whose content is known or comes earlier in the batch.
 
-    ``files`` has ord (the order of arrival) and content; ``known`` has hash. The hash is also the document's id.
+    ``files`` has ord (the order of arrival, one number for each file) and content; ``known`` has hash. The hash is also the document's id.
+    Only (hash, ord) is aggregated, with a partial minimum in each task, and what is first is joined back by ord, so neither the
+    content nor a hash that many files share is moved to one place.
     """
     rows = files.withColumn("hash", content_hash(F.col("content")))
-    first = F.row_number().over(Window.partitionBy("hash").orderBy("ord")) == 1
-    if known is None:
-        return rows.withColumn("status", F.when(first, "indexed").otherwise("skipped"))
-    rows = rows.join(known.select("hash", F.lit(True).alias("_known")).distinct(), "hash", "left")
-    return rows.withColumn("status", F.when(first & F.col("_known").isNull(), "indexed").otherwise("skipped")).drop("_known")
+    first = rows.groupBy("hash").agg(F.min("ord").alias("ord"))
+    if known is not None:
+        first = first.join(known.select("hash").distinct(), "hash", "left_anti")
+    status = F.when(F.col("_first"), "indexed").otherwise("skipped")
+    return rows.join(first.select("ord", F.lit(True).alias("_first")), "ord", "left").withColumn("status", status).drop("_first")
+
+
+NO_TEXT = "Could not extract text"
+
+
+def file_outcomes(pages: DataFrame, chunks: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """path, filename, hash, status, error, pages, chunks_created of each file of a batch, one row for each.
+
+    ``pages`` has files.SCHEMA; ``chunks`` has hash, whose documents they are. A file with a broken page, or without any chunk, is
+    an error; one whose content is known, or which an earlier file (by path) of the batch brings, is skipped. Errors make no
+    content known.
+    """
+    files = pages.groupBy("path", "filename", "hash").agg(F.max("page_count").alias("pages"), F.min(F.when(F.col("status") == "error", F.struct(F.coalesce("page_num", F.lit(0)).alias("at"), "error"))).alias("broken"))
+    made = chunks.groupBy("hash").agg(F.count("*").alias("made"))
+    rows = files.join(made, "hash", "left").withColumn("error", F.coalesce("broken.error", F.when(F.col("made").isNull(), NO_TEXT)))
+    first = rows.where("error is null").groupBy("hash").agg(F.min("path").alias("path"))
+    if known is not None:
+        first = first.join(known.select("hash").distinct(), "hash", "left_anti")
+    rows = rows.join(first.select("path", F.lit(True).alias("_first")), "path", "left")
+    status = F.when(F.col("error").isNotNull(), "error").when(F.col("_first"), "indexed").otherwise("skipped")
+    return rows.select("path", "filename", "hash", status.alias("status"), "error", "pages", F.when(status == "indexed", F.col("made")).otherwise(0).cast("long").alias("chunks_created"))
+
+
+def sound_pages(pages: DataFrame) -> DataFrame:
+    """Pages of the files that were read whole; of files of equal content, those of the first by path. document_id is the hash."""
+    broken = pages.where("status = 'error'").select("path").distinct()
+    good = pages.join(broken, "path", "left_anti")
+    first = good.groupBy("hash").agg(F.min("path").alias("path")).select("path")
+    return good.join(first, "path", "left_semi").withColumn("document_id", F.col("hash"))
 
 
 def batch_summary(outcomes: DataFrame) -> DataFrame:

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from sedgewren.functions import text as T
 from sedgewren.operators import answering, catalog, dense, fusion, lexical, reranking
+from sedgewren.operators.cells import Cells
 from sedgewren.operators.chunking import chunk_pages
+from sedgewren.operators.segments import SegmentedIndex
 from sedgewren.plans.retrieve import fixture
 from sedgewren.sources import documents as S
+from sedgewren.sources.stage import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -79,17 +82,17 @@ def tokenize_terms(spark, d):
 
 @query
 def postings(spark, d):
-    return lexical.postings(lexical.tokenized(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")))
+    return lexical.postings(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
 @query
 def doc_lengths(spark, d):
-    return lexical.lengths(lexical.tokenized(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")))
+    return lexical.lengths(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
 @query
 def term_stats(spark, d):
-    rows = lexical.tokenized(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"))
+    rows = _docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")
     return lexical.term_stats(lexical.postings(rows), lexical.corpus(lexical.lengths(rows))).select("term", "df", _r("idf"))
 
 
@@ -105,6 +108,29 @@ def bm25_folder_topk(spark, d):
     return lexical.search(r.chunks, asked, 30, r.index).select("query_id", "chunk_id", "rank", _r("score"))
 
 
+def _segmented(spark, d):
+    """An index that grew in batches, lost the documents whose number ends in 3, and was merged."""
+    index, chunks = SegmentedIndex(spark, scratch(spark, "segments"), buckets=8), fixture(spark, d).chunks
+    for batch in range(4):
+        index.add(chunks.where(F.pmod("document_id", F.lit(4)) == batch), f"batch-{batch}")
+        if batch == 2:
+            index.delete(chunks.where("document_id % 10 = 3").select("document_id"))
+    index.delete(chunks.where("document_id % 10 = 3").select("document_id"))
+    index.merge()
+    return index
+
+
+@query
+def lexical_segments(spark, d):
+    return _segmented(spark, d).index().statistics().select("term", "df", _r("idf"))
+
+
+@query
+def bm25_segments(spark, d):
+    asked = fixture(spark, d).variants.where("variant = 0").select("query_id", "text")
+    return _segmented(spark, d).search(asked, 30).select("query_id", "chunk_id", "rank", _r("score"))
+
+
 @query
 def cosine_topk(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
@@ -112,6 +138,23 @@ def cosine_topk(spark, d):
     return dense.search(e, asked, 30).select("query_id", "vec_id", "rank", _r("score"))
 
 
+def _cells(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return Cells.build(e, scratch(spark, "cells"), cells=20), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query
+def cosine_cells_exact(spark, d):
+    index, asked = _cells(spark, d)
+    return index.search(asked, 30).select("query_id", "vec_id", "rank", _r("score"))
+
+
+@query
+def cosine_cells_topk(spark, d):
+    index, asked = _cells(spark, d)
+    return index.search(asked, 30, probes=14).select("query_id", "vec_id", "rank", _r("score"))
+
+
 @query
 def cosine_folder_topk(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").withColumn("folder", F.col("label"))

@@ -165,10 +165,12 @@ def _round(c: str) -> str:
 def oracle_sql() -> dict[str, str]:
     docs_bm25 = _bm25("d", "(select doc_id as chunk_id, text, doc_id as document_id, 0 as chunk_index, source as folder from documents)", "none", 1)
     docs_bm25 = docs_bm25[: docs_bm25.index("\nd_a as")].rstrip().rstrip(",")
+    left = _bm25("b", "(select * from chunks where document_id % 10 <> 3)", "none", 1)
+    left = left[: left.index("\nb_a as")].rstrip().rstrip(",")
     line = lambda a, b: f"array_to_string(w[{a}:{b}], ' ')"
     registry = f"with {_CHUNKS}, registry as (select document_id, arg_min(filename, page_num * 1000000 + chunk_index) as filename, arg_min(folder, page_num * 1000000 + chunk_index) as folder, max(page_num) as pages, count(*) as chunks from chunks group by document_id)"
     status = "select doc_id, md5(text) as hash, case when row_number() over (partition by md5(text) order by doc_id) = 1 then 'indexed' else 'skipped' end as status from documents"
-    return {
+    sql = {
         "ingest_dedup_md5": status,
         "batch_status_summary": f"select count(*) filter (status = 'indexed') as indexed, count(*) filter (status = 'skipped') as skipped, count(*) filter (status = 'error') as errors, count(*) as total from ({status})",
         "ocr_flag_pages": f"select coalesce(source, '') as folder, count(*) as n_pages, count(*) filter (length({strip('text')}) < 50) as n_ocr, count(*) filter ({strip('text')} = '') as n_empty from documents group by 1",
@@ -183,6 +185,8 @@ def oracle_sql() -> dict[str, str]:
         "bm25_topk": f"{_BASE} select query_id, cast(variant as int) as variant, chunk_id, cast(rank as int) as rank, {_round('score')} from b_hits",
         "bm25_folder_topk": f"with {_CHUNKS}, {_ASKED}, scoped as (select query_id, variant, text, 'src' || (query_id % 20) as folder from asked where variant = 0), {_bm25('b', 'chunks', 'scoped', 30, True)} select query_id, chunk_id, cast(rank as int) as rank, {_round('score')} from b_hits",
         "cosine_topk": f"select query_id, vec_id, cast(rank as int) as rank, {_round('score')} from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from (select q.vec_id as query_id, e.vec_id, round({cosine('q.embedding', 'e.embedding')}, 9) as score from embeddings q, embeddings e where q.vec_id % 50 = 0)) where rank <= 30",
+        "lexical_segments": f"with {_CHUNKS}, none as (select 0 as query_id, 0 as variant, '' as text), {left} select term, df, {_round('idf')} from b_i",
+        "bm25_segments": f"with {_CHUNKS}, {_ASKED}, scoped as (select query_id, variant, text from asked where variant = 0), {_bm25('b', '(select * from chunks where document_id % 10 <> 3)', 'scoped', 30)} select query_id, chunk_id, cast(rank as int) as rank, {_round('score')} from b_hits",
         "cosine_folder_topk": f"select query_id, vec_id, cast(rank as int) as rank, {_round('score')} from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from (select q.vec_id as query_id, e.vec_id, round({cosine('q.embedding', 'e.embedding')}, 9) as score from embeddings q join embeddings e using (label) where q.vec_id % 50 = 0)) where rank <= 30",
         "fuse_single": f"{_VECTOR}, v0 as (select * from v_hits where variant = 0), b0 as (select * from b_hits where variant = 0) select coalesce(v.query_id, b.query_id) as query_id, coalesce(v.chunk_id, b.chunk_id) as chunk_id, round(case when v.score is not null and b.score is not null then (v.score + b.score) / 2 + 0.05::double else coalesce(v.score, b.score) end, 6) as score, case when v.score is not null and b.score is not null then 'hybrid' when v.score is not null then 'vector' else 'bm25' end as source, coalesce(v.rank, b.rank + 1000000) as ord from v0 v full join b0 b on v.query_id = b.query_id and v.chunk_id = b.chunk_id",
         "fuse_multi_variant": f"{_FUSED} select query_id, chunk_id, {_round('score')}, source, ord from fused",
@@ -217,3 +221,5 @@ def oracle_sql() -> dict[str, str]:
         "filename_shorten": "select page_id, case when length(n) > 22 then left(n, 20) || '...' else n end as short from (select page_id, regexp_replace(regexp_replace(url, '^https?://', '') || case when page_id % 2 = 0 then '.pdf' else '' end, '(?i)\\.pdf$', '') as n from pages)",
         "snapshot_retention": "select event_id from events where ts >= timestamp '2024-01-30 00:00:00' - interval 7 day",
     }
+    # an exact search gives the same rows however the vectors are laid out
+    return sql | {"cosine_cells_exact": sql["cosine_topk"]}

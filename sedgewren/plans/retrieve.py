@@ -39,11 +39,11 @@ class Retrieval:
         self.k = fusion.request_size(self.top_k)
         self.pool = fusion.pool_size(self.k)
 
-    def _kept(self, stage: str, make: Callable[[], DataFrame]) -> DataFrame:
+    def _kept(self, stage: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
         """Stage what ``make`` plans and note how long that took."""
         below = sum(self.elapsed_ms.values())
         began = time.monotonic()
-        out = staged(make(), stage)
+        out = staged(make(), stage, by, lexical.GROUP if by else None)
         self.elapsed_ms[stage] = int((time.monotonic() - began) * 1000) - (sum(self.elapsed_ms.values()) - below)
         return out
 
@@ -54,9 +54,9 @@ class Retrieval:
         return hits.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.variant").alias("variant"), F.lit(source).alias("source"), "chunk_id", "score", "rank")
 
     @cached_property
-    def index(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Postings, places and term statistics, kept for all searches."""
-        return lexical.indexed(self.chunks, lambda df, name: self._kept(name, lambda: df))
+    def index(self) -> lexical.Index:
+        """Postings, their heads and the vocabulary, kept for all searches."""
+        return lexical.indexed(self.chunks, lambda df, name, by=None: self._kept(name, lambda: df, by))
 
     @cached_property
     def lexical_hits(self) -> DataFrame:

@@ -8,9 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewren.functions.text import file_name, is_pdf, stripped
-
-OCR_LEAST = 50
+from sedgewren.functions.text import stripped
+from sedgewren.sources.files import OCR_LEAST, SCHEMA, page_rows
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,34 +36,19 @@ def page_stats(pages: DataFrame, *by: str) -> DataFrame:
     return pages.groupBy(*by).agg(F.count("*").alias("n_pages"), F.count_if("has_ocr").alias("n_ocr"), F.count_if(stripped(F.col("text")) == "").alias("n_empty"))
 
 
-def pdf_pages(spark: SparkSession, path: str, parser: Callable[[], Callable[[bytes], list[str]]], ocr: Callable[[], Callable[[bytes, int], str]] | None = None) -> DataFrame:
-    """path, hash, filename, size_kb, title, author, subject, creator, page_count, page_num, text, has_ocr, char_count of the PDF
-    files below a folder.
-
-    Each file is read once, and its hash and size travel with its pages, so files of one name in different folders stay apart.
+def pdf_pages(spark: SparkSession, path: str, parser: Callable[[], Callable], ocr: Callable[[], Callable[[bytes, int], str]] | None = None) -> DataFrame:
+    """Rows of files.SCHEMA of the files below a folder, by Spark's own reader of whole files, for stores that only Spark reads.
 
-    ``parser`` is called once in each task and gives the function from a file's bytes to the texts of its pages, or to a pair
-    of these and a dict of what the file says of itself (title, author, subject, creator); ``ocr`` likewise gives the function
-    from bytes and a page's number to its text.
+    ``parser`` and ``ocr`` are as for files.page_source(), which divides large files by their pages; here a file is one row of at most
+    2 GB. Broken files and pages are rows of status "error" here, too.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(is_pdf(F.col("path")))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parse, look = parser(), ocr() if ocr else None
         for batch in batches:
-            out = []
-            for path_, name, digest, size, content in zip(*(batch[c] for c in ("path", "filename", "hash", "size_kb", "content"))):
-                found = parse(content)
-                texts, says = found if isinstance(found, tuple) else (found, {})
-                says = [says.get(k, default) for k, default in (("title", name.rsplit(".", 1)[0]), ("author", "Unknown"), ("subject", ""), ("creator", ""))]
-                for n, text in enumerate(texts, 1):
-                    text = text.strip()
-                    flagged = len(text) < OCR_LEAST
-                    if flagged and look:
-                        text = look(content, n).strip()
-                    out.append((path_, digest, name, size, *says, len(texts), n, text, flagged))
-            yield pd.DataFrame(out, columns=["path", "hash", "filename", "size_kb", "title", "author", "subject", "creator", "page_count", "page_num", "text", "has_ocr"])
-
-    named = files.select("path", file_name(F.col("path")).alias("filename"), "content", F.md5("content").alias("hash"), F.round(F.col("length") / 1024, 2).alias("size_kb"))
-    pages = named.mapInPandas(run, "path string, hash string, filename string, size_kb double, title string, author string, subject string, creator string, page_count int, page_num int, text string, has_ocr boolean")
-    return pages.withColumn("char_count", F.length("text"))
+            for path_, content in zip(batch["path"], batch["content"]):
+                yield pd.DataFrame(list(page_rows(path_, content, parse, look)), columns=names, dtype=object)
+
+    return files.mapInPandas(run, SCHEMA)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,23 +25,35 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, whose content is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where, system = located(spark, path)
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+    return path
+
+
+def staged(df: DataFrame, name: str, by: str | None = None, group: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
 
-    ``by`` names a column by whose values the files are laid out, so that freed() can delete those of one value.
+    ``by`` names a column by whose values the files are laid out, so that freed() can delete those of one value; ``group`` is the
+    size of a row group in bytes, where readers are to leave out some of them.
     The files are deleted when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    where, system = _located(spark, path)
+    out = df.write.option("parquet.block.size", group) if group else df.write
+    (out.partitionBy(by) if by else out).parquet(path)
+    where, system = located(spark, path)
     system.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
 
 
-def _located(spark: SparkSession, path: str):
+def located(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a path."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -50,5 +64,13 @@ def freed(*tables: DataFrame, part: str | None = None) -> None:
     What was made of them must have been staged itself.
     """
     for table in tables:
-        where, system = _located(table.sparkSession, f"{table.staged_at}/{part}" if part else table.staged_at)
+        where, system = located(table.sparkSession, f"{table.staged_at}/{part}" if part else table.staged_at)
         system.delete(where, True)
+
+
+def small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """Mark a stored table for broadcast if its values take at most ``most`` bytes; beyond that it is shuffled."""
+    wide = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    fixed = sum(8 if f.name in wide else 16 for f in df.schema) + 16
+    rows, more = df.agg(F.count("*"), sum((F.coalesce(F.sum(F.octet_length(f"`{c}`")), F.lit(0)) for c in wide), F.lit(0))).first()
+    return F.broadcast(df) if rows * fixed + more <= most else df

@@ -109,14 +109,6 @@ def test_filters_by_folder_and_document(spark):
     assert by_vector == {1: {"k0", "k2", "k4", "k6"}, 2: {"k2", "k3"}, 3: {"k0"}, 4: {f"k{i}" for i in range(8)}}
 
 
-def test_index_grows_by_new_chunks(spark):
-    table = chunks(spark, ["alpha beta", "alpha alpha", "gamma", "beta delta", "delta", "", "the alpha"])
-    old, new = table.where("chunk_index = 0"), table.where("chunk_index = 1")
-    for whole, grown in zip(lexical.indexed(table), lexical.appended(lexical.indexed(old), new)):
-        order = lambda t: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in t.select(*sorted(t.columns)).collect())
-        assert order(whole) == order(grown)
-
-
 def test_highlight_offset(spark):
     rows = spark.createDataFrame([("One  Two\nthree", "two three"), ("abc", "x"), ("abc", " "), ("", "a")], "t string, a string")
     assert [r[0] for r in rows.select(T.found_at(F.col("t"), F.col("a"))).collect()] == [4, -1, -1, -1]
