@@ -176,6 +176,18 @@ def responses(asked: DataFrame, gated: DataFrame, generated: DataFrame) -> DataF
     return rows.select("query_id", status.alias("status"), text.alias("answer"), F.when(F.col("answered"), F.col("total_tokens")).otherwise(0).cast("long").alias("total_tokens"))
 
 
+def asked_again(ask: Callable[[list[dict]], dict], messages: list[dict], attempts: int = 3, wait: float = WAIT) -> dict:
+    """A model's answer; after a TimeoutError or ConnectionError it is asked again, each time a ``wait`` later."""
+    for attempt in range(1, attempts + 1):
+        try:
+            return ask(messages)
+        except (TimeoutError, ConnectionError):
+            if attempt == attempts:
+                raise
+            time.sleep(wait * attempt)
+    raise ValueError("a model is asked once at least")
+
+
 def generate(prompted: DataFrame, client: Callable[[], Callable[[list[dict]], dict]], attempts: int = 3, wait: float = WAIT) -> DataFrame:
     """query_id, answer, model, prompt_tokens, completion_tokens, total_tokens.
 
@@ -188,14 +200,7 @@ def generate(prompted: DataFrame, client: Callable[[], Callable[[list[dict]], di
         for batch in batches:
             out = []
             for query_id, messages in zip(batch["query_id"], batch["messages"]):
-                for attempt in range(1, attempts + 1):
-                    try:
-                        a = ask([dict(m) for m in messages])
-                        break
-                    except (TimeoutError, ConnectionError):
-                        if attempt == attempts:
-                            raise
-                        time.sleep(wait * attempt)
+                a = asked_again(ask, [dict(m) for m in messages], attempts, wait)
                 out.append((query_id, a["answer"], a["model"], a.get("prompt_tokens", 0), a.get("completion_tokens", 0), a.get("prompt_tokens", 0) + a.get("completion_tokens", 0)))
             yield pd.DataFrame(out, columns=["query_id", "answer", "model", "prompt_tokens", "completion_tokens", "total_tokens"])
 

@@ -48,6 +48,13 @@ def _slices(batch: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
         yield batch.iloc[at : at + size]
 
 
+def unit_rows(vectors: object, n: int) -> list[np.ndarray]:
+    """``n`` vectors at length 1; zero vectors stay as they are."""
+    found = np.asarray(vectors, dtype="float64").reshape(n, -1)
+    norms = np.linalg.norm(found, axis=1, keepdims=True)
+    return list(found / np.where(norms > 0, norms, 1.0))
+
+
 def embed(rows: DataFrame, key: str, encoder: Callable[[], Callable[[list[str]], object]], text: str = "text", batch: int = BATCH) -> DataFrame:
     """<key>, embedding: unit vectors of texts. Null texts are taken as empty; a zero vector stays as it is.
 
@@ -59,9 +66,7 @@ def embed(rows: DataFrame, key: str, encoder: Callable[[], Callable[[list[str]],
         encode = encoder()
         for whole in batches:
             for part in _slices(whole, batch):
-                found = np.asarray(encode(list(part["text"])), dtype="float64").reshape(len(part), -1)
-                norms = np.linalg.norm(found, axis=1, keepdims=True)
-                yield pd.DataFrame({key: part[key].values, "embedding": list(found / np.where(norms > 0, norms, 1.0))})
+                yield pd.DataFrame({key: part[key].values, "embedding": unit_rows(encode(list(part["text"])), len(part))})
 
     return rows.select(key, F.coalesce(text, F.lit("")).alias("text")).mapInPandas(run, f"{key} {kind}, embedding array<double>")
 

@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgewren.functions import text as T
-from sedgewren.operators import answering, catalog, dense, fusion, lexical, reranking
+from sedgewren.operators import answering, catalog, dense, fusion, highlights, lexical, reranking
 from sedgewren.operators.cells import Cells
 from sedgewren.operators.chunking import chunk_pages
+from sedgewren.operators.keyed import KeyedStore
+from sedgewren.operators.kept import Results, embedded
 from sedgewren.operators.segments import SegmentedIndex
 from sedgewren.plans.retrieve import fixture
 from sedgewren.sources import documents as S
+from sedgewren.sources.files import NOT_PDF
 from sedgewren.sources.stage import scratch
+from sedgewren.streaming import chats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -47,6 +51,17 @@ def batch_status_summary(spark, d):
     return catalog.batch_summary(ingest_dedup_md5(spark, d))
 
 
+@query
+def batch_outcomes(spark, d):
+    """Documents as files, of which every seventh is no PDF: what became of each, with texts too short for a chunk and copies among them."""
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".txt").otherwise(".pdf"))
+    bad = ~T.is_pdf(F.col("filename"))
+    pages = _docs(spark, d).select(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), name).alias("path"), name.alias("filename"), F.md5(F.encode("text", "UTF-8")).alias("hash"), "text")
+    pages = pages.select("path", "filename", "hash", "text", F.when(~bad, 1).alias("page_count"), F.when(~bad, 1).alias("page_num"), F.when(bad, "error").otherwise("ok").alias("status"), F.when(bad, NOT_PDF).alias("error"))
+    chunks = chunk_pages(catalog.sound_pages(pages).withColumn("folder", F.lit("")))
+    return catalog.file_outcomes(pages, chunks.select(F.col("document_id").alias("hash"))).select("path", "status", "error", F.coalesce("pages", F.lit(0)).alias("pages"), "chunks_created")
+
+
 @query
 def ocr_flag_pages(spark, d):
     return S.page_stats(S.document_pages(spark, d), "folder")
@@ -241,6 +256,40 @@ def history_trim(spark, d):
     return _histories(spark, d).select("conv_id", F.size(h).alias("n_turns"), F.array_join(F.transform(h, lambda x: F.concat(x["role"], F.lit(":"), F.length(x["content"]).cast("string"))), ",").alias("turns"))
 
 
+@query
+def chat_questions(spark, d):
+    """The questions of conversations with the turns before them, as the chat stream gives them."""
+    at = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(mins=F.col("turn").cast("int"))
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("chat_id"), at.alias("at"), "role", "text")
+    listed = F.array_join(F.transform("history", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "##")
+    return chats.all_questions(turns).select("chat_id", F.date_diff("at", F.lit("2024-01-01").cast("date")).alias("day"), F.md5(F.encode("question", "UTF-8")).alias("asked"), F.size("history").alias("n_turns"), F.md5(F.encode(listed, "UTF-8")).alias("digest"))
+
+
+@query
+def vectors_upserted(spark, d):
+    """Vectors by key after some were put in anew and some were taken out, bucket by bucket."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    store = KeyedStore(spark, scratch(spark, "keyed"), "vec_id", buckets=8)
+    store.upsert(rows)
+    again = rows.where("vec_id % 10 = 4").withColumn("embedding", F.transform("embedding", lambda x: -x)).withColumn("label", F.lit(99))
+    store.upsert(again.unionByName(again.limit(1).withColumn("vec_id", F.lit(-1).cast("long"))))
+    store.delete(rows.where("vec_id % 7 = 3").select("vec_id"))
+    return store.read().where("vec_id >= 0").select("vec_id", "label", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
+@query
+def embed_chunks(spark, d):
+    """Chunks embedded by a stub that counts three letters, each distinct text once."""
+    kept = Results(spark, scratch(spark, "results"), "letters", "array<double>")
+    found = embedded(_chunks(spark, d), "chunk_id", _letters, kept)
+    part = lambda i: F.round(F.element_at("embedding", i), 6)
+    return found.select("chunk_id", part(1).alias("a"), part(2).alias("b"), part(3).alias("c"), "error")
+
+
+def _letters():
+    return lambda texts: [[t.count("a"), t.count("b"), t.count("c")] for t in texts]
+
+
 @query
 def prompt_messages(spark, d):
     r = fixture(spark, d)
@@ -285,6 +334,21 @@ def highlight_offsets(spark, d):
     return rows.select("chunk_id", T.found_at(F.col("page"), F.col("anchor")).alias("at"), F.length("anchor").alias("n_chars"))
 
 
+def _page_words(spark, d):
+    """Documents as set type: twelve words to a line, each six points wide for a character, lines twelve points apart."""
+    words = F.split(T.normalized(F.col("text")), " ")
+    rows = _docs(spark, d).select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_num"), F.posexplode(words).alias("place", "word"))
+    line = F.floor(F.col("place") / 12).cast("int")
+    left = F.col("place") % 12 * 100.0
+    return rows.select("document_id", "page_num", "place", "word", line.alias("line"), left.alias("x0"), (line * 12.0).alias("y0"), (left + F.length("word") * 6.0).alias("x1"), (line * 12.0 + 10.0).alias("y1"))
+
+
+@query
+def highlight_rects(spark, d):
+    """Where the chunks begin on their pages, every time that their first words stand there."""
+    return highlights.rectangles(_page_words(spark, d), _chunks(spark, d))
+
+
 @query
 def bm25_document_filter(spark, d):
     r = fixture(spark, d)

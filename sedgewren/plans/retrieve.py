@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sedgewren.operators import answering, dense, fusion, lexical, models, reranking
@@ -34,16 +34,20 @@ class Retrieval:
     k: int = field(init=False)
     #: milliseconds that each stage took when it was first asked for, those of the stages below it left out
     elapsed_ms: dict[str, int] = field(init=False, default_factory=dict)
+    #: rows that each stage gave
+    n_rows: dict[str, int] = field(init=False, default_factory=dict)
 
     def __post_init__(self):
         self.k = fusion.request_size(self.top_k)
         self.pool = fusion.pool_size(self.k)
 
     def _kept(self, stage: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
-        """Stage what ``make`` plans and note how long that took."""
+        """Stage what ``make`` plans, and note how long that took and how many rows it gave, which the writing job counts on its way."""
         below = sum(self.elapsed_ms.values())
         began = time.monotonic()
-        out = staged(make(), stage, by, lexical.GROUP if by else None)
+        counted = Observation(stage)
+        out = staged(make().observe(counted, F.count(F.lit(1)).alias("rows")), stage, by, lexical.GROUP if by else None)
+        self.n_rows[stage] = counted.get["rows"]
         self.elapsed_ms[stage] = int((time.monotonic() - began) * 1000) - (sum(self.elapsed_ms.values()) - below)
         return out
 
@@ -80,7 +84,7 @@ class Retrieval:
 
     @cached_property
     def gated(self) -> DataFrame:
-        return fusion.gate(self.candidates)
+        return self._kept("gated", lambda: fusion.gate(self.candidates))
 
     @cached_property
     def reranked(self) -> DataFrame:
@@ -112,7 +116,22 @@ class Retrieval:
 
     @cached_property
     def sources(self) -> DataFrame:
-        return answering.sources(self.answered)
+        return self._kept("sources", lambda: answering.sources(self.answered))
+
+    def generation(self, client: Callable, questions: DataFrame | None = None) -> DataFrame:
+        """What a model says to the queries that pass the gate (see answering.generate()).
+
+        ``questions`` is as for answering.prompts(); without it the first wordings are asked, without history.
+        """
+        asked = questions if questions is not None else self.variants.where("variant = 0").select("query_id", F.col("text").alias("question"))
+        asked = asked.join(self.gated.where("answered").select("query_id"), "query_id", "left_semi")
+        prompted = answering.prompts(asked, answering.contexts(self.answered), answering.multi_document(self.answered))
+        return self._kept("generation", lambda: answering.generate(prompted, client))
+
+    def timings(self) -> DataFrame:
+        """stage, elapsed_ms, n_rows of what was asked for so far, and their total."""
+        rows = [(s, ms, self.n_rows.get(s)) for s, ms in self.elapsed_ms.items()]
+        return self.variants.sparkSession.createDataFrame([*rows, ("total", sum(self.elapsed_ms.values()), None)], "stage string, elapsed_ms long, n_rows long")
 
 
 def asking(chunks: DataFrame, queries: DataFrame, encoder: Callable, client: Callable | None = None, **options) -> Retrieval:
