@@ -25,8 +25,8 @@ from sedgewren.llm.common import WORD_PATTERN, small, staged
 
 #: Documents in a hash bucket of one source and length, about.
 BUCKET_ROWS = 2000
-#: Words that the knapsack table spans; whole documents fill the budget down to this first.
-TABLE_WORDS = 1 << 16
+#: Words that are left to the knapsack where the sums of all documents are too many, and the number of sums that are not.
+TABLE_WORDS, SUMS = 1 << 16, 1 << 18
 
 
 def word_count(text: str | Column = "text") -> Column:
@@ -71,39 +71,61 @@ def placed_sources(sizes: DataFrame, source: str) -> DataFrame:
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to choose so that their words come nearest to ``budget``."""
+    """How many documents of each length to choose so that their words come nearest to ``budget``.
+
+    Exact where the different sums up to twice the budget are at most ``SUMS``, which holds for few or for small documents.  With more
+    sums, documents are chosen by shares, largest ones first, until some ``TABLE_WORDS`` words are missing; the shortest documents,
+    that many words of them at least, are kept out of this, and the knapsack then runs over all that are left.
+    """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
         return np.zeros_like(counts)
     if budget >= total:
         return counts.copy()
-    chosen = np.array([int(c) * budget // total for c in counts], np.int64)
-    left, spare = budget - int((chosen * lengths).sum()), counts - chosen
-    order = np.argsort(-lengths, kind="stable")
-    for i in order:  # large documents first, until the rest fits the table
-        if left <= TABLE_WORDS:
-            break
-        n = min(int(spare[i]), (left - TABLE_WORDS // 2) // int(lengths[i])) if lengths[i] <= left - TABLE_WORDS // 2 else 0
+    exact = _nearest(lengths, counts, budget, SUMS)
+    if exact is not None:
+        return exact
+    short = np.argsort(lengths, kind="stable")
+    upto = np.cumsum((lengths * counts)[short])
+    kept = short[: int(np.searchsorted(upto, 2 * TABLE_WORDS)) + 1]
+    free = counts.copy()
+    free[kept] = 0
+    spare_words = int((lengths * free).sum())
+    aim = max(0, budget - TABLE_WORDS)
+    chosen = np.array([int(c) * min(aim, spare_words) // spare_words for c in free], np.int64) if spare_words else np.zeros_like(counts)
+    left = budget - int((chosen * lengths).sum())
+    for i in short[::-1]:  # large documents first, until the rest fits the table
+        n = min(int(free[i] - chosen[i]), max(0, left - TABLE_WORDS // 2) // int(lengths[i])) if lengths[i] else 0
         chosen[i] += n
-        spare[i] -= n
         left -= n * int(lengths[i])
-    span = 2 * left  # no choice comes nearer to the rest of the budget than none does, if it exceeds it by as much
-    items = [(int(lengths[i]) * k, i, k) for i in order if spare[i] and lengths[i] <= span for k in _powers(min(int(spare[i]), span // int(lengths[i])))]
-    by = np.full(span + 1, -1, np.int32)  # the item that first reached a sum
-    reached = np.zeros(span + 1, bool)
-    reached[0] = True
+    return chosen + _nearest(lengths, counts - chosen, left)
+
+
+def _nearest(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int | None = None) -> np.ndarray | None:
+    """The choice whose sum is nearest to ``budget`` (of two the smaller sum), by the sums that can be reached; None beyond ``most`` sums.
+
+    No choice comes nearer than none does if it exceeds the budget by as much, so sums end at twice the budget.
+    """
+    span, chosen = 2 * budget, np.zeros_like(counts)
+    order = np.argsort(-lengths, kind="stable")
+    items = [(int(lengths[i]) * k, i, k) for i in order if counts[i] and 0 < lengths[i] <= span for k in _powers(min(int(counts[i]), span // int(lengths[i])))]
+    sums, by = np.zeros(1, np.int64), np.full(1, -1, np.int32)  # sums in order, and the item that first reached each
     for n, (w, _, _) in enumerate(items):
-        if reached[min(left, span)]:
+        new = sums[: np.searchsorted(sums, span - w, "right")] + w
+        at = np.searchsorted(sums, new)
+        new = new[sums[np.minimum(at, len(sums) - 1)] != new]
+        if most is not None and len(sums) + len(new) > most:
+            return None
+        if len(new):
+            both = np.concatenate((sums, new))
+            place = np.argsort(both, kind="stable")
+            sums, by = both[place], np.concatenate((by, np.full(len(new), n, np.int32)))[place]
+        if sums[np.searchsorted(sums, budget) - (budget > sums[-1])] == budget:
             break
-        if w <= span:
-            new = reached[:-w] & ~reached[w:]
-            by[w:][new] = n
-            reached[w:] |= new
-    sums = np.flatnonzero(reached)
-    at = int(sums[np.argmin(np.abs(sums - left))])
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
-        w, i, k = items[by[at]]
+        w, i, k = items[by[np.searchsorted(sums, at)]]
         chosen[i] += k
         at -= w
     return chosen

@@ -172,20 +172,36 @@ def test_mixing_query(spark):
     assert sorted(map(tuple, again.values.tolist())) == sorted(map(tuple, got[again.columns].values.tolist()))
 
 
+def nearest_sum(lengths, counts, budget):
+    """Of all sums of any choice, the distance of the nearest one."""
+    sums = {0}
+    for n, k in zip(lengths.tolist(), counts.tolist()):
+        sums = {s + n * j for s in sums for j in range(k + 1)}
+    return min(abs(s - budget) for s in sums)
+
+
 def test_budget_fit_is_exact_where_it_can_be():
     rng = np.random.default_rng(2)
-    for _ in range(30):
-        lengths = np.unique(rng.integers(1, 60, 8))
+    cases = [(np.array([57_178, 356_927]), np.array([3, 1]), 405_564), (np.array([8, 24]), np.array([3, 1]), 32)]
+    for _ in range(60):
+        lengths = np.unique(rng.integers(1, int(rng.choice([60, 3000, 500_000])), 8))
         counts = rng.integers(1, 4, len(lengths))
-        total = int((lengths * counts).sum())
-        budget = int(rng.integers(0, total + 1))
+        cases.append((lengths, counts, int(rng.integers(0, int((lengths * counts).sum()) + 1))))
+    for lengths, counts, budget in cases:
         chosen = mixing.fit(lengths, counts, budget)
         assert ((chosen >= 0) & (chosen <= counts)).all()
-        base = np.array([int(c) * budget // total for c in counts])
-        sums = {int((base * lengths).sum())}
-        for n, k in zip(lengths, counts - base):
-            sums = {s + n * j for s in sums for j in range(k + 1)}
-        assert abs(int((chosen * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
+        assert abs(int((chosen * lengths).sum()) - budget) == nearest_sum(lengths, counts, budget)
+
+
+def test_budget_fit_of_many_documents_is_near():
+    rng = np.random.default_rng(8)
+    for scale in (300, 20_000):
+        lengths = np.unique(rng.integers(5, scale, 2500))
+        counts = rng.integers(1, 400, len(lengths))
+        for share in (0.02, 0.37, 0.9):
+            budget = int((lengths * counts).sum() * share)
+            chosen = mixing.fit(lengths, counts, budget)
+            assert ((chosen >= 0) & (chosen <= counts)).all() and abs(int((chosen * lengths).sum()) - budget) <= lengths.min()
 
 
 def share_out(sizes, weights, total, most):
@@ -478,6 +494,41 @@ def test_licences_wrapped_and_headed():
     assert all(got[i] == want for i, want, _ in rows)
 
 
+def test_copyright_lines_and_others(spark):
+    """Lines that change a licence are kept, and lines that only name holders go, in several wrappings; expected answers are written here."""
+    import textwrap
+
+    body = lambda name, width=1000: "\n\n".join("\n".join(textwrap.wrap(p, width)) for p in licences.TEXTS[name].split("\n"))
+    rows = []
+    altering = [
+        "Copyright infringement claims against the author void this grant.", "Copyright transfer to the vendor is required for any use.", "copyright assignment is required",
+        "Copyright protected fonts are excluded from this permission.", "(c) 2 of the preceding clauses do not apply to companies.", "(c) commercial use is forbidden", "copyright holders may not be sued",
+        "Copyright law of the vendor's country applies.", "Jane Doe may not use it", "(c) copyright assignments are required",
+    ]
+    for width in (40, 60, 76, 1000):
+        for line in altering:
+            for text in (f"{line}\n\n{body('MIT', width)}", f"{body('MIT', width)}\n{line}\n", f"MIT License\n\n{line}\n{body('MIT', width)}"):
+                rows.append((None, text))
+        heads = [
+            "Copyright Andrew Lee", "Copyright Lawrence", "Copyright Holden", "Copyright Notix", "MIT License\n\nCopyright, The Regents of the University", "Copyright (c) 2020 Jane Doe,\n  Ann Lee and\n  Others", "Copyright (c) Andrew Lee",
+            "(C) Copyright Ann Other", "© Ann Other", "The MIT License (MIT)\nhttps://opensource.org/licenses/MIT\n", "MIT License\r\n\r\nCopyright (c) 2019 by Jane\r\nCopyright Ann Lee\r\nCopyright Ann Poe", "# Copyright 1999-2020 jane doe <j@x.org>. All rights reserved.",
+            "// (c) 2001, 2002 someone",
+        ]
+        for head in heads:
+            rows.append(("MIT", f"{head}\n\n{body('MIT', width)}"))
+        rows.append(("BSD-2-Clause", "Copyright 2001 X\n\n" + body("BSD-2-Clause", width).replace("\n1. ", "\n * ").replace("\n2. ", "\n * ")))
+        rows.append(("BSD-3-Clause", "Copyright Ann Lee\n\n" + "\n".join(textwrap.wrap(licences.TEXTS["BSD-3-Clause"].replace("the name of the copyright holder", "the name of Ann Lee and Sons, Inc."), width))))
+        rows.append((None, body("BSD-3-Clause", width).replace("without", "with")))
+    numbered = [(i, text) for i, (_, text) in enumerate(rows)]
+    got = {r["doc_id"]: r["text_licence"] for r in licences.scan(spark.createDataFrame(numbered, "doc_id long, text string")).collect()}
+    wrong = [(want, got[i], text[:90]) for i, (want, text) in enumerate(rows) if got[i] != want]
+    assert wrong == []
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", numbered)
+    assert {i: x for i, _, x, _ in con.execute(licences.scan_sql()).fetchall()} == got
+
+
 def test_licences_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
