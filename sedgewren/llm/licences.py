@@ -74,11 +74,28 @@ Permission is granted to anyone to use this software for any purpose, including
 TEXTS["BSD-3-Clause"] = TEXTS["BSD-2-Clause"].replace("\nTHIS SOFTWARE", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that holds a copyright statement and nothing else.
-#: After the word a sign, a year or a name must follow: words that begin as notice, holder, owner or license do are none, nor
-#: are and, or, in, law: a wrapped line of a licence may begin so.  Behind (c) a year or the like must follow, as clauses have letters.
-_NAME = r"([b-gjkmp-z0-9]|[^\x00-\x7f]|a[^n\n]|an[^d\n]|n[^o\n]|no[^t\n]|not[^i\n]|h[^o\n]|ho[^l\n]|hol[^d\n]|o[^wr\n]|or[a-z]|ow[^n\n]|own[^e\n]|l[^ia\n]|la[^w\n]|li[^c\n]|lic[^e\n]|i[^n\n]|in[a-z])"
-COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*" + _NAME + r"|\(c\)[^a-z0-9\n]*(copyright|by |[0-9])|©)[^\n]*"
+# Copyright lines.  A line goes if a mark (the word, a sign or both) is followed by a year; if a sign and the word, or ©, are followed by
+# names alone; or if it stands in the text's head and the word is followed by names alone.  Names are words that don't begin with a small
+# letter, and the few that join them.  The head is made of lines of such words (titles), links, and reservations of rights.
+# A line of names that goes on after a comma or "and" belongs to the one before.
+_NAME = r"(?:[^a-z \t\n][^ \t\n]*|(?:and|of|the|by|for|de|van|von|der|la|le|et|al|contributors|authors|others)[,.;]?)"
+_NAMES = rf"{_NAME}(?:[ \t]+{_NAME})*"
+_LEAD, _WORD, _SIGN, _LINK = r"^[^A-Za-z0-9\n(©]*", r"(?i:copyright)", r"(?:\([cC]\)|©)", r"https?://[^ \t\n]*"
+_MARK = rf"(?:{_WORD}[^A-Za-z0-9\n(©]*{_SIGN}?|{_SIGN}[^A-Za-z0-9\n]*{_WORD}?)"
+_BOTH = rf"(?:{_WORD}[^A-Za-z0-9\n(©]*{_SIGN}|{_SIGN}[^A-Za-z0-9\n]*{_WORD}|©)"
+_HEAD = rf"\A((?:[ \t]*(?:{_NAMES}|{_LINK}|All rights reserved\.?)?[ \t]*\n)*?)"
+#: (pattern, what stays) in the order in which they are applied.
+DROPPED = [
+    *[(rf"({_LEAD}{_MARK}[^\n]*(?:,|&| and))[ \t]*\n[ \t]*({_NAMES}[ \t]*)$", r"\1 \2")] * 2,
+    (rf"{_LEAD}{_MARK}[^A-Za-z0-9\n]*(?:by[ \t]+)?(?:19|20)[0-9][0-9][^\n]*$", ""),
+    (rf"{_LEAD}{_BOTH}[,:.]?[ \t]*{_NAMES}[ \t]*$", ""),
+    *[(rf"{_HEAD}[^A-Za-z0-9\n]*{_WORD}[,:]?[ \t]+{_NAMES}[ \t]*$", r"\1")] * 3,
+    (rf"{_HEAD}[ \t]*{_LINK}[ \t]*$", r"\1"),
+]
+#: Texts without any of these have no such line.
+MARKED = r"(?i)copyright|\(c\)|©|https?://"
+#: A holder named in a clause, and the clause as it is known.
+HOLDER, HELD = "neither the name of (.{1,80}?) nor the names of its", "neither the name of the copyright holder nor the names of its"
 
 
 #: Where the appendix of a long licence begins.
@@ -100,6 +117,8 @@ def whole_texts() -> list[tuple[str, str]]:
     for i, text in texts.items():
         ends = [text] + [text[: m.start()] for m in [re.search(APPENDIX, text)] if m]
         titles = [t for n in NAMES.get(i, [i]) for t in (n, f"The {n}", f"{n} ({i})", f"The {n} ({i})")]
+        # clauses may have other signs than numbers, which the canonical form doesn't keep
+        ends += [re.sub(r"(?m)^[0-9]\. ", "", e) for e in ends if "\n1. " in e]
         out += [(i, f"{title}{rights}{end}") for end in ends for title in ("", *(f"{t}\n\n" for t in titles)) for rights in ("", "All rights reserved.\n\n")]
     return out
 
@@ -113,15 +132,29 @@ def _plain(text: Column) -> Column:
 
 
 def _spelled(text: Column) -> Column:
-    """The canonical spelling of the words of a plain text."""
+    """The canonical spelling of the words of a plain text; texts without any other spelling, which are most, are not taken apart."""
     pairs = F.create_map(*(F.lit(x) for pair in EQUIVALENT.items() for x in pair))
-    return F.array_join(F.transform(F.split(text, " "), lambda w: F.coalesce(F.element_at(pairs, w), w)), " ")
+    spelled = F.array_join(F.transform(F.split(text, " "), lambda w: F.coalesce(F.element_at(pairs, w), w)), " ")
+    return F.when(text.rlike(rf"\b(?:{'|'.join(EQUIVALENT)})\b"), spelled).otherwise(text)
+
+
+def _without_copyright(text: Column) -> Column:
+    """A text without its copyright lines, lowered."""
+    lines = F.regexp_replace(text, "\r\n?", "\n")
+    for pattern, stays in DROPPED:
+        lines = F.regexp_replace(lines, "(?md)" + pattern, re.sub(r"\\([0-9])", r"$\1", stays))
+    return _lowered(F.when(text.rlike(MARKED), lines).otherwise(text))
+
+
+def _whole(low: Column) -> Column:
+    """Canonical form of a whole text that _without_copyright() gave; null if nothing is left."""
+    out = _spelled(_plain(low))
+    return F.nullif(F.when(out.contains("neither the name of"), F.regexp_replace(out, HOLDER, HELD)).otherwise(out), F.lit(""))
 
 
 def canonical(text: Column) -> Column:
     """Canonical form of a whole text; null if nothing is left."""
-    out = _spelled(_plain(F.regexp_replace(_lowered(text), COPYRIGHT, "$1")))
-    return F.nullif(out, F.lit(""))
+    return _whole(_without_copyright(text))
 
 
 def known_licences(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -140,12 +173,11 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     rows, most = known.agg(F.count("*"), F.coalesce(F.max(F.when(F.col("notice"), F.col("size"))), F.lit(0))).first()
     if rows > 100_000:
         raise ValueError("more than 100,000 known licences are no fixed table any more")
-    low = F.regexp_replace(_lowered(F.coalesce("text", F.lit(""))), COPYRIGHT, "$1")
+    low = _without_copyright(F.coalesce("text", F.lit("")))
     lowered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), low.alias("low"))
-    whole = F.nullif(_plain(F.col("low")), F.lit(""))
     plain = F.filter(F.transform(F.split("low", "\n"), _plain), lambda x: (x != "") & (F.length(x) <= 2 * most))
     lines = F.array_distinct(F.transform(plain, lambda x: F.sha2(_spelled(x), 256)))
-    marked = lowered.select("doc_id", "row", F.sha2(_spelled(whole), 256).alias("text_digest"), lines.alias("lines"))
+    marked = lowered.select("doc_id", "row", F.sha2(_whole(F.col("low")), 256).alias("text_digest"), lines.alias("lines"))
     named = marked.join(F.broadcast(known.select(F.col("digest").alias("text_digest"), F.col("licence").alias("text_licence"))), "text_digest", "left")
     each = named.select("doc_id", "row", "text_digest", "text_licence", F.explode_outer("lines").alias("digest"))
     found = each.join(F.broadcast(known.where("notice").select("digest", "licence")), "digest", "left")
@@ -156,8 +188,12 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 def canonical_text(text: str) -> str:
     """Canonical form in plain Python, for tests and the SQL of the known digests."""
-    low = re.sub(COPYRIGHT, r"\1", text.translate(str.maketrans(_UPPER, _LOWER)))
-    return " ".join(EQUIVALENT.get(w, w) for w in re.sub("[^a-z0-9]+", " ", low).split())
+    if re.search(MARKED, text):
+        text = re.sub("\r\n?", "\n", text)
+        for pattern, stays in DROPPED:
+            text = re.sub("(?m)" + pattern, stays, text)
+    low = text.translate(str.maketrans(_UPPER, _LOWER))
+    return re.sub(HOLDER, HELD, " ".join(EQUIVALENT.get(w, w) for w in re.sub("[^a-z0-9]+", " ", low).split()))
 
 
 def scan_sql(docs: str = "documents") -> str:
@@ -175,12 +211,17 @@ def scan_sql(docs: str = "documents") -> str:
     words = "[" + ", ".join(map(quoted, EQUIVALENT.values())) + "]"
     plain = lambda x: f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
     spelled = lambda x: f"array_to_string(list_transform(string_split({x}, ' '), lambda w: coalesce(list_extract({words}, list_position({keys}, w)), w)), ' ')"
-    low = f"regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {quoted(COPYRIGHT)}, '\\1', 'g')"
+    lines = "regexp_replace(text, '\r\n?', chr(10), 'g')"
+    for pattern, stays in DROPPED:
+        lines = f"regexp_replace({lines}, {quoted('(?m)' + pattern)}, {quoted(stays)}, 'g')"
+    low = f"translate(case when regexp_matches(text, {quoted(MARKED)}) then {lines} else text end, '{_UPPER}', '{_LOWER}')"
+    held = f"regexp_replace({spelled('t')}, '{HOLDER}', '{HELD}', 'g')"
     return f"""
 with known(digest, licence, notice) as (values {values}),
-lowered as (select doc_id, row_number() over () as r, {low} as low from {docs}),
+given as (select doc_id, row_number() over () as r, coalesce(text, '') as text from {docs}),
+lowered as (select doc_id, r, {low} as low from given),
 whole as (select doc_id, r, low, nullif({plain('low')}, '') as t from lowered),
-marked as (select doc_id, r, sha256({spelled('t')}) as text_digest from whole),
+marked as (select doc_id, r, sha256({held}) as text_digest from whole),
 lines as (select r, unnest(string_split(low, chr(10))) as line from lowered),
 hashed as (select distinct r, sha256({spelled('p')}) as digest from (select r, {plain('line')} as p from lines) where p <> ''),
 named as (select r, string_agg(distinct licence, ',' order by licence) as licences from hashed join known using (digest) where notice group by r)
