@@ -89,7 +89,8 @@ def shuffled(docs: DataFrame, shards: int = 16, seed: int = 7, key: str = "doc_i
     # a row's number within its key matters to its bucket alone, so the numbers of rows follow from the keys without any text
     counts = staged(copies.groupBy(scattered).agg(F.count("*").alias("n")), "bucket-rows")
     dealt = numbered(packed, "_key").select(scattered, F.xxhash64(F.lit(seed + 1), "_key", "_copy").alias("_order"), "_key", "_copy", "row")
-    dealt = dealt.join(small(staged(begins(counts), "bucket-begins")), "_bucket")
+    # so many tasks that each gets some buckets, whatever number of partitions the session has
+    dealt = dealt.join(small(staged(begins(counts), "bucket-begins")), "_bucket").repartition(-(-buckets // 4), "_bucket")
     fields = T.StructType([dealt.schema["row"], T.StructField("_place", T.LongType())])
 
     def mixed(held: pa.Table) -> pa.Table:
