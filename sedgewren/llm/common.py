@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedgewren.sources.stage import freed, staged
+from sedgewren.sources.stage import freed, small, staged
 
 __all__ = ["Cache", "PIECE", "WORD_PATTERN", "freed", "in_small_batches", "small", "staged", "table", "with_columns"]
 
@@ -72,11 +72,3 @@ class Cache(dict):
             self.clear()
         self[key] = value
         return value
-
-
-def small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
-    """Mark a staged table for broadcast if its values take at most ``most`` bytes; beyond that it is shuffled."""
-    wide = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    fixed = sum(8 if f.name in wide else 16 for f in df.schema) + 16
-    rows, more = df.agg(F.count("*"), sum((F.coalesce(F.sum(F.octet_length(f"`{c}`")), F.lit(0)) for c in wide), F.lit(0))).first()
-    return F.broadcast(df) if rows * fixed + more <= most else df
