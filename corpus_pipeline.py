@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgewren.llm import bpe, mixing, neardup, quality, toxicity
-from sedgewren.llm.common import small, staged, table
+from sedgewren.llm.common import freed, small, staged, table
 from sedgewren.llm.queries import tokenizer_path
 
 WEIGHTS = [5, 2, 1]
@@ -100,7 +100,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            freed(before)  # what was made of it is written
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
