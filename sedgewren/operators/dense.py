@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIGITS = 9
 
@@ -28,30 +32,62 @@ def search(vectors: DataFrame, queries: DataFrame, pool: int, key: str = "vec_id
     ``vectors``), the folder or document to search in; null or empty is no filter.
 
     Filtered queries meet their vectors in an equi-join; the others meet every vector: queries of up to ``SENT`` bytes are sent
-    to the vectors, more meet them block by block in a join on the block's number. Norms are formed once for each row; zero
-    vectors have no direction and take no part. Only the pool's best of each query leave a task before the ranks are dealt out.
+    to the vectors, which are multiplied with them batch by batch, more meet them block by block in a join on the block's number. Zero
+    vectors have no direction and take no part. Only the pool's best of each query leave a batch before the ranks are dealt out.
     """
     filters = [(n, c) for n, c in (("folder", folder), ("document", document)) if c]
     normed = lambda rows, v, n: rows.withColumn(n, F.sqrt(_dot(F.col(v), F.col(v)))).where(F.col(n) > 0)
     rows = normed(vectors.select(key, F.col("embedding").alias("v"), *(F.col(c).cast("string").alias(f"_{n}") for n, c in filters)), "v", "vn")
     asked = normed(queries.select("query_id", F.col("vector").alias("q"), *(F.nullif(F.col(n).cast("string"), F.lit("")).alias(f"_{n}") for n, _ in filters)), "q", "qn")
-    pairs = None
+    scored = None
     for used in itertools.chain.from_iterable(itertools.combinations([f"_{n}" for n, _ in filters], k) for k in range(len(filters), -1, -1)):
         some = asked
         for n, _ in filters:
             some = some.where(F.col(f"_{n}").isNotNull() if f"_{n}" in used else F.col(f"_{n}").isNull())
         some = some.drop(*(f"_{n}" for n, _ in filters if f"_{n}" not in used))
-        met = (rows.join(some, list(used)) if used else _every_pair(rows, some)).select("query_id", key, "q", "qn", "v", "vn")
-        pairs = met if pairs is None else pairs.unionByName(met)
-    scored = pairs.select("query_id", key, F.round(_dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn")), DIGITS).alias("score"))
+        found = _cosines(rows.join(some, list(used)), key) if used else _every_pair(rows.select(key, "v", "vn"), some, key, pool)
+        scored = found if scored is None else scored.unionByName(found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool)
 
 
-def _every_pair(rows: DataFrame, asked: DataFrame) -> DataFrame:
+def _cosines(pairs: DataFrame, key: str) -> DataFrame:
+    return pairs.select("query_id", key, F.round(_dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn")), DIGITS).alias("score"))
+
+
+def _every_pair(rows: DataFrame, asked: DataFrame, key: str, pool: int) -> DataFrame:
+    """Scores of each query's best vectors, of each batch of vectors the pool's and all that equal the last of them."""
+    spark = rows.sparkSession
     size = asked.agg(F.coalesce(F.sum(8 * F.size("q") + 64), F.lit(0))).first()[0]
-    if size <= SENT:
-        return rows.join(F.broadcast(asked), how="cross")
-    blocks = -(-size // SENT)
-    asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    return rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, "_block")
+    if size > SENT:
+        blocks = -(-size // SENT)
+        asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        dealt = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        return _cosines(dealt.join(asked, "_block"), key)
+    held = asked.collect()  # SENT bytes at most
+    shared = spark.sparkContext.broadcast(([np.array(r["q"], np.float64) for r in held], np.array([r["qn"] for r in held])))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, norms = shared.value
+        if not wanted:
+            return
+        for batch in batches:
+            v = batch.column("v")
+            sizes = np.diff(np.asarray(v.offsets))
+            for d in np.unique(sizes):  # one length, as a rule; queries meet the vectors of their own
+                some, mine = np.flatnonzero(sizes == d), [i for i, q in enumerate(wanted) if len(q) == d]
+                if not mine:
+                    continue
+                x = np.asarray(v.take(pa.array(some)).flatten(), np.float64).reshape(len(some), d)
+                lengths = np.asarray(batch.column("vn"))[some]
+                for at in range(0, len(mine), 256):
+                    part = np.array(mine[at : at + 256])
+                    scores = np.round(np.stack([wanted[i] for i in part]) @ x.T / (norms[part][:, None] * lengths), DIGITS) + 0.0  # no negative zeros
+                    least = np.partition(scores, -pool, axis=1)[:, -pool] if scores.shape[1] > pool else np.full(len(part), -np.inf)
+                    who, which = np.nonzero(scores >= least[:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(part[who].astype(np.int32)), batch.column(key).take(pa.array(some[which])), pa.array(scores[who, which])], names=["_q", key, "score"])
+
+    found = rows.mapInArrow(run, f"_q int, `{key}` {kind}, score double")
+    names = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(held)], T.StructType([T.StructField("_q", T.IntegerType()), asked.schema["query_id"]]))
+    return found.join(F.broadcast(names), "_q").select("query_id", key, "score")

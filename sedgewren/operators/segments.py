@@ -98,9 +98,10 @@ class SegmentedIndex:
         name = name or uuid.uuid4().hex
         if any(name in r["name"].split("+") for r in segments):
             return
-        counted = lexical.occurrences(chunks, *lexical.PLACE).groupBy(*lexical.PLACE, "dl", "term").agg(F.count("*").alias("tf"))
-        terms = counted.groupBy(*lexical.PLACE, "dl").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))  # the terms of a chunk
-        empty = chunks.where(F.size(lexical.raw_tokens(F.col("text"))) <= 0).select(*lexical.PLACE, F.lit(0).cast("long").alias("dl"), F.array().cast("array<struct<term:string,tf:bigint>>").alias("terms"))
+        place = ["chunk_id", *lexical.PLACE]
+        counted = lexical.occurrences(chunks, *place).repartition("chunk_id").groupBy(*place, "dl", "term").agg(F.count("*").alias("tf"))
+        terms = counted.groupBy(*place, "dl").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))  # the terms of a chunk
+        empty = chunks.where(F.size(lexical.raw_tokens(F.col("text"))) <= 0).select(*place, F.lit(0).cast("long").alias("dl"), F.array().cast("array<struct<term:string,tf:bigint>>").alias("terms"))
         new = self._segment(terms.unionByName(empty), max([r["segment"] for r in segments], default=-1) + 1, name)
         change = self._read("heads", [new[0]]).groupBy("term").agg(F.sum("n").alias("df"))
         vocabulary = self._vocabulary(self._folder(rows, "vocabulary"), change)
@@ -169,11 +170,13 @@ class SegmentedIndex:
         numbers = [r["segment"] for r in segments]
         posts, heads = self._read("postings", numbers), self._read("heads", numbers)
         stones, gone = self._folder(rows, "tombstones"), None
+        places = self._read("forward", numbers).select("segment", "chunk_id", "document_id", "chunk_index")
         if stones is not None:
+            places = places.join(small(stones), ["segment", "document_id"], "left_anti")
             spread = self.spark.createDataFrame([(r["segment"], r["windows"]) for r in segments], "segment int, windows int")
             where = F.col("segment").cast("long") * F.lit(STRIDE) + F.pmod(F.xxhash64("document_id"), F.col("windows"))
             gone = stones.join(F.broadcast(spread), "segment").select(where.cast("long").alias("window"), "document_id")  # one row for each segment
-        return lexical.Index(posts, heads, self._folder(rows, "vocabulary"), sum(r["chunks"] for r in segments), sum(r["tokens"] for r in segments), self.buckets, sum(r["windows"] for r in segments), gone)
+        return lexical.Index(posts, heads, self._folder(rows, "vocabulary"), sum(r["chunks"] for r in segments), sum(r["tokens"] for r in segments), self.buckets, sum(r["windows"] for r in segments), places.drop("segment"), gone)
 
     def search(self, queries: DataFrame, pool: int) -> DataFrame:
         return lexical.search(None, queries, pool, self.index())

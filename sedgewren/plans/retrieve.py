@@ -146,23 +146,28 @@ def asking(chunks: DataFrame, queries: DataFrame, encoder: Callable, client: Cal
     return Retrieval(chunks, staged(models.embed(chunks, "chunk_id", encoder), "vectors"), staged(variants, "variants"), **options)
 
 
-_FIXTURES: dict[tuple[str, str], Retrieval] = {}
+_KEPT: dict[tuple[str, str, str], object] = {}
 
 
 def forget() -> None:
     """Drop what earlier queries kept, so that a timed query builds all it needs itself."""
-    _FIXTURES.clear()
+    _KEPT.clear()
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
+    """What the session that asks first makes of a folder of tables, kept for later queries, as an index would be."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def fixture(spark: SparkSession, sf_dir: str) -> Retrieval:
     """Questions from the benchmark over the documents' chunks; vectors are paired with documents by number alone.
 
-    The stages are kept by the session that asks first, as tables in the shared folder, as an index would be.
+    The stages are kept as tables in the shared folder.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FIXTURES:
-        _FIXTURES[key] = _fixture(spark, sf_dir)
-    return _FIXTURES[key]
+    return kept(spark, sf_dir, "retrieval", lambda: _fixture(spark, sf_dir))
 
 
 def _fixture(spark: SparkSession, sf_dir: str) -> Retrieval:

@@ -10,15 +10,21 @@ from pyspark.sql import functions as F
 
 from sedgewren.functions.text import stripped
 from sedgewren.sources.files import OCR_LEAST, SCHEMA, page_rows
+from sedgewren.sources.stage import spread
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work on whole texts."""
+    return spread(documents(spark, sf_dir), f"{sf_dir}/documents.parquet", "doc_id")
+
+
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages: one page each, the source as folder."""
-    return documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_num"), "text", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), F.coalesce("source", F.lit("")).alias("folder"), needs_ocr("text").alias("has_ocr"))
+    return spread_documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_num"), "text", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), F.coalesce("source", F.lit("")).alias("folder"), needs_ocr("text").alias("has_ocr"))
 
 
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

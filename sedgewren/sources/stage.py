@@ -25,6 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Bytes of a task's share of a small table.
+SHARE = 128 << 20
+
+
+def spread(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """Deal a table that lies in fewer files than there are cores out to all cores, by its key, before work that costs more than that.
+
+    Larger tables, and those of many files, are left as they are read: nothing of them is shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    where, system = located(spark, path)
+    found = system.getContentSummary(where)
+    return df.repartition(cores, *by) if found.getFileCount() < cores and found.getLength() < cores * SHARE else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, whose content is deleted when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

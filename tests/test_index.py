@@ -69,7 +69,7 @@ def test_bounds_leave_windows_out(spark, monkeypatch):
     monkeypatch.setattr(lexical, "WINDOW", 20)
     index = lexical.indexed(chunks)
     queries = spark.createDataFrame([(1, "needle word1 word2")], "query_id int, text string")
-    weights, only = lexical._asked(index, queries)
+    weights, only, _ = lexical._asked(index, queries)
     used = {}
     real = lexical.placed
 
@@ -92,9 +92,9 @@ def test_bytes_follow_the_asked_terms(spark, monkeypatch):
     for n in (800, 6400):
         rows_ = [(f"c{i}", i, 0, "a", " ".join(f"term{(i * 37 + j * 11) % n}" for j in range(30)) + (" needle" if i < 20 else "")) for i in range(n)]
         index = lexical.indexed(staged(spark.createDataFrame(rows_, CHUNKS), "corpus"))
-        weights, only = lexical._asked(index, spark.createDataFrame([(1, "needle")], "query_id int, text string"))
-        whole = sum(f for f, _ in scans(spark, index.postings.select("chunk_id")))
-        ((size, seen),) = [x for x in scans(spark, index.postings.where(only).select("chunk_id", "term"))]
+        weights, only, _ = lexical._asked(index, spark.createDataFrame([(1, "needle")], "query_id int, text string"))
+        whole = sum(f for f, _ in scans(spark, index.postings.select("document_id")))
+        ((size, seen),) = [x for x in scans(spark, index.postings.where(only).select("document_id", "term"))]
         read.append((size, seen, whole))
     (small_size, small_rows, small_whole), (large_size, large_rows, large_whole) = read
     assert large_whole > 4 * small_whole and large_size < 2 * small_size and large_size < large_whole / 20
@@ -107,8 +107,8 @@ def test_row_groups_of_other_terms_are_left_out(spark, monkeypatch):
     monkeypatch.setattr(lexical, "GROUP", 4096)
     texts = [(f"c{i}", i, 0, "a", " ".join(f"term{(i * 37 + j * 11) % 3000}" for j in range(40))) for i in range(3000)]
     index = lexical.indexed(staged(spark.createDataFrame(texts, CHUNKS), "corpus"))
-    _, only = lexical._asked(index, spark.createDataFrame([(1, "term7")], "query_id int, text string"))
-    ((_, seen),) = scans(spark, index.postings.where(only).select("chunk_id", "term"))
+    _, only, _ = lexical._asked(index, spark.createDataFrame([(1, "term7")], "query_id int, text string"))
+    ((_, seen),) = scans(spark, index.postings.where(only).select("document_id", "term"))
     assert 0 < seen < index.postings.count() / 10
 
 
@@ -117,7 +117,8 @@ def test_one_scan_of_the_postings(spark):
     df = lexical.search(None, asked(spark).select("query_id", "text"), 5, index)
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert final.count("FileScan parquet") - final.count("asked-weights") <= 1 or final.count("ReusedExchange") >= 1
+    # the best score and the ranks come from one exchange; the second reader names it, and has no scan of its own
+    assert "ReusedExchange" in final and final.count("stage-postings") == 1
 
 
 def test_segments_equal_a_rebuilt_index(spark, tmp_path, monkeypatch):
