@@ -59,6 +59,7 @@ def test_bounds_change_no_result(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(lexical, "WINDOW", 20)
             m.setattr(lexical, "MANY", 1)
+            m.setattr(lexical, "LISTED", 2)  # of more terms only the buckets are named
             assert lexical.indexed(chunks).windows == 45
             assert rows(lexical.search(chunks, some, 10)) == want
 
@@ -127,12 +128,12 @@ def test_segments_equal_a_rebuilt_index(spark, tmp_path, monkeypatch):
         index.index()
     index.delete(spark.createDataFrame([(1,)], "document_id long"))
     live, draw = {}, random.Random(5)
-    for step in range(7):
-        new = corpus(spark, 60, seed=step, first=step * 60)
+    for step in range(6):
+        new = corpus(spark, 30, seed=step, first=step * 30)
         index.add(new, f"b{step}")
         index.add(new, f"b{step}")  # again, as after a failure
         live.update({r["chunk_id"]: tuple(r) for r in new.collect()})
-        gone = {draw.randrange((step + 1) * 20) for _ in range(4)}
+        gone = {draw.randrange((step + 1) * 10) for _ in range(3)}
         index.delete(spark.createDataFrame([(g,) for g in gone] + [(None,), (99_999,)], "document_id long"))
         live = {k: v for k, v in live.items() if v[1] not in gone}
         if step % 3 == 2:
@@ -169,11 +170,11 @@ def test_empty_chunks_count_in_a_segment(spark, tmp_path):
 def test_the_stream_feeds_the_index(spark, tmp_path):
     index = SegmentedIndex(spark, str(tmp_path / "i"), buckets=2)
     sentence = "The {} report describes the matter at length, so that it makes a chunk of more than one hundred characters, surely."
-    for n in range(5):
+    for n in range(4):
         docs = [(10 * n + i, sentence.format(f"alpha{n} beta{i}"), f"f{i}", "x") for i in range(3)]
         spark.createDataFrame(docs, "document_id long, text string, filename string, folder string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         ingest(page_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), then=index.append).awaitTermination()
-    assert len(index._segments()) == 2 and index.index().chunks == 15
+    assert len(index._segments()) == 1 and index.index().chunks == 12
     found = index.search(spark.createDataFrame([(1, "alpha3")], "query_id int, text string"), 9).collect()
     assert sorted(r["document_id"] for r in found) == [30, 31, 32]
 
@@ -220,3 +221,14 @@ def test_recall_in_clustered_vectors(spark, tmp_path):
     pairs = lambda df: {(r["query_id"], r["vec_id"]) for r in df.collect()}
     want = pairs(dense.search(table, queries, 30))
     assert len(pairs(index.search(queries, 30, probes=4)) & want) >= 0.9 * len(want)
+
+
+def test_small_tables_are_spread_and_others_not(spark, tmp_path, monkeypatch):
+    from sedgewren.sources import stage
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(20).write.parquet(str(tmp_path / "many"))
+    shuffled = lambda name: "Exchange" in stage.spread(spark.read.parquet(str(tmp_path / name)), str(tmp_path / name), "id")._jdf.queryExecution().executedPlan().toString()
+    assert shuffled("one") and not shuffled("many")
+    monkeypatch.setattr(stage, "SHARE", 1)
+    assert not shuffled("one")
