@@ -220,7 +220,6 @@ def oracle_sql() -> dict[str, str]:
         "llm_answer_stub": f"{_prompts(True)}, {_ANSWERS} select * from answers",
         "answer_responses": f"{_prompts(True)}, {_ANSWERS} select b.item_id as query_id, case when g.best is null then 'empty' when g.best >= 0.9 then 'answered' else 'refused' end as status, case when g.best is null then {_q('No relevant information found in the knowledge base.')} when g.best >= 0.9 then a.answer else {_q("I couldn't find relevant information in the knowledge base to answer this question.")} end as answer, cast(case when g.best >= 0.9 then a.total_tokens else 0 end as bigint) as total_tokens from benchmark b left join gated g on g.query_id = b.item_id left join answers a on a.query_id = b.item_id",
         "highlight_offsets": f"with {_CHUNKS}, a as (select chunk_id, document_id, left({strip('text')}, 120) as a from chunks), n as (select chunk_id, document_id, {_HIGHLIGHT('a')} as anchor from a) select chunk_id, cast(instr(lower({norm('d.text')}), lower({norm('anchor')})) - 1 as int) as at, cast(length(anchor) as int) as n_chars from n join documents d on d.doc_id = n.document_id",
-        "highlight_rects": f"with {_CHUNKS}, a as (select chunk_id, document_id, left({strip('text')}, 120) as a from chunks), n as (select chunk_id, document_id, list_filter(string_split(lower({norm(_HIGHLIGHT('a'))}), ' '), lambda x: x <> '') as q from a), w as (select doc_id, list_transform(string_split({norm('text')}, ' '), lambda x: lower(x)) as w from documents), m as (select chunk_id, q, len(q) as k, w, list_filter(range(1, len(w) - len(q) + 2), lambda p: case when len(q) = 1 then contains(w[p], q[1]) else ends_with(w[p], q[1]) and starts_with(w[p + len(q) - 1], q[len(q)]) and array_to_string(w[p + 1:p + len(q) - 2], ' ') = array_to_string(q[2:len(q) - 1], ' ') end) as ps from n join w on doc_id = document_id where len(q) > 0), h as (select chunk_id, k, w, unnest(ps) as p, unnest(range(1, len(ps) + 1)) as hit from m), b as (select chunk_id, hit, w, unnest(range(p - 1, p - 1 + k)) as place from h), g as (select chunk_id, hit, cast(place // 12 as int) as line, (place % 12) * 100.0::double as x0, (place % 12) * 100.0::double + length(w[place + 1]) * 6.0::double as x1 from b) select chunk_id, 1 as page_num, cast(hit as int) as hit, line, min(x0) as x0, line * 12.0::double as y0, max(x1) as x1, line * 12.0::double + 10.0::double as y1 from g group by chunk_id, hit, line",
         "bm25_document_filter": f"with {_CHUNKS}, {_ASKED}, scoped as (select query_id, variant, text, case when query_id % 2 = 0 then query_id end as document from asked where variant = 0), {_bm25('b', 'chunks', 'scoped', 30, scope='where a.document is null or a.document = c.document_id')} select query_id, chunk_id, cast(rank as int) as rank, {_round('score')} from b_hits",
         "expand_short_query": f"with w as (select item_id, string_split({norm('text')}, ' ') as w from benchmark), q as (select item_id, array_to_string(w[1:(item_id % 4) + 1], ' ') as question from w) select item_id, question, len(list_filter(string_split({norm('question')}, ' '), lambda x: x <> '')) <= 2 as short from q",
         "variant_dedup": f"with w as (select item_id as query_id, string_split({norm('text')}, ' ') as w from benchmark), q as (select query_id, {line(1, 4)} as question, [{line(5, 8)}, translate({line(1, 4)}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), lower({line(5, 8)}), {line(9, 12)}] as lines from w), u as (select query_id, question, unnest(list_concat([{{'pos': 0, 'text': question}}], case when len(string_split(question, ' ')) <= 2 then [] else list_transform(list_filter([{{'pos': 1, 'raw': '1. ' || lines[1], 'text': lines[1]}}, {{'pos': 2, 'raw': '- ' || lines[2], 'text': lines[2]}}, {{'pos': 3, 'raw': '2) ' || lines[3], 'text': lines[3]}}, {{'pos': 4, 'raw': lines[4], 'text': lines[4]}}], lambda x: length(x.raw) > 3), lambda x: {{'pos': x.pos, 'text': regexp_replace(x.text, '^[0-9.\\-) ]+', '')}}) end)) as x from q), f as (select query_id, x.pos as pos, x.text as text from u where x.pos = 0 or (lower(x.text) <> lower(question) and length(x.text) > 3)), o as (select *, row_number() over (partition by query_id, lower(text) order by pos) as own from f) select * from (select query_id, cast(row_number() over (partition by query_id order by pos) - 1 as int) as variant, text from o where own = 1) where variant < 5",
