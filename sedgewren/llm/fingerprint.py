@@ -16,6 +16,7 @@ of the results are replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 
 import numpy as np
@@ -174,7 +175,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _listed(edges: list[str], kind: str) -> Column:
-    return F.split(F.lit("\x00".join(edges)), "\x00").cast(f"array<{kind}>")
+    return F.from_json(F.lit(json.dumps(edges)), "array<string>").cast(f"array<{kind}>")
 
 
 def _bucket(value: Column, edges: list[str], kind: str) -> Column:
@@ -219,7 +220,8 @@ def with_next(docs: DataFrame, ids: DataFrame, columns: list[str], doc_id: str =
     placed = docs.withColumn(tie, F.xxhash64(*columns)).withColumn(at, F.when(key.isNull(), buckets + F.pmod(F.col(tie), F.lit(spread))).otherwise(_bucket(key, edges, kind) - 1).cast("int"))
     is_edge = F.get(_listed(edges, kind), F.col(at)) == key
     names = [F.col(f"`{c}`") for c in docs.columns]
-    repeated = ids.where(F.exists(_listed(edges, kind), lambda e: e == key)).groupBy(key).count().where("count > 1").count()
+    on_edge = F.get(_listed(edges, kind), _bucket(key, edges, kind) - 1) == key
+    repeated = ids.where(on_edge).groupBy(key).count().where("count > 1").count()
     if repeated:  # only one of the rows of an edge's id is copied
         placed = staged(placed, "placed")
         first = placed.where(is_edge).groupBy(at).agg(F.min_by(F.struct(*names, tie), F.col(tie)).alias(to)).select(F.col(f"{to}.*"), at)
