@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgewren.llm.common import staged
+from sedgewren.llm.common import small, staged
 
 BOOKS, WORDS = 16, 256
 SAMPLE = 10_000
@@ -221,10 +221,13 @@ def _search(rows: DataFrame, is_query: Column, k: int, depth: int) -> DataFrame:
     met = asked.join(code_table, "block").select("query_ids", "vectors", "ids", "codes")
     # the best of all blocks; the limit is taken in each task before the shuffle
     found = met.mapInArrow(scored, "query_id long, id long, near float").withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("near")))).where(F.col("place") <= depth)
-    found = found.select("query_id", "id").join(index.select("id", "h1", "h2", "first"), "id").drop("id")
+    found = staged(found.select("query_id", "id").join(index.select("id", "h1", "h2", "first"), "id").drop("id"), "found")
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     sized = lambda v: F.struct(v.alias("v"), norm(v).alias("n"))
-    one = keyed.select(F.col("id").alias("first"), "h1", "h2", scaled(F.col("v")).alias("v")).select("first", "h1", "h2", sized(F.col("v")).alias("v")).dropDuplicates(["h1", "h2", "first"])
+    # only vectors that some query found are moved
+    needed = small(staged(found.select("h1", "h2", "first").distinct(), "needed"))
+    one = keyed.select(F.col("id").alias("first"), "h1", "h2", "v").join(needed, ["h1", "h2", "first"], "left_semi").dropDuplicates(["h1", "h2", "first"])
+    one = one.select("first", "h1", "h2", scaled(F.col("v")).alias("v")).select("first", "h1", "h2", sized(F.col("v")).alias("v"))
     asking = queries.select(F.col("id").alias("query_id"), scaled(F.col("v")).alias("q")).select("query_id", sized(F.col("q")).alias("q"))
     pairs = found.join(asking, "query_id").join(one, ["h1", "h2", "first"])
     dot = F.aggregate(F.zip_with("q.v", "v.v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
