@@ -9,7 +9,7 @@ Documents of equal shingle sets form a class, and only classes are compared.  Cl
 candidate groups.  A group of up to ``BLOCK`` classes is verified in one task: all intersections of its full sets come
 from one sparse or dense product, and only the resulting labels leave the task.  In larger groups every class is first
 verified against the least class of each of its bands; what is then still in different components is verified in pairs
-of blocks, which lose no pair that shares a band.  No pairs are listed, no group is gathered, nothing is capped.
+of blocks of different components, which lose no pair that shares a band.  No pairs are listed, no group is gathered, nothing is capped.
 
 Defined cases: null texts and texts without words have the empty set, are linked with nothing and stay; repeated rows are
 documents of equal sets; a null doc_id joins its class, and the least of the other ids stands for it; an empty table gives an
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgewren.llm.common import PIECE, freed, in_small_batches, small, staged
@@ -205,6 +205,29 @@ def _by_block(rows: DataFrame, f, names_out: tuple[str, str]) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names_out))
 
 
+def _across(placed: DataFrame) -> DataFrame:
+    """block, cid, part, side, inside: the pairs of blocks in which classes of different parts meet, group by group.
+
+    ``placed`` has g, cid, part. A part of at least half a block lies in blocks of its own, which meet those of other parts alone;
+    smaller parts share blocks, whole, and those meet all blocks, themselves included. Groups of one part give no row.
+    """
+    sizes = placed.groupBy("g", "part").agg(F.count("*").alias("m")).withColumn("own", F.col("m") >= BLOCK // 2)
+    large = F.when(F.col("own"), F.ceil(F.col("m") / BLOCK)).otherwise(0)
+    groups = sizes.groupBy("g").agg(F.count("*").alias("parts"), F.ceil(F.sum(F.when(F.col("own"), 0).otherwise(F.col("m"))) / BLOCK).alias("shared"), F.sum(large).alias("larges")).where("parts > 1")
+    groups = small(staged(groups.select("g", "shared", (F.col("shared") + F.col("larges")).alias("total")), "open-groups"))
+    # blocks are numbered from 0: the shared ones, then those of each large part, of which a group has few against its classes
+    ahead = F.sum("blocks").over(Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = sizes.where("own").select("g", "part", F.ceil(F.col("m") / BLOCK).alias("blocks")).withColumn("ahead", F.coalesce(ahead, F.lit(0)))
+    ranges = small(staged(ranges, "large-parts"))
+    rows = placed.join(groups, "g").join(ranges, ["g", "part"], "left").withColumn("lo", F.col("shared") + F.col("ahead")).withColumn("hi", F.col("lo") + F.col("blocks"))
+    own = F.when(F.col("lo").isNull(), F.pmod(F.xxhash64("part"), F.greatest("shared", F.lit(1)))).otherwise(F.col("lo") + F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1))))
+    span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    none, total = F.lit(0).cast("long"), F.col("total").cast("long")
+    others = F.when(F.col("lo").isNull(), span(none, total)).otherwise(F.concat(span(none, F.col("lo")), span(F.col("hi"), total)))
+    rows = rows.select("g", "cid", "part", own.alias("own"), F.explode(others).alias("other"))
+    return rows.select(F.struct("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("block"), "cid", "part", (F.col("own") < F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("inside"))
+
+
 def _labels(candidates: DataFrame, groups: DataFrame, sets_of, percent: int) -> DataFrame:
     """(cid, label) of the candidate classes that exact verification joined; ``sets_of`` gives the sets of classes."""
 
@@ -252,13 +275,11 @@ def _labels(candidates: DataFrame, groups: DataFrame, sets_of, percent: int) ->
     part = staged(components(links), "parts")
     placed = pairs.join(part.select(F.col("node").alias("cid"), F.col("label").alias("part")), "cid", "left").withColumn("part", F.coalesce("part", "cid"))
     placed = placed.select(F.when(F.col("n") <= WHOLE_GROUP, F.struct(F.lit(0).alias("kind"), F.col("gid").alias("id"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("band").alias("id"))).alias("g"), "cid", "part").distinct()
-    open_ = placed.groupBy("g").agg(F.count("*").alias("m"), F.min("part").alias("first"), F.max("part").alias("last")).where(F.col("first") != F.col("last"))
-    open_ = placed.join(open_.select("g", F.ceil(F.col("m") / BLOCK).alias("blocks")), "g")
-    open_ = open_.withColumn("own", F.pmod(F.xxhash64("cid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    open_ = open_.join(sets, "cid").select(F.struct("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("block"), "cid", "part", "set", (F.col("own") < F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("inside"))
+    placed = staged(placed, "placed")
+    open_ = _across(placed).join(sets, "cid").select("block", "cid", "part", "set", "side", "inside")
     found = staged(_by_block(open_, rest, ("a", "b")), "rest")
     joined = staged(components(links.unionByName(found)).select(F.col("node").alias("cid"), "label"), "large-labels")
-    freed(sets, pairs, links, found, part)
+    freed(sets, pairs, links, found, part, placed)
     return labels.unionByName(joined)
 
 
