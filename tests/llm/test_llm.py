@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import re
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedgewren.llm import ann, bpe, fingerprint, graph, licences, mixing, neardup, quality, queries, shingles, toxicity
+from sedgewren.llm import ann, bpe, common, fingerprint, graph, licences, mixing, neardup, quality, queries, shingles, toxicity
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -127,6 +128,31 @@ def test_near_duplicates_in_large_groups(spark, percent, monkeypatch):
         assert got == want
 
 
+def test_classes_of_one_part_do_not_meet_again(spark, monkeypatch):
+    """All classes of different parts of a group meet, each pair once; a large part with an outlier costs little more than its rows."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    parts = {0: [1] * 1600 + [2], 1: [3] * 50, 2: [4] * 40 + [5] * 9 + [6] * 7 + [7, 8, 9] * 3 + list(range(100, 130))}
+    rows, cid = [], 0
+    for g, held in parts.items():
+        for part in held:
+            rows.append((g, cid, part))
+            cid += 1
+    placed = spark.createDataFrame(rows, "g long, cid long, part long").select(F.struct(F.lit(0).alias("kind"), F.col("g").alias("id")).alias("g"), "cid", "part")
+    blocks: dict = {}
+    for r in neardup._across(placed).collect():
+        blocks.setdefault((r["block"]["g"]["id"], r["block"]["i"], r["block"]["j"]), []).append(r)
+    met = Counter()
+    for (g, *_), held in blocks.items():
+        for x, a in enumerate(held):
+            for b in held[:x]:
+                if a["part"] != b["part"] and (a["inside"] or a["side"] != b["side"]):
+                    met[g, min(a["cid"], b["cid"]), max(a["cid"], b["cid"])] += 1
+    want = {(g, min(a, b), max(a, b)) for i, (g, a, p) in enumerate(rows) for h, b, q in rows[:i] if g == h and p != q}
+    assert met.keys() == want and set(met.values()) == {1}
+    assert sum(len(held) for (g, *_), held in blocks.items() if g == 0) <= 1600 + 100 + 2
+    assert not any(g == 1 for g, *_ in blocks)
+
+
 def test_near_duplicates_cases(spark, odd, none):
     got = [(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(odd).collect()]
     assert sorted(x for x in got if x[0] is not None) == [(1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True), (5, 5, True), (6, 6, True), (6, 6, True), (7, 7, True), (8, 8, True)]
@@ -294,7 +320,7 @@ def test_fingerprint_cases(odd, none):
     assert fingerprint.with_next(none, none.select("doc_id"), ["text"]).count() == 0
 
 
-@pytest.mark.parametrize("kind", ["long", "string", "outlier", "equal", "date", "null"])
+@pytest.mark.parametrize("kind", ["long", "string", "zero byte", "outlier", "equal", "date", "null"])
 def test_next_rows_of_any_ids(spark, monkeypatch, kind):
     monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 16)
     rng = np.random.default_rng(8)
@@ -309,13 +335,15 @@ def test_next_rows_of_any_ids(spark, monkeypatch, kind):
     docs = spark.createDataFrame(rows, "doc_id long, text string, bucket_ string, copy_ string").repartition(5)
     if kind == "string":
         docs = docs.withColumn("doc_id", F.concat(F.lit("é"), F.col("doc_id").cast("string")))
+    if kind == "zero byte":
+        docs = docs.withColumn("doc_id", F.concat(F.lit("a\x00"), F.col("doc_id").cast("string"), F.lit("\x00")))
     if kind == "date":
         docs = docs.withColumn("doc_id", F.date_add(F.lit("2001-01-01").cast("date"), F.col("doc_id").cast("int")))
     got = fingerprint.with_next(docs, docs.select("doc_id"), ["text"])
     assert got.columns == [*docs.columns, "next_text"]
     got = got.withColumn("tie", F.xxhash64("text")).collect()
     assert len(got) == len(rows) and all(r["bucket_"] == r["copy_"] == "mine" for r in got)
-    order = sorted((r for r in got if r["doc_id"] is not None), key=lambda r: (r["doc_id"].encode() if kind == "string" else r["doc_id"], r["tie"]))
+    order = sorted((r for r in got if r["doc_id"] is not None), key=lambda r: (r["doc_id"].encode() if kind in ("string", "zero byte") else r["doc_id"], r["tie"]))
     assert [r["next_text"] for r in order] == [r["text"] for r in order[1:] + order[:1]]
     assert {r["next_text"] for r in got if r["doc_id"] is None} <= {order[0]["text"]}
 
@@ -602,6 +630,18 @@ def test_search_reranks_a_bounded_number_for_each_query(spark, monkeypatch):
     assert hit >= 0.9 * 150
 
 
+def test_only_found_vectors_are_moved(spark, monkeypatch):
+    """What is reranked is joined to the found vectors' keys before anything is shuffled or made distinct."""
+    kept = {}
+    monkeypatch.setattr(ann, "staged", lambda df, name, **more: kept.setdefault(name, common.staged(df, name, **more)))
+    x = np.random.default_rng(2).normal(size=(3000, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.search(table, F.col("id") == 50, depth=20)
+    assert found.count() == 5 and kept["needed"].count() <= 21
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[h1#[^\n]*\n[^\n]*\n?[^\n]*LeftSemi", plan), plan
+
+
 def test_search_query(spark):
     rows = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas()
     x = np.array(rows.embedding.tolist(), np.float64)
