@@ -360,20 +360,26 @@ def bm25_document_filter(spark, d):
     return lexical.search(r.chunks, asked, 30, r.index).select("query_id", "chunk_id", "rank", _r("score"))
 
 
+def _runs(spark, d, n):
+    """item_id, part, w: all words of the benchmark's texts in runs of n."""
+    words = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.split(T.normalized(F.col("text")), " ").alias("words"), n.alias("n"))
+    begins = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / F.col("n")).cast("int")), lambda i: F.slice("words", i * F.col("n") + 1, F.col("n")))
+    return words.select("item_id", F.posexplode(begins).alias("part", "w"))
+
+
 @query
 def expand_short_query(spark, d):
-    words = F.split(T.normalized(F.col("text")), " ")
-    q = F.array_join(F.slice(words, 1, (F.col("item_id") % 4).cast("int") + 1), " ")
-    return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", q.alias("question"), T.is_short_query(q).alias("short"))
+    rows = _runs(spark, d, (F.col("item_id") % 4).cast("int") + 1)
+    return rows.select("item_id", "part", F.array_join("w", " ").alias("question"), T.is_short_query(F.array_join("w", " ")).alias("short"))
 
 
 @query
 def variant_dedup(spark, d):
-    words = F.split(T.normalized(F.col("text")), " ")
+    words = F.col("w")  # sixteen words, fewer in an item's last run
     q = F.array_join(F.slice(words, 1, 4), " ")
     # a stub of a model's answer: numbered lines, one of them the question in capitals, one of them said twice
     lines = [F.concat(F.lit("1. "), F.array_join(F.slice(words, 5, 4), " ")), F.concat(F.lit("- "), F.translate(q, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")), F.lit("x"), F.concat(F.lit("2) "), F.lower(F.array_join(F.slice(words, 5, 4), " "))), F.array_join(F.slice(words, 9, 4), " "), F.array_join(F.slice(words, 13, 4), " ")]
-    rows = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), q.alias("question"), F.concat_ws("\n", *lines).alias("answer"))
+    rows = _runs(spark, d, F.lit(16)).select(F.concat_ws(":", "item_id", "part").alias("query_id"), q.alias("question"), F.concat_ws("\n", *lines).alias("answer"))
     return answering.variants(rows)
 
 

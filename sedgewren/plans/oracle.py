@@ -85,11 +85,11 @@ def cosine(a: str, b: str) -> str:
 
 _ASKED = f"""
 words as (select item_id as query_id, string_split({norm('text')}, ' ') as w from benchmark),
-cut as (select query_id, 0 as variant, array_to_string(w[1:8], ' ') as text from words union all select query_id, 1, array_to_string(w[9:14], ' ') from words),
+cut as (select query_id, 0 as variant, array_to_string(w[:(len(w) + 1) // 2], ' ') as text from words union all select query_id, 1, array_to_string(w[(len(w) + 1) // 2 + 1:], ' ') from words),
 asked as (select query_id, variant, cut.text, embedding as vector from cut join embeddings on vec_id = query_id * 2 + variant where cut.text <> '')"""
 _BASE = f"with {_CHUNKS}, {_ASKED}, {_bm25('b', 'chunks', 'asked', 125)}"
 _VECTOR = f"""{_BASE},
-v_hits as (select * from (select *, row_number() over (partition by query_id, variant order by score desc, chunk_id) as rank from (select query_id, variant, c.chunk_id, round({cosine('e.embedding', 'q.vector')}, 9) as score from asked q, embeddings e join chunks c on c.chunk_id = e.vec_id || '_p1_c0')) where rank <= 125)"""
+v_hits as (select * from (select *, row_number() over (partition by query_id, variant order by score desc, chunk_id) as rank from (select query_id, variant, c.chunk_id, round({cosine('e.embedding', 'q.vector')}, 9) as score from asked q, embeddings e join chunks c on e.vec_id = (c.document_id * 7 + c.chunk_index) % (select count(*) from embeddings))) where rank <= 125)"""
 _FUSED = f"""{_VECTOR},
 hits as (select query_id, chunk_id, (variant * 2 + src) * 1000000 + rank as ord, score * case when variant = 0 then 1.0::double else 0.9::double end as s, src from (select *, 0 as src from v_hits union all by name select *, 1 as src from b_hits)),
 grouped as (select query_id, chunk_id, list({{'ord': ord, 's': s, 'src': src}} order by ord) as h from hits group by all),
@@ -221,8 +221,8 @@ def oracle_sql() -> dict[str, str]:
         "answer_responses": f"{_prompts(True)}, {_ANSWERS} select b.item_id as query_id, case when g.best is null then 'empty' when g.best >= 0.9 then 'answered' else 'refused' end as status, case when g.best is null then {_q('No relevant information found in the knowledge base.')} when g.best >= 0.9 then a.answer else {_q("I couldn't find relevant information in the knowledge base to answer this question.")} end as answer, cast(case when g.best >= 0.9 then a.total_tokens else 0 end as bigint) as total_tokens from benchmark b left join gated g on g.query_id = b.item_id left join answers a on a.query_id = b.item_id",
         "highlight_offsets": f"with {_CHUNKS}, a as (select chunk_id, document_id, left({strip('text')}, 120) as a from chunks), n as (select chunk_id, document_id, {_HIGHLIGHT('a')} as anchor from a) select chunk_id, cast(instr(lower({norm('d.text')}), lower({norm('anchor')})) - 1 as int) as at, cast(length(anchor) as int) as n_chars from n join documents d on d.doc_id = n.document_id",
         "bm25_document_filter": f"with {_CHUNKS}, {_ASKED}, scoped as (select query_id, variant, text, case when query_id % 2 = 0 then query_id end as document from asked where variant = 0), {_bm25('b', 'chunks', 'scoped', 30, scope='where a.document is null or a.document = c.document_id')} select query_id, chunk_id, cast(rank as int) as rank, {_round('score')} from b_hits",
-        "expand_short_query": f"with w as (select item_id, string_split({norm('text')}, ' ') as w from benchmark), q as (select item_id, array_to_string(w[1:(item_id % 4) + 1], ' ') as question from w) select item_id, question, len(list_filter(string_split({norm('question')}, ' '), lambda x: x <> '')) <= 2 as short from q",
-        "variant_dedup": f"with w as (select item_id as query_id, string_split({norm('text')}, ' ') as w from benchmark), q as (select query_id, {line(1, 4)} as question, [{line(5, 8)}, translate({line(1, 4)}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), lower({line(5, 8)}), {line(9, 12)}] as lines from w), u as (select query_id, question, unnest(list_concat([{{'pos': 0, 'text': question}}], case when len(string_split(question, ' ')) <= 2 then [] else list_transform(list_filter([{{'pos': 1, 'raw': '1. ' || lines[1], 'text': lines[1]}}, {{'pos': 2, 'raw': '- ' || lines[2], 'text': lines[2]}}, {{'pos': 3, 'raw': '2) ' || lines[3], 'text': lines[3]}}, {{'pos': 4, 'raw': lines[4], 'text': lines[4]}}], lambda x: length(x.raw) > 3), lambda x: {{'pos': x.pos, 'text': regexp_replace(x.text, '^[0-9.\\-) ]+', '')}}) end)) as x from q), f as (select query_id, x.pos as pos, x.text as text from u where x.pos = 0 or (lower(x.text) <> lower(question) and length(x.text) > 3)), o as (select *, row_number() over (partition by query_id, lower(text) order by pos) as own from f) select * from (select query_id, cast(row_number() over (partition by query_id order by pos) - 1 as int) as variant, text from o where own = 1) where variant < 5",
+        "expand_short_query": f"with w as (select item_id, string_split({norm('text')}, ' ') as w from benchmark), r as (select item_id, w, item_id % 4 + 1 as n, unnest(range(0, len(w), item_id % 4 + 1)) as b from w), q as (select item_id, cast(b // n as int) as part, array_to_string(w[b + 1:b + n], ' ') as question from r) select item_id, part, question, len(list_filter(string_split({norm('question')}, ' '), lambda x: x <> '')) <= 2 as short from q",
+        "variant_dedup": f"with a as (select item_id, string_split({norm('text')}, ' ') as w from benchmark), b as (select item_id, w, unnest(range(0, len(w), 16)) as b from a), w as (select item_id || ':' || (b // 16) as query_id, w[b + 1:b + 16] as w from b), q as (select query_id, {line(1, 4)} as question, [{line(5, 8)}, translate({line(1, 4)}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), lower({line(5, 8)}), {line(9, 12)}] as lines from w), u as (select query_id, question, unnest(list_concat([{{'pos': 0, 'text': question}}], case when len(string_split(question, ' ')) <= 2 then [] else list_transform(list_filter([{{'pos': 1, 'raw': '1. ' || lines[1], 'text': lines[1]}}, {{'pos': 2, 'raw': '- ' || lines[2], 'text': lines[2]}}, {{'pos': 3, 'raw': '2) ' || lines[3], 'text': lines[3]}}, {{'pos': 4, 'raw': lines[4], 'text': lines[4]}}], lambda x: length(x.raw) > 3), lambda x: {{'pos': x.pos, 'text': regexp_replace(x.text, '^[0-9.\\-) ]+', '')}}) end)) as x from q), f as (select query_id, x.pos as pos, x.text as text from u where x.pos = 0 or (lower(x.text) <> lower(question) and length(x.text) > 3)), o as (select *, row_number() over (partition by query_id, lower(text) order by pos) as own from f) select * from (select query_id, cast(row_number() over (partition by query_id order by pos) - 1 as int) as variant, text from o where own = 1) where variant < 5",
         "registry_rollup": f"{registry} select * from registry",
         "folder_list": "select name, cast(row_number() over (order by name) as int) as place from (select distinct name from (select source as name from documents union all select unnest(['Archive', 'src1'])) where name is not null and name <> '')",
         "folder_rename": "select case when coalesce(source, '') = 'src1' then 'renamed' else coalesce(source, '') end as folder, count(*) as n_docs from documents group by 1",

@@ -163,7 +163,7 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]
 
 
 def fixture(spark: SparkSession, sf_dir: str) -> Retrieval:
-    """Questions from the benchmark over the documents' chunks; vectors are paired with documents by number alone.
+    """Questions from the benchmark over the documents' chunks; vectors are dealt to chunks by number alone.
 
     The stages are kept as tables in the shared folder.
     """
@@ -173,15 +173,17 @@ def fixture(spark: SparkSession, sf_dir: str) -> Retrieval:
 def _fixture(spark: SparkSession, sf_dir: str) -> Retrieval:
     chunks = staged(chunk_pages(document_pages(spark, sf_dir)), "chunks")
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    of_chunks = vectors.select(F.concat(F.col("vec_id").cast("string"), F.lit("_p1_c0")).alias("chunk_id"), "embedding").join(chunks.where("chunk_index = 0").select("chunk_id"), "chunk_id", "left_semi")
+    number = F.pmod(F.col("document_id") * 7 + F.col("chunk_index"), F.lit(max(1, vectors.count())))  # there are more chunks than vectors
+    of_chunks = staged(chunks.select("chunk_id", number.alias("vec_id")).join(vectors, "vec_id").select("chunk_id", "embedding"), "vectors")
     return Retrieval(chunks, of_chunks, questions(spark, sf_dir).join(vectors.select("vec_id", F.col("embedding").alias("vector")), "vec_id").drop("vec_id"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, variant, text, vec_id: two wordings of each question, words 1 to 8 and 9 to 14 of a benchmark item."""
+    """query_id, variant, text, vec_id: two wordings of each question, the first and the second half of a benchmark item's words."""
     from sedgewren.functions.text import normalized
 
     words = F.split(normalized(F.col("text")), " ")
+    half = F.ceil(F.size("w") / 2).cast("int")
     rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), words.alias("w"))
-    cut = rows.select("query_id", F.posexplode(F.array(F.array_join(F.slice("w", 1, 8), " "), F.array_join(F.slice("w", 9, 6), " "))).alias("variant", "text"))
+    cut = rows.select("query_id", F.posexplode(F.array(F.array_join(F.slice("w", F.lit(1), half), " "), F.array_join(F.slice("w", half + 1, F.size("w")), " "))).alias("variant", "text"))
     return cut.where("text <> ''").withColumn("vec_id", F.col("query_id") * 2 + F.col("variant"))
