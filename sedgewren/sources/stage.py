@@ -85,8 +85,12 @@ def freed(*tables: DataFrame, part: str | None = None) -> None:
 
 
 def small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
-    """Mark a stored table for broadcast if its values take at most ``most`` bytes; beyond that it is shuffled."""
+    """Mark a stored table for broadcast if its values take at most ``most`` bytes; beyond that it is shuffled.
+
+    The items of an array count eight bytes each, as vectors are what arrays of queries hold.
+    """
     wide = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
     fixed = sum(8 if f.name in wide else 16 for f in df.schema) + 16
-    rows, more = df.agg(F.count("*"), sum((F.coalesce(F.sum(F.octet_length(f"`{c}`")), F.lit(0)) for c in wide), F.lit(0))).first()
+    items = [F.octet_length(f"`{c}`") for c in wide] + [8 * F.array_size(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    rows, more = df.agg(F.count("*"), sum((F.coalesce(F.sum(x), F.lit(0)) for x in items), F.lit(0))).first()
     return F.broadcast(df) if rows * fixed + more <= most else df

@@ -10,7 +10,7 @@ from sedgewren.operators import dense, lexical
 from sedgewren.operators.cells import Cells
 from sedgewren.operators.segments import SegmentedIndex
 from sedgewren.plans import catalogue
-from sedgewren.sources.stage import staged
+from sedgewren.sources.stage import small, staged
 from sedgewren.streaming.ingest import ingest, page_stream
 
 CHUNKS = "chunk_id string, document_id long, chunk_index int, folder string, text string"
@@ -232,3 +232,18 @@ def test_small_tables_are_spread_and_others_not(spark, tmp_path, monkeypatch):
     assert shuffled("one") and not shuffled("many")
     monkeypatch.setattr(stage, "SHARE", 1)
     assert not shuffled("one")
+
+
+def test_arrays_count_for_broadcasts(spark):
+    rows = spark.range(10).selectExpr("id", "sequence(0, 999) as v")
+    assert "BroadcastExchange" in _plan(rows.select("id"), small(rows, 100_000))
+    assert "BroadcastExchange" not in _plan(rows.select("id"), small(rows, 50_000))
+    assert "BroadcastExchange" in _plan(rows.select("id"), small(rows.selectExpr("id", "cast(null as array<int>) as v"), 50_000))
+
+
+def _plan(left, right):
+    left.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return left.join(right, "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        left.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
