@@ -2,16 +2,21 @@
 
 A unit vector is approximated by the sum of one full-dimensional codeword from each of ``BOOKS`` codebooks.  Codebooks are
 fitted to residuals, one after the other, on at most ``SAMPLE`` vectors chosen by a hash of their ids; every vector is then
-encoded by a beam search that keeps the ``BEAM`` best sums over the codebooks so far.  Codes and the norm of the sum are
-stored.  A query's products with all codewords form a table; a candidate's score is the sum of ``BOOKS`` table entries over
-the stored norm, and a query's ``DEPTH`` best of all candidates are reranked by the exact cosine, with all whose score
-equals that of the last of them, so the number of pairs that are reranked does not grow with the table.  Equal codes have equal
-scores, so no choice among them is left to chance.  Cosines are formed of vectors scaled by powers of two, which changes none of
-their digits, so that squares of very large or small components stay finite.
+encoded by a beam search that keeps the ``BEAM`` best sums over the codebooks so far.  Codes are stored with what the sum leaves of
+the vector, in one byte a dimension at a scale of its own, and with the lengths of both rests.  A query's products with all codewords form
+a table, and sums of ``BOOKS`` table entries give a candidate's distance from it as far as the codes tell; the length of the rest says how
+far that may be off.  Candidates that may still be among the nearest are refined by their rests, which is done for as many as the
+vectors ask for: codes that fit some rows badly, or that cannot tell rows of a dense cluster apart, refine more of them.  Of the refined
+ones those within their remaining error of the nearest, but a query's ``DEPTH`` best of all candidates and those equal to the last of them at
+most, are reranked by the exact cosine, so the number of pairs that are reranked does not grow with the table.  Cosines are formed of vectors scaled by powers of two,
+which changes none of their digits, so that squares of very large or small components stay finite.
+
+An error of the codes is taken to be at most its own length, and, in all but the nearest ``SHARE``th of a block by the codes, ``SURE`` standard
+deviations of a rest of that length in a random direction.
 
 Equal vectors are one candidate, which takes one place of the depth and stands for its ``k`` + 1 smallest ids.
 
-Codes (a few per cent of the vectors' bytes) lie in blocks of about ``BLOCK`` rows and queries in blocks of ``QUERIES``; a block
+Codes (a byte a dimension and some thirty more) lie in blocks of about ``BLOCK`` rows and queries in blocks of ``QUERIES``; a block
 of queries meets each block of codes in one row of a join on the code block's number. Only the best candidates leave a task.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, neither as query nor as
@@ -35,6 +40,7 @@ SAMPLE = 10_000
 BEAM = 4
 BLOCK, QUERIES = 32_768, 512
 DEPTH = 160
+SHARE, SURE = 16, 5.0
 
 
 def fit_codebooks(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 8, seed: int = 11) -> np.ndarray:
@@ -85,16 +91,54 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes, norms
 
 
-def best_of_block(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of queries and of their candidates with the ``depth`` best approximate cosines, and of those equal to the last, and these cosines."""
-    table = np.einsum("qd,mwd->mwq", queries.astype(np.float32), books).astype(np.float32)
-    scores = np.zeros((len(codes), len(queries)), np.float32)
+def rests(x: np.ndarray, books: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the sums of codewords leave of vectors, in bytes; and the scale of these, the rest's length and the length of what bytes leave."""
+    left = x - sums(books, codes)
+    scale = (np.abs(left).max(axis=1) / 127).astype(np.float32).astype(np.float64)
+    whole = np.rint(left / np.where(scale > 0, scale, 1.0)[:, None]).clip(-127, 127).astype(np.int8)
+    error = np.linalg.norm(left - whole * scale[:, None], axis=1)
+    return whole, np.stack([scale, np.linalg.norm(left, axis=1), error], axis=1)
+
+
+def sums(books: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    total = np.zeros((len(codes), books.shape[2]))
+    for j in range(len(books)):
+        total += books[j][codes[:, j]]
+    return total
+
+
+def best_of_block(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, left: np.ndarray, sizes: np.ndarray, k: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and of the candidates that may be among the ``k`` nearest of the block, at most the ``depth`` nearest and those equal to
+    the last of them, and their negative distances. ``left`` and ``sizes`` are as rests() gives them."""
+    n, d = len(codes), books.shape[2]
+    table = np.einsum("qd,mwd->mwq", queries, books.astype(np.float64))
+    found = sums(books, codes)
+    square = np.repeat(1.0 + (found * found).sum(1)[:, None], len(queries), axis=1)
     for j in range(len(books)):
-        scores += table[j][codes[:, j]]
-    scores /= np.maximum(norms, 1e-6)[:, None]
-    least = np.partition(scores, len(codes) - depth, axis=0)[len(codes) - depth] if depth < len(codes) else -np.inf
-    asking, best = np.nonzero((scores >= least).T)
-    return asking, best, scores[best, asking]
+        square -= 2 * table[j][codes[:, j]]
+    scale, rest, error = sizes.T
+    asking, best, near = [], [], []
+    for i, q in enumerate(queries):
+        far = np.sqrt(np.maximum(square[:, i], 0.0))
+        likely = far * far + rest * rest
+        refined = lambda at: np.linalg.norm(q - found[at] - left[at] * scale[at, None], axis=1)  # noqa: E731, B023
+        first = np.argpartition(likely, min(depth, n) - 1)[:depth]
+        limit = np.partition(refined(first) + error[first], k - 1)[k - 1] if len(first) >= k else np.inf
+        may = far - rest <= limit + 1e-7
+        if may.sum() > depth:
+            doubtful = likely - 2 * SURE * far * rest / np.sqrt(d) <= limit * limit + 1e-7
+            may &= doubtful | (likely <= np.partition(likely, n // SHARE)[n // SHARE])
+        may[first] = True
+        at = np.flatnonzero(may)
+        exact = refined(at)
+        limit = np.partition(exact + error[at], k - 1)[k - 1] if len(at) >= k else np.inf
+        kept = exact - error[at] <= limit + 1e-15
+        if kept.sum() > depth:
+            kept &= exact <= np.partition(exact[kept], depth - 1)[depth - 1]
+        asking.append(np.full(kept.sum(), i))
+        best.append(at[kept])
+        near.append(-exact[kept])
+    return np.concatenate(asking), np.concatenate(best), np.concatenate(near)
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -172,8 +216,9 @@ def _search(rows: DataFrame, is_query: Column, k: int, depth: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x = unit(np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1))
-                codes, norms = encode(x, shared.value)
-                packed = [c.tobytes() + v.tobytes() for c, v in zip(codes, norms)]
+                codes, _ = encode(x, shared.value)
+                left, sizes = rests(x, shared.value, codes)
+                packed = [c.tobytes() + v.tobytes() + z.tobytes() for c, v, z in zip(codes, left, sizes)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(packed, pa.binary())], names=["id", "h1", "h2", "code"])
 
     each = staged(keyed.mapInArrow(coded, "id long, h1 long, h2 long, code binary"), "codes")
@@ -206,21 +251,21 @@ def _search(rows: DataFrame, is_query: Column, k: int, depth: int) -> DataFrame:
 
     def scored(batches):
         books = shared.value
-        width = len(books) + 4
+        m, width = len(books), len(books) + d + 24
         for batch in batches:
             for qi, qv, ci, cc in zip(*(batch.column(i) for i in range(4))):
                 q = np.frombuffer(qi.as_py(), np.int64)
                 v = unit(np.frombuffer(qv.as_py(), np.float64).reshape(len(q), d))
                 ids = np.frombuffer(ci.as_py(), np.int64)
                 packed = np.frombuffer(cc.as_py(), np.uint8).reshape(len(ids), width)
-                codes, norms = packed[:, :-4], np.ascontiguousarray(packed[:, -4:]).view(np.float32)[:, 0]
+                codes, left, sizes = packed[:, :m], packed[:, m:-24].view(np.int8), np.ascontiguousarray(packed[:, -24:]).view(np.float64)
                 for a in range(0, len(q), 64):
-                    asking, best, near = best_of_block(v[a : a + 64], books, codes, norms, depth)
-                    yield pa.RecordBatch.from_arrays([pa.array(q[a : a + 64][asking]), pa.array(ids[best]), pa.array(near, pa.float32())], names=["query_id", "id", "near"])
+                    asking, best, near = best_of_block(v[a : a + 64], books, codes, left, sizes, k + 1, depth)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[a : a + 64][asking]), pa.array(ids[best]), pa.array(near)], names=["query_id", "id", "near"])
 
     met = asked.join(code_table, "block").select("query_ids", "vectors", "ids", "codes")
     # the best of all blocks; the limit is taken in each task before the shuffle
-    found = met.mapInArrow(scored, "query_id long, id long, near float").withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("near")))).where(F.col("place") <= depth)
+    found = met.mapInArrow(scored, "query_id long, id long, near double").withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("near")))).where(F.col("place") <= depth)
     found = staged(found.select("query_id", "id").join(index.select("id", "h1", "h2", "first"), "id").drop("id"), "found")
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     sized = lambda v: F.struct(v.alias("v"), norm(v).alias("n"))
