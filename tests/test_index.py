@@ -247,3 +247,20 @@ def _plan(left, right):
         return left.join(right, "id")._jdf.queryExecution().executedPlan().toString()
     finally:
         left.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_what_leaves_a_share_does_not_grow_with_its_hits(spark, monkeypatch):
+    """Chunks that a query hits stay in their share but for the pool's best, of equal ones the first; nothing grows with queries times chunks."""
+    monkeypatch.setattr(lexical, "FEW", 1)
+    texts = [(f"c{i}", i, 0, "ab"[i % 2], f"common same{i % 3} " + "pad " * (i % 2)) for i in range(6000)]
+    index = lexical.indexed(staged(spark.createDataFrame(texts, CHUNKS), "corpus"))
+    some = [(q, f"common same{q % 3}", "a" if q % 2 else None, str(q) if q % 5 == 4 else None) for q in range(20)]
+    queries = spark.createDataFrame(some, "query_id int, text string, folder string, document string")
+    weights, only, _ = lexical._asked(index, queries)
+    for turns in (1 << 20, 500):  # at once, and in several turns
+        monkeypatch.setattr(lexical, "SENT", turns)
+        left = lexical.scored(index, weights, only, 7)
+        shares = max(2 * spark.sparkContext.defaultParallelism, 1)
+        assert left.count() <= 20 * shares * 2 * 7
+        want = rows(lexical.ranked(lexical.placed(index, weights, only), 7))
+        assert rows(lexical.ranked(left, 7)) == want and len(want) > 100
