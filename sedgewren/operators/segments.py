@@ -99,7 +99,7 @@ class SegmentedIndex:
         if any(name in r["name"].split("+") for r in segments):
             return
         place = ["chunk_id", *lexical.PLACE]
-        counted = lexical.occurrences(chunks, *place).repartition("chunk_id").groupBy(*place, "dl", "term").agg(F.count("*").alias("tf"))
+        counted = lexical.occurrences(chunks, *place).repartition("chunk_id").groupBy(*place, "dl", "term").agg(F.sum("tf").alias("tf"))
         terms = counted.groupBy(*place, "dl").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))  # the terms of a chunk
         empty = chunks.where(F.size(lexical.raw_tokens(F.col("text"))) <= 0).select(*place, F.lit(0).cast("long").alias("dl"), F.array().cast("array<struct<term:string,tf:bigint>>").alias("terms"))
         new = self._segment(terms.unionByName(empty), max([r["segment"] for r in segments], default=-1) + 1, name)

@@ -264,3 +264,26 @@ def test_what_leaves_a_share_does_not_grow_with_its_hits(spark, monkeypatch):
         assert left.count() <= 20 * shares * 2 * 7
         want = rows(lexical.ranked(lexical.placed(index, weights, only), 7))
         assert rows(lexical.ranked(left, 7)) == want and len(want) > 100
+
+
+def test_search_of_texts_equals_search_of_postings(spark, monkeypatch):
+    """Without postings, with equal scores, filters, nulls, several turns, small blocks and results handed on in between."""
+    chunks = corpus(spark, 900).unionByName(spark.createDataFrame([(f"e{i}", 4000 + i, 0, "a", t) for i, t in enumerate([None, "", "the of", "Word1 İword2 WORD3s wörd ёлка ёлки"])], CHUNKS))
+    chunks = staged(chunks.repartition(3), "corpus")
+    more = spark.createDataFrame([(100, "ёлка words", None, None), (101, "the", None, None), (102, "word1 word2", "b", "4003"), (103, "word0 word1 word2", "z", None)], "query_id int, text string, folder string, document string")
+    index, texts = lexical.indexed(chunks), lexical.counted(chunks)
+    assert (texts.chunks, texts.tokens) == (index.chunks, index.tokens) == (904, index.tokens)
+    number = lambda t: sorted((r["term"], r["df"], round(r["idf"], 9)) for r in t.statistics().collect())
+    assert number(texts) == number(index)
+    some = asked(spark).unionByName(more)
+    want = rows(lexical.search(None, some, 10, index))
+    assert rows(lexical.search(None, some, 10, texts)) == want and len(want) > 25
+    for k, v in {"SCORED": 64, "CELLS": 1, "HELD": 20, "SENT": 2000}.items():
+        monkeypatch.setattr(lexical, k, v)
+    assert rows(lexical.search(None, some, 10, texts)) == want
+    # of equal chunks a task hands on the first ones only
+    same = staged(spark.createDataFrame([(f"c{i}", i, 0, "a", f"same words w{i}") for i in range(5000)], CHUNKS).repartition(2), "corpus")
+    texts = lexical.counted(same)
+    weights, only, _ = lexical._asked(texts, spark.createDataFrame([(q, "same") for q in range(20)], "query_id int, text string"))
+    left = lexical.scored(texts, weights, only, 7)
+    assert left.count() <= 20 * 7 * 2 and sorted({r["document_id"] for r in lexical.ranked(left, 7).collect()}) == list(range(7))
