@@ -16,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedgewren.operators.dense import DIGITS, _dot
+from sedgewren.operators.dense import DIGITS, SENT, _dot
 from sedgewren.sources.stage import located, small, staged
 
 #: Vectors that the centres are fitted to, at most; vectors for each cell, about; and cells at most.
@@ -114,24 +115,65 @@ class Cells:
         asked = queries.select("query_id", "vector", *(F.nullif(F.col(n).cast("string"), F.lit("")).alias(f"_{n}") for n, _ in filters))
         near = self.nearest_cells(asked)
         if probes:
-            return self._ranked(self._scored(staged(near.where(F.col("place") <= probes), "probes"), key, filters), key, pool)
+            return self._ranked(self._scored(staged(near.where(F.col("place") <= probes), "probes"), key, filters, pool), key, pool)
         near = staged(near, "cells")
-        first = staged(self._scored(near.where(F.col("place") <= FIRST), key, filters), "first-cells")
+        first = staged(self._scored(near.where(F.col("place") <= FIRST), key, filters, pool), "first-cells")
         last = self._ranked(first, key, pool).where(F.col("rank") == pool).select("query_id", F.col("score").alias("last"))
         # scores are rounded, so a vector that is behind by less than the last digit can still come first by its key
         rest = near.where(F.col("place") > FIRST).join(small(staged(last, "bounds")), "query_id", "left")
         rest = staged(rest.where(F.col("last").isNull() | (F.col("best") >= F.col("last") - 2 * 10.0**-DIGITS)).drop("last"), "more-cells")
-        return self._ranked(first.unionByName(self._scored(rest, key, filters)), key, pool)
+        return self._ranked(first.unionByName(self._scored(rest, key, filters, pool)), key, pool)
 
-    def _scored(self, asked: DataFrame, key: str, filters: list[tuple[str, str]]) -> DataFrame:
-        """Scores of the vectors in the asked cells; ``asked`` names (query, cell) and is staged."""
+    def _scored(self, asked: DataFrame, key: str, filters: list[tuple[str, str]], pool: int | None = None) -> DataFrame:
+        """Scores of the vectors in the asked cells; ``asked`` names (query, cell) and is staged.
+
+        With ``pool``, and without filters, only each query's best of each batch of vectors are given: the pool's, and all that equal the
+        last of them. Queries of up to ``SENT`` bytes are sent to the cells for that.
+        """
         cells = [r[0] for r in asked.select("cell").distinct().collect()]  # CELLS at most
         rows = self.vectors().where(F.col("cell").isin(cells)).select(key, "cell", "embedding", *dict.fromkeys(c for _, c in filters))
+        if pool and not filters:
+            held = asked.groupBy("query_id").agg(F.first("q").alias("q"), F.first("qn").alias("qn"), F.collect_list("cell").alias("cells"))  # CELLS at most
+            held = staged(held.withColumn("_q", F.monotonically_increasing_id()), "cell-queries")
+            if held.agg(F.coalesce(F.sum(8 * F.size("q") + 8 * F.size("cells") + 64), F.lit(0))).first()[0] <= SENT:
+                return self._best(rows, held, key, pool)
         met = rows.withColumn("n", F.sqrt(_dot(F.col("embedding"), F.col("embedding")))).join(small(asked.select("query_id", "q", "qn", "cell", *(f"_{n}" for n, _ in filters))), "cell")
         for n, c in filters:
             met = met.where(F.col(f"_{n}").isNull() | (F.col(f"_{n}") == F.col(c).cast("string")))
         return met.select("query_id", key, F.round(_dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("n")), DIGITS).alias("score"))
 
+    def _best(self, rows: DataFrame, held: DataFrame, key: str, pool: int) -> DataFrame:
+        """query_id, <key>, score of the best of each batch; ``held`` has _q, query_id, q, qn and cells."""
+        found = held.select("_q", "q", "qn", "cells").collect()  # SENT bytes at most
+        of: dict[int, list[int]] = {}
+        for i, r in enumerate(found):
+            for c in r["cells"]:
+                of.setdefault(c, []).append(i)
+        shared = self.spark.sparkContext.broadcast(([r["_q"] for r in found], [np.array(r["q"], np.float64) for r in found], np.array([r["qn"] for r in found]), of))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers, wanted, norms, of = shared.value
+            numbers = np.array(numbers, np.int64)
+            for batch in batches:
+                keys, cells, v = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+                sizes = np.diff(np.asarray(v.offsets))
+                for c, d in {(int(c), int(d)) for c, d in zip(cells, sizes)}:
+                    some, mine = np.flatnonzero((cells == c) & (sizes == d)), [i for i in of.get(c, []) if len(wanted[i]) == d]
+                    if not mine:
+                        continue
+                    x = np.asarray(v.take(pa.array(some)).flatten(), np.float64).reshape(len(some), d)
+                    lengths = np.sqrt((x * x).sum(axis=1))
+                    for at in range(0, len(mine), 256):
+                        part = np.array(mine[at : at + 256])
+                        scores = np.round(np.stack([wanted[i] for i in part]) @ x.T / (norms[part][:, None] * lengths), DIGITS) + 0.0  # no negative zeros
+                        least = np.partition(scores, -pool, axis=1)[:, -pool] if scores.shape[1] > pool else np.full(len(part), -np.inf)
+                        who, which = np.nonzero(scores >= least[:, None])
+                        yield pa.RecordBatch.from_arrays([pa.array(numbers[part[who]]), keys.take(pa.array(some[which])), pa.array(scores[who, which])], names=["_q", key, "score"])
+
+        kind = rows.schema[key].dataType.simpleString()
+        best = rows.mapInArrow(run, f"_q long, `{key}` {kind}, score double")
+        return best.join(small(held.select("_q", "query_id")), "_q").select("query_id", key, "score")
+
     @staticmethod
     def _ranked(scored: DataFrame, key: str, pool: int) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)

@@ -205,6 +205,15 @@ def test_cells_give_what_every_vector_gives(spark, tmp_path):
     assert every > 4 and sum(s for s, _ in scans(spark, scored)) < 0.6 * sum(s for s, _ in scans(spark, index.vectors()))
 
 
+def test_cells_hand_on_the_best_of_a_batch(spark, tmp_path):
+    table = staged(vectors(spark, 1500), "vectors")
+    index = Cells.build(table, str(tmp_path / "c"), cells=4)
+    near = staged(index.nearest_cells(table.where("vec_id % 20 = 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))), "cells")
+    every, best = index._scored(near, "vec_id", []), index._scored(near, "vec_id", [], 3)
+    assert every.count() == 75 * 1500 and best.count() < 75 * 1500 / 4
+    assert rows(index._ranked(best, "vec_id", 3)) == rows(index._ranked(every, "vec_id", 3))
+
+
 def test_recall_of_few_cells(spark):
     want = {tuple(r)[:2] for r in catalogue.queries()["cosine_topk"](spark, "/root/testdata/sf0.01").collect()}
     rows_ = catalogue.queries()["cosine_cells_topk"](spark, "/root/testdata/sf0.01").collect()
