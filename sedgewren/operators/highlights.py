@@ -6,8 +6,10 @@ one row, which anchors of that page meet in an equi-join; a page is bounded, and
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sedgewren.functions.text import highlight_anchor, normalized
 
@@ -48,3 +50,27 @@ def rectangles(words: DataFrame, anchors: DataFrame, key: str = "chunk_id") -> D
     boxes = found.select(key, "page_num", (F.col("hit") + 1).alias("hit"), F.explode(F.slice("b", F.col("p"), F.col("n"))).alias("box"))
     lines = boxes.groupBy(key, "page_num", "hit", F.col("box.line").alias("line"))
     return lines.agg(F.min("box.x0").alias("x0"), F.min("box.y0").alias("y0"), F.max("box.x1").alias("x1"), F.max("box.y1").alias("y1"))
+
+
+def offsets(pages: DataFrame, anchors: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """<key>, at, n_chars: where each anchor stands on its page (see text.found_at()), and its length.
+
+    ``pages`` has document_id, page_num and page; ``anchors`` the key, document_id, page_num and anchor. The anchors of a page meet it as
+    one row, so a page is normalised once, whatever the number of its anchors.
+    """
+    plain = lambda c: F.lower(normalized(F.col(c)))
+    listed = anchors.select("document_id", "page_num", F.struct(F.col(key).alias("key"), plain("anchor").alias("anchor"), F.length("anchor").alias("n")).alias("a"))
+    listed = listed.groupBy("document_id", "page_num").agg(F.collect_list("a").alias("a"))  # a page's
+    rows = listed.join(pages.select("document_id", "page_num", plain("page").alias("page")), ["document_id", "page_num"]).select("a", "page")
+
+    def at(page, anchor):
+        return None if anchor is None else -1 if anchor == "" else None if page is None else page.find(anchor)
+
+    def run(batches):
+        for batch in batches:
+            out = [(a["key"], at(page, a["anchor"]), a["n"]) for of, page in zip(batch.column(0), batch.column(1).to_pylist()) for a in of.as_py()]
+            if out:
+                keys, found, n = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type.value_type.field("key").type), pa.array(found, pa.int32()), pa.array(n, pa.int32())], names=[key, "at", "n_chars"])
+
+    return rows.mapInArrow(run, T.StructType([anchors.schema[key], T.StructField("at", T.IntegerType()), T.StructField("n_chars", T.IntegerType())]))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sedgewren.functions.text import found_at
 from sedgewren.operators import highlights, models
 from sedgewren.operators.keyed import KeyedStore
 from sedgewren.operators.kept import Results, embedded, expansions, generated, scored
@@ -121,6 +122,15 @@ def test_rectangles_of_every_hit(spark):
     ]
 
 
+def test_offsets_of_a_page_take_one_row(spark):
+    pages = spark.createDataFrame([(1, 1, "The  Quick\nbrown fox. ÜBER the fox"), (1, 2, "fox"), (2, 1, None)], "document_id long, page_num int, page string")
+    asked = [("a", 1, 1, "quick brown"), ("b", 1, 1, "über"), ("c", 1, 1, " "), ("d", 1, 2, "quick"), ("e", 1, 2, None), ("f", 2, 1, "x"), ("g", 3, 1, "x"), ("h", 1, 1, "THE FOX")]
+    anchors = spark.createDataFrame(asked, "chunk_id string, document_id long, page_num int, anchor string")
+    got = {r["chunk_id"]: (r["at"], r["n_chars"]) for r in highlights.offsets(pages, anchors).collect()}
+    want = anchors.join(pages, ["document_id", "page_num"]).select("chunk_id", found_at(F.col("page"), F.col("anchor")).alias("at"), F.length("anchor").alias("n"))
+    assert got == {r["chunk_id"]: (r["at"], r["n"]) for r in want.collect()} and got["a"] == (4, 11) and got["b"] == (21, 4)
+
+
 def chat_rows(seed=3, n=120):
     draw, start = random.Random(seed), datetime.datetime(2024, 1, 1)
     rows = []
