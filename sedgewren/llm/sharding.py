@@ -2,6 +2,7 @@
 
 The first pass scatters rows uniformly into buckets that fit into a task's memory, by a seeded hash of their ids.  The second
 brings each bucket into a fixed order and shuffles it by Fisher and Yates' method, with a generator seeded by seed and bucket.
+Each task gets ``TASK`` buckets, by their number and not by its hash, and hands their rows on in small pieces.
 The buckets one after the other are a random order of all rows; where a bucket begins follows from the numbers of rows of those
 before it, summed within runs of ``RUN`` buckets first.  Shards are equal cuts of that order (law ``rows``: their numbers of rows
 differ by one at most), and a row's slot is its place in its shard, so a shard is some whole buckets and parts of two, and
@@ -32,6 +33,10 @@ from sedgewren.llm.common import in_small_batches, small, staged
 BUCKET = 8 << 20
 #: Buckets in a run, whose rows are summed by one task.
 RUN = 1024
+#: Buckets that a task brings into order, one after the other.
+TASK = 2
+#: Bytes of a piece of a bucket that is handed on, about.
+PIECE = 1 << 20
 LAW = "rows"
 
 
@@ -40,12 +45,16 @@ def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """Append _copy: 0 for a row whose key no other row has, else numbers from 0 on within the key."""
+def repeated(rows: DataFrame, key: str) -> DataFrame | None:
+    """The keys that several rows have; None if there are none."""
     often = staged(rows.groupBy(key).count().where("count > 1").select(key), "repeated-keys")
-    if often.isEmpty():
+    return None if often.isEmpty() else small(often)
+
+
+def numbered(rows: DataFrame, key: str, often: DataFrame | None) -> DataFrame:
+    """Append _copy: 0 for a row whose key is not in ``often`` (see repeated()), else numbers from 0 on within the key."""
+    if often is None:
         return rows.withColumn("_copy", F.lit(0).cast("long"))
-    often = small(often)
     alone = rows.join(often, key, "left_anti").withColumn("_copy", F.lit(0).cast("long"))
     # written first: the place of a row in its file then stays the same whenever a task runs again
     several = staged(rows.join(often, key, "left_semi"), "repeated-rows")
@@ -85,22 +94,43 @@ def shuffled(docs: DataFrame, shards: int = 16, seed: int = 7, key: str = "doc_i
     buckets = max(4 * shards, -(-weight // bucket_bytes))
     packed = docs.select(F.xxhash64(F.col(f"`{key}`")).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     scattered = F.pmod(F.xxhash64(F.lit(seed), "_key", "_copy"), F.lit(buckets)).alias("_bucket")
-    copies = numbered(docs.select(F.xxhash64(F.col(f"`{key}`")).alias("_key")), "_key")
+    keys = docs.select(F.xxhash64(F.col(f"`{key}`")).alias("_key"))
+    often = repeated(keys, "_key")
     # a row's number within its key matters to its bucket alone, so the numbers of rows follow from the keys without any text
-    counts = staged(copies.groupBy(scattered).agg(F.count("*").alias("n")), "bucket-rows")
-    dealt = numbered(packed, "_key").select(scattered, F.xxhash64(F.lit(seed + 1), "_key", "_copy").alias("_order"), "_key", "_copy", "row")
-    # so many tasks that each gets some buckets, whatever number of partitions the session has
-    dealt = dealt.join(small(staged(begins(counts), "bucket-begins")), "_bucket").repartition(-(-buckets // 4), "_bucket")
+    counts = staged(numbered(keys, "_key", often).groupBy(scattered).agg(F.count("*").alias("n")), "bucket-rows")
+    dealt = numbered(packed, "_key", often).select(scattered, F.xxhash64(F.lit(seed + 1), "_key", "_copy").alias("_order"), "_key", "_copy", "row")
+    dealt = dealt.join(small(staged(begins(counts), "bucket-begins")), "_bucket").select("_bucket", "_begin", "_order", "_key", "_copy", "row")
+    # by number, as a hash deals three times as many buckets to some tasks as to others
+    dealt = dealt.repartitionById(-(-buckets // TASK), F.floor(F.col("_bucket") / TASK).cast("int")).sortWithinPartitions("_bucket", "_order", "_key", "_copy")
     fields = T.StructType([dealt.schema["row"], T.StructField("_place", T.LongType())])
 
-    def mixed(held: pa.Table) -> pa.Table:
-        held = held.combine_chunks().sort_by([("_order", "ascending"), ("_key", "ascending"), ("_copy", "ascending")])
-        rng = np.random.default_rng([seed, held.column("_bucket")[0].as_py()])
-        order = fisher_yates(held.num_rows, rng)
-        places = held.column("_begin")[0].as_py() + np.arange(held.num_rows, dtype=np.int64)
-        return pa.table({"row": held.column("row").take(pa.array(order, pa.int64())), "_place": pa.array(places)})
-
-    out = in_small_batches(dealt).groupBy("_bucket").applyInArrow(mixed, fields)
+    def mixed(held: list[pa.RecordBatch]):
+        held = pa.Table.from_batches(held).combine_chunks()
+        order = fisher_yates(held.num_rows, np.random.default_rng([seed, held.column("_bucket")[0].as_py()]))
+        begin, step = held.column("_begin")[0].as_py(), max(1, held.num_rows * PIECE // max(1, held.nbytes))
+        row = held.column("row").combine_chunks()
+        row = row.chunk(0) if isinstance(row, pa.ChunkedArray) else row
+        for i in range(0, len(order), step):
+            some = order[i : i + step]
+            yield pa.RecordBatch.from_arrays([row.take(pa.array(some, pa.int64())), pa.array(np.arange(begin + i, begin + i + len(some)))], names=["row", "_place"])
+
+    def run(batches):
+        held, bucket = [], None
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                if held and of[a] != bucket:
+                    yield from mixed(held)
+                    held = []
+                bucket = of[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from mixed(held)
+
+    out = in_small_batches(dealt).mapInArrow(run, fields)
     # doubles hold these quotients well enough for any number of rows below 2^48
     shard = (F.ceil((F.col("_place") + 1) * shards / F.lit(max(rows, 1))) - 1).cast("int")
     first = F.floor(shard.cast("long") * F.lit(rows) / F.lit(shards)).cast("long")

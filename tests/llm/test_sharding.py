@@ -98,6 +98,14 @@ def test_begins_are_sums_of_the_buckets_before(spark):
     assert got == want
 
 
+def test_tasks_get_equal_shares_and_hand_them_on_in_pieces(spark):
+    docs = spark.range(0, 20_000, 1, 8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 40).alias("text"))
+    mixed = sharding.shuffled(docs, 4, bucket_bytes=40_000)  # about 100 buckets, two to a task
+    held = mixed.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(held) > 45 and max(r["count"] for r in held) < 1.4 * 20_000 / len(held)
+    check(mixed.collect(), 4)
+
+
 @pytest.mark.parametrize("rows,shards", [(1, 16), (15, 16), (16, 16), (17, 16), (1000, 7)])
 def test_cuts_are_equal(spark, rows, shards):
     check(sharding.shuffled(spark.range(rows).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")), shards).collect(), shards)
