@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sedgewren.functions import text as T
 from sedgewren.operators import answering, catalog, dense, lexical, models
-from sedgewren.plans.retrieve import asking
+from sedgewren.plans.retrieve import _fixture, asking
 from sedgewren.streaming.ingest import ingest, page_stream
 
 CHUNKS = "chunk_id string, document_id long, chunk_index int, folder string, filename string, page_num int, text string"
@@ -165,3 +165,9 @@ def test_pdf_metadata(spark, tmp_path):
     parse = lambda: lambda data: (data.decode().split("|"), {"title": "T", "creator": "C"})
     rows = pdf_pages(spark, str(tmp_path), parse).orderBy("page_num").collect()
     assert [(r["title"], r["author"], r["subject"], r["creator"], r["page_num"], r["char_count"]) for r in rows] == [("T", "Unknown", "", "C", 1, 3), ("T", "Unknown", "", "C", 2, 3)]
+
+
+def test_only_candidates_are_cut_into_tokens_for_reranking(spark):
+    r = _fixture(spark, "/root/testdata/sf0.001")
+    assert r.reranked.count() > 0
+    assert r.n_rows["texts"] == r.candidates.select("chunk_id").distinct().count() < r.chunks.count()
