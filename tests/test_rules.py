@@ -187,3 +187,11 @@ def test_a_failed_write_leaves_the_last_version(spark, tmp_path):
     store.create(spark.range(1).schema)
     assert store.read().count() == 4
     assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) <= 3
+
+
+def test_copies_of_a_vector_leave_a_task_as_the_pools_first(spark):
+    table = spark.range(0, 30_000, 1, 1).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    asked = spark.createDataFrame([(1, [1.0, 2.0])], "query_id int, vector array<double>").withColumn("qn", F.lit(5**0.5))
+    rows = table.orderBy(F.desc("vec_id")).coalesce(1).select("vec_id", F.col("embedding").alias("v"), F.lit(5**0.5).alias("vn"))
+    assert dense._every_pair(rows, asked.withColumnRenamed("vector", "q"), "vec_id", 7).count() < 30_000 / 10
+    assert [r["vec_id"] for r in dense.search(table, asked.drop("qn"), 7).orderBy("rank").collect()] == list(range(7))
