@@ -13,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sedgewren.operators.answering import HISTORY_TURNS, trimmed_history
 
 ASKED = "chat_id string, at timestamp, question string, history array<struct<role:string,content:string>>"
+#: Bytes of turns that a task puts in order, about, and bytes of a turn besides its text.
+SHARE, TURN = 16 << 20, 100
 
 
 def is_question(role: Column, text: Column) -> Column:
@@ -65,6 +67,9 @@ def all_questions(turns: DataFrame) -> DataFrame:
     said = F.trim(F.coalesce("text", F.lit("")))
     rows = turns.where("chat_id is not null and at is not null and role is not null").where((said != "") & ~said.startswith("/"))
     rows = rows.select(F.col("chat_id").cast("string").alias("chat_id"), F.col("at").cast("timestamp").alias("at"), "role", said.alias("text"))
+    # partitions by the bytes of turns: shuffled text is compressed, so its bytes there do not tell what a task has to sort
+    held = rows.agg(F.coalesce(F.sum(F.octet_length("text") + TURN), F.lit(0))).first()[0]
+    rows = rows.repartition(max(turns.sparkSession.sparkContext.defaultParallelism, -(-held // SHARE)), "chat_id")
     before = Window.partitionBy("chat_id").orderBy("at", "role", "text").rowsBetween(-HISTORY_TURNS, -1)
     past = F.collect_list(F.struct("role", F.col("text").alias("content"))).over(before)
     return rows.withColumn("history", trimmed_history(past)).where("role = 'user'").select("chat_id", "at", F.col("text").alias("question"), "history")

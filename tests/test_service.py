@@ -220,3 +220,13 @@ def test_every_stage_has_a_time_and_rows(spark):
     rows = {x["stage"]: x for x in r.timings().collect()}
     assert {"postings", "lexical_hits", "vector_hits", "fused", "expanded", "candidates", "gated", "reranked", "sources", "generation", "total"} <= set(rows)
     assert all(x["elapsed_ms"] >= 0 for x in rows.values()) and rows["gated"]["n_rows"] == 1 and rows["total"]["elapsed_ms"] == sum(x["elapsed_ms"] for s, x in rows.items() if s != "total")
+
+
+def test_questions_of_many_bytes_are_dealt_to_many_tasks(spark, monkeypatch):
+    from sedgewren.streaming import chats
+
+    monkeypatch.setattr(chats, "SHARE", 1 << 14)
+    rows = [(f"c{i % 50}", datetime.datetime(2024, 1, 1, 0, i // 50), "user", "word " * 100) for i in range(1000)]
+    out = all_questions(spark.createDataFrame(rows, TURNS))
+    assert out.select(F.spark_partition_id().alias("p"), "chat_id").groupBy("p").count().count() > 15
+    assert out.count() == 1000
