@@ -15,10 +15,9 @@ from sedgewren.functions.text import highlight_anchor, normalized
 
 
 def pages_of_words(words: DataFrame) -> DataFrame:
-    """document_id, page_num, w (lower-cased words in reading order), boxes (line, x0, y0, x1, y1)."""
+    """document_id, page_num, b: the words of a page in reading order, lower-cased, with their boxes (place, word, line, x0, y0, x1, y1)."""
     box = F.struct("place", F.lower("word").alias("word"), "line", "x0", "y0", "x1", "y1")
-    rows = words.where("word <> ''").groupBy("document_id", "page_num").agg(F.array_sort(F.collect_list(box)).alias("b"))
-    return rows.select("document_id", "page_num", F.col("b.word").alias("w"), "b")
+    return words.where("word <> ''").groupBy("document_id", "page_num").agg(F.array_sort(F.collect_list(box)).alias("b"))
 
 
 def hits(page: Column, asked: Column) -> Column:
@@ -44,8 +43,18 @@ def rectangles(words: DataFrame, anchors: DataFrame, key: str = "chunk_id") -> D
     ``anchors`` has the key, document_id, page_num and text; of a text its first words are searched for, letter case and white space aside
     (see text.highlight_anchor()). A page that is not there, or an empty text, gives no row.
     """
+    return page_rectangles(pages_of_words(words), anchors, F.col("b"), key)
+
+
+def page_rectangles(pages: DataFrame, anchors: DataFrame, words: Column, key: str = "chunk_id") -> DataFrame:
+    """As rectangles(), for pages as rows: ``words`` (an array of word, line, x0, y0, x1, y1 in reading order) is computed from a page's columns
+    where its anchors have met it as one row, so nothing but these columns is shuffled, once.
+    """
     asked = F.filter(F.split(F.lower(normalized(highlight_anchor(F.col("text")))), " "), lambda x: x != "")
-    rows = anchors.select(key, "document_id", "page_num", asked.alias("asked")).join(pages_of_words(words), ["document_id", "page_num"])
+    listed = anchors.select("document_id", "page_num", F.struct(F.col(key).alias("key"), asked.alias("asked")).alias("a"))
+    listed = listed.groupBy("document_id", "page_num").agg(F.collect_list("a").alias("a"))  # a page's
+    rows = listed.join(pages, ["document_id", "page_num"]).select("page_num", "a", F.filter(words, lambda x: x["word"] != "").alias("b"))
+    rows = rows.select("page_num", "b", F.transform("b", lambda x: F.lower(x["word"])).alias("w"), F.explode("a").alias("a")).select(F.col("a.key").alias(key), "page_num", "b", "w", F.col("a.asked").alias("asked"))
     found = rows.select(key, "page_num", "b", F.size("asked").alias("n"), F.posexplode(hits(F.col("w"), F.col("asked"))).alias("hit", "p"))
     boxes = found.select(key, "page_num", (F.col("hit") + 1).alias("hit"), F.explode(F.slice("b", F.col("p"), F.col("n"))).alias("box"))
     lines = boxes.groupBy(key, "page_num", "hit", F.col("box.line").alias("line"))

@@ -230,3 +230,11 @@ def test_questions_of_many_bytes_are_dealt_to_many_tasks(spark, monkeypatch):
     out = all_questions(spark.createDataFrame(rows, TURNS))
     assert out.select(F.spark_partition_id().alias("p"), "chat_id").groupBy("p").count().count() > 15
     assert out.count() == 1000
+
+
+def test_rectangles_shuffle_pages_as_rows(spark):
+    from sedgewren.plans.catalogue import QUERIES
+
+    plan = QUERIES["highlight_rects"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join") :]
+    assert "posexplode" not in below and "x0" not in below  # words and boxes are made above the join
