@@ -75,11 +75,12 @@ class Tokenizers:
         parts = [self.stretches(t) if t else [] for t in texts]
         flat = iter(self.pieces.encode([p for ps in parts for p in ps], num_threads=1))
         a_ids, b_ids, sizes = [], [], []
-        for text, ps in zip(texts, parts):
+        for text, ps, a in zip(texts, parts, self.codec.plain([" " + t if t else "" for t in texts])):
             b = [i for _ in ps for i in next(flat)]
-            a = np.frombuffer(self.codec._plain(" " + text), "<u4") if text else np.zeros(0, "<u4")
+            a = np.frombuffer(a, "<u4")
             whole = b" " + text.encode() if text else b""
-            if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+            # A's words are cut from the text and its merges keep their bytes, so its length tells
+            if self.a_sizes[a].sum() != len(whole) or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
                 a, b, whole = a[:0], [], b""
             a_ids.append(a)
             b_ids.append(np.array(b, np.int64))

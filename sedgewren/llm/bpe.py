@@ -3,7 +3,8 @@
 A word is held as a contiguous list of parts, with the merge rank of every adjacent pair in a second list of the same
 order.  The smallest rank is searched by a scan, its boundary is deleted, and the two ranks beside it are refreshed.
 Words are short, so the scans are cheaper than a heap; a word of over ``LONG_WORD`` bytes (one run of letters without a
-blank) has its merges drawn from a heap over linked parts instead, which gives the same ids in n log n.
+blank) has its merges drawn from a heap over linked parts instead, which gives the same ids in n log n.  Many new words
+at once lie in a matrix of parts and one of ranks, a word in each row, and a step takes one merge of every row.
 
 Defined cases: a null text counts as the empty text (no ids, decoded as ""); special tokens in a text get their own id,
 as the tokenizers library does it; columns besides the text pass through, and columns that have the names of the
@@ -29,6 +30,8 @@ LONG_WORD = 400
 #: Entries of a worker's word cache (some 250 bytes each).
 CACHE_WORDS = 200_000
 NO_RANK = 1 << 40
+#: Widths, in bytes, of the matrices in which many words are merged at once; longer words are merged one by one.
+WIDTHS = (4, 8, 12, 16, 24, 40)
 
 
 def _ranges(first: str, last: int) -> str:
@@ -84,6 +87,9 @@ class Codec:
             self.bytes_of[i] = bytes(back[c] for c in s)
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
+        self._of_byte, self._made = np.array(self.of_byte), np.array(self.made)
+        pairs = sorted(self.pairs.items())  # with one that no pair equals at the end
+        self._keys, self._ranks = np.array([*(k for k, _ in pairs), 1 << 62]), np.array([*(r for _, r in pairs), NO_RANK])
         self.cache = Cache(self.word, CACHE_WORDS)
 
     def merged(self, ids: list[int]) -> list[int]:
@@ -129,15 +135,73 @@ class Codec:
     def word(self, word: str) -> bytes:
         return np.array(self.merged([self.of_byte[b] for b in word.encode()]), "<u4").tobytes()
 
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 20 | b
+        at = np.searchsorted(self._keys, key)
+        return np.where(self._keys[at] == key, self._ranks[at], NO_RANK)
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, as word() gives them, merged in steps that take one merge of every word."""
+        coded, out = [w.encode() for w in words], [b""] * len(words)
+        sizes = np.array([len(x) for x in coded], np.int64)
+        for low, width in zip((0, *WIDTHS), WIDTHS):
+            at = np.flatnonzero((sizes > low) & (sizes <= width))
+            if not len(at):
+                continue
+            held = b"".join(coded[i].ljust(width, b"\0") for i in at.tolist())
+            ids = self._of_byte[np.frombuffer(held, np.uint8).reshape(-1, width)]
+            ids[np.arange(width) >= sizes[at][:, None]] = -1  # no part, and in no pair
+            merged, n = self._merged_rows(ids)
+            raw = merged.astype("<u4").tobytes()
+            for i, k, m in zip(at.tolist(), range(0, len(raw), 4 * width), n.tolist()):
+                out[i] = raw[k : k + 4 * m]
+        for i in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
+            out[i] = self.word(words[i])
+        return out
+
+    def _merged_rows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's parts after all its merges, and their number."""
+        out, row = np.full(ids.shape, -1, np.int64), np.arange(len(ids))
+        ranks = self._rank(ids[:, :-1], ids[:, 1:])
+        while ranks.shape[1] and len(row):
+            i = ranks.argmin(axis=1)
+            least = ranks[np.arange(len(row)), i]
+            over = least == NO_RANK
+            if over.any():
+                out[row[over], : ids.shape[1]] = ids[over]
+                row, ids, ranks, i, least = (x[~over] for x in (row, ids, ranks, i, least))
+                if not len(row):
+                    break
+            each, column = np.arange(len(row)), np.arange(ids.shape[1] - 1)
+            ids[each, i] = new = self._made[least]
+            ids = np.take_along_axis(ids, column + (column > i[:, None]), axis=1)
+            ranks = np.take_along_axis(ranks, column[:-1] + (column[:-1] >= i[:, None]), axis=1)
+            k = np.flatnonzero(i < ranks.shape[1])
+            ranks[k, i[k]] = self._rank(new[k], ids[k, i[k] + 1])
+            k = np.flatnonzero(i > 0)
+            ranks[k, i[k] - 1] = self._rank(ids[k, i[k] - 1], new[k])
+        out[row, : ids.shape[1]] = ids
+        return out, (out >= 0).sum(axis=1)
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, in which special tokens are plain text; new words are merged together."""
+        cut = [self._cut(t) for t in texts]
+        new = self.cache.lacking(set().union(*cut))
+        self.cache.update(zip(new, self.words(new)))
+        return [b"".join(map(self.cache.__getitem__, ws)) for ws in cut]
+
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
         if self.split and any(s in text for s in self.special):
             return b"".join(np.array([self.special[x]], "<u4").tobytes() if x in self.special else self._plain(x) for x in self.split.split(text))
         return self._plain(text)
 
-    def _plain(self, text: str) -> bytes:
+    def _cut(self, text: str) -> list[str]:
         last = 0x7F if text.isascii() else 0xFFFF if max(text, default="") <= "￿" else 0x10FFFF
-        return b"".join(map(self.cache.__getitem__, word_pattern_of(last).findall(text)))
+        return word_pattern_of(last).findall(text)
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.cache.__getitem__, self._cut(text)))
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")

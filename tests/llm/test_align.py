@@ -133,3 +133,16 @@ def test_stretches_give_the_same_tokens(libraries):
     text = " ".join(["a  b", "▁x", "   ", "long" * 30, "\n é"] * 8000)
     parts = known.stretches(text)
     assert len(parts) > 2 and [i for p in known.pieces.encode(parts) for i in p] == libraries[1].encode(text)
+
+
+def test_new_words_are_merged_together(libraries, monkeypatch):
+    """Ids of many texts equal the library's while a small cache turns over; only words of over 40 bytes are merged one by one."""
+    known = align.Tokenizers(open(A, encoding="utf-8").read(), open(B, "rb").read())
+    alone, one = [], known.codec.merged
+    monkeypatch.setattr(known.codec, "merged", lambda ids: alone.append(len(ids)) or one(ids))
+    known.codec.cache.half = 30
+    texts = [f"abc{'xyz' * (i % 17)} näme{i % 7} '{i}' {'ß漢😀'[i % 3] * (i % 5)}\n  <|endoftext|> it's{'q' * (i % 90)}" for i in range(400)]
+    for i in range(0, len(texts), 50):
+        got = known.encoded(texts[i : i + 50])[0]
+        assert [x.tolist() for x in got] == [libraries[0].encode(" " + t, add_special_tokens=False).ids for t in texts[i : i + 50]]
+    assert alone and min(alone) > 40 and len(known.codec.cache) <= 400
