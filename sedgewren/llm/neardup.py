@@ -115,7 +115,7 @@ def _sets(docs: DataFrame, classes: DataFrame, width: int, repeated: bool) -> Da
                 sets = [shingle_set(x.as_py(), width).tobytes() for x in batch.column(0).slice(i, step).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.large_binary() if sum(map(len, sets)) > 1 << 30 else pa.binary())], names=["key", "set"])
 
-    lows = small(staged(classes.select("low").distinct(), "lows"))
+    lows = small(staged(classes.select("low"), "lows"))
     texts = docs.select("doc_id", "text").join(lows, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
     sets = texts.select("text").mapInArrow(run, "key binary, set binary")
     sets = sets.dropDuplicates(["key"]) if repeated else sets

@@ -678,3 +678,28 @@ def test_components_of_random_graphs_with_hubs(spark, monkeypatch):
 def test_words_are_cut_at_ascii_blanks_only():
     assert len(shingles.word_hashes("a\u00a0b\x1cc\u0085d\te".encode())) == 2
     assert (shingles.shingle_set(b"A b C") == shingles.shingle_set(b"a B\nc")).all() and len(shingles.shingle_set(b" ")) == 0
+
+
+def test_components_take_few_jobs(spark, monkeypatch):
+    """Links of bands to their pivots: few tables are staged, with least neighbours that are sent and with joined ones, hubs among them."""
+    rng = np.random.default_rng(5)
+    nodes = rng.permutation(400)
+    pairs = [(int(nodes[i] * 2 + g), int(nodes[j] * 2 + g)) for g in range(2) for i in range(9) for j in rng.choice(400, 60, replace=False)]
+    pairs += [(2000 + i, 2001 + i) for i in range(60)] + [(7, 7)]
+    up = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in up:
+        before = dict(up)
+        for a, b in pairs:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+        if up == before:
+            break
+    made, kept = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: made.append(name) or kept(df, name))
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    assert {r["node"]: r["label"] for r in graph.components(links).collect()} == up
+    assert len(made) <= 7
+    for name, value in (("SENT", 0), ("LINKS", 3), ("PIECE", 1)):
+        monkeypatch.setattr(graph, name, value, raising=False)
+        got = [(r["node"], r["label"]) for r in graph.components(links).collect()]
+        assert dict(got) == up and len(got) == len(up)
