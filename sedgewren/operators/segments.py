@@ -1,7 +1,8 @@
 """A stored lexical index in segments: chunks are added, documents taken out, and small segments merged, without tokenizing twice.
 
-A segment is written once and never changed: its postings and heads in the layout of ``lexical``, and its forward rows (the terms of each
-chunk, sorted by document).  Documents that are taken out are named in a table of tombstones (segment, document); the same
+A segment is written once and never changed: its forward rows (the terms of each chunk, sorted by document).  Searches of many queries
+read these.  Postings and heads, in the layout of ``lexical``, are made of them when a search of few queries first meets the segment, and
+kept; segments that were merged before that never had any.  Documents that are taken out are named in a table of tombstones (segment, document); the same
 document can be added again later, as another segment.  The vocabulary (term, df) is carried along by sums: added chunks count up,
 and those taken out count down by their forward rows, so it equals that of an index built anew.  One small table says which
 folders are in force and how many chunks and tokens each segment still has; switching it (see catalog.Store) commits a change as a whole.
@@ -15,12 +16,13 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sedgewren.operators import lexical
 from sedgewren.operators.catalog import Store
-from sedgewren.sources.stage import located, small
+from sedgewren.sources.stage import freed, located, small, staged
 
 FANOUT = 4
 #: Windows of one segment at most; a window's number is the segment's times this and its own.
@@ -68,21 +70,43 @@ class SegmentedIndex:
 
         What an attempt that failed has left under this number is written over.
         """
-        at = {kind: f"{self.path}/{kind}/segment={number}" for kind in ("forward", "postings", "heads")}
-        forward.repartitionByRange("document_id").sortWithinPartitions("document_id").write.mode("overwrite").parquet(at["forward"])
-        rows = self.spark.read.parquet(at["forward"])
-        chunks, tokens = rows.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        windows = max(1, -(-chunks // lexical.WINDOW))
-        window = F.lit(number) * F.lit(STRIDE) + F.pmod(F.xxhash64("document_id"), F.lit(windows))
-        flat = rows.select(*lexical.PLACE, "dl", window.cast("long").alias("window"), F.explode("terms").alias("t")).select("*", F.col("t.term").alias("term"), F.col("t.tf").alias("tf")).drop("t")
-        posts = flat.withColumn("bucket", lexical.bucket_of(F.col("term"), self.buckets)).repartition("bucket", "window").sortWithinPartitions("bucket", "term", "window")
-        posts.write.mode("overwrite").option("parquet.block.size", lexical.GROUP).partitionBy("bucket").parquet(at["postings"])
-        lexical.heads_of(self._read("postings", [number])).write.mode("overwrite").parquet(at["heads"])
-        return number, name, None, chunks, tokens, windows
-
-    def _read(self, kind: str, segments: list[int]) -> DataFrame:
+        for kind in ("postings", "heads"):
+            self._drop(f"{self.path}/{kind}/segment={number}")
+        forward.write.mode("overwrite").parquet(f"{self.path}/forward/segment={number}")
+        chunks, tokens = self._read("forward", [number]).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        return number, name, None, chunks, tokens, max(1, -(-chunks // lexical.WINDOW))
+
+    def _posted(self, numbers: list[int], windows: list[int]) -> None:
+        """Make the postings and heads of these segments that no search has asked for yet."""
+        names = self._names("heads")
+        for number, most in zip(numbers, windows):
+            if f"segment={number}" in names:
+                continue
+            window = F.lit(number) * F.lit(STRIDE) + F.pmod(F.xxhash64("document_id"), F.lit(most))
+            flat = self._read("forward", [number]).select(*lexical.PLACE, "dl", window.cast("long").alias("window"), F.explode("terms").alias("t")).select("*", F.col("t.term").alias("term"), F.col("t.tf").alias("tf")).drop("t")
+            self._made("postings", number, lexical.clustered(flat, self.buckets).write.option("parquet.block.size", lexical.GROUP).partitionBy("bucket"))
+            self._made("heads", number, lexical.heads_of(self._postings([number])).write)
+
+    def _made(self, kind: str, number: int, out: DataFrameWriter) -> None:
+        """Write a folder of a segment aside and rename it as a whole, if there is none. Of two sessions that do so at once one has its folder
+        moved into the other's, where its name hides it from readers."""
+        where, system = located(self.spark, f"{self.path}/{kind}/segment={number}")
+        if not system.exists(where):
+            aside = f"{self.path}/_{kind}-{uuid.uuid4().hex}"
+            out.parquet(aside)
+            system.mkdirs(where.getParent())
+            system.rename(located(self.spark, aside)[0], where)
+
+    def _postings(self, segments: list[int]) -> DataFrame:
+        """Their schema is named, as a segment without a term has no file of postings."""
+        fields = [f for f in self._read("forward", segments).schema if f.name in (*lexical.PLACE, "dl")]
+        named = {"window": T.LongType(), "term": T.StringType(), "tf": T.LongType(), "segment": T.IntegerType(), "bucket": T.IntegerType()}
+        return self._read("postings", segments, T.StructType([*fields, *(T.StructField(c, t) for c, t in named.items())]))
+
+    def _read(self, kind: str, segments: list[int], schema: T.StructType | None = None) -> DataFrame:
         """Rows of these segments, with the segment's number; no other folder is listed."""
-        return self.spark.read.option("basePath", f"{self.path}/{kind}").parquet(*(f"{self.path}/{kind}/segment={n}" for n in segments))
+        read = self.spark.read.schema(schema) if schema else self.spark.read
+        return read.option("basePath", f"{self.path}/{kind}").parquet(*(f"{self.path}/{kind}/segment={n}" for n in segments))
 
     def _vocabulary(self, old: DataFrame | None, change: DataFrame) -> str:
         """``change``: term, df to be added, or to be taken away where negative."""
@@ -91,7 +115,7 @@ class SegmentedIndex:
         return self._written(sums.withColumn("bucket", lexical.bucket_of(F.col("term"), self.buckets)).sortWithinPartitions("bucket", "term"), "vocabulary")
 
     def add(self, chunks: DataFrame, name: str | None = None) -> None:
-        """Add chunks (chunk_id, document_id, chunk_index, folder, text). A name that is already there is not added again, so a
+        """Add chunks (chunk_id, document_id, chunk_index, folder, text), each one row. A name that is already there is not added again, so a
         batch of a stream can be repeated."""
         rows = self.state()
         segments = self._segments(rows)
@@ -99,11 +123,9 @@ class SegmentedIndex:
         if any(name in r["name"].split("+") for r in segments):
             return
         place = ["chunk_id", *lexical.PLACE]
-        counted = lexical.occurrences(chunks, *place).repartition("chunk_id").groupBy(*place, "dl", "term").agg(F.sum("tf").alias("tf"))
-        terms = counted.groupBy(*place, "dl").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))  # the terms of a chunk
-        empty = chunks.where(F.size(lexical.raw_tokens(F.col("text"))) <= 0).select(*place, F.lit(0).cast("long").alias("dl"), F.array().cast("array<struct<term:string,tf:bigint>>").alias("terms"))
-        new = self._segment(terms.unionByName(empty), max([r["segment"] for r in segments], default=-1) + 1, name)
-        change = self._read("heads", [new[0]]).groupBy("term").agg(F.sum("n").alias("df"))
+        ordered = chunks.select(*place, "text").repartitionByRange("document_id").sortWithinPartitions("document_id", "chunk_index")
+        new = self._segment(lexical.forward(ordered, *place), max([r["segment"] for r in segments], default=-1) + 1, name)
+        change = self._read("forward", [new[0]]).select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         vocabulary = self._vocabulary(self._folder(rows, "vocabulary"), change)
         self._commit([*(tuple(r)[1:] for r in segments), new], self._paths(rows)[0], vocabulary)
 
@@ -121,10 +143,13 @@ class SegmentedIndex:
         ids = gone.select("document_id").where("document_id is not null").distinct()
         named = [r[0] for r in ids.limit(LISTED + 1).collect()]
         forward, before = self._read("forward", [r["segment"] for r in segments]), self._folder(rows, "tombstones")
-        held = forward.where(F.col("document_id").isin(named)) if len(named) <= LISTED else forward.join(ids, "document_id", "left_semi")
+        many = staged(ids, "gone") if len(named) > LISTED else None
+        held = forward.where(F.col("document_id").isin(named)) if many is None else forward.join(small(many), "document_id", "left_semi")
         if before is not None:
             held = held.join(small(before), ["segment", "document_id"], "left_anti")
         taken = self._written(held.select("segment", "document_id", "chunk_id", "dl", "terms"), "taken")
+        if many is not None:
+            freed(many)
         held = self.spark.read.parquet(taken)
         less = {r["segment"]: (r["c"], r["t"]) for r in held.groupBy("segment").agg(F.count("*").alias("c"), F.sum("dl").alias("t")).collect()}
         if less:
@@ -158,34 +183,56 @@ class SegmentedIndex:
             stones = self.spark.read.parquet(tombstones)
             live = live.join(small(stones), ["segment", "document_id"], "left_anti")
             tombstones = self._written(stones.where(~F.col("segment").isin(numbers)), "tombstones")
-        new = self._segment(live.drop("segment"), max(r["segment"] for r in self._segments(rows)) + 1, "+".join(r["name"] for r in some))
+        # each task sorts what it reads of the sorted files, so nothing is shuffled
+        new = self._segment(live.drop("segment").sortWithinPartitions("document_id", "chunk_index"), max(r["segment"] for r in self._segments(rows)) + 1, "+".join(r["name"] for r in some))
         self._commit([*(tuple(r)[1:] for r in self._segments(rows) if r["segment"] not in numbers), new], tombstones, vocabulary)
 
-    def index(self) -> lexical.Index:
-        """What lexical.search() reads, over all segments."""
+    def _held(self) -> tuple[list, list]:
+        """The state and its segments, of which there must be one."""
         rows = self.state()
         segments = self._segments(rows)
         if not segments:
             raise ValueError(f"{self.path} holds no index yet")
+        return rows, segments
+
+    def _live(self, rows: list, segments: list) -> DataFrame:
+        """Forward rows of the chunks that count."""
+        live, stones = self._read("forward", [r["segment"] for r in segments]), self._folder(rows, "tombstones")
+        return (live if stones is None else live.join(small(stones), ["segment", "document_id"], "left_anti")).drop("segment")
+
+    def forward(self) -> lexical.Forward:
+        """What lexical.search() reads for many queries, over all segments."""
+        rows, segments = self._held()
+        return lexical.Forward(self._live(rows, segments), self._folder(rows, "vocabulary"), sum(r["chunks"] for r in segments), sum(r["tokens"] for r in segments))
+
+    def index(self) -> lexical.Index:
+        """What lexical.search() reads for few queries, over all segments; postings that no one has asked for before are made."""
+        rows, segments = self._held()
         numbers = [r["segment"] for r in segments]
-        posts, heads = self._read("postings", numbers), self._read("heads", numbers)
+        self._posted(numbers, [r["windows"] for r in segments])
+        posts, heads = self._postings(numbers), self._read("heads", numbers)
         stones, gone = self._folder(rows, "tombstones"), None
-        places = self._read("forward", numbers).select("segment", "chunk_id", "document_id", "chunk_index")
         if stones is not None:
-            places = places.join(small(stones), ["segment", "document_id"], "left_anti")
             spread = self.spark.createDataFrame([(r["segment"], r["windows"]) for r in segments], "segment int, windows int")
             where = F.col("segment").cast("long") * F.lit(STRIDE) + F.pmod(F.xxhash64("document_id"), F.col("windows"))
             gone = stones.join(F.broadcast(spread), "segment").select(where.cast("long").alias("window"), "document_id")  # one row for each segment
-        return lexical.Index(posts, heads, self._folder(rows, "vocabulary"), sum(r["chunks"] for r in segments), sum(r["tokens"] for r in segments), self.buckets, sum(r["windows"] for r in segments), places.drop("segment"), gone)
+        places = self._live(rows, segments).select("chunk_id", "document_id", "chunk_index")
+        return lexical.Index(posts, heads, self._folder(rows, "vocabulary"), sum(r["chunks"] for r in segments), sum(r["tokens"] for r in segments), self.buckets, sum(r["windows"] for r in segments), places, gone)
+
+    def statistics(self) -> DataFrame:
+        """term, df, idf; no chunk is read for these."""
+        return self.forward().statistics()
 
     def search(self, queries: DataFrame, pool: int) -> DataFrame:
-        return lexical.search(None, queries, pool, self.index())
+        """As lexical.search(). Few queries read the postings of their terms, and many the terms of all chunks, once."""
+        few = queries.select("query_id").limit(lexical.FEW).count() < lexical.FEW
+        return lexical.search(None, queries, pool, self.index() if few else self.forward())
 
     def vacuum(self) -> list[str]:
         """Delete folders that the state in force doesn't name; readers that began before must have ended."""
         rows = self.state()
         used = {r["path"].rsplit("/", 1)[1] for r in rows if r["path"]} | {f"{kind}/segment={r['segment']}" for r in self._segments(rows) for kind in ("forward", "postings", "heads")}
-        old = [n for n in self._names("") if n.startswith(("tombstones-", "vocabulary-", "taken-"))]
+        old = [n for n in self._names("") if n.startswith(("tombstones-", "vocabulary-", "taken-", "_postings-", "_heads-"))]
         old += [f"{kind}/{n}" for kind in ("forward", "postings", "heads") for n in self._names(kind) if n.startswith("segment=")]
         old = sorted(n for n in old if n not in used)
         for n in old:

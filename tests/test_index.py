@@ -167,6 +167,47 @@ def test_empty_chunks_count_in_a_segment(spark, tmp_path):
     assert [r["term"] for r in index.index().statistics().collect()] == ["gamma"]
 
 
+def test_many_queries_of_a_segmented_index_read_no_postings(spark, tmp_path, monkeypatch):
+    """Adding, deleting, merging and searches of many queries make no postings; results are those of an index built anew."""
+    index = SegmentedIndex(spark, str(tmp_path / "i"), buckets=3)
+    chunks = staged(corpus(spark, 400), "corpus")
+    for n in range(4):
+        index.add(chunks.where(F.pmod("document_id", F.lit(4)) == n), f"b{n}")
+    gone = staged(chunks.where("document_id % 10 = 3").select("document_id"), "gone")
+    monkeypatch.setattr("sedgewren.operators.segments.LISTED", 2)  # of more documents the ids are joined
+    index.delete(gone)
+    rebuilt = lexical.indexed(staged(chunks.where("document_id % 10 <> 3"), "corpus"))
+    few = asked(spark)
+    many = spark.range(3).select(F.col("id").cast("int").alias("copy")).crossJoin(few).select((F.col("copy") * 100 + F.col("query_id")).alias("query_id"), "text", "folder", "document")
+    for k, v in {"SCORED": 64, "CELLS": 1, "HELD": 20, "SENT": 2000}.items():
+        monkeypatch.setattr(lexical, k, v)
+    for merged in (False, True):
+        if merged:
+            assert index.merge() == 1 and index._folder(index.state(), "tombstones").count() == 0
+        assert rows(index.search(many, 10)) == rows(lexical.search(None, many, 10, rebuilt))
+        number = lambda t: sorted((r["term"], r["df"], round(r["idf"], 9)) for r in t.collect())
+        assert number(index.statistics()) == number(rebuilt.statistics())
+        assert {x.name.split("-")[0] for x in (tmp_path / "i").iterdir()} <= {"state", "forward", "tombstones", "vocabulary"}
+    assert rows(index.search(few, 10)) == rows(lexical.search(None, few, 10, rebuilt))  # these do
+    assert [x.name for x in (tmp_path / "i" / "postings").iterdir()] == ["segment=4"]
+    files = {x for x in (tmp_path / "i" / "postings").rglob("*") if x.is_file()}
+    index.search(few, 10).collect()
+    assert {x for x in (tmp_path / "i" / "postings").rglob("*") if x.is_file()} == files  # once
+    assert index.vacuum() and rows(index.search(few, 10)) == rows(lexical.search(None, few, 10, rebuilt))
+
+
+def test_a_segment_without_a_term(spark, tmp_path):
+    index = SegmentedIndex(spark, str(tmp_path / "i"), buckets=2)
+    texts = [("a", 1, 0, "", "the of"), ("b", 2, 0, "", None), ("c", 3, 0, "", "")]
+    index.add(spark.createDataFrame(texts, CHUNKS))
+    assert (index.index().chunks, index.index().tokens) == (3, 0) == (lexical.indexed(staged(spark.createDataFrame(texts, CHUNKS), "corpus")).chunks, 0)
+    one, many = (spark.createDataFrame([(q, "alpha the") for q in range(n)], "query_id int, text string") for n in (1, 20))
+    assert index.search(one, 5).count() == index.search(many, 5).count() == index.statistics().count() == 0
+    index.add(spark.createDataFrame([("d", 4, 0, "", "alpha beta alpha")], CHUNKS))
+    assert (index.index().chunks, index.index().tokens) == (4, 3)
+    assert [r["chunk_id"] for r in index.search(one, 5).collect()] == ["d"] and index.search(many, 5).count() == 20
+
+
 def test_the_stream_feeds_the_index(spark, tmp_path):
     index = SegmentedIndex(spark, str(tmp_path / "i"), buckets=2)
     sentence = "The {} report describes the matter at length, so that it makes a chunk of more than one hundred characters, surely."
