@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sedgewren.operators import dense, lexical
 from sedgewren.operators.cells import Cells
 from sedgewren.operators.segments import SegmentedIndex
-from sedgewren.plans import catalogue
+from sedgewren.plans import catalogue, retrieve
 from sedgewren.sources.stage import small, staged
 from sedgewren.streaming.ingest import ingest, page_stream
 
@@ -208,6 +208,14 @@ def test_a_segment_without_a_term(spark, tmp_path):
     assert [r["chunk_id"] for r in index.search(one, 5).collect()] == ["d"] and index.search(many, 5).count() == 20
 
 
+def test_registered_segment_queries_make_neither_vectors_nor_postings(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "_fixture", None)
+    d = "/root/testdata/sf0.001/"  # of another name, so that nothing is kept for it
+    assert catalogue.lexical_segments(spark, d).count() > 0 and catalogue.bm25_segments(spark, d).count() > 0
+    index = catalogue._segmented(spark, d)
+    assert index._names("forward") and not index._names("postings") + index._names("heads")
+
+
 def test_the_stream_feeds_the_index(spark, tmp_path):
     index = SegmentedIndex(spark, str(tmp_path / "i"), buckets=2)
     sentence = "The {} report describes the matter at length, so that it makes a chunk of more than one hundred characters, surely."
